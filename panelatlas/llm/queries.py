@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embed_dedup import near_vectors
 from .exact_dedup import exact_classes
 from .mixing import mix
 from .packing import pack
 from .simhash import near_components
+from .substring_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .tokens import default_vocabulary
 
@@ -39,12 +41,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), SHARES, block_rows=BLOCK_ROWS)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
