@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .embed_dedup import near_vectors
 from .exact_dedup import exact_classes
+from .html_extract import extract
 from .mixing import mix
 from .packing import pack
 from .simhash import near_components
 from .substring_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .tokens import default_vocabulary
+from .toxicity import fit, sample, score_texts
 
 #: Target shares of the mixture; a source not named has one.
 SHARES = {"src0": 8, "src1": 4, "src2": 2}
 BLOCK_ROWS = 64
 
 
+def id_bucket(doc_id: Column, n: int) -> Column:
+    """crc32 of the identifier's text, mod n."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -29,6 +41,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(*sample(docs, table(spark, sf_dir, "labels"), may_learn=lambda i: id_bucket(i, 5) != 0))
+    out = score_texts(docs, model)
+    return out.select("doc_id", (F.coalesce(id_bucket(F.col("doc_id"), 5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"), keep="max")
 
@@ -50,8 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
