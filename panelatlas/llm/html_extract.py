@@ -51,12 +51,12 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "given", "parent", "children", "key", "depth")
+    __slots__ = ("tag", "label", "given", "parent", "children", "key", "depth", "holds")
 
     def __init__(self, tag: str, label: str, given: int, parent: "Node | None"):
         self.tag, self.label, self.given, self.parent = tag, label, given, parent
         self.children: list[Node | str] = []
-        self.key, self.depth = 0, 0
+        self.key, self.depth, self.holds = 0, 0, tag in ("#", "html", "body")
 
 
 def _given(tag: str, attrs: dict[str, str], inside: bool) -> int:
@@ -126,6 +126,9 @@ def parse(page: str) -> Node:
         label = tag + "".join("." + x for x in sorted(attrs.get("class", "").lower().split())) + ("#" + attrs["id"].lower() if attrs.get("id") else "")
         new = Node(tag, label, _given(tag, attrs, inside), node)
         node.children.append(new)
+        up = new if new.given > 0 else None
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -154,7 +157,7 @@ def number(root: Node, hash64: Callable[[str], int], most_depth: int = 24) -> It
 def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
     """(text, node's key, kind) in page order; kind: 1 in an article, 2 in main, 0 elsewhere. Noise is left out.
 
-    ``noise`` are keys of nodes of low importance; they count outside articles and ``main`` only.
+    ``noise`` are keys of nodes of low importance; they count outside articles and ``main``, and not for what holds one.
     """
     out: list[tuple[str, int, int]] = []
     run: list[str] = []
@@ -177,7 +180,7 @@ def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[tuple[str, i
             flush()
             owner = leave
             continue
-        if x.given < 0 or (not kind and x.key in noise):
+        if x.given < 0 or (not kind and not x.holds and x.key in noise):
             if x.tag not in INLINE:
                 flush()
             continue
