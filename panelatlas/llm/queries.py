@@ -12,6 +12,7 @@ from .embed_dedup import near_vectors
 from .exact_dedup import exact_classes
 from .html_extract import extract
 from .mixing import mix
+from .ngram_lm import score_texts as lm_score_texts
 from .packing import pack
 from .simhash import near_components
 from .substring_dedup import remove_repeats
@@ -52,6 +53,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_classes(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score_texts(table(spark, sf_dir, "documents"), id_bucket(F.col("doc_id"), 7) == 2)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=1))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
