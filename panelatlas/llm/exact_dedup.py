@@ -4,7 +4,8 @@
    runs: Parquet files of at most ``memtable_rows`` rows with a Bloom filter on the digest.
 2. Compaction: the runs merge by digest; of each digest the chosen identifier (``keep``) and the count stay. Aggregation
    is partial first, so a digest that a third of all rows share moves once per task.
-3. Hits, digests that more than one row has, receive byte verification: each such row's text is compared with the kept
+3. Hits, digests that more than one row has, are marked in a bitmap of fixed size that keeps other rows' texts from moving,
+   and receive byte verification: each such row's text is compared with the kept
    row's. Rows that differ (a collision of digests) form classes of their own by their full text.
 
 Null texts count as empty; empty texts are equal to each other. Rows with a null identifier take part: nulls lose
@@ -32,6 +33,20 @@ def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
     return runs.groupBy("digest").agg(choose("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
+FILTER_BITS = 26
+
+
+def maybe_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows whose digest may be among ``hits``, by a bitmap of digest prefixes: 2 ** FILTER_BITS bits, 8 MB at most, so it
+    can be broadcast whatever the number of hits. Like any such filter it only saves work; the join behind it decides."""
+    prefix = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % (1 << FILTER_BITS) + 1
+    marks = hits.select(F.bitmap_bucket_number(prefix).alias("bucket"), F.bitmap_bit_position(prefix).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.bitmap_bit_position(prefix).cast("int")
+    asked = rows.withColumn("bucket", F.bitmap_bucket_number(prefix)).join(F.broadcast(marks), "bucket")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return asked.filter(F.call_function("shiftright", byte, bit % 8).bitwiseAND(F.lit(1)) == 1).drop("bucket", "bits")
+
+
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", memtable_rows: int = 4_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     runs = digest_runs(docs, id_col, text_col, memtable_rows)
@@ -41,7 +56,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = index.filter(F.col("group_size") > 1)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm")).withColumn("digest", F.sha2("norm", 256))
-    rows = texts.join(hits, "digest")
+    rows = materialise(maybe_hits(texts, hits).join(hits, "digest"), "lsm-hits", compression="zstd")
     # One text for each hit digest to compare with: of the kept identifier, and of repeated identifiers the smallest text.
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("first_norm"))
     checked = rows.join(first, "digest").withColumn("same", F.col("norm") == F.col("first_norm"))
