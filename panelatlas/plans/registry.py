@@ -1,13 +1,433 @@
-"""Registered panel queries."""
+"""Registered panel queries, each with its DuckDB SQL. Names start with the operators' ids."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from ..fixtures import PRELUDE, lines
+from ..functions import numeric as N
+from ..functions import text as X
+from ..functions.taxonomy import classify
+from ..operators import cluster as C
+from ..operators import panel as P
+from ..operators import quality as Q
+from ..operators import trajectory as T
+from ..streaming.incremental import replace_by_key
 
+PARTY = "Brand#12"
+LATEST, BEFORE = "e2000", "e1999"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+class Panel:
+    """The panel's tables over one data folder, as lazy plans."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.lines = lines(spark, sf_dir)
+        self.tot, self.res = P.totals(self.lines), P.results(self.lines)
+        self.std = P.by_party(self.res)
+        self.summ = P.summary(self.tot, self.std)
+        self.own = P.own_share(self.tot, self.std, PARTY)
+
+
+def query(name: str, sql: str | None, prelude: bool = True):
+    def add(f: Callable[[Panel], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Panel(spark, sf_dir))
+        if sql is not None:
+            SQL[name] = f"WITH {PRELUDE}{sql}" if prelude else sql
+        return f
+
+    return add
+
+
+def r6(*cols: str):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+_OWN = f""", own AS (SELECT t.election_key, t.election_year, t.municipality_id, t.province, t.region, CAST(100 AS DOUBLE) * s.votes / t.valid_votes AS share
+ FROM tot t LEFT JOIN std s ON s.election_key = t.election_key AND s.municipality_id = t.municipality_id AND s.party_std = '{PARTY}')"""
+_VOL = _OWN + """, vol AS (SELECT municipality_id, avg(step) AS volatility FROM (SELECT municipality_id, abs(share - lag(share) OVER (PARTITION BY municipality_id ORDER BY election_year)) AS step FROM own WHERE share IS NOT NULL) GROUP BY 1),
+ chg AS (SELECT m.municipality_id, CAST(coalesce(sum(CASE WHEN b <> first_party_std THEN 1 ELSE 0 END), 0) AS BIGINT) AS changes FROM (SELECT DISTINCT municipality_id FROM tot) m LEFT JOIN
+  (SELECT municipality_id, first_party_std, lag(first_party_std) OVER (PARTITION BY municipality_id ORDER BY election_year) AS b FROM summ WHERE first_party_std IS NOT NULL) x USING (municipality_id) GROUP BY 1)"""
+_PCT = "CAST(100 AS DOUBLE)"
+_SHARE = f"SELECT election_key, province, mode, grp, sum(votes) AS votes FROM (SELECT election_key, province, votes, unnest(['party_raw', 'party_std', 'party_family', 'bloc']) AS mode, unnest([party_raw, party_std, party_family, bloc]) AS grp FROM res) GROUP BY ALL"
+
+
+def over_performance(p: Panel, election: str, top: int | None = None) -> DataFrame:
+    """Own share against the province's and the nation's."""
+    one = p.lines.filter(F.col("election_key") == election)
+    tot, std = P.totals(one), P.by_party(P.results(one))
+    own = P.own_share(tot, std, PARTY)
+    party = F.sum(F.when(F.col("party_std") == PARTY, F.col("votes")))
+    province = std.groupBy("province").agg(party.alias("v")).join(tot.groupBy("province").agg(F.sum("valid_votes").alias("d")), "province").select("province", P.pct(F.col("v"), F.col("d")).alias("province_share"))
+    nation = std.agg(party.alias("v")).crossJoin(tot.agg(F.sum("valid_votes").alias("d"))).select(P.pct(F.col("v"), F.col("d")).alias("nation_share"))  # one row each
+    out = own.join(F.broadcast(province), "province", "left").crossJoin(F.broadcast(nation)).select(
+        "municipality_id", "province", F.round("share", 6).alias("share"), F.round(F.col("share") - F.col("province_share"), 6).alias("over_province"), F.round(F.col("share") - F.col("nation_share"), 6).alias("over_nation"))
+    return out if top is None else out.orderBy(F.desc_nulls_last("over_province"), "municipality_id").limit(top)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_performance(Panel(spark, sf_dir), LATEST, 20)
+
+
+_OVER = _OWN + f""" SELECT o.municipality_id, o.province, round(share, 6) AS share, round(share - ps, 6) AS over_province, round(share - ns, 6) AS over_nation FROM own o
+ LEFT JOIN (SELECT t.province, {_PCT} * v / d AS ps FROM (SELECT province, sum(valid_votes) AS d FROM tot WHERE election_key = '{LATEST}' GROUP BY 1) t LEFT JOIN (SELECT province, sum(votes) AS v FROM std WHERE election_key = '{LATEST}' AND party_std = '{PARTY}' GROUP BY 1) s USING (province)) USING (province)
+ CROSS JOIN (SELECT {_PCT} * (SELECT sum(votes) FROM std WHERE election_key = '{LATEST}' AND party_std = '{PARTY}') / (SELECT sum(valid_votes) FROM tot WHERE election_key = '{LATEST}') AS ns) WHERE o.election_key = '{LATEST}'"""
+
+
+@query("j19_over_performance", _OVER)
+def _(p):
+    return over_performance(p, LATEST)
+
+
+@query("o01_top_over_performance", f"{_OVER} ORDER BY over_province DESC NULLS LAST, municipality_id LIMIT 20")
+def _(p):
+    return over_performance(p, LATEST, 20)
+
+
+@query("a27_summary", "SELECT election_key, municipality_id, province, electors, voters, valid_votes, round(turnout_pct, 6) AS turnout_pct, first_party_std, round(first_party_share, 6) AS first_party_share, second_party_std, round(second_party_share, 6) AS second_party_share, round(first_second_margin, 6) AS first_second_margin, dominant_block FROM summ")
+def _(p):
+    return p.summ.select("election_key", "municipality_id", "province", "electors", "voters", "valid_votes", *r6("turnout_pct"), "first_party_std", *r6("first_party_share"), "second_party_std", *r6("second_party_share", "first_second_margin"), "dominant_block")
+
+
+@query("a01_a02_rollup", f"""SELECT election_key, province, region, level, CAST(electors AS BIGINT) AS electors, CAST(voters AS BIGINT) AS voters, CAST(valid AS BIGINT) AS valid_votes, n, round(turnout, 6) AS turnout, round(margin, 6) AS margin, round(first_share, 6) AS first_share FROM (
+ SELECT election_key, province, region, CASE WHEN grouping(province) = 0 THEN 'province' WHEN grouping(region) = 0 THEN 'region' ELSE 'nation' END AS level, sum(electors) AS electors, sum(voters) AS voters, sum(valid_votes) AS valid, count(*) AS n,
+ {_PCT} * sum(voters) / sum(electors) AS turnout, CASE WHEN sum(valid_votes) > 0 THEN sum(first_second_margin * valid_votes) / sum(valid_votes) ELSE avg(first_second_margin) END AS margin, CASE WHEN sum(valid_votes) > 0 THEN sum(first_party_share * valid_votes) / sum(valid_votes) ELSE avg(first_party_share) END AS first_share
+ FROM summ GROUP BY GROUPING SETS ((election_key, province, region), (election_key, region), (election_key)))""")
+def _(p):
+    return P.rollup(p.summ).select("election_key", "province", "region", "level", "electors", "voters", "valid_votes", "n", *r6("turnout", "margin", "first_share"))
+
+
+@query("a03_province_group_share", f"SELECT g.election_key, g.province, mode, grp, CAST(votes AS BIGINT) AS votes, round({_PCT} * votes / d, 6) AS share FROM ({_SHARE}) g JOIN (SELECT election_key, province, sum(valid_votes) AS d FROM tot GROUP BY ALL) USING (election_key, province)")
+def _(p):
+    return P.group_shares(p.res, p.tot, True).select("election_key", "province", "mode", "grp", "votes", *r6("share"))
+
+
+@query("a03_national_group_share", f"SELECT g.election_key, mode, grp, CAST(sum(votes) AS BIGINT) AS votes, round({_PCT} * sum(votes) / any_value(d), 6) AS share FROM ({_SHARE}) g JOIN (SELECT election_key, sum(valid_votes) AS d FROM tot GROUP BY ALL) USING (election_key) GROUP BY ALL")
+def _(p):
+    return P.group_shares(p.res, p.tot, False).select("election_key", "mode", "grp", "votes", *r6("share"))
+
+
+@query("a04_party_share", _OWN + " SELECT election_key, municipality_id, round(share, 6) AS share FROM own")
+def _(p):
+    return p.own.select("election_key", "municipality_id", *r6("share"))
+
+
+@query("a05_concentration", f"SELECT s.election_key, s.municipality_id, round({_PCT} * sum(votes * votes) / (any_value(valid_votes) * any_value(valid_votes)), 6) AS concentration FROM std s JOIN tot t USING (election_key, municipality_id) GROUP BY ALL")
+def _(p):
+    return P.concentration(p.std, p.tot).select("election_key", "municipality_id", *r6("concentration"))
+
+
+@query("a06_row_counts", "SELECT t.election_key, n_summary, n_results FROM (SELECT election_key, count(*) AS n_summary FROM tot GROUP BY 1) t JOIN (SELECT election_key, count(*) AS n_results FROM res GROUP BY 1) USING (election_key)")
+def _(p):
+    return p.tot.groupBy("election_key").agg(F.count(F.lit(1)).alias("n_summary")).join(p.res.groupBy("election_key").agg(F.count(F.lit(1)).alias("n_results")), "election_key")
+
+
+@query("a08_national_top_parties", f"SELECT party_std, CAST(sum(votes) AS BIGINT) AS votes, round({_PCT} * sum(votes) / (SELECT sum(votes) FROM std WHERE election_key = '{LATEST}'), 6) AS share FROM std WHERE election_key = '{LATEST}' GROUP BY 1 HAVING sum(votes) > 0 ORDER BY sum(votes) DESC, party_std LIMIT 8")
+def _(p):
+    std = p.std.filter(F.col("election_key") == LATEST)
+    g = std.groupBy("party_std").agg(F.sum("votes").alias("votes")).crossJoin(F.broadcast(std.agg(F.sum("votes").alias("all"))))
+    return g.filter("votes > 0").select("party_std", "votes", F.round(P.pct(F.col("votes"), F.col("all")), 6).alias("share")).orderBy(F.desc("votes"), "party_std").limit(8)
+
+
+@query("a10_party_options", "SELECT party_std, CAST(sum(votes) AS BIGINT) AS votes, row_number() OVER (ORDER BY sum(votes) DESC, party_std) AS position FROM std GROUP BY 1")
+def _(p):
+    g = p.std.groupBy("party_std").agg(F.sum("votes").alias("votes"))
+    return g.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("votes"), "party_std")).cast("long"))
+
+
+@query("a11_quick_stats", "SELECT election_key, round(avg(turnout_pct), 6) AS mean, round(min(turnout_pct), 6) AS low, round(max(turnout_pct), 6) AS high, count(turnout_pct) AS n FROM summ GROUP BY 1")
+def _(p):
+    return p.summ.groupBy("election_key").agg(F.avg("turnout_pct").alias("mean"), F.min("turnout_pct").alias("low"), F.max("turnout_pct").alias("high"), F.count("turnout_pct").alias("n")).select("election_key", *r6("mean", "low", "high"), "n")
+
+
+@query("a11_block_counts", "SELECT election_key, dominant_block, count(*) AS n FROM summ WHERE dominant_block IS NOT NULL GROUP BY ALL")
+def _(p):
+    return p.summ.filter("dominant_block is not null").groupBy("election_key", "dominant_block").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a12_overview", "SELECT s.election_key, round(avg_turnout, 6) AS avg_turnout, round(avg_share, 6) AS avg_share, leader, n_leader FROM (SELECT election_key, avg(turnout_pct) AS avg_turnout, avg(first_party_share) AS avg_share FROM summ GROUP BY 1) s JOIN (SELECT election_key, first_party_std AS leader, count(*) AS n_leader, row_number() OVER (PARTITION BY election_key ORDER BY count(*) DESC, first_party_std) AS k FROM summ WHERE first_party_std IS NOT NULL GROUP BY election_key, first_party_std) m ON m.election_key = s.election_key AND k = 1")
+def _(p):
+    lead = p.summ.filter("first_party_std is not null").groupBy("election_key", "first_party_std").agg(F.count(F.lit(1)).alias("n_leader"))
+    lead = lead.withColumn("k", F.row_number().over(Window.partitionBy("election_key").orderBy(F.desc("n_leader"), "first_party_std"))).filter("k = 1")
+    s = p.summ.groupBy("election_key").agg(F.avg("turnout_pct").alias("avg_turnout"), F.avg("first_party_share").alias("avg_share"))
+    return s.join(lead, "election_key").select("election_key", *r6("avg_turnout", "avg_share"), F.col("first_party_std").alias("leader"), "n_leader")
+
+
+@query("a13_province_insights", f"SELECT s.province, n, round(mean_turnout, 6) AS mean_turnout, round(mean_margin, 6) AS mean_margin, leader FROM (SELECT province, count(*) AS n, avg(turnout_pct) AS mean_turnout, avg(first_second_margin) AS mean_margin FROM summ WHERE election_key = '{LATEST}' GROUP BY 1) s LEFT JOIN (SELECT province, first_party_std AS leader, row_number() OVER (PARTITION BY province ORDER BY count(*) DESC, first_party_std) AS k FROM summ WHERE election_key = '{LATEST}' AND first_party_std IS NOT NULL GROUP BY province, first_party_std) m ON m.province = s.province AND k = 1")
+def _(p):
+    s = p.summ.filter(F.col("election_key") == LATEST)
+    lead = s.filter("first_party_std is not null").groupBy("province", "first_party_std").agg(F.count(F.lit(1)).alias("c")).groupBy("province").agg(F.min_by("first_party_std", F.struct(-F.col("c"), "first_party_std")).alias("leader"))
+    return s.groupBy("province").agg(F.count(F.lit(1)).alias("n"), F.avg("turnout_pct").alias("mean_turnout"), F.avg("first_second_margin").alias("mean_margin")).join(lead, "province", "left").select("province", "n", *r6("mean_turnout", "mean_margin"), "leader")
+
+
+@query("a17_transitions", f"SELECT a.first_party_std AS leader_before, b.first_party_std AS leader_after, count(*) AS n FROM summ a JOIN summ b USING (municipality_id) WHERE a.election_key = '{BEFORE}' AND b.election_key = '{LATEST}' AND a.first_party_std IS NOT NULL AND b.first_party_std IS NOT NULL GROUP BY ALL ORDER BY n DESC, 1, 2 LIMIT 8")
+def _(p):
+    at = lambda k, c: p.summ.filter((F.col("election_key") == k) & F.col("first_party_std").isNotNull()).select("municipality_id", F.col("first_party_std").alias(c))
+    g = at(BEFORE, "leader_before").join(at(LATEST, "leader_after"), "municipality_id").groupBy("leader_before", "leader_after").agg(F.count(F.lit(1)).alias("n"))
+    return g.orderBy(F.desc("n"), "leader_before", "leader_after").limit(8)
+
+
+@query("a19_heatmap", "SELECT g.grp, y.election_year, CAST(coalesce(sum(s.votes), 0) AS BIGINT) AS votes FROM (SELECT party_std AS grp FROM std GROUP BY 1 ORDER BY sum(votes) DESC, 1 LIMIT 8) g CROSS JOIN (SELECT DISTINCT election_year FROM tot) y LEFT JOIN std s ON s.party_std = g.grp AND s.election_year = y.election_year GROUP BY ALL")
+def _(p):
+    v = p.std.groupBy("party_std", "election_year").agg(F.sum("votes").alias("v"))
+    top = v.groupBy(F.col("party_std").alias("grp")).agg(F.sum("v").alias("t")).orderBy(F.desc("t"), "grp").limit(8).select("grp")
+    grid = top.crossJoin(F.broadcast(p.tot.select("election_year").distinct()))  # eight groups by years
+    return grid.join(v.withColumnRenamed("party_std", "grp"), ["grp", "election_year"], "left").select("grp", "election_year", F.coalesce("v", F.lit(0)).alias("votes"))
+
+
+@query("a21_column_coverage", f"SELECT unnest(['first_party_std', 'second_party_std', 'province']) AS column_name, round(unnest([{_PCT} * count(first_party_std) / count(*), {_PCT} * count(second_party_std) / count(*), {_PCT} * count(province) / count(*)]), 6) AS coverage_pct FROM summ")
+def _(p):
+    return Q.column_coverage(p.summ, ["first_party_std", "second_party_std", "province"]).select("column_name", *r6("coverage_pct"))
+
+
+@query("a36_colour_domain", "SELECT election_key, round(max(abs(first_second_margin)), 6) AS diverging, round(min(turnout_pct), 6) AS low, round(max(turnout_pct), 6) AS high FROM summ GROUP BY 1")
+def _(p):
+    return p.summ.groupBy("election_key").agg(F.max(F.abs("first_second_margin")).alias("diverging"), F.min("turnout_pct").alias("low"), F.max("turnout_pct").alias("high")).select("election_key", *r6("diverging", "low", "high"))
+
+
+@query("w01_dense_rank", "SELECT election_key, municipality_id, party_std, votes, CAST(dense_rank() OVER (PARTITION BY election_key, municipality_id ORDER BY votes DESC) AS INT) AS rank FROM std")
+def _(p):
+    return p.std.select("election_key", "municipality_id", "party_std", "votes", F.dense_rank().over(Window.partitionBy("election_key", "municipality_id").orderBy(F.desc("votes"))).alias("rank"))
+
+
+@query("w02_row_rank", "SELECT election_key, municipality_id, party_std, rn AS rank FROM rk")
+def _(p):
+    return p.std.select("election_key", "municipality_id", "party_std", F.row_number().over(Window.partitionBy("election_key", "municipality_id").orderBy(F.desc("votes"), "party_std")).cast("long").alias("rank"))
+
+
+@query("w04_dominance_changes", _VOL + " SELECT * FROM chg")
+def _(p):
+    return T.dominance_changes(p.summ)
+
+
+@query("w05_volatility", _VOL + " SELECT municipality_id, round(volatility, 6) AS volatility FROM vol")
+def _(p):
+    return T.volatility(p.own).select("municipality_id", *r6("volatility"))
+
+
+@query("w06_stability", _VOL + " SELECT municipality_id, round(CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END, 6) AS stability_index FROM chg LEFT JOIN vol USING (municipality_id)")
+def _(p):
+    return T.stability(T.volatility(p.own), T.dominance_changes(p.summ)).select("municipality_id", *r6("stability_index"))
+
+
+@query("w07_share_series", _OWN + " SELECT municipality_id, election_year, round(share, 6) AS share FROM own WHERE share IS NOT NULL")
+def _(p):
+    return p.own.filter("share is not null").select("municipality_id", "election_year", *r6("share"))
+
+
+_SEG = """, isl AS (SELECT *, sum(new) OVER (PARTITION BY municipality_id ORDER BY election_year) AS island FROM (SELECT municipality_id, election_year, first_party_share, coalesce(first_party_std, 'N/D') AS leader, CASE WHEN lag(coalesce(first_party_std, 'N/D')) OVER (PARTITION BY municipality_id ORDER BY election_year) = coalesce(first_party_std, 'N/D') THEN 0 ELSE 1 END AS new FROM summ)),
+ seg AS (SELECT municipality_id, leader, min(election_year) AS from_year, max(election_year) AS to_year, round(min(first_party_share), 6) AS min_share, round(max(first_party_share), 6) AS max_share, count(*) AS n FROM isl GROUP BY municipality_id, island, leader)"""
+
+
+@query("w08_segments", _SEG + " SELECT * FROM seg")
+def _(p):
+    return T.segments(p.summ).select("municipality_id", "leader", "from_year", "to_year", *r6("min_share", "max_share"), "n")
+
+
+@query("w09_longest_run", _SEG + " SELECT municipality_id, leader, from_year, to_year FROM (SELECT *, row_number() OVER (PARTITION BY municipality_id ORDER BY to_year - from_year DESC, from_year) AS k FROM seg) WHERE k = 1")
+def _(p):
+    return T.longest_run(T.segments(p.summ))
+
+
+@query("w10_leader_runs", """, x AS (SELECT municipality_id, election_year, first_party_std AS leader, CASE WHEN lag(first_party_std) OVER (PARTITION BY municipality_id ORDER BY election_year) = first_party_std THEN 0 ELSE 1 END AS new FROM summ WHERE first_party_std IS NOT NULL)
+ SELECT municipality_id, leader, min(election_year) AS from_year, max(election_year) AS to_year, count(*) AS elections FROM (SELECT *, sum(new) OVER (PARTITION BY municipality_id ORDER BY election_year) AS island FROM x) GROUP BY municipality_id, island, leader""")
+def _(p):
+    return T.leader_runs(p.summ)
+
+
+_CELLS = _OWN + ", cell AS (SELECT o.*, s.turnout_pct, s.first_party_std, s.dominant_block FROM own o JOIN summ s USING (election_key, municipality_id))"
+
+
+def _cells(p: Panel) -> DataFrame:
+    return p.own.join(p.summ.select("election_key", "municipality_id", "turnout_pct", "first_party_std", "dominant_block"), ["election_key", "municipality_id"])
+
+
+@query("w11_breaks", _CELLS + """ SELECT municipality_id, from_year, to_year, round(d_share, 6) AS d_share, round(d_turnout, 6) AS d_turnout, leader_changed FROM (SELECT municipality_id, lag(election_year) OVER w AS from_year, election_year AS to_year, share - lag(share) OVER w AS d_share, turnout_pct - lag(turnout_pct) OVER w AS d_turnout, lag(first_party_std) OVER w IS DISTINCT FROM first_party_std AS leader_changed FROM cell WINDOW w AS (PARTITION BY municipality_id ORDER BY election_year)) WHERE from_year IS NOT NULL AND (leader_changed OR abs(d_share) >= 4 OR abs(d_turnout) >= 4)""")
+def _(p):
+    return T.breaks(_cells(p)).select("municipality_id", "from_year", "to_year", *r6("d_share", "d_turnout"), "leader_changed")
+
+
+@query("w12_trend", _OWN + " SELECT municipality_id, CASE WHEN count(share) < 2 THEN 'trend n/d' WHEN arg_max(share, election_year) - arg_min(share, election_year) >= 5 THEN 'crescita netta' WHEN arg_max(share, election_year) - arg_min(share, election_year) <= -5 THEN 'calo netto' ELSE 'andamento stabile' END AS trend FROM own GROUP BY 1")
+def _(p):
+    return T.trend(p.own)
+
+
+@query("w14_turnout_tier", "SELECT municipality_id, CASE WHEN avg(turnout_pct) >= 82 THEN 'alta' WHEN avg(turnout_pct) >= 72 THEN 'intermedia' WHEN avg(turnout_pct) IS NOT NULL THEN 'bassa' ELSE 'n/d' END AS tier FROM summ GROUP BY 1")
+def _(p):
+    return T.turnout_tier(p.summ)
+
+
+@query("w15_compare_candidate", "SELECT election_key, coalesce(lag(election_key) OVER (ORDER BY election_year), lead(election_key) OVER (ORDER BY election_year)) AS compare_key FROM (SELECT DISTINCT election_key, election_year FROM tot)")
+def _(p):
+    return T.compare_candidate(p.tot.select("election_key", "election_year").distinct())
+
+
+@query("w16_best_worst", "SELECT municipality_id, arg_max(election_year, turnout_pct * 10000 + election_year) AS best_year, arg_min(election_year, turnout_pct * 10000 + election_year) AS worst_year, min(election_year) AS first_year, max(election_year) AS last_year FROM summ GROUP BY 1")
+def _(p):
+    by = F.col("turnout_pct") * 10000 + F.col("election_year")
+    return p.summ.groupBy("municipality_id").agg(F.max_by("election_year", by).alias("best_year"), F.min_by("election_year", by).alias("worst_year"), F.min("election_year").alias("first_year"), F.max("election_year").alias("last_year"))
+
+
+@query("p12_metrics", _VOL + f""" SELECT s.municipality_id, s.first_party_std AS first_party, round(o.share, 6) AS party_share, round(s.turnout_pct, 6) AS turnout, round(s.first_second_margin, 6) AS margin, s.dominant_block, round(o.share - oc.share, 6) AS swing_compare, round(s.turnout_pct - c.turnout_pct, 6) AS delta_turnout, round(v.volatility, 6) AS volatility, g.changes AS dominance_changes,
+ round(CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END, 6) AS stability_index FROM summ s JOIN own o USING (election_key, municipality_id) LEFT JOIN summ c ON c.election_key = '{BEFORE}' AND c.municipality_id = s.municipality_id LEFT JOIN own oc ON oc.election_key = '{BEFORE}' AND oc.municipality_id = s.municipality_id LEFT JOIN vol v ON v.municipality_id = s.municipality_id LEFT JOIN chg g ON g.municipality_id = s.municipality_id WHERE s.election_key = '{LATEST}'""")
+def _(p):
+    cells = p.own.select("election_key", "municipality_id", "share").join(p.summ, ["election_key", "municipality_id"])
+    now, was = cells.filter(F.col("election_key") == LATEST), cells.filter(F.col("election_key") == BEFORE).select("municipality_id", F.col("share").alias("s0"), F.col("turnout_pct").alias("t0"))
+    vol, chg = T.volatility(p.own), T.dominance_changes(p.summ)
+    m = now.join(was, "municipality_id", "left").join(vol, "municipality_id", "left").join(chg, "municipality_id", "left").join(T.stability(vol, chg), "municipality_id", "left")
+    return m.select("municipality_id", F.col("first_party_std").alias("first_party"), F.round("share", 6).alias("party_share"), F.round("turnout_pct", 6).alias("turnout"), F.round("first_second_margin", 6).alias("margin"), "dominant_block", F.round(F.col("share") - F.col("s0"), 6).alias("swing_compare"), F.round(F.col("turnout_pct") - F.col("t0"), 6).alias("delta_turnout"), *r6("volatility"), F.col("changes").alias("dominance_changes"), *r6("stability_index"))
+
+
+@query("p01_filtered_rows", f"SELECT municipality_id, province FROM summ WHERE election_key = '{LATEST}' AND province IN ('NATION_1', 'NATION_7', 'NATION_19') AND first_party_std IS NOT NULL")
+def _(p):
+    one = p.lines.filter((F.col("election_key") == LATEST) & F.col("province").isin("NATION_1", "NATION_7", "NATION_19"))  # before the aggregation: partition and column pruning reach the scan
+    return P.results(one).select("municipality_id", "province").distinct()
+
+
+@query("p04_min_share", _OWN + f" SELECT municipality_id, round(share, 6) AS share FROM own WHERE election_key = '{LATEST}' AND coalesce(share, 0) >= 10")
+def _(p):
+    return p.own.filter((F.col("election_key") == LATEST) & (F.coalesce("share", F.lit(0.0)) >= 10)).select("municipality_id", *r6("share"))
+
+
+@query("p05_search", f"SELECT municipality_id, province, first_party_std FROM summ WHERE election_key = '{LATEST}' AND contains(lower(concat_ws(' ', municipality_id, province, first_party_std)), 'an')")
+def _(p):
+    return p.summ.filter((F.col("election_key") == LATEST) & F.lower(F.concat_ws(" ", "municipality_id", "province", "first_party_std")).contains("an")).select("municipality_id", "province", "first_party_std")
+
+
+@query("p16_detail", "SELECT election_year, electors, voters, round(turnout_pct, 6) AS turnout_pct FROM summ WHERE municipality_id = '42'")
+def _(p):
+    one = P.totals(p.lines.filter("municipality_id = '42'"))
+    return one.select("election_year", "electors", "voters", F.round(P.pct(F.col("voters"), F.col("electors")), 6).alias("turnout_pct"))
+
+
+@query("j01_compare", _CELLS + f" SELECT a.municipality_id, round(a.share - b.share, 6) AS swing, round(a.turnout_pct - b.turnout_pct, 6) AS d_turnout FROM cell a LEFT JOIN cell b ON b.municipality_id = a.municipality_id AND b.election_key = '{BEFORE}' WHERE a.election_key = '{LATEST}'")
+def _(p):
+    c = _cells(p)
+    was = c.filter(F.col("election_key") == BEFORE).select("municipality_id", F.col("share").alias("s0"), F.col("turnout_pct").alias("t0"))
+    return c.filter(F.col("election_key") == LATEST).join(was, "municipality_id", "left").select("municipality_id", F.round(F.col("share") - F.col("s0"), 6).alias("swing"), F.round(F.col("turnout_pct") - F.col("t0"), 6).alias("d_turnout"))
+
+
+@query("j14_as_of_geometry", "SELECT y.election_year, coalesce(max(g.y), 1996) AS geometry_year FROM (SELECT DISTINCT election_year FROM tot) y LEFT JOIN (VALUES (1996), (1999)) g(y) ON g.y <= y.election_year GROUP BY 1")
+def _(p):
+    shapes = p.spark.createDataFrame([(1996,), (1999,)], "geometry_year int")
+    return T.as_of(p.tot.select("election_year").distinct(), shapes)
+
+
+@query("j15_u02_replace_by_key", f"SELECT election_key, municipality_id, CAST(CASE WHEN election_key = '{LATEST}' THEN 0 ELSE electors END AS BIGINT) AS electors FROM tot")
+def _(p):
+    t = p.tot.select("election_key", "municipality_id", "electors")
+    return replace_by_key(t, t.filter(F.col("election_key") == LATEST).withColumn("electors", F.lit(0).cast("long")))
+
+
+@query("j17_single_context", "SELECT party_std, CASE WHEN count(DISTINCT region) = 1 THEN min(region) END AS region FROM res WHERE election_key = 'e1995' AND votes > 120 GROUP BY 1")
+def _(p):
+    g = p.res.filter("election_key = 'e1995' and votes > 120").groupBy("party_std").agg(F.min("region").alias("lo"), F.max("region").alias("hi"))
+    return g.select("party_std", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("region"))
+
+
+@query("o02_page", f"SELECT municipality_id, round(turnout_pct, 6) AS turnout_pct, position FROM (SELECT municipality_id, turnout_pct, row_number() OVER (ORDER BY turnout_pct DESC NULLS LAST, municipality_id) AS position FROM summ WHERE election_key = '{LATEST}') WHERE position BETWEEN 26 AND 50")
+def _(p):
+    one = P.totals(p.lines.filter(F.col("election_key") == LATEST)).select("municipality_id", P.pct(F.col("voters"), F.col("electors")).alias("turnout_pct"))
+    page = one.orderBy(F.desc_nulls_last("turnout_pct"), "municipality_id").limit(50)  # top-k first: the window sees two pages
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("turnout_pct"), "municipality_id")
+    return page.withColumn("position", F.row_number().over(w).cast("long")).filter("position > 25").select("municipality_id", *r6("turnout_pct"), "position")
+
+
+@query("o03_rankings", f"SELECT 'top' AS list, municipality_id, round(m, 6) AS margin FROM (SELECT municipality_id, first_second_margin AS m FROM summ WHERE election_key = '{LATEST}' AND first_second_margin IS NOT NULL ORDER BY m DESC, municipality_id LIMIT 6) UNION ALL SELECT 'tightest', municipality_id, round(m, 6) FROM (SELECT municipality_id, first_second_margin AS m FROM summ WHERE election_key = '{LATEST}' AND first_second_margin IS NOT NULL ORDER BY m, municipality_id LIMIT 6)")
+def _(p):
+    s = p.summ.filter((F.col("election_key") == LATEST) & F.col("first_second_margin").isNotNull())
+    pick = lambda name, order: s.orderBy(order, "municipality_id").limit(6).select(F.lit(name).alias("list"), "municipality_id", F.round("first_second_margin", 6).alias("margin"))
+    return pick("top", F.desc("first_second_margin")).unionByName(pick("tightest", F.asc("first_second_margin")))
+
+
+@query("o04_gains", _OWN + f" SELECT municipality_id, round(swing, 6) AS swing FROM (SELECT a.municipality_id, a.share - b.share AS swing FROM own a JOIN own b USING (municipality_id) WHERE a.election_key = '{LATEST}' AND b.election_key = '{BEFORE}') WHERE swing IS NOT NULL ORDER BY round(swing, 6) DESC, municipality_id LIMIT 8")
+def _(p):
+    at = lambda k, c: p.own.filter(F.col("election_key") == k).select("municipality_id", F.col("share").alias(c))
+    g = at(LATEST, "a").join(at(BEFORE, "b"), "municipality_id").select("municipality_id", F.round(F.col("a") - F.col("b"), 6).alias("swing")).filter("swing is not null")
+    return g.orderBy(F.desc("swing"), "municipality_id").limit(8)
+
+
+@query("r02_unpivot", "SELECT election_key, municipality_id, 'electors' AS measure, electors AS value FROM tot UNION ALL SELECT election_key, municipality_id, 'voters', voters FROM tot UNION ALL SELECT election_key, municipality_id, 'valid_votes', valid_votes FROM tot")
+def _(p):
+    return p.tot.unpivot(["election_key", "municipality_id"], ["electors", "voters", "valid_votes"], "measure", "value")
+
+
+@query("r01_pivot", "SELECT province, CAST(sum(votes) FILTER (WHERE bloc = 'bloc_0') AS BIGINT) AS bloc_0, CAST(sum(votes) FILTER (WHERE bloc = 'bloc_1') AS BIGINT) AS bloc_1, CAST(sum(votes) FILTER (WHERE bloc = 'bloc_2') AS BIGINT) AS bloc_2, CAST(sum(votes) FILTER (WHERE bloc = 'bloc_3') AS BIGINT) AS bloc_3 FROM std GROUP BY 1")
+def _(p):
+    return p.std.groupBy("province").pivot("bloc", ["bloc_0", "bloc_1", "bloc_2", "bloc_3"]).agg(F.sum("votes"))
+
+
+@query("v01_validations", """, c AS (SELECT s.election_key, s.municipality_id, sum(votes) AS votes, any_value(t.valid_votes) AS d, max(votes) AS top FROM std s JOIN tot t USING (election_key, municipality_id) GROUP BY ALL)
+ SELECT unnest(['turnout_out_of_range', 'electors_below_voters', 'valid_above_voters', 'turnout_mismatch', 'missing_province', 'share_out_of_range', 'share_sum_out_of_range', 'votes_differ_from_valid', 'leader_mismatch']) AS "check", unnest(['error', 'error', 'error', 'warning', 'warning', 'error', 'warning', 'warning', 'error']) AS severity,
+ unnest([(SELECT count(*) FROM summ WHERE turnout_pct > 100.01), (SELECT count(*) FROM tot WHERE electors < voters), (SELECT count(*) FROM tot WHERE valid_votes > voters), 0, (SELECT count(*) FROM tot WHERE trim(coalesce(province, '')) = ''), (SELECT count(*) FROM c WHERE top > d), (SELECT count(*) FROM c WHERE votes <> d), (SELECT count(*) FROM c WHERE abs(votes - d) > 0.08 * d), 0]) AS affected""")
+def _(p):
+    share = p.std.join(p.tot.select("election_key", "municipality_id", "valid_votes"), ["election_key", "municipality_id"]).select("election_key", "municipality_id", "party_std", "votes", P.pct(F.col("votes"), F.col("valid_votes")).alias("vote_share"))
+    return Q.validations(p.summ, share)
+
+
+@query("v02_readiness", "SELECT CAST(100 AS BIGINT) AS readiness", prelude=False)
+def _(p):
+    return Q.readiness(QUERIES["v01_validations"](p.spark, p.sf_dir))
+
+
+_PARSE = [("1.234,5",), ("1,234.5",), ("12,5",), ("1.234",), ("12.0",), ("1.000",), ("1.5",), ("-5",), ("45,6%",), ("",), ("abc",), (None,)]
+
+
+@query("f01_f05_number_parsing", """SELECT * FROM (VALUES ('1.234,5', 1234.5::DOUBLE, 1234.5::DOUBLE, 12345::BIGINT, 12345::BIGINT), ('1,234.5', 1234.5, 1234.5, 12345, 12345), ('12,5', 12.5, 12.5, 125, 125), ('1.234', 1234, 1.234, 1234, 1234), ('12.0', 12, 12, 12, 12), ('1.000', 1000, 1, 1, 1), ('1.5', 1.5, 1.5, 15, 1500), ('-5', -5, -5, 5, 5), ('45,6%', 45.6, NULL, 456, 456), ('', NULL, NULL, NULL, NULL), ('abc', NULL, NULL, NULL, NULL), (NULL, NULL, NULL, NULL, NULL)) t(raw, safe_float, safe_number, safe_count, archive_count)""", prelude=False)
+def _(p):
+    t, c = p.spark.createDataFrame(_PARSE, "raw string"), F.col("raw")
+    return t.select("raw", N.safe_float(c).alias("safe_float"), N.safe_number(c).alias("safe_number"), N.safe_count(c).alias("safe_count"), N.archive_count(c).alias("archive_count"))
+
+
+@query("f20_slug_party", "SELECT DISTINCT party_raw, trim(regexp_replace(lower(party_raw), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM res")
+def _(p):
+    return p.res.select("party_raw").distinct().withColumn("slug", X.slug(F.col("party_raw")))
+
+
+@query("f09_token", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(source, 1, 40))), '[^a-z0-9]+', ' ', 'g')) AS token FROM documents", prelude=False)
+def _(p):
+    return p.spark.read.parquet(f"{p.sf_dir}/documents.parquet").select("doc_id", X.token(F.substring("source", 1, 40)).alias("token"))
+
+
+@query("f28_election_labels", "SELECT DISTINCT concat('camera_', CAST(election_year AS VARCHAR)) AS key, CASE WHEN election_year <= 1992 THEN 'proportional' ELSE 'mixed' END AS system FROM tot")
+def _(p):
+    y = F.col("election_year")
+    return p.tot.select("election_year").distinct().select(X.election_key(F.lit("Camera"), y).alias("key"), X.electoral_system(y).alias("system"))
+
+
+@query("f31_taxonomy", "SELECT DISTINCT party_raw, party_raw AS party_display, 'altro' AS party_family_by_rule FROM res")
+def _(p):
+    return classify(p.res.select("party_raw").distinct(), "party_raw").select("party_raw", "party_display", "party_family_by_rule")
+
+
+def vectors(p: Panel) -> DataFrame:
+    """Six features per municipality, nulls as 0, not scaled."""
+    vol, chg = T.volatility(p.own), T.dominance_changes(p.summ)
+    cells = _cells(p).groupBy("municipality_id").agg(F.avg("share").alias("share"), F.avg("turnout_pct").alias("turnout"), F.max_by("share", "election_year").alias("last"))
+    v = cells.join(vol, "municipality_id", "left").join(chg, "municipality_id", "left").join(T.stability(vol, chg), "municipality_id", "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
+    return v.select("municipality_id", z("share").alias("share"), z("volatility").alias("volatility"), z("stability_index").alias("stability"), z("turnout").alias("turnout"), z("changes").alias("changes"), (z("last") - z("share")).alias("over"))
+
+
+@query("m01_m02_clusters", None)
+def _(p):
+    return C.kmeans(vectors(p))
+
+
+@query("m04_similarity", _CELLS + " SELECT municipality_id, CAST(n AS BIGINT) AS n, round(sqrt(sq / n), 6) AS distance, round(greatest(CAST(0 AS DOUBLE), 100 - 28 * sqrt(sq / n)), 6) AS score FROM (SELECT c.municipality_id, sum(coalesce(power((c.share - t.share) / 10, 2), 0) + coalesce(power((c.turnout_pct - t.turnout_pct) / 12, 2), 0) + CASE WHEN c.first_party_std <> t.first_party_std THEN CAST(0.45 AS DOUBLE) ELSE 0 END + CASE WHEN c.dominant_block <> t.dominant_block THEN CAST(0.35 AS DOUBLE) ELSE 0 END) AS sq, sum(CASE WHEN c.share IS NOT NULL AND t.share IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c.turnout_pct IS NOT NULL AND t.turnout_pct IS NOT NULL THEN 1 ELSE 0 END) AS n FROM cell c JOIN cell t ON t.election_year = c.election_year AND t.municipality_id = '42' WHERE c.municipality_id <> '42' GROUP BY 1) WHERE n > 0 ORDER BY 4 DESC, 1 LIMIT 6")
+def _(p):
+    return C.similarity(_cells(p), "42")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
