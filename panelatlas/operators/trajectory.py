@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("municipality_id").orderBy("election_year", "election_key")
+def _by():
+    return Window.partitionBy("municipality_id").orderBy("election_year", "election_key")
 
 
 def dominance_changes(summ: DataFrame) -> DataFrame:
     """Times the leader differs from the one before, over rows with a leader; 0 without any."""
-    led = summ.filter("first_party_std is not null").withColumn("before", F.lag("first_party_std").over(_BY))
+    led = summ.filter("first_party_std is not null").withColumn("before", F.lag("first_party_std").over(_by()))
     n = led.groupBy("municipality_id").agg(F.sum(F.when(F.col("before") != F.col("first_party_std"), 1).otherwise(0)).alias("changes"))
     return summ.select("municipality_id").distinct().join(n, "municipality_id", "left").select("municipality_id", F.coalesce("changes", F.lit(0)).cast("long").alias("changes"))
 
 
 def volatility(shares: DataFrame) -> DataFrame:
     """Mean absolute step between consecutive shares that are not null; null with fewer than two."""
-    step = shares.filter("share is not null").withColumn("step", F.abs(F.col("share") - F.lag("share").over(_BY)))
+    step = shares.filter("share is not null").withColumn("step", F.abs(F.col("share") - F.lag("share").over(_by())))
     return step.groupBy("municipality_id").agg(F.avg("step").alias("volatility"))
 
 
@@ -26,8 +27,8 @@ def stability(vol: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _islands(rows: DataFrame, leader: str) -> DataFrame:
-    new = F.when(F.lag(leader).over(_BY).eqNullSafe(F.col(leader)), 0).otherwise(1)
-    return rows.withColumn("new", new).withColumn("island", F.sum("new").over(_BY.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.when(F.lag(leader).over(_by()).eqNullSafe(F.col(leader)), 0).otherwise(1)
+    return rows.withColumn("new", new).withColumn("island", F.sum("new").over(_by().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def segments(summ: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def longest_run(seg: DataFrame) -> DataFrame:
 
 def breaks(rows: DataFrame) -> DataFrame:
     """Consecutive elections between which the leader, the share or the turnout (by 4 points) moved; over all rows."""
-    lag = lambda c: F.lag(c).over(_BY)
+    lag = lambda c: F.lag(c).over(_by())
     d = rows.select("municipality_id", lag("election_year").alias("from_year"), F.col("election_year").alias("to_year"), (F.col("share") - lag("share")).alias("d_share"), (F.col("turnout_pct") - lag("turnout_pct")).alias("d_turnout"), (~lag("first_party_std").eqNullSafe(F.col("first_party_std"))).alias("leader_changed"))
     return d.filter("from_year is not null and (leader_changed or abs(d_share) >= 4 or abs(d_turnout) >= 4)")
 
