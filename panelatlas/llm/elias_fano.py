@@ -104,6 +104,16 @@ class EliasFano:
             byte, skip = byte + 64, 0
 
     def decode(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
-        return (high << np.uint64(self.low)) | _unpack_low(self.lower, self.n, self.low)
+        """All values; besides the result it needs a few MB."""
+        out = np.empty(self.n, dtype=np.uint64)
+        done = 0
+        for at in range(0, len(self.upper), 1 << 16):
+            ones = np.flatnonzero(np.unpackbits(self.upper[at : at + (1 << 16)], bitorder="little"))[: self.n - done]
+            high = ones + (8 * at - done) - np.arange(len(ones))
+            out[done : done + len(ones)] = high.astype(np.uint64) << np.uint64(self.low)
+            done += len(ones)
+        for at in range(0, self.n if self.low else 0, 1 << 16):
+            k = min(1 << 16, self.n - at)
+            first = at * self.low // 8
+            out[at : at + k] |= _unpack_low(self.lower[first : first + (k * self.low + 7) // 8], k, self.low)
+        return out

@@ -51,7 +51,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= 1_000_000:  # a bound on memory only
+        if len(self) >= 300_000:  # a bound on memory only
             self.clear()
         h = self[word] = xxh64_intdigest(word)
         return h
@@ -84,7 +84,7 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], (np.add.reduceat(c, first) if len(k) else c)
 
 
-def _counted(keys_of: Callable[[list[np.ndarray]], np.ndarray], tokens: int = 1_000_000, most: int = 6_000_000) -> Callable:
+def _counted(keys_of: Callable[[list[np.ndarray]], np.ndarray], tokens: int = 500_000, most: int = 3_000_000) -> Callable:
     """mapInArrow function text -> (key, n), each key once per task or per ``most`` keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +168,10 @@ def _ranges_decode(raw: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 class Trie:
-    """The model's files; shards are mapped and decoded as they are asked for, the last few are kept."""
+    """The model's files; shards are mapped and decoded as they are asked for, the last ones are kept, up to ``keep_bytes``."""
 
-    def __init__(self, folder: str, words: list[int], pairs: list[int], total: int, keep: int = 4):
-        self.folder, self.total, self.keep = folder, total, keep
+    def __init__(self, folder: str, words: list[int], pairs: list[int], total: int, keep_bytes: int = 300_000_000):
+        self.folder, self.total, self.keep_bytes = folder, total, keep_bytes
         self.first_word = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
         self.first_pair = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int64) if pairs else None
         self.shards = len(words)
@@ -192,15 +192,15 @@ class Trie:
         with mapped(f"{self.folder}/level{k}-{shard:05d}.eft") as raw:
             parts = _blocks(raw)
             if k == 1:
-                out = (EliasFano(parts[0].copy()).decode(), parts[1].view("<u4").astype(np.int64) if not len(parts[1]) % 4 and parts[1].ctypes.data % 4 == 0 else np.frombuffer(parts[1].tobytes(), "<u4").astype(np.int64))
+                out = (EliasFano(parts[0].copy()).decode(), np.frombuffer(parts[1].tobytes(), "<u4"))
             elif k == 2:
                 seq, top = _ranges_decode(parts[1])
-                out = (EliasFano(parts[0].copy()).decode().astype(np.int64), seq, top, parts[2].copy(), parts[3].copy(), np.frombuffer(parts[4].tobytes(), "<u4"))
+                out = (EliasFano(parts[0].copy()).decode().view(np.int64), seq, top, parts[2].copy(), parts[3].copy())
             else:
                 seq, top = _ranges_decode(parts[0])
                 out = (seq, top, parts[1].copy(), parts[2].copy())
         self.held[k, shard] = out
-        while len(self.held) > self.keep:
+        while len(self.held) > 1 and sum(x.nbytes for v in self.held.values() for x in v if isinstance(x, np.ndarray)) > self.keep_bytes:
             self.held.popitem(last=False)
         return out
 
@@ -227,7 +227,7 @@ class Trie:
         for s in np.unique(owner).tolist():
             if (got := self.level(2, s)) is None:
                 continue
-            ptr, seq, top, q, q_rest, _ = got
+            ptr, seq, top, q, q_rest = got
             at = np.flatnonzero(owner == s)
             local = v[at] - self.first_word[s]
             rest[at] = np.where(ptr[local + 1] > ptr[local], VALUES[q_rest[local]], 1.0)
@@ -311,7 +311,8 @@ def _write_pairs(folder: str, trie: Trie) -> Callable:
             c = trie.level(1, s)[1]
             p = (n - DISCOUNT) / c[v]
             rest = 1 - np.bincount(v, p, n_words)
-            put(f"{folder}/level2-{s:05d}.eft", _file([encode(ptr), _ranges_encode(w, ptr), quantise(p).tobytes(), quantise(np.maximum(rest, 1e-9)).tobytes(), np.minimum(n, 2**32 - 1).astype("<u4").tobytes()]))
+            put(f"{folder}/level2-{s:05d}.eft", _file([encode(ptr), _ranges_encode(w, ptr), quantise(p).tobytes(), quantise(np.maximum(rest, 1e-9)).tobytes()]))
+            put(f"{folder}/counts2-{s:05d}.u4", [np.minimum(n, 2**32 - 1).astype("<u4").tobytes()])  # for training only
             yield _size(s, len(key))
 
     return run
@@ -325,7 +326,9 @@ def _write_triples(folder: str, trie: Trie) -> Callable:
             pair, rank = (key >> _RANK_BITS) - trie.first_pair[s], key & ((1 << _RANK_BITS) - 1)
             n_pairs = int(trie.first_pair[s + 1] - trie.first_pair[s])
             ptr = np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=n_pairs))])
-            p = (n - DISCOUNT) / trie.level(2, s)[5][pair]
+            with mapped(f"{folder}/counts2-{s:05d}.u4") as raw:
+                counts = np.frombuffer(raw.tobytes(), "<u4")
+            p = (n - DISCOUNT) / counts[pair]
             rest = 1 - np.bincount(pair, p, n_pairs)
             put(f"{folder}/level3-{s:05d}.eft", _file([_ranges_encode(rank, ptr), quantise(p).tobytes(), quantise(np.maximum(rest, 1e-9)).tobytes()]))
             yield _size(s, len(key))
@@ -370,7 +373,7 @@ def _score(trie: Trie) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for texts in _pieces(iter([batch]), 1_000_000):
+            for texts in _pieces(iter([batch]), 500_000):
                 part = [h for _, h in texts]
                 j, rank, p2, rest2, counts = _follow(trie, part)
                 base = (counts + 1) / (trie.total + trie.vocabulary + 1)
@@ -395,7 +398,7 @@ def _sizes(rows: DataFrame, write: Callable, shards: int) -> list[int]:
     return [got.get(s, 0) for s in range(shards)]
 
 
-def train(texts: DataFrame, cutoff: int = 2, shard_words: int = 4_000_000) -> Trie:
+def train(texts: DataFrame, cutoff: int = 2, shard_words: int = 400_000) -> Trie:
     """``texts`` has one binary column, text. The trie's files are in the shared folder."""
     folder = shared_folder(texts.sparkSession, "trie")
     summed = lambda keys, what: materialise(texts.mapInArrow(_counted(keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), what, compression="zstd")
@@ -420,10 +423,10 @@ def train(texts: DataFrame, cutoff: int = 2, shard_words: int = 4_000_000) -> Tr
     rows = triples.select(owner(F.shiftright("key", _RANK_BITS), trie.first_pair).alias("shard"), "key", "n")
     rows = rows.unionByName(texts.sparkSession.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n")))
     _sizes(rows, _write_triples(folder, trie), shards)
-    return Trie(folder, sizes, sizes2, total, keep=3 * min(shards, 4))
+    return Trie(folder, sizes, sizes2, total)
 
 
-def score_texts(docs: DataFrame, held_out: Column, cutoff: int = 2, shard_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, cutoff: int = 2, shard_words: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The model learns
     from the rows for which ``held_out``, a column over doc_id, is false or null."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
