@@ -207,12 +207,18 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
     """Words of toxic texts with a letter group (3 to 8 letters) that many toxic and hardly any clean texts have, by texts."""
     clean_words: Counter = Counter(w for d in clean for w in d)
     n1, n0 = len(toxic), len(clean)
-    df: Counter = Counter()
     odd = [[w for w in d if len(w) >= 3 and clean_words.get(w, 0) <= 0.0005 * n0] for d in toxic]
-    for d in odd:
-        df.update({w[i : i + n] for w in d for n in range(3, 9) for i in range(len(w) - n + 1)})
     floor = max(2, 0.01 * n1)
-    want = {g for g, n in df.items() if n >= floor}
+    df: dict[str, int] = {}
+    alive: set[str] | None = None
+    for k in range(3, 9):  # a frequent group begins with a frequent shorter one
+        level: Counter = Counter()
+        for d in odd:
+            level.update({w[i : i + k] for w in d for i in range(len(w) - k + 1) if alive is None or w[i : i + k - 1] in alive})
+        found_k = {g: n for g, n in level.items() if n >= floor}
+        df.update(found_k)
+        alive = set(found_k)
+    want = set(df)
     in_clean: Counter = Counter()  # by words: a text with two such words counts twice, on the side of caution
     for w, n in clean_words.items():
         for g in {w[i : i + k] for k in range(3, 9) for i in range(len(w) - k + 1)} & want:
@@ -242,7 +248,8 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, kernel: Kerne
     share = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         return Model(None, 0.0, 0.0, float(share), kernel)
-    docs = [{p for t in tokens(x) for p in chunks(letters(t))} for x in texts]
+    same: dict[str, str] = {}  # one string for each word of the sample
+    docs = [{same.setdefault(p, p) for t in set(tokens(x)) for p in chunks(letters(t))} for x in texts]
     # Every fifth text is kept for the logistic curve: words the SVM has not seen must not look better than they are.
     turn_of = np.zeros(len(y), dtype=int)
     for k in (0, 1):
@@ -286,15 +293,16 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, kernel: Kerne
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_bytes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=None) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn=None) -> tuple[list[str], list[int]]:
     """At most ``per_class`` labelled texts of each label, of at most ``max_bytes``, by a hash of the identifier."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and __id is not null").groupBy("__id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= max_bytes)
     rows = rows.filter(may_learn(F.col("__id"))) if may_learn else rows
-    rows = rows.join(known, "__id")
-    out = []
-    for k in (0, 1):
-        out += [(r[0], k) for r in rows.filter(F.col("y") == k).orderBy(F.xxhash64("__id"), "text").limit(per_class).select("text").collect()]
+    ids = rows.select("__id").distinct().join(known, "__id")
+    # Identifiers first, at most 2 * per_class of them; texts of no others come to the driver.
+    chosen = [r for k in (0, 1) for r in ids.filter(F.col("y") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class).select("__id", "y").collect()]
+    picked = docs.sparkSession.createDataFrame(chosen, ids.select("__id", "y").schema)
+    out = [(r[0], r[1]) for r in rows.join(F.broadcast(picked), "__id").select("text", "y").orderBy("__id", "text").limit(2 * per_class).collect()]
     return [t for t, _ in out], [k for _, k in out]
 
 
