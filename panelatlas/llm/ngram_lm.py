@@ -234,7 +234,7 @@ class Trie:
             inside = w[at] < top
             at, local = at[inside], local[inside]
             key = local.astype(np.uint64) * np.uint64(top) + w[at].astype(np.uint64)
-            place = np.minimum(np.searchsorted(seq, key), len(seq) - 1)
+            place = _places(seq, key)
             hit = seq[place] == key
             j[at[hit]] = place[hit] + self.first_pair[s]
             rank[at[hit]] = place[hit] - ptr[local[hit]]
@@ -258,12 +258,20 @@ class Trie:
             if not len(seq):
                 continue
             key = local.astype(np.uint64) * np.uint64(top) + rank[at].astype(np.uint64)
-            place = np.minimum(np.searchsorted(seq, key), len(seq) - 1)
+            place = _places(seq, key)
             hit = seq[place] == key
             p[at[hit]] = VALUES[q[place[hit]]]
         return p, rest
 
 
+def _places(seq: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted, non-empty ``seq``. Sorted first, so that neighbouring searches read the same memory."""
+    order = np.argsort(key)
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.searchsorted(seq, key[order])
+    return np.minimum(out, len(seq) - 1)
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     """Shards are equal stretches of the hashes' upper 32 bits."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
