@@ -208,7 +208,7 @@ def _join(radius2: float, blocks: int, cosine: float) -> Callable:
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, tile_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, blocks: int = 4, tile_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     own = materialise(rows.mapInArrow(_to_raw, "vec_id long, raw binary"), "vectors")
