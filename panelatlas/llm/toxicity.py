@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -137,10 +137,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> n
     for _ in range(30):
         m = 1 - y * (x @ w)
         on = m > 0
-        g = keep * w - 2 * c * x[on].T @ (weight[on] * y[on] * m[on])
+        g = keep * w - 2 * c * x.T @ np.where(on, weight * y * m, 0.0)
         if np.abs(g).max() < 1e-8:
             break
-        h = np.diag(keep) + 2 * c * (x[on].T * weight[on]) @ x[on]
+        h = np.diag(keep)
+        for at in np.array_split(np.flatnonzero(on), max(1, int(on.sum()) // 4096)):  # no copy of all rows at once
+            part = x[at]
+            h += 2 * c * (part.T * weight[at]) @ part
         step, t = np.linalg.solve(h, g), 1.0
         loss = lambda v: 0.5 * (keep * v * v).sum() + c * (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum()
         now = loss(w)
@@ -203,10 +206,11 @@ def _platt(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> Counter:
-    """Words of toxic texts with a letter group (3 to 8 letters) that many toxic and hardly any clean texts have, by texts."""
-    clean_words: Counter = Counter(w for d in clean for w in d)
-    n1, n0 = len(toxic), len(clean)
+def _witnesses(toxic: Iterable[set[str]], n1: int, clean_words: Counter, n0: int) -> Counter:
+    """Words of toxic texts with a letter group (3 to 8 letters) that many toxic and hardly any clean texts have, by texts.
+
+    ``clean_words`` counts the ``n0`` clean texts by their words; of the ``n1`` toxic ones only rare words are held.
+    """
     odd = [[w for w in d if len(w) >= 3 and clean_words.get(w, 0) <= 0.0005 * n0] for d in toxic]
     floor = max(2, 0.01 * n1)
     df: dict[str, int] = {}
@@ -249,20 +253,29 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, kernel: Kerne
     if not len(y) or y.min() == y.max():
         return Model(None, 0.0, 0.0, float(share), kernel)
     same: dict[str, str] = {}  # one string for each word of the sample
-    docs = [{same.setdefault(p, p) for t in set(tokens(x)) for p in chunks(letters(t))} for x in texts]
+
+    def words_of(which: int) -> Iterator[set[str]]:
+        """The words of each text to learn from, one text at a time."""
+        for x, k, t in zip(texts, y, turn_of):
+            if k == which and t:
+                yield {same.setdefault(p, p) for w in set(tokens(x)) for p in chunks(letters(w))}
+
     # Every fifth text is kept for the logistic curve: words the SVM has not seen must not look better than they are.
     turn_of = np.zeros(len(y), dtype=int)
     for k in (0, 1):
         turn_of[y == k] = np.arange((y == k).sum()) % 5
-    toxic, clean = [d for d, k, t in zip(docs, y, turn_of) if k and t], [d for d, k, t in zip(docs, y, turn_of) if not k and t]
-    if not toxic or not clean:
+    n1, n0 = int(((y == 1) & (turn_of > 0)).sum()), int(((y == 0) & (turn_of > 0)).sum())
+    if not n1 or not n0:
         return Model(None, 0.0, 0.0, float(share), kernel)
-    witness = _witnesses(toxic, clean)
+    clean_words: Counter = Counter()
+    for d in words_of(0):
+        clean_words.update(d)
+    witness = _witnesses(words_of(1), n1, clean_words, n0)
     if not witness:
         return Model(None, 0.0, 0.0, float(share), kernel)
-    plain: Counter = Counter(w for d in clean for w in d if len(w) >= 3)
+    plain = Counter({w: n for w, n in clean_words.items() if len(w) >= 3})
     for w in list(witness):
-        if plain[w] * len(toxic) > 0.2 * witness[w] * len(clean):
+        if plain[w] * n1 > 0.2 * witness[w] * n0:
             del witness[w]
     good = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))[:4000]]
     common = [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))]
@@ -275,10 +288,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = 256, kernel: Kerne
     negative = spread
     for turn in range(4):
         words = good + negative
-        x = np.concatenate([kernel.basis_values(words, place, dense) @ root, np.ones((len(words), 1))], axis=1)
+        x = np.ones((len(words), root.shape[1] + 1))
+        for at in range(0, len(words), 4096):
+            x[at : at + 4096, :-1] = kernel.basis_values(words[at : at + 4096], place, dense) @ root
         target = np.array([1.0] * len(good) + [-1.0] * len(negative))
         weight = np.where(target > 0, 4.0, 1.0)
         w = _svm(x, target, weight)
+        del x
         weights = dense @ (root @ w[:-1])
         model = Model(weights[place], float(w[-1]), 1.0, 0.0, kernel)
         if turn == 3:
