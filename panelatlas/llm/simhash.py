@@ -130,9 +130,10 @@ def shard_links(fps: list[int], reps: list[int], radius: int, sides: list[int] |
     return out
 
 
-def plan(distinct: int, radius: int, per_shard: int = 64) -> tuple[list[int], int]:
-    """(block edges, match): the fewest matching blocks that leave about ``per_shard`` fingerprints in a shard."""
-    for match in range(1, 9):
+def plan(distinct: int, radius: int, per_shard: int = 64, least_match: int = 1) -> tuple[list[int], int]:
+    """(block edges, match): the fewest matching blocks, ``least_match`` or more, that leave about ``per_shard``
+    fingerprints in a shard."""
+    for match in range(least_match, 9):
         blocks = radius + match
         if match * 64 / blocks >= np.log2(max(2, distinct / per_shard)) or match == 8:
             return [round(64 * k / blocks) for k in range(blocks + 1)], match
@@ -187,9 +188,9 @@ def _any_near(fps: np.ndarray, radius: int) -> bool:
     return int((d <= radius).sum()) > len(v)
 
 
-def near_links(distinct: DataFrame, radius: int, shard_rows: int = 50_000) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, shard_rows: int = 50_000, least_match: int = 1) -> DataFrame:
     """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep)."""
-    edges, match = plan(distinct.count(), radius)
+    edges, match = plan(distinct.count(), radius, least_match=least_match)
     rows = distinct.select("fp", "rep", _shard_keys(edges, match).alias("s")).select("s.t", "s.k", "fp", "rep")
     hot = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows)
     hot = materialise(hot, "simhash-hot")
@@ -205,11 +206,15 @@ def near_links(distinct: DataFrame, radius: int, shard_rows: int = 50_000) -> Da
     return dealt.mapInArrow(_linked(radius), "a long, b long")
 
 
-def near_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+def near_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", least_match: int = 1) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
+
+    The result is the same for each ``least_match``; from 2 on, more rows are sent for few documents, and as many for each
+    document of a larger table.
+    """
     own = fingerprints(docs, words, id_col, text_col)
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = components(near_links(distinct.filter("rep is not null"), radius))
+    found = components(near_links(distinct.filter("rep is not null"), radius, least_match=least_match))
     classes = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out
