@@ -66,6 +66,8 @@ def test_simhash(spark, texts):
     for _ in f:
         comp = [min(comp[j] for j in range(len(f)) if (f[i] ^ f[j]).bit_count() <= 4) for i in range(len(f))]
     assert all(got[i].component_id == c for i, c in enumerate(comp))
+    more = {r.doc_id: r.component_id for r in simhash.near_components(_docs(spark, texts), least_match=2).collect()}
+    assert more == {i: r.component_id for i, r in got.items()}
     assert simhash.near_components(_docs(spark, texts).limit(0)).count() == 0
 
 
