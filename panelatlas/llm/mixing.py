@@ -82,10 +82,15 @@ def mix(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, bloc
     )
 
 
+def placed(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``docs`` with their place in the mixture, ``__slot`` and ``__place``."""
+    order = mix(docs, shares, default_share, block_rows, id_col, source_col).select(F.col("doc_id").alias("__id"), F.col("slot").alias("__slot"), F.col("place_in_block").alias("__place"))
+    order = order.groupBy("__id").agg(F.min(F.struct("__slot", "__place")).alias("__at"))  # rows repeated as a whole share their first place
+    return docs.join(order, docs[id_col].eqNullSafe(order["__id"])).select(*[docs[c] for c in docs.columns], "__at.__slot", "__at.__place")
+
+
 def in_mixed_order(docs: DataFrame, shares: Mapping[str, int], default_share: int = 1, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``docs``, columns unchanged, range-partitioned and sorted by the order of the mixture: each partition, and so each
     file written from it, holds one stretch of the schedule."""
-    order = mix(docs, shares, default_share, block_rows, id_col, source_col).select(F.col("doc_id").alias("__id"), F.col("slot").alias("__slot"), F.col("place_in_block").alias("__place"))
-    order = order.groupBy("__id").agg(F.min(F.struct("__slot", "__place")).alias("__at"))  # rows repeated as a whole share their first place
-    placed = docs.join(order, docs[id_col].eqNullSafe(order["__id"]))
-    return placed.repartitionByRange(F.col("__at.__slot"), F.col("__at.__place")).sortWithinPartitions("__at.__slot", "__at.__place").drop("__id", "__at")
+    rows = placed(docs, shares, default_share, block_rows, id_col, source_col)
+    return rows.repartitionByRange("__slot", "__place").sortWithinPartitions("__slot", "__place").drop("__slot", "__place")

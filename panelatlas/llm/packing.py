@@ -7,6 +7,11 @@ and last a piece cut to size. Windows are thus full, at 4096, 2048, 1024 or 512
 into full windows of ever smaller powers of two, so nothing is padded. Sequences are then dealt to step groups of
 ``step_tokens`` ids, longest first; as lengths are powers of two, the groups come out equally full.
 
+With a slot column, the rows are dealt to tasks by ranges of slots and read slot by slot, and after each slot all that
+fills windows is written out, in the order of the sequences' first documents. So sequence numbers follow the slots. What
+fills no window, under the shortest context's ids, leads the next slot's first sequence. A step group takes each sequence
+that fits it; as only small gaps stay open, and few, groups follow the slots too.
+
 At most ``buffer_tokens`` ids wait in a task; then all that fills windows is written out and the rest is carried on.
 Null and empty texts are the end id alone. Repeated rows are packed each. An empty table gives an empty result.
 """
@@ -38,6 +43,8 @@ class Packer:
         self.pool: list[Piece] = []  # sorted
         self.done: list[list[Piece]] = []
         self.waiting = 0
+        self.open: list[list[int]] = []  # step groups with room: [number, ids left]
+        self.groups = 0
 
     def add(self, doc: int, n: int) -> None:
         at = 0
@@ -48,9 +55,10 @@ class Packer:
             insort(self.pool, (n - at, doc, at))
             self.waiting += n - at
 
-    def window(self, size: int, lead: int) -> None:
-        """Fill one window, from the piece at ``lead`` on; the pool holds enough ids."""
-        got, gap = [], size
+    def window(self, size: int, lead: int | None, got: list[Piece] | None = None) -> None:
+        """Fill one window, from the piece at ``lead`` on; the pool holds enough ids. ``got`` are pieces that it starts with."""
+        got = got or []
+        gap = size - sum(p[0] for p in got)
         while gap:
             at = lead if not got else bisect_right(self.pool, (gap, 1 << 62, 0)) - 1
             n, doc, start = self.pool.pop(max(at, 0))
@@ -62,6 +70,16 @@ class Packer:
         self.waiting -= size
         self.done.append(got)
 
+    def carried(self, before: int) -> None:
+        """Fill one window that starts with the pieces of documents numbered below ``before``."""
+        old = sorted((p for p in self.pool if p[1] < before), key=lambda p: p[1:])
+        n = sum(p[0] for p in old)
+        fits = [c for c in self.contexts if n <= c <= self.waiting]
+        if old and fits:
+            self.pool = [p for p in self.pool if p[1] >= before]
+            longest = self.pool[-1][0] if self.pool else 0
+            self.window(next((c for c in fits if c >= longest), fits[-1]), None, old)
+
     def drain(self, last: bool) -> None:
         """Write out full windows of every tier; with ``last`` also what fills no tier."""
         for k in range(len(self.contexts) - 1, -1, -1):
@@ -86,23 +104,42 @@ class Packer:
             yield group, got, n
         self.done = []
 
+    def in_order(self) -> Iterator[tuple[int, list[Piece], int]]:
+        """As ``steps``, by first document; groups reach over calls, and their numbers go on."""
+        for got in sorted(self.done, key=lambda x: min(p[1] for p in x)):
+            n = sum(p[0] for p in got)
+            at = next((g for g in self.open if g[1] >= n), None)
+            if at is None:
+                at = [self.groups, max(n, self.step_tokens)]
+                self.groups += 1
+                self.open.append(at)
+            at[1] -= n
+            if not at[1]:
+                self.open.remove(at)
+            yield at[0], got, n
+        self.done = []
+
 
-def _pack(path: str, end_id: int, contexts: tuple[int, ...], step_tokens: int, buffer_tokens: int) -> Callable:
+def _pack(path: str, end_id: int, contexts: tuple[int, ...], step_tokens: int, buffer_tokens: int, by_slot: bool) -> Callable:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer = encoder(path), Packer(contexts, step_tokens)
         docs: dict[int, tuple] = {}
         high = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        n_docs = n_seq = n_group = held = 0
+        n_docs = n_seq = n_group = held = first = 0
+        slot = None
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal n_seq, n_group, held
+            nonlocal n_seq, n_group, held, first
+            if by_slot:
+                packer.carried(first)
+                first = n_docs
             packer.drain(last)
             out: list[tuple] = []
             most = -1
-            for group, got, n in packer.steps():
-                offset, most = 0, group
+            for group, got, n in packer.in_order() if by_slot else packer.steps():
+                offset, most = 0, -1 if by_slot else group
                 for take, doc, start in got:
                     doc_id, ids = docs[doc]
                     out.append((doc_id, start, take, zlib.crc32(ids[4 * start : 4 * (start + take)]), len(ids) // 4, high + n_seq, offset, n, high + n_group + group))
@@ -116,7 +153,12 @@ def _pack(path: str, end_id: int, contexts: tuple[int, ...], step_tokens: int, b
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 20_000])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            slots = batch.column(2).to_pylist() if by_slot else [None] * len(batch)
+            for doc_id, raw, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), slots):
+                if now != slot:
+                    if n_docs:
+                        yield from flush(False)
+                    slot = now
                 ids = enc.ids(raw.decode()) + end
                 docs[n_docs] = (doc_id, ids)
                 packer.add(n_docs, len(ids) // 4)
@@ -129,7 +171,15 @@ def _pack(path: str, end_id: int, contexts: tuple[int, ...], step_tokens: int, b
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, contexts: tuple[int, ...] = (512, 1024, 2048, 4096), step_tokens: int = 65_536, buffer_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; see ``SCHEMA``. Sequence and group numbers hold the task's number in their upper bits."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(text_col))
-    return rows.mapInArrow(_pack(vocabulary, end_id, tuple(contexts), step_tokens, buffer_tokens), SCHEMA)
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, contexts: tuple[int, ...] = (512, 1024, 2048, 4096), step_tokens: int = 65_536, buffer_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", slot_col: str | None = None, place_col: str | None = None) -> DataFrame:
+    """One row per piece; see ``SCHEMA``. Sequence and group numbers hold the task's number in their upper bits.
+
+    ``slot_col`` and ``place_col`` give the order of the rows, if it is to be kept.
+    """
+    columns = [docs[id_col].cast("long").alias("doc_id"), text_bytes(text_col)]
+    if slot_col is None:
+        rows = docs.select(*columns)
+    else:
+        rows = docs.select(*columns, docs[slot_col].cast("long").alias("slot"), docs[place_col].alias("place"))
+        rows = rows.repartitionByRange("slot").sortWithinPartitions("slot", "place", "doc_id").drop("place")
+    return rows.mapInArrow(_pack(vocabulary, end_id, tuple(contexts), step_tokens, buffer_tokens, slot_col is not None), SCHEMA)

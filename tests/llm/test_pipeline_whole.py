@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline as p
-from panelatlas.llm import similar
+from panelatlas.llm import mixing, similar
 from panelatlas.llm.graph import Forest
 
 
@@ -57,3 +57,33 @@ def test_near_dedup_is_by_jaccard(spark, copies):
     for few in ({"shard_rows": 20}, {"shard_bytes": 4000}):
         assert {r.doc_id: r.component_id for r in similar.similar_components(docs, **few).collect()} == dict(enumerate(want))
     assert similar.similar_components(docs.limit(0)).count() == 0
+
+
+def test_packing_keeps_the_mixture(spark, tmp_path):
+    rnd = random.Random(3)
+    sources = [s for s, n in (("src0", 2100), ("src1", 1000), ("src2", 500), ("src3", 300)) for _ in range(n)]
+    rnd.shuffle(sources)
+    say = lambda: " ".join(rnd.choice(("word", "of", "the", "mixture")) for _ in range(min(9000, int(rnd.paretovariate(0.9) * 12))))
+    docs = spark.createDataFrame([(i, say(), s) for i, s in enumerate(sources)], "doc_id long, text string, source string")
+    slots = {r.doc_id: r.slot for r in mixing.mix(docs, p.SHARES, block_rows=p.BLOCK_ROWS).collect()}
+    p.mixing(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    rows = p.packing(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    rows.sort(key=lambda r: (r.sequence_id, r.offset))
+    shares = {"src0": 8, "src1": 4, "src2": 2, "src3": 1}
+    seen, far, late, groups = collections.Counter(), -1, 0, collections.Counter()
+    for a, r in enumerate(rows):
+        late = max(late, far - slots[r.doc_id])
+        far = max(far, slots[r.doc_id])
+        seen[sources[r.doc_id]] += r.start == 0
+        if far < 58 and (a + 1 == len(rows) or rows[a + 1].sequence_id != r.sequence_id):
+            assert all(abs(seen[s] - sum(seen.values()) * w / 15) < 2 * p.BLOCK_ROWS for s, w in shares.items())
+        groups[r.step_group] += r.length
+    assert late <= 1 and far > 40 and sum(seen.values()) == len(sources)
+    firsts, lasts = {}, {}
+    for r in rows:
+        firsts.setdefault(r.step_group, slots[r.doc_id])
+        lasts[r.step_group] = slots[r.doc_id]
+    assert sorted(firsts, key=lambda g: (firsts[g], g)) == sorted(firsts)
+    assert max(groups.values()) <= 65_536
+    tasks = collections.Counter(g >> 33 for g in groups)
+    assert sum(n < 65_536 for n in groups.values()) <= 5 * len(tasks)
