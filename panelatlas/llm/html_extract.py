@@ -14,6 +14,8 @@ Nodes below ``threshold`` that at least ``min_pages`` pages hold are noise, and
 Entropy cannot tell an article from noise that is new on every page, such as rotating adverts or page-wise menus. So what
 the markup says of itself is taken as given importance: elements that name a menu, header, footer, sidebar, notice,
 advert, form, script, style or comment list (tag, ARIA role, class or id) weigh 0, and ``article`` and ``main`` weigh 1.
+A class or id counts as a whole: has-sidebar or comments-open name a state and weigh nothing. By its name alone, no element
+is dropped that holds ``main``, or that holds an article while none is outside such elements.
 Where a page has an article, its text is the main text; else that of ``main``; else what is left of the body.
 
 Character references are decoded, white space inside a block is one space, blocks are trimmed and joined by a line feed.
@@ -46,33 +48,58 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(?=/?[a-zA-Z])[^>]*\Z""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_READ = frozenset("class id role hidden aria-hidden style".split())
 _NAME = re.compile(r"[a-z]+")
+# Names that say how a page is laid out or what state it is in, not what the element is: has-sidebar, comments-open.
+_STATE_FIRST = frozenset("has have no not without with is hide show".split())
+_STATE_LAST = frozenset("open opened closed enabled disabled on off active inactive visible collapsed expanded".split())
+NAMED = -2  # noise by its class or id alone
 
 
 class Node:
-    __slots__ = ("tag", "label", "given", "parent", "children", "key", "depth", "holds")
+    __slots__ = ("tag", "label", "given", "parent", "children", "key", "depth", "holds", "main")
 
     def __init__(self, tag: str, label: str, given: int, parent: "Node | None"):
         self.tag, self.label, self.given, self.parent = tag, label, given, parent
         self.children: list[Node | str] = []
-        self.key, self.depth, self.holds = 0, 0, tag in ("#", "html", "body")
+        self.key, self.depth, self.holds, self.main = 0, 0, tag in ("#", "html", "body"), False
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """The attributes in ``_READ`` of a tag, by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTR.findall(rest):
+        name = name.lower()
+        if name in _READ and name not in out:
+            out[name] = value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value
+    return out
+
+
+def _noise_name(names: str, header: bool) -> bool:
+    """Whether a class or id names an element that isn't the article; ``header``: whether header and masthead do."""
+    for name in names.lower().split():
+        words = _NAME.findall(name)
+        if len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST):
+            continue
+        if not DROPPED_NAMES.isdisjoint(words) or header and ("header" in words or "masthead" in words):
+            return True
+    return False
 
 
 def _given(tag: str, attrs: dict[str, str], inside: bool) -> int:
-    """-1: noise, 1: article, 2: main, 0: not said."""
+    """-1: noise, NAMED: noise by its name, 1: article, 2: main, 0: not said."""
     role = attrs.get("role", "").lower()
     if tag in DROPPED_TAGS or role in DROPPED_ROLES or (tag == "header" and not inside):
         return -1
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").lower().replace(" ", ""):
         return -1
-    if tag not in ("html", "body", "article", "main"):
-        for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
-            words = _NAME.findall(name)
-            if not DROPPED_NAMES.isdisjoint(words) or ("header" in words or "masthead" in words) and not inside:
-                return -1
-    elif tag == "article" and not DROPPED_NAMES.isdisjoint(_NAME.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower())):
-        return -1
+    names = attrs.get("class", "") + " " + attrs.get("id", "")
+    if tag == "article" or role == "article":
+        if _noise_name(names, False):
+            return -1
+    elif tag not in ("html", "body", "main") and role != "main" and _noise_name(names, not inside):
+        return NAMED
     if tag == "article" or role == "article":
         return 1
     return 2 if tag == "main" or role == "main" else 0
@@ -119,7 +146,7 @@ def parse(page: str) -> Node:
             if tag == "br" or tag == "hr":
                 node.children.append(" " if tag == "br" else Node("hr", "hr", 0, node))
             continue
-        attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(rest)} if rest else {}
+        attrs = attributes(rest) if rest else {}
         up, inside = node, False
         while up is not None and not inside:
             inside, up = up.given > 0, up.parent
@@ -129,6 +156,9 @@ def parse(page: str) -> Node:
         up = new if new.given > 0 else None
         while up is not None and not up.holds:
             up.holds, up = True, up.parent
+        up = new if new.given == 2 else None
+        while up is not None and not up.main:
+            up.main, up = True, up.parent
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -170,6 +200,17 @@ def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[tuple[str, i
                 out.append((text, *owner))
             run.clear()
 
+    outside: list[bool] = []
+
+    def dropped(x: Node, kind: int) -> bool:
+        if x.given == NAMED and kind != 1 and x.holds:
+            if x.main:
+                return False
+            if not outside:
+                outside.append(_has(root, 1))
+            return outside[0]
+        return x.given < 0 or (not kind and not x.holds and x.key in noise)
+
     todo: list[tuple] = [(root, 0, False)]
     while todo:
         x, kind, leave = todo.pop()
@@ -180,11 +221,11 @@ def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[tuple[str, i
             flush()
             owner = leave
             continue
-        if x.given < 0 or (not kind and not x.holds and x.key in noise):
+        if dropped(x, kind):
             if x.tag not in INLINE:
                 flush()
             continue
-        now = kind if kind == 1 or (kind == 2 and x.given != 1) else x.given
+        now = kind if kind == 1 or (kind == 2 and x.given != 1) else max(x.given, 0)
         if x.tag not in INLINE:
             flush()
             todo.append((x, kind, owner))
@@ -204,12 +245,13 @@ def main_text(root: Node, noise: frozenset[int] = frozenset()) -> str:
 
 
 def _has(root: Node, given: int) -> bool:
+    """Whether such a node is on the page, outside all that is noise."""
     todo = [root]
     while todo:
         x = todo.pop()
         if x.given == given:
             return True
-        todo.extend(c for c in x.children if isinstance(c, Node))
+        todo.extend(c for c in x.children if isinstance(c, Node) and c.given >= 0)
     return False
 
 

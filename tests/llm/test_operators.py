@@ -232,3 +232,23 @@ def test_pipeline_stages(spark, texts, tmp_path):
         low[(t or "").lower()].append(i)
     assert left[0] == set(range(len(texts))) and left[1] == {max(x) for x in low.values()} and left[2] <= left[1] and left[3] == left[2]
     assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == left[2]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>See <a href='/hidden/valley'>the valley</a> now</p></article>", "See the valley now"),
+        ("<article data-hidden='false'><p title='the hidden id'>kept</p><p hidden>gone</p><p class=x hidden=''>gone</p></article>", "kept"),
+        ("<article data-class='menu' data-role=banner><p alt=\"it's style=display:none\">kept</p></article>", "kept"),
+        ("<div class='page has-sidebar'><article>A</article></div><div class=sidebar>s</div>", "A"),
+        ("<div class='no-sidebar comments-open'><main>M</main></div>", "M"),
+        ("<body><div class='comments-open'>plain</div><div class='comments'>c</div></body>", "plain"),
+        ("<div class='sidebar-layout'><div id=social><article>A</article></div></div>", "A"),
+        ("<main><div class=promo><article>A</article></div></main>", "A"),
+        ("<div class=related><article>teaser</article></div><div class=page><article>A<div class=share>s</div></article></div>", "A"),
+        ("<aside><article>teaser</article></aside><div>body text</div>", "body text"),
+        ("<div role=article class=comment>c</div><article class='post comments-open'>A</article>", "A"),
+    ],
+)
+def test_html_markup_that_only_looks_like_noise(page, want):
+    assert html_extract.main_text(html_extract.parse(page)) == want
