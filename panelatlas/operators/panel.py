@@ -77,3 +77,11 @@ def concentration(std: DataFrame, tot: DataFrame) -> DataFrame:
     squares = std.groupBy("election_key", "municipality_id").agg(F.sum(F.col("votes") * F.col("votes")).alias("sq"))
     d = F.col("valid_votes")
     return squares.join(tot, ["election_key", "municipality_id"]).select("election_key", "municipality_id", (F.lit(100.0).cast("double") * F.col("sq") / (d * d)).alias("concentration"))
+
+
+def fill_from_context(rows: DataFrame, context: list[str], column: str) -> DataFrame:
+    """Blank values of a column become the only value that their context has; with none or several they are null."""
+    given = F.nullif(F.trim(column), F.lit(""))
+    one = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in context]).agg(F.min(given).alias("__lo"), F.max(given).alias("__hi")).filter("__lo = __hi")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in context]
+    return rows.join(one, same, "left").withColumn(column, F.coalesce(given, "__lo")).drop("__lo", "__hi", *[f"__{c}" for c in context])

@@ -331,6 +331,15 @@ def _(p):
     return g.select("party_std", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("region"))
 
 
+_RAW_PLACES = "SELECT election_key, region, municipality_id, party_raw, CASE WHEN votes % 3 <> 0 THEN province END AS province FROM res"
+
+
+@query("j17_fill_from_context", f", raw AS ({_RAW_PLACES}), one AS (SELECT election_key, region, party_raw, min(province) AS p FROM raw WHERE trim(province) <> '' GROUP BY ALL HAVING count(DISTINCT province) = 1) SELECT election_key, municipality_id, party_raw, coalesce(nullif(trim(raw.province), ''), one.p) AS province FROM raw LEFT JOIN one USING (election_key, region, party_raw)")
+def _(p):
+    raw = p.res.withColumn("province", F.when(F.col("votes") % 3 != 0, F.col("province")))  # the fixture has no blank provinces
+    return P.fill_from_context(raw, ["election_key", "region", "party_raw"], "province").select("election_key", "municipality_id", "party_raw", "province")
+
+
 @query("o02_page", f"SELECT municipality_id, round(turnout_pct, 6) AS turnout_pct, position FROM (SELECT municipality_id, turnout_pct, row_number() OVER (ORDER BY turnout_pct DESC NULLS LAST, municipality_id) AS position FROM summ WHERE election_key = '{LATEST}') WHERE position BETWEEN 26 AND 50")
 def _(p):
     one = P.totals(p.lines.filter(F.col("election_key") == LATEST)).select("municipality_id", P.pct(F.col("voters"), F.col("electors")).alias("turnout_pct"))
@@ -392,7 +401,7 @@ def _(p):
 
 @query("f09_token", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(source, 1, 40))), '[^a-z0-9]+', ' ', 'g')) AS token FROM documents", prelude=False)
 def _(p):
-    return p.spark.read.parquet(f"{p.sf_dir}/documents.parquet").select("doc_id", X.token(F.substring("source", 1, 40)).alias("token"))
+    return p.spark.read.parquet(f"{p.sf_dir}/documents.parquet").select("doc_id", X.token(F.col("source")).alias("token"))
 
 
 @query("f28_election_labels", "SELECT DISTINCT concat('camera_', CAST(election_year AS VARCHAR)) AS key, CASE WHEN election_year <= 1992 THEN 'proportional' ELSE 'mixed' END AS system FROM tot")

@@ -92,3 +92,16 @@ def test_entry_and_registry():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) >= 55
+
+
+def test_fill_from_context_and_whole_tokens(spark, tmp_path):
+    from panelatlas.operators.panel import fill_from_context
+    from panelatlas.plans.registry import QUERIES
+
+    rows = [("e1", "a", "X"), ("e1", "a", None), ("e1", "a", " "), ("e1", "b", "X"), ("e1", "b", "Y"), ("e1", "b", ""), ("e2", "a", None), ("e1", None, "Z"), ("e1", None, None)]
+    out = fill_from_context(spark.createDataFrame(rows, "e string, c string, p string"), ["e", "c"], "p").collect()
+    assert sorted((r.e, r.c or "", r.p or "") for r in out) == sorted([("e1", "a", "X")] * 3 + [("e1", "b", "X"), ("e1", "b", "Y"), ("e1", "b", ""), ("e2", "a", ""), ("e1", "", "Z"), ("e1", "", "Z")])
+    for name in ("lineitem", "orders", "customer", "nation", "region", "part"):  # the panel reads them, too
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    spark.createDataFrame([(1, "È" + "ab " * 30)], "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["f09_token"](spark, str(tmp_path)).first().token == "e" + ("ab " * 30).strip()
