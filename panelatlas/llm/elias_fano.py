@@ -3,6 +3,9 @@
 A value below ``universe`` is split into ``low`` bits, stored packed, and a high part, stored in unary: value i sets bit
 ``high(i) + i``. That takes about ``2 + log2(universe / n)`` bits a value. ``select`` samples hold the position of
 every 256th set bit, so one value is found by looking at a few bytes behind its sample.
+
+``get`` and ``find`` answer many questions at once in the packed form: a directory of set bits by 64-bit word, counted when
+first asked for, gives select on ones and zeros, and only the low parts between two zeros are compared.
 """
 
 from __future__ import annotations
@@ -12,8 +15,9 @@ import struct
 import numpy as np
 
 _HEAD = struct.Struct("<4sBxxxQQQ")
-_MAGIC = b"EFS1"
+_MAGIC = b"EFS2"
 _STEP = 256
+_MOST_LOW = 57  # so that a low part lies within eight bytes from its first
 
 
 def _pack_low(values: np.ndarray, low: int) -> bytes:
@@ -49,17 +53,30 @@ def encode(values: np.ndarray) -> bytes:
     if n and (v[1:] < v[:-1]).any():
         raise ValueError("Elias-Fano needs a non-decreasing sequence")
     universe = int(v[-1]) + 1 if n else 0
-    low = max(0, (universe // n).bit_length() - 1) if n else 0
+    low = min(_MOST_LOW, max(0, (universe // n).bit_length() - 1)) if n else 0
     high = (v >> np.uint64(low)).astype(np.int64)
     at = high + np.arange(n, dtype=np.int64)
     bits = int(at[-1]) + 1 if n else 0
-    upper = np.zeros((bits + 7) // 8, dtype=np.uint8)
+    upper = np.zeros((bits + 63) // 64 * 8, dtype=np.uint8)
     np.bitwise_or.at(upper, at >> 3, (1 << (at & 7)).astype(np.uint8))
     samples = at[::_STEP].astype("<u8")
     lower = _pack_low(v, low)
+    lower += bytes(-len(lower) % 8 + 8)  # eight bytes can be read from any low part on
     return _HEAD.pack(_MAGIC, low, n, len(upper), len(lower)) + upper.tobytes() + lower + samples.tobytes()
 
 
+def _nth_bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the set bit number ``k`` (from 0) in each 64-bit word."""
+    words, k, place = words.copy(), k.astype(np.int64), np.zeros(len(words), dtype=np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        n = np.bitwise_count(words & np.uint64((1 << width) - 1))
+        up = k >= n
+        k -= np.where(up, n, 0)
+        place += np.where(up, width, 0)
+        words >>= np.where(up, np.uint64(width), np.uint64(0))
+    return place
+
+
 class EliasFano:
     """A view over encoded bytes (``bytes``, ``memoryview`` or ``numpy.memmap``)."""
 
@@ -75,6 +92,7 @@ class EliasFano:
         n_samples = -(-self.n // _STEP)
         self.samples = raw[at : at + 8 * n_samples]
         self.end = at + 8 * n_samples
+        self._words = None
 
     def __len__(self) -> int:
         return self.n
@@ -103,6 +121,67 @@ class EliasFano:
             left -= len(bits)
             byte, skip = byte + 64, 0
 
+    def _directory(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The upper part's 64-bit words, and the ones and zeros before each."""
+        if self._words is None:
+            words = np.frombuffer(self.upper, dtype="<u8")
+            ones = np.zeros(len(words) + 1, dtype=np.int64)
+            np.cumsum(np.bitwise_count(words), out=ones[1:])
+            self._words = words, ones, 64 * np.arange(len(ones), dtype=np.int64) - ones
+        return self._words
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        """Low parts of values by number."""
+        if not self.low:
+            return np.zeros(len(i), dtype=np.uint64)
+        at = i * self.low
+        eight = np.ndarray((len(self.lower) - 7,), dtype="<u8", buffer=self.lower, strides=(1,))
+        return (eight[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Values by number, without decoding the sequence."""
+        words, ones, _ = self._directory()
+        i = np.asarray(i, dtype=np.int64)
+        at = np.searchsorted(ones, i, side="right") - 1
+        bit = 64 * at + _nth_bit(words[at], i - ones[at])
+        return ((bit - i).astype(np.uint64) << np.uint64(self.low)) | self._lows(i)
+
+    def _before(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a high part below ``high``."""
+        words, _, zeros = self._directory()
+        out = np.zeros(len(high), dtype=np.int64)
+        out[high > zeros[-1]] = self.n
+        ask = np.flatnonzero((high > 0) & (high <= zeros[-1]))
+        z = high[ask] - 1
+        at = np.searchsorted(zeros, z, side="right") - 1
+        out[ask] = 64 * at + _nth_bit(~words[at], z - zeros[at]) - z
+        return np.minimum(out, self.n)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of the first value not below each key, where it equals the key, else -1. Only the values that share the
+        key's high part are looked at, by halves; keys in ascending order touch memory in order."""
+        keys = np.asarray(keys, dtype=np.uint64)
+        out = np.full(len(keys), -1, dtype=np.int64)
+        if not self.n or not len(keys):
+            return out
+        high = (keys >> np.uint64(self.low)).astype(np.int64)
+        lo, hi = self._before(high), self._before(high + 1)
+        want = keys & np.uint64((1 << self.low) - 1)
+        ask = np.flatnonzero(lo < hi)
+        a, b, w = lo[ask], hi[ask], want[ask]
+        end = b.copy()
+        on = np.arange(len(ask))
+        while len(on):
+            mid = (a[on] + b[on]) >> 1
+            less = self._lows(mid) < w[on]
+            a[on[less]] = mid[less] + 1
+            b[on[~less]] = mid[~less]
+            on = on[a[on] < b[on]]
+        inside = np.flatnonzero(a < end)
+        hit = inside[self._lows(a[inside]) == w[inside]]
+        out[ask[hit]] = a[hit]
+        return out
+
     def decode(self) -> np.ndarray:
         """All values; besides the result it needs a few MB."""
         out = np.empty(self.n, dtype=np.uint64)

@@ -6,7 +6,6 @@ import mmap
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 from pyarrow import fs
@@ -25,14 +24,18 @@ def put(uri: str, chunks) -> int:
         for x in chunks:
             out.write(x)
             n += len(x)
-    store.move(own, path)
+    try:
+        store.move(own, path)
+    except OSError:
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(own)  # another run of the task was first
     return n
 
 
-@contextmanager
-def mapped(uri: str):
-    """The file's bytes as a numpy array over a memory map. A file of a remote store is copied to a temporary file first,
-    which is gone when the block ends."""
+def mapping(uri: str) -> np.ndarray:
+    """The file's bytes as a numpy array over a memory map, for as long as the array is held. A file of a remote store is
+    copied to a temporary file that no longer has a name when this returns."""
     store, path = _split(uri)
     with tempfile.TemporaryDirectory() as own:
         if not isinstance(store, fs.LocalFileSystem):
@@ -43,7 +46,5 @@ def mapped(uri: str):
             path = local
         with open(path, "rb") as f:
             if not os.fstat(f.fileno()).st_size:
-                yield np.zeros(0, dtype=np.uint8)
-                return
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-            yield np.frombuffer(m, dtype=np.uint8)
+                return np.zeros(0, dtype=np.uint8)
+            return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), dtype=np.uint8)

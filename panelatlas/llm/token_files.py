@@ -7,7 +7,7 @@ A shard holds a range of ascending document identifiers:
     Elias-Fano: the end of each document in ids
     Elias-Fano: identifiers less the lowest (null identifiers, which come first, are not in it)
 
-``select(i)`` on the first sequence gives a document's boundary without decoding the others. Documents are
+Select on the first sequence gives a document's boundaries without decoding the others; reading goes by it. Documents are
 range-partitioned by identifier, one shard a partition. Null and empty texts are the end id alone; null identifiers come
 first; repeated rows are written each, in the order of their texts. An empty table makes no ids and an empty result.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, text_bytes
 from .elias_fano import EliasFano, encode
-from .store import mapped, put
+from .store import mapping, put
 from .tokens import encoder
 
 _HEAD = struct.Struct("<4sIIQQQq")
@@ -56,11 +56,16 @@ class Shard:
         self.ends = EliasFano(raw, at)
         self.names = EliasFano(raw, self.ends.end)
 
-    def bounds(self, i: int) -> tuple[int, int]:
-        return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
+    def bounds(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of documents begin and end, by select on the packed boundaries."""
+        ends = self.ends.get(i).astype(np.int64)
+        return np.where(i > 0, self.ends.get(np.maximum(i - 1, 0)).astype(np.int64), 0), ends
 
-    def doc_id(self, i: int) -> int | None:
-        return None if i < self.n_null else self.names.select(i - self.n_null) + self.low
+    def doc_ids(self, i: np.ndarray) -> pa.Array:
+        null = i < self.n_null
+        found = np.zeros(len(i), dtype=np.int64)
+        found[~null] = self.names.get(i[~null] - self.n_null).astype(np.int64) + self.low
+        return pa.array(found, pa.int64(), mask=null)
 
 
 def _write(folder: str, path: str, end_id: int) -> Callable:
@@ -102,16 +107,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, folder:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-            with mapped(path) as raw:
-                shard = Shard(raw)
-                ends = shard.ends.decode().astype(np.int64)
-                first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                names = [None] * shard.n_null + (shard.names.decode().astype(np.int64) + shard.low).tolist()
-                for at in range(0, shard.n_docs, 10_000):
-                    a, b = first[at : at + 10_000], ends[at : at + 10_000]
-                    crc = [zlib.crc32(shard.ids[x:y].astype("<u4").tobytes()) for x, y in zip(a.tolist(), b.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 10_000], pa.int64()), pa.array(a + start), pa.array(b - a), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-                del shard
+            shard = Shard(mapping(path))
+            for at in range(0, shard.n_docs, 10_000):
+                rows = np.arange(at, min(at + 10_000, shard.n_docs))
+                a, b = shard.bounds(rows)
+                crc = [zlib.crc32(shard.ids[x:y].astype("<u4").tobytes()) for x, y in zip(a.tolist(), b.tolist())]
+                yield pa.RecordBatch.from_arrays([shard.doc_ids(rows), pa.array(a + start), pa.array(b - a), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
