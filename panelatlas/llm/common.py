@@ -19,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in local tests, a temporary folder is set once.
+    Where a local session names none, as in tests, a temporary folder is set once; on a cluster that is an error, as a
+    folder of one machine would not be seen by the others.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if root is None:
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="panelatlas-shared-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -49,6 +52,18 @@ def materialise(df: DataFrame, what: str, *, sort: list[str] | None = None, **op
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``docs`` has, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty.
 
@@ -61,3 +76,23 @@ def ascii_lower(text: Column) -> Column:
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)
+
+
+HEAVY_KEYS = 10_000
+
+
+def heavy_from(rows: int) -> int:
+    """A key that more rows than this have is heavy; of ``rows`` rows, at most HEAVY_KEYS keys can be."""
+    return max(200, rows // HEAVY_KEYS)
+
+
+def lookup(rows: DataFrame, index: DataFrame, on: list[str], limit: int, n: str = "n") -> DataFrame:
+    """Inner join with an index of one row per key whose column ``n`` tells how many rows have the key.
+
+    Keys of over ``limit`` rows, at most HEAVY_KEYS if ``limit`` is from ``heavy_from``, are joined by broadcast, so that
+    their rows aren't sent to one task. ``index`` should hold little besides the key.
+    """
+    heavy = F.broadcast(index.filter(F.col(n) > limit))
+    rest = rows.join(heavy.select(*on), on, "left_anti").join(index.filter(F.col(n) <= limit), on)
+    both = rows.join(heavy, on)
+    return both.unionByName(rest)

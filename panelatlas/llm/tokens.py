@@ -1,7 +1,9 @@
 """Token ids of whole texts from a ``tokenizers`` file, with a memory of pieces already encoded.
 
 The vocabulary splits at white space before anything else, so the ids of a text are the ids of its space-separated
-pieces one after the other. Each distinct piece is given to the library once per Python worker and then remembered.
+pieces one after the other. A piece is given to the library when it is new; pieces met again are remembered, those met
+once only for a while. Both memories are bounded in pieces, and pieces of over 64 characters are never remembered, so a
+worker holds some 80 MB of them, however many tasks it runs.
 Two cheap rewrites let more pieces meet, both only where they leave the ids as they are:
 
 * a Latin-1 text is lower-cased first (the library's own normaliser does the same to it);
@@ -20,18 +22,21 @@ import numpy as np
 
 _DOUBT = re.compile(r"[^a-zß-öø-ÿ0-9][.,](?:[ \n]|$)")
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_LONGEST = 64
 _KEPT: dict[str, "PieceEncoder"] = {}
 
 
 class PieceEncoder:
-    """``limit`` bounds the memory of pieces; when it is reached they are forgotten and encoded again as they come."""
+    """``limit`` bounds the pieces that were met again, ``young`` those met once; when one is reached, they are forgotten and
+    encoded again as they come."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 250_000, young: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.most_young = Tokenizer.from_file(path), limit, young
         self.pieces: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
         said = json.loads(self.tokenizer.to_str())
         steps = (said.get("normalizer") or {}).get("normalizers", [])
         self.by_space = any(x.get("pattern") == {"Regex": "\\s+"} for x in steps) and said["model"].get("end_of_word_suffix") == "</w>"
@@ -42,10 +47,9 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        """Encode pieces that aren't known yet; those of Latin letters alone share one call, cut at the ids that end a word."""
-        if len(self.pieces) + len(new) > self.limit:
-            self.pieces = {"": b""}
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """Encode pieces that aren't known; those of Latin letters alone share one call, cut at the ids that end a word."""
+        out: dict[str, bytes] = {}
         plain = [x for x in new if _LETTERS.fullmatch(x)]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -53,11 +57,16 @@ class PieceEncoder:
             if len(ends) == len(plain):
                 raw, at = ids.tobytes(), 0
                 for piece, end in zip(plain, (4 * ends).tolist()):
-                    self.pieces[piece] = raw[at:end]
+                    out[piece] = raw[at:end]
                     at = end
         for piece in new:
-            if piece not in self.pieces:
-                self.pieces[piece] = self.whole(piece)
+            if piece not in out:
+                out[piece] = self.whole(piece)
+        if len(self.young) + len(out) > self.most_young:
+            self.young = {}
+        if len(out) <= self.most_young:
+            self.young.update((k, v) for k, v in out.items() if len(k) <= _LONGEST)
+        return out
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text, without special tokens."""
@@ -77,9 +86,15 @@ class PieceEncoder:
         found = list(map(self.pieces.get, pieces))
         if None in found:
             gaps = [i for i, x in enumerate(found) if x is None]
-            self.learn({pieces[i] for i in gaps})
+            young = self.young
+            again = {x: ids for i in gaps if (ids := young.get(x := pieces[i])) is not None}
+            new = self.learn({x for i in gaps if (x := pieces[i]) not in again})
             for i in gaps:
-                found[i] = self.pieces[pieces[i]]
+                found[i] = new[x] if (x := pieces[i]) in new else again[x]
+            if again:
+                if len(self.pieces) + len(again) > self.limit:
+                    self.pieces = {"": b""}
+                self.pieces.update(again)
         return b"".join(found)
 
 

@@ -172,7 +172,7 @@ class Model:
         toks = [tokens(t) for t in texts]
         known = self.known
         new = set().union(*toks)
-        if len(known) + len(new) > 1_000_000:  # a bound on memory only
+        if len(known) + len(new) > 150_000:  # a bound on memory only
             known.clear()
         new = list(new - known.keys())
         known.update(zip(new, self.words([letters(t) for t in new]).tolist()))

@@ -253,6 +253,12 @@ def test_pipeline_stages(spark, texts, tmp_path):
         low[(t or "").lower()].append(i)
     assert left[0] == set(range(len(texts))) and left[1] == {max(x) for x in low.values()} and left[2] <= left[1] and left[3] == left[2]
     assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == left[2]
+    odd = spark.createDataFrame([(None, "a b", "en", "s1", 3, 1), (7, "c d", "en", None, 3, 1), (7, "c d", "en", None, 3, 1), (8, None, None, "s2", None, 1), (9, "", "en", "s2", 0, 1)], "doc_id long, text string, lang string, source string, n_chars long, mix_at int")
+    odd = odd.withColumnsRenamed({"n_chars": "own_sha"})
+    for name, stage in p.STAGES:
+        some, none = stage(spark, odd, str(tmp_path)).collect(), stage(spark, odd.limit(0), str(tmp_path)).collect()
+        assert none == [] and {r.doc_id for r in some} == ({None, 7, 9} if name == "exact dedup" else {None, 7, 8} if name == "SimHash near-dedup" else {None, 7, 8, 9})
+        assert name != "exact dedup" or len(some) == 3
 
 
 @pytest.mark.parametrize(
@@ -273,3 +279,24 @@ def test_pipeline_stages(spark, texts, tmp_path):
 )
 def test_html_markup_that_only_looks_like_noise(page, want):
     assert html_extract.main_text(html_extract.parse(page)) == want
+
+
+def test_heavy_keys(spark, monkeypatch):
+    from panelatlas.llm import common
+
+    for module in (exact_dedup, substring_dedup):
+        monkeypatch.setattr(module, "heavy_from", lambda rows: 2)
+    say = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(60)) for i in range(4)]
+    texts = [say[0]] * 30 + [say[1]] * 3 + [say[2], say[0] + " x", "y " + say[3], None, ""]
+    got = {r.doc_id: r for r in exact_dedup.exact_classes(_docs(spark, texts)).collect()}
+    assert all((got[i].keep_id, got[i].group_size) == (min(k for k, u in enumerate(texts) if (u or "") == (t or "")), sum((u or "") == (t or "") for u in texts)) for i, t in enumerate(texts))
+    odd = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", None, "y")], "digest string, doc_id long, norm string")
+    seen = spark.createDataFrame([(1, 9, 5, "a"), (1, 9, 5, "a"), (1, 9, 5, "a"), (None, 9, 5, "a"), (9, 9, 5, "a"), (2, 2, 1, "b")], "doc_id long, keep_id long, group_size long, digest string")
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in exact_dedup._apart(seen, odd, "min").collect()) == [(0, 0, 1), (1, 1, 2), (1, 1, 2), (1, 9, 2), (2, 2, 1), (9, 9, 2)]
+    cut = {r.doc_id: r for r in substring_dedup.remove_repeats(_docs(spark, texts)).collect()}
+    where = collections.Counter(tuple((t or "").split()[i : i + 35]) for t in texts for i in range(len((t or "").split()) - 34))
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        gone = {k for a in range(len(w) - 34) if where[tuple(w[a : a + 35])] > 1 for k in range(a, a + 35)}
+        assert (cut[i].n_words, cut[i].n_removed) == (len(w), len(gone))
+    assert common.heavy_from(10**9) == 10**5
