@@ -6,16 +6,19 @@ XXH64 with seed 42 votes on each bit; a bit is one if set in over half the hashe
 
 Links: two fingerprints within ``radius`` bits agree on some ``match`` of ``radius + match`` blocks that the 64 bits are
 cut into. So a shard is one choice of blocks with their bits, and every link lies within some shard. ``match`` grows with
-the number of distinct fingerprints and keeps shards small. Within a shard, fingerprints go into BK-trees, whose children
-are keyed by their distance to the parent, and a search follows only the edges within the radius. There is one tree for
-each component found so far, and a tree is left at its first hit: a shard's components come out whole, while a dense
-group of G near copies gives G - 1 links, not all its pairs.
+the number of distinct fingerprints and keeps shards small. A shard's fingerprints go into one BK-tree, whose children are
+keyed by their distance to the parent, and a search follows only the edges within the radius. What it finds goes into a
+forest, and the shard hands on each fingerprint's link with the smallest of its component: a dense group of G near copies
+gives G - 1 links, not all its pairs, and the same ones from each shard that holds it.
 
 A shard that holds more than ``shard_rows`` is dealt into chunks, and each pair of chunks becomes a task of its own.
-The trees are built where the shard's rows are sent; fingerprints are never collected to the driver.
+A tree is built in the task that its shard's rows are sent to, not broadcast: all shards' trees together hold every
+fingerprint several times, so their size grows with the table and no bound for a broadcast could be stated. Fingerprints are
+never collected to the driver. Shards of up to 48 are asked first if they hold any link at all.
 
 Null texts count as empty. Documents with equal fingerprints are linked. Rows with a null identifier get a fingerprint but
-belong to component null. Repeated rows are copies. An empty table gives an empty result.
+belong to component null. Repeated rows are copies; rows that share an identifier but not their text keep their own
+components. Texts are read whole, however long. Other columns aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_bytes
+from .common import heavy_from, lookup, materialise, text_bytes
 from .graph import Forest, components
 
 SEED = 42
@@ -72,62 +75,56 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
 
 class Tree:
-    """A BK-tree of fingerprints under the Hamming distance."""
+    """A BK-tree of fingerprints under the Hamming distance, with a forest of those within ``radius`` of each other.
 
-    __slots__ = ("root",)
+    A node is [fingerprint, children by distance, mark]. The mark is a fingerprint of the one component that the whole
+    subtree belongs to, or None; a search leaves out subtrees of the component it has reached, so a dense group isn't
+    walked through again for each of its members.
+    """
 
-    def __init__(self, fp: int):
-        self.root = (fp, {})
+    __slots__ = ("root", "radius", "forest")
 
-    def add(self, fp: int) -> None:
-        node = self.root
-        while True:
-            d = (node[0] ^ fp).bit_count()
-            below = node[1].get(d)
-            if below is None:
-                node[1][d] = (fp, {})
-                return
-            node = below
+    def __init__(self, radius: int):
+        self.root, self.radius, self.forest = None, radius, Forest()
 
-    def near(self, fp: int, radius: int) -> int | None:
-        """Some fingerprint within the radius."""
-        todo = [self.root]
+    def add(self, fp: int) -> None:
+        """Link a new fingerprint with all that are near, and put it in its place."""
+        find, radius = self.forest.find, self.radius
+        if self.root is None:
+            self.root = [fp, {}, fp]
+            return
+        own, todo = fp, [self.root]
         while todo:
-            at, children = todo.pop()
+            at, children, mark = todo.pop()
+            if mark is not None and find(mark) == own:
+                continue
             d = (at ^ fp).bit_count()
-            if d <= radius:
-                return at
+            if d <= radius and self.forest.join(at, fp):
+                own = find(fp)
             if children:
                 if len(children) < 6:
                     todo.extend([x for k, x in children.items() if d - radius <= k <= d + radius])
                 else:
                     todo.extend([children[k] for k in range(d - radius, d + radius + 1) if k in children])
-        return None
-
+        node = self.root
+        while True:
+            if node[2] is not None and find(node[2]) != own:
+                node[2] = None
+            d = (node[0] ^ fp).bit_count()
+            below = node[1].get(d)
+            if below is None:
+                node[1][d] = [fp, {}, fp]
+                return
+            node = below
 
-def shard_links(fps: list[int], reps: list[int], radius: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (by representative) that span the components within ``radius`` of a shard's distinct fingerprints.
 
-    ``sides`` (0 or 1) is not needed for the result: fingerprints of either side are treated alike.
-    """
-    rep, forest, out = dict(zip(fps, reps)), Forest(), []
-    trees: dict[int, list[Tree]] = {}  # component's root -> its trees
+def shard_links(fps: list[int], reps: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links (by representative) that span the components within ``radius`` of a shard's distinct fingerprints: each with
+    its component's smallest."""
+    tree, rep = Tree(radius), dict(zip(fps, reps))
     for fp in fps:
-        own = None
-        for root in list(trees):
-            for tree in trees[root]:
-                hit = tree.near(fp, radius)
-                if hit is not None:
-                    out.append((rep[fp], rep[hit]))
-                    if own is None:
-                        tree.add(fp)
-                        own = root
-                    else:
-                        trees[own] += trees.pop(root)
-                    break
-        if own is None:
-            trees[fp] = [Tree(fp)]
-    return out
+        tree.add(fp)
+    return [(rep[root], r) for fp, r in rep.items() if (root := tree.forest.find(fp)) != fp]
 
 
 def plan(distinct: int, radius: int, per_shard: int = 64, least_match: int = 1) -> tuple[list[int], int]:
@@ -166,9 +163,9 @@ def _linked(radius: int) -> Callable:
         def links(last: bool) -> Iterator[pa.RecordBatch]:
             found = []
             for fps, reps in shards(last):
-                if len(fps) <= 48 and not _any_near(fps, radius):
-                    continue
-                found += shard_links(fps.view(np.uint64).tolist(), reps.tolist(), radius)
+                fps = np.ascontiguousarray(fps).view(np.uint64)
+                if len(fps) > 48 or _any_near(fps, radius):
+                    found += shard_links(fps.tolist(), reps.tolist(), radius)
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -183,12 +180,11 @@ def _linked(radius: int) -> Callable:
 
 def _any_near(fps: np.ndarray, radius: int) -> bool:
     """Whether a small shard holds any link, before trees are built for it."""
-    v = fps.view(np.uint64) if fps.flags.c_contiguous else np.ascontiguousarray(fps).view(np.uint64)
-    d = np.bitwise_count(v[:, None] ^ v[None, :])
-    return int((d <= radius).sum()) > len(v)
+    d = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    return int((d <= radius).sum()) > len(fps)
 
 
-def near_links(distinct: DataFrame, radius: int, shard_rows: int = 50_000, least_match: int = 1) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, shard_rows: int = 8192, least_match: int = 1) -> DataFrame:
     """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep)."""
     edges, match = plan(distinct.count(), radius, least_match=least_match)
     rows = distinct.select("fp", "rep", _shard_keys(edges, match).alias("s")).select("s.t", "s.k", "fp", "rep")
@@ -213,8 +209,10 @@ def near_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     document of a larger table.
     """
     own = fingerprints(docs, words, id_col, text_col)
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = components(near_links(distinct.filter("rep is not null"), radius, least_match=least_match))
-    classes = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    found = materialise(components(near_links(distinct.filter("rep is not null").select("fp", F.col("fp").alias("rep")), radius, least_match=least_match)), "simhash-components")
+    named = found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("rep").alias("least"))
+    found = found.join(named, "component").select(F.col("node").alias("fp"), "least")
+    classes = distinct.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    out = lookup(own, classes, ["fp"], heavy_from(own.count())).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out

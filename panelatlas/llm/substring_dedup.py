@@ -8,10 +8,10 @@ window (a quarter of it, rounded up) whose hash is its minimum; two equal window
 3. where one of the two is repeated, the windows of full length around the anchor are counted, and those found more than
    once, in the same text or another, are the repeated windows. What is found once at a level goes no further.
 
-Each word that a repeated window covers is removed. Counts are partial first; keys that many rows share are joined by
-broadcast (at most 10,000 keys can be such), so a passage that a third of all texts share is never sent to one task. A
-window's final key has 96 bits of two hashes, so that among 10^13 windows a false match is expected once in some 1000 runs;
-keys of the levels before only choose candidates. Texts are told apart by a hash of 64 bits for what is removed from them.
+Each word that a repeated window covers is removed. Counts are partial first; those of whole windows are written out before
+they are joined, so that Spark's adaptive execution can split the rows of a passage that a third of all texts share (a join
+with an aggregate of the same stage can't be split). Windows and texts are told apart by hashes of 64 bits: n distinct ones
+make a false match with a chance of about n * n / 2^65, one in 2000 for 10^8; beyond some 10^9 false matches come up.
 
 Null and empty texts have no words. Repeated rows are repeated texts: from ``window`` words on they are removed whole,
 in each. Texts of fewer words keep them all. An empty table gives an empty result.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_from, lookup, materialise, text_bytes
+from .common import heavy_from, materialise, text_bytes
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -58,17 +58,6 @@ class Windows:
         self.n = len(words)
         self.levels = {1: _mix(np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=self.n))}
 
-    def other(self, length: int) -> np.ndarray:
-        """A second hash of each window, of 32 bits."""
-        if self.n < length:
-            return np.zeros(0, dtype=np.int32)
-        x, have = _mix(self.levels[1] ^ _C), 1
-        while have < length:
-            step = min(have, length - have)
-            x = _mix(x[: len(x) - step] * _B + x[step:] + np.uint64(step))
-            have += step
-        return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
     def of(self, length: int) -> np.ndarray:
         """Hash of each window of ``length`` words, by its start; none if the text is shorter."""
         if self.n < length:
@@ -160,7 +149,7 @@ def _full(window: int) -> Callable:
                 marked[places] = h[places]
                 # Some left anchor in the window has the window's minimum.
                 start = np.flatnonzero((_slide(h, width, np.minimum) == _slide(marked, width, np.minimum)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), s)), pa.array(start.astype(np.int32)), _signed(w.of(window)[start]), pa.array(w.other(window)[start])], names=["s", "start", "h", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), s)), pa.array(start.astype(np.int32)), _signed(w.of(window)[start])], names=["s", "start", "h"])
 
     return _grouped(run)
 
@@ -186,22 +175,13 @@ def _cut(window: int) -> Callable:
 
 
 def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*by)
 
 
-def _extended(again: DataFrame, limit: int) -> DataFrame:
-    """Anchors whose window of twice the length, to the right or to the left, is repeated. Frequent ones are told by
-    broadcast; only the others are sent by their hash."""
-    sides = {k: materialise(_repeated(again.filter(f"{k} >= 0"), ["h", k]), f"windows-{k}") for k in ("right", "left")}
-    rows = again
-    for k, index in sides.items():
-        heavy = F.broadcast(index.filter(F.col("n") > limit).select("h", k, F.lit(True).alias(f"often_{k}")))
-        rows = rows.join(heavy, ["h", k], "left")
-    often = F.coalesce("often_right", F.lit(False)) | F.coalesce("often_left", F.lit(False))
-    rest = rows.filter(~often)
-    for k, index in sides.items():
-        rest = rest.join(index.filter(F.col("n") <= limit).select("h", k, F.lit(True).alias(f"found_{k}")), ["h", k], "left")
-    return rows.filter(often).select("s", "at").unionByName(rest.filter("found_right or found_left").select("s", "at"))
+def _extended(again: DataFrame) -> DataFrame:
+    """Anchors whose window of twice the length, to the right or to the left, is repeated."""
+    right, left = (_repeated(again.filter(f"{k} >= 0"), ["h", k]).withColumn(f"found_{k}", F.lit(True)) for k in ("right", "left"))
+    return again.join(right, ["h", "right"], "left").join(left, ["h", "left"], "left").filter("found_right or found_left").select("s", "at")
 
 
 def _dealt(rows: DataFrame, of: Column, heavy: DataFrame) -> DataFrame:
@@ -219,9 +199,8 @@ def remove_repeats(documents: DataFrame, window: int = 35, id_col: str = "doc_id
     kind = dict(rows.dtypes)["doc_id"]
     rows = rows.withColumn("s", F.xxhash64("text"))
     first = materialise(rows.select("s", "text").mapInArrow(_first(window), "s long, at int, h long, right long, left long"), "windows-1", compression="zstd")
-    limit = heavy_from(first.count())
-    again = materialise(lookup(first, _repeated(first, ["h"]), ["h"], limit).drop("n"), "windows-2", compression="zstd")
-    places = _extended(again, limit).groupBy("s").agg(F.collect_set("at").alias("places"))  # at most a text's own words
+    again = materialise(first.join(_repeated(first, ["h"]), "h"), "windows-2", compression="zstd")
+    places = _extended(again).groupBy("s").agg(F.collect_set("at").alias("places"))  # at most a text's own words
 
     # Rows of a text that many have are dealt into parts, each with a copy of what is known of the text.
     texts = materialise(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "windows-texts")
@@ -229,7 +208,7 @@ def remove_repeats(documents: DataFrame, window: int = 35, id_col: str = "doc_id
     heavy = texts.filter(F.col("n") > per).select("s", F.ceil(F.col("n") / per).cast("int").alias("parts"))
     dealt = _dealt(rows, F.col("doc_id"), heavy)
     third = dealt.join(_to_all_parts(places, heavy), ["s", "part"]).select("s", "text", "places")
-    third = materialise(third.mapInArrow(_full(window), "s long, start int, h long, h2 int"), "windows-3", compression="zstd")
-    starts = lookup(third, _repeated(third, ["h", "h2"]), ["h", "h2"], heavy_from(third.count())).groupBy("s").agg(F.collect_set("start").alias("starts"))
+    third = materialise(third.mapInArrow(_full(window), "s long, start int, h long"), "windows-3", compression="zstd")
+    starts = third.join(materialise(_repeated(third, ["h"]), "windows-4"), "h").groupBy("s").agg(F.collect_set("start").alias("starts"))
     joined = dealt.join(_to_all_parts(starts, heavy), ["s", "part"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_cut(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
