@@ -59,11 +59,12 @@ def share_denominator(valid: Column, party_sum: Column, voters: Column, raw_shar
 
 
 def repair_magnitude(votes: Column, raw_share: Column, denominator: Column) -> Column:
-    """Of votes times 1, 10, 100, 1000 the one closest to the raw share, if closer than votes by more than 0.02."""
+    """Of votes times 1, 10, 100, 1000 the one closest to the raw share, if closer than votes by more than 0.02; a raw share
+    outside 0 to 100.01 says nothing."""
     aim = raw_share * denominator / 100
-    off = lambda k: F.abs(votes * k - aim) / aim
+    off = lambda k: F.try_divide(F.abs(votes * k - aim), aim)
     best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(i).alias("i"), (votes * k).cast("long").alias("v")) for i, k in enumerate((1, 10, 100, 1000))]))
-    return F.when((aim > 0) & (votes > 0) & (best["off"] < off(1) - 0.02), best["v"]).otherwise(votes)
+    return F.when((aim > 0) & raw_share.between(0, 100.01) & (best["off"] < off(1) - 0.02), best["v"]).otherwise(votes)
 
 
 def clamp100(x: Column) -> Column:

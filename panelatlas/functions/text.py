@@ -41,7 +41,7 @@ def base_name(text: Column) -> Column:
 
 def notes(text: Column) -> Column:
     """Distinct tokens of a pipe-separated note, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def join_notes(*texts: Column) -> Column:
@@ -69,3 +69,10 @@ def election_key(kind: Column, year: Column) -> Column:
 
 def electoral_system(year: Column) -> Column:
     return F.when(year <= 1992, "proportional").otherwise("mixed")
+
+
+def last_label(labels: Column, stop: list[str]) -> Column:
+    """P10: of labels that aren't stop words or blank: none if the last is a number, the last if it isn't the first, else the first."""
+    kept = F.filter(labels, lambda x: ~F.lower(x).isin(*stop, ""))
+    first, last = F.get(kept, F.lit(0)), F.try_element_at(kept, F.lit(-1))
+    return F.when(last.rlike("^[0-9]+$"), F.lit(None)).when((F.size(kept) >= 2) & (last != first), last).otherwise(first)

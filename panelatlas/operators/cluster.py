@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = ["share", "volatility", "stability", "turnout", "changes", "over"]
@@ -46,3 +46,18 @@ def similarity(rows: DataFrame, target: str, top: int = 6) -> DataFrame:
     g = both.groupBy("municipality_id").agg(F.sum(sq).alias("sq"), F.sum(known("share") + known("turnout_pct")).alias("n"))
     d = F.sqrt(F.col("sq") / F.col("n"))
     return g.filter("n > 0").select("municipality_id", "n", F.round(d, 6).alias("distance"), F.round(F.greatest(F.lit(0.0), 100 - 28 * d), 6).alias("score")).orderBy(F.desc("score"), "municipality_id").limit(top)
+
+
+def cluster_label() -> Column:
+    """What a cluster's centroid says, over the columns of FEATURES."""
+    share, stable = F.col("share"), F.col("stability") >= 60
+    return F.concat_ws(
+        " · ", F.when(share >= 20, "quota alta").when(share >= 10, "quota media").otherwise("quota bassa"), F.when(F.col("volatility") >= 8, "volatile").otherwise("più stabile"),
+        F.when(stable, "dominanza stabile").when(F.col("changes") >= 3, "leader mobili").otherwise("equilibrato"), F.when(F.col("turnout") >= 75, "alta affluenza").otherwise("affluenza intermedia"),
+    )
+
+
+def fallback_label(block: Column, tier: Column, volatility: Column, changes: Column) -> Column:
+    """A place's label where there are too few for clusters."""
+    moved = F.when(volatility.isNull(), "volatilità n/d").when(volatility >= 10, "alta volatilità").when(volatility >= 5, "volatilità media").otherwise("bassa volatilità")
+    return F.concat_ws(" · ", block, tier, moved, F.when(changes >= 4, "molti cambi").when(changes >= 2, "alcuni cambi").otherwise("stabile"))

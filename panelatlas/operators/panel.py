@@ -85,3 +85,44 @@ def fill_from_context(rows: DataFrame, context: list[str], column: str) -> DataF
     one = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in context]).agg(F.min(given).alias("__lo"), F.max(given).alias("__hi")).filter("__lo = __hi")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in context]
     return rows.join(one, same, "left").withColumn(column, F.coalesce(given, "__lo")).drop("__lo", "__hi", *[f"__{c}" for c in context])
+
+
+def context_metrics(own: DataFrame, hhi: DataFrame, std: DataFrame, tot: DataFrame, party: str, custom: DataFrame, election: str) -> DataFrame:
+    """Concentration, own share less the province's and the nation's, and the first custom value of the election
+    (one without an election stands for all) of each place of one election."""
+    votes = F.sum(F.when(F.col("party_std") == party, F.col("votes")))
+    shares = std.groupBy("province").agg(votes.alias("v")).join(tot.groupBy("province").agg(F.sum("valid_votes").alias("d")), "province")
+    nation = shares.agg(pct(F.sum("v"), F.sum("d")).alias("ns"))  # one row
+    shares = shares.select("province", pct(F.col("v"), F.col("d")).alias("ps"))
+    fit = custom.filter((F.coalesce(F.trim("election_key"), F.lit("")) == "") | (F.col("election_key") == election))
+    value = fit.groupBy("municipality_id").agg(F.max_by("value", F.struct(F.length("election_key"), -F.col("value"))).alias("custom_indicator"))
+    out = own.join(hhi, "municipality_id", "left").join(F.broadcast(shares), "province", "left").crossJoin(F.broadcast(nation)).join(value, "municipality_id", "left")
+    return out.select("municipality_id", "concentration", (F.col("share") - F.col("ps")).alias("over_performance_province"), (F.col("share") - F.col("ns")).alias("over_performance_region"), "custom_indicator")
+
+
+def on_current_territory(rows: DataFrame, master: DataFrame) -> DataFrame:
+    """Province and geometry of the first master row of the row's geometry, else of its municipality; what was observed
+    stays beside."""
+    first = lambda c: F.min_by(c, F.col("municipality_id").cast("long"))
+    shapes = master.groupBy(F.col("geometry_id").alias("g")).agg(first("province").alias("g_province"))
+    places = master.groupBy(F.col("municipality_id").alias("m")).agg(first("province").alias("m_province"), first("geometry_id").alias("m_geometry"))
+    out = rows.join(shapes, F.col("geometry_id") == F.col("g"), "left").join(places, F.col("municipality_id") == F.col("m"), "left")
+    return out.select("election_key", "municipality_id", F.col("province").alias("province_observed"), F.coalesce("g_province", "m_province").alias("province"), F.coalesce("g", "m_geometry").alias("geometry_id"))
+
+
+def transitions(summ: DataFrame, before: str, after: str) -> DataFrame:
+    """Places of both elections with leader and block (none: a dash) in each."""
+    at = lambda k, s: summ.filter(F.col("election_key") == k).select("municipality_id", F.col("first_party_std").alias(f"leader_{s}"), F.coalesce("dominant_block", F.lit("—")).alias(s))
+    return at(before, "before").join(at(after, "after"), "municipality_id")
+
+
+def sort_values(cells: DataFrame, summ: DataFrame, std: DataFrame, tot: DataFrame, metrics: DataFrame, party: str, election: str, compare: str) -> DataFrame:
+    """Per place of one election all that its table can be sorted by."""
+    now = cells.filter(F.col("election_key") == election).select("municipality_id", "province", "share", "turnout_pct")
+    was = cells.filter(F.col("election_key") == compare).select("municipality_id", F.col("share").alias("s0"))
+    margin = summ.filter(F.col("election_key") == election).select("municipality_id", "first_second_margin")
+    votes = std.filter((F.col("election_key") == election) & (F.col("party_std") == party)).groupBy("province").agg(F.sum("votes").alias("v"))
+    level = tot.filter(F.col("election_key") == election).groupBy("province").agg(F.sum("valid_votes").alias("d")).join(votes, "province", "left")
+    nation = level.agg(pct(F.sum("v"), F.sum("d")).alias("ns"))  # one row
+    out = now.join(was, "municipality_id", "left").join(margin, "municipality_id").join(metrics, "municipality_id").join(F.broadcast(level), "province", "left").crossJoin(F.broadcast(nation))
+    return out.select("*", (F.col("share") - F.col("s0")).alias("swing"), (F.col("share") - pct(F.col("v"), F.col("d"))).alias("over_p"), (F.col("share") - F.col("ns")).alias("over_n"))

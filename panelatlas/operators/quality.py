@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_meaningful_note, is_complete
+from ..functions.text import has_meaningful_note, notes, squeeze
 
 
 def validations(summ: DataFrame, res: DataFrame) -> DataFrame:
@@ -40,30 +40,47 @@ def band(score: Column) -> Column:
     return F.when(score >= 80, "strong").when(score >= 55, "caution").otherwise("fragile")
 
 
-def row_trust(rows: DataFrame, compare_missing: Column | None = None) -> DataFrame:
-    """Add trust_score, trust_status and trust_reasons. Reads completeness_flag, comparability_note, territorial_mode,
-    territorial_status, lineage_note and has_geometry."""
-    flag = F.coalesce(F.lower(F.trim("completeness_flag")), F.lit(""))
+# Word stems that name a change of territory.
+CHANGED = ["supp", "fuso", "merge", "rename", "stor", "harmon", "scorpor", "derived"]
+
+
+def _flag() -> Column:
+    return squeeze(F.coalesce("completeness_flag", F.lit("")))
+
+
+def row_trust(rows: DataFrame, geometry_loaded: bool = True, compare_missing: bool = False) -> DataFrame:
+    """Add trust_score, trust_status and trust_reasons. Reads completeness_flag, comparability_note, territorial_mode,
+    territorial_status, lineage_note and has_geometry. Of partial, undeclared and turnout-only the first alone counts."""
+    flag, no = _flag(), F.lit(False)
+    partial, undeclared = flag.contains("partial"), (flag == "") | (flag == "unknown")
     rules = [
-        (~F.col("has_geometry"), 22, "no_geometry"), (flag.contains("partial"), 28, "partial"), ((flag == "") & ~flag.contains("partial"), 12, "undeclared"), (flag.contains("turnout_only"), 12, "turnout_only"),
-        (flag.contains("no_party_rows"), 8, "no_party_rows"), (has_meaningful_note(F.col("comparability_note")), 12, "note"), (F.coalesce(F.lower("territorial_status"), F.lit("")).contains("transformed"), 10, "transformed"),
-        (F.coalesce(F.trim("lineage_note"), F.lit("")) != "", 6, "lineage"), (F.coalesce(compare_missing, F.lit(False)) if compare_missing is not None else F.lit(False), 18, "no_compare"), (F.coalesce(F.col("territorial_mode"), F.lit("")) == "harmonized", 4, "harmonized"),
+        (~F.coalesce("has_geometry", no) if geometry_loaded else no, 22, "no_geometry"), (partial, 28, "partial"), (~partial & undeclared, 12, "undeclared"), (~partial & ~undeclared & flag.contains("turnout_only"), 12, "turnout_only"),
+        (F.array_contains(notes(F.col("comparability_note")), "no_party_rows_detected"), 8, "no_party_rows"), (has_meaningful_note(F.col("comparability_note")), 12, "note"), (squeeze(F.coalesce("territorial_status", F.lit(""))).rlike("|".join(CHANGED)), 10, "transformed"),
+        (F.coalesce(F.trim("lineage_note"), F.lit("")) != "", 6, "lineage"), (F.lit(compare_missing), 18, "no_compare"), (F.coalesce(F.col("territorial_mode"), F.lit("")) == "harmonized", 4, "harmonized"),
     ]
-    lost = sum((F.when(c, k).otherwise(0) for c, k, _ in rules), F.lit(0))
-    score = F.greatest(F.lit(0), 100 - lost)
+    score = F.greatest(F.lit(0), 100 - sum((F.when(c, k).otherwise(0) for c, k, _ in rules), F.lit(0)))
     return rows.select("*", score.alias("trust_score"), band(score).alias("trust_status"), F.array_compact(F.array(*[F.when(c, name) for c, _, name in rules])).alias("trust_reasons"))
 
 
-def view_trust(rows: DataFrame) -> DataFrame:
-    """Trust of a whole view; nothing in view scores 0."""
+def view_trust(rows: DataFrame, geometry_loaded: bool = True, compare_missing: bool = False, harmonized: bool = False) -> DataFrame:
+    """Trust of a whole view; nothing in view scores 0."""
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    flag = F.coalesce(F.lower("completeness_flag"), F.lit(""))
-    a = rows.agg(F.count(F.lit(1)).alias("n"), share(F.col("has_geometry")).alias("geo"), share(flag.contains("partial")).alias("partial"), share(flag.contains("turnout_only")).alias("only"), share(is_complete(F.col("completeness_flag"), "unknown")).alias("unknown"))
-    lost = F.when(F.col("geo") == 0, 18).when(F.col("geo") < 0.5, 28).when(F.col("geo") < 0.9, 14).otherwise(0) + F.when(F.col("partial") > 0.25, 22).when(F.col("partial") > 0, 10).otherwise(0) + F.when(F.col("only") > 0.3, 10).when(F.col("only") > 0, 4).otherwise(0) + F.when(F.col("unknown") > 0.3, 8).otherwise(0)
+    flag = _flag()
+    a = rows.agg(F.count(F.lit(1)).alias("n"), share(F.coalesce("has_geometry", F.lit(False))).alias("geo"), share(flag.contains("partial")).alias("partial"), share(flag.contains("turnout_only")).alias("only"), share((flag == "") | (flag == "unknown")).alias("unknown"))
+    geo = F.when(F.col("geo") < 0.5, 28).when(F.col("geo") < 0.9, 14).otherwise(0) if geometry_loaded else F.lit(18)
+    lost = geo + F.when(F.col("partial") > 0.25, 22).when(F.col("partial") > 0, 10).otherwise(0) + F.when(F.col("only") > 0.3, 10).when(F.col("only") > 0, 4).otherwise(0) + F.when(F.col("unknown") > 0.3, 8).otherwise(0)
+    lost = lost + F.lit(20 * compare_missing + 4 * harmonized)
     score = F.when(F.col("n") == 0, 0).otherwise(F.greatest(F.lit(0), 100 - lost))
     return a.select("n", score.alias("trust_score"), band(score).alias("trust_status"))
 
 
+def evidence(trust: DataFrame, substantive: int, compare_ready: bool = True, party_ready: bool = True, geometry_ready: bool = True) -> DataFrame:
+    """How much a view can be leant on. A strong trust status stands for the level that the rule asks for."""
+    n, status = F.col("n"), F.col("trust_status")
+    strong = (status == "strong") & (n >= 20) & F.lit(substantive >= 40 and compare_ready and party_ready and geometry_ready)
+    return trust.select("n", "trust_status", F.when(strong, "strong").when((status != "fragile") & (n >= 5) & F.lit(compare_ready), "cautious").otherwise("exploratory").alias("evidence"))
+
+
 def column_coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Per column the percentage of values that aren't blank; 0 for an empty table."""
     filled = rows.agg(*[F.coalesce(F.avg(F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", 100.0).otherwise(0.0)), F.lit(0.0)).alias(c) for c in columns])

@@ -32,9 +32,10 @@ def _islands(rows: DataFrame, leader: str) -> DataFrame:
 
 
 def segments(summ: DataFrame) -> DataFrame:
-    """Stretches with the same leader (none counts as N/D): years from and to, lowest and highest first share."""
+    """Stretches with the same leader (none counts as N/D): years from and to, lowest and highest ``share`` of the selected
+    group, nulls left out."""
     rows = _islands(summ.withColumn("leader", F.coalesce("first_party_std", F.lit("N/D"))), "leader")
-    return rows.groupBy("municipality_id", "island", "leader").agg(F.min("election_year").alias("from_year"), F.max("election_year").alias("to_year"), F.min("first_party_share").alias("min_share"), F.max("first_party_share").alias("max_share"), F.count(F.lit(1)).alias("n")).drop("island")
+    return rows.groupBy("municipality_id", "island", "leader").agg(F.min("election_year").alias("from_year"), F.max("election_year").alias("to_year"), F.min("share").alias("min_share"), F.max("share").alias("max_share"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
 def leader_runs(summ: DataFrame) -> DataFrame:

@@ -221,18 +221,18 @@ def _(p):
     return p.own.filter("share is not null").select("municipality_id", "election_year", *r6("share"))
 
 
-_SEG = """, isl AS (SELECT *, sum(new) OVER (PARTITION BY municipality_id ORDER BY election_year) AS island FROM (SELECT municipality_id, election_year, first_party_share, coalesce(first_party_std, 'N/D') AS leader, CASE WHEN lag(coalesce(first_party_std, 'N/D')) OVER (PARTITION BY municipality_id ORDER BY election_year) = coalesce(first_party_std, 'N/D') THEN 0 ELSE 1 END AS new FROM summ)),
- seg AS (SELECT municipality_id, leader, min(election_year) AS from_year, max(election_year) AS to_year, round(min(first_party_share), 6) AS min_share, round(max(first_party_share), 6) AS max_share, count(*) AS n FROM isl GROUP BY municipality_id, island, leader)"""
+_SEG = _OWN + """, isl AS (SELECT *, sum(new) OVER (PARTITION BY municipality_id ORDER BY election_year) AS island FROM (SELECT municipality_id, election_year, own.share, coalesce(first_party_std, 'N/D') AS leader, CASE WHEN lag(coalesce(first_party_std, 'N/D')) OVER (PARTITION BY municipality_id ORDER BY election_year) = coalesce(first_party_std, 'N/D') THEN 0 ELSE 1 END AS new FROM summ JOIN own USING (election_key, municipality_id, election_year))),
+ seg AS (SELECT municipality_id, leader, min(election_year) AS from_year, max(election_year) AS to_year, round(min(share), 6) AS min_share, round(max(share), 6) AS max_share, count(*) AS n FROM isl GROUP BY municipality_id, island, leader)"""
 
 
 @query("w08_segments", _SEG + " SELECT * FROM seg")
 def _(p):
-    return T.segments(p.summ).select("municipality_id", "leader", "from_year", "to_year", *r6("min_share", "max_share"), "n")
+    return T.segments(_cells(p)).select("municipality_id", "leader", "from_year", "to_year", *r6("min_share", "max_share"), "n")
 
 
 @query("w09_longest_run", _SEG + " SELECT municipality_id, leader, from_year, to_year FROM (SELECT *, row_number() OVER (PARTITION BY municipality_id ORDER BY to_year - from_year DESC, from_year) AS k FROM seg) WHERE k = 1")
 def _(p):
-    return T.longest_run(T.segments(p.summ))
+    return T.longest_run(T.segments(_cells(p)))
 
 
 @query("w10_leader_runs", """, x AS (SELECT municipality_id, election_year, first_party_std AS leader, CASE WHEN lag(first_party_std) OVER (PARTITION BY municipality_id ORDER BY election_year) = first_party_std THEN 0 ELSE 1 END AS new FROM summ WHERE first_party_std IS NOT NULL)
@@ -416,12 +416,14 @@ def _(p):
 
 
 def vectors(p: Panel) -> DataFrame:
-    """Six features per municipality, nulls as 0, not scaled."""
+    """Six features per municipality, nulls as 0, not scaled; ``over`` is the latest election's share less the nation's."""
     vol, chg = T.volatility(p.own), T.dominance_changes(p.summ)
-    cells = _cells(p).groupBy("municipality_id").agg(F.avg("share").alias("share"), F.avg("turnout_pct").alias("turnout"), F.max_by("share", "election_year").alias("last"))
+    nation = p.std.filter(F.col("party_std") == PARTY).groupBy("election_key").agg(F.sum("votes").alias("v")).join(p.tot.groupBy("election_key").agg(F.sum("valid_votes").alias("d")), "election_key")
+    nation = nation.select("election_key", P.pct(F.col("v"), F.col("d")).alias("nation_share"))  # one row an election
+    cells = _cells(p).join(F.broadcast(nation), "election_key", "left").groupBy("municipality_id").agg(F.avg("share").alias("share"), F.avg("turnout_pct").alias("turnout"), F.max_by(F.struct(F.col("share") - F.col("nation_share")), "election_year").alias("last"))
     v = cells.join(vol, "municipality_id", "left").join(chg, "municipality_id", "left").join(T.stability(vol, chg), "municipality_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
-    return v.select("municipality_id", z("share").alias("share"), z("volatility").alias("volatility"), z("stability_index").alias("stability"), z("turnout").alias("turnout"), z("changes").alias("changes"), (z("last") - z("share")).alias("over"))
+    return v.select("municipality_id", z("share").alias("share"), z("volatility").alias("volatility"), z("stability_index").alias("stability"), z("turnout").alias("turnout"), z("changes").alias("changes"), z("last.col1").alias("over"))
 
 
 @query("m01_m02_clusters", None)

@@ -60,7 +60,9 @@ class Bundle:
         declared = [(k, v.get("path"), v.get("sha256")) for k, v in self.manifest.get("hashes", {}).items()]
         want = self.spark.createDataFrame(declared, "dataset_key string, path string, sha256 string")
         have = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", F.sha2("content", 256).alias("actual"))
-        have = have.select(F.expr("substring(path, instr(path, '" + posixpath.basename(self.root) + "/') + " + str(len(posixpath.basename(self.root)) + 1) + ")").alias("path"), "actual")
+        # Readers give whole locations; a file's own path is what follows the bundle's folder, as the manifest's location shows it.
+        at = self.spark.read.format("binaryFile").load(f"{self.root}/manifest.json").select("path").first()[0].removesuffix("manifest.json")
+        have = have.select(F.when(F.col("path").startswith(at), F.substring("path", len(at) + 1, 1 << 30)).alias("path"), "actual")
         status = F.when(F.col("path").isNull(), "missing_path").when(F.col("actual").isNull(), "missing_file").when(F.col("actual") != F.col("sha256"), "mismatch").otherwise("ok")
         return want.join(have, "path", "left").select("dataset_key", status.alias("status"))
 

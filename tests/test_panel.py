@@ -56,7 +56,11 @@ def test_quality(spark):
     checks = spark.createDataFrame([("a", "error", 3), ("b", "warning", 1), ("c", "warning", 9), ("d", "error", 0)], "check string, severity string, affected long")
     assert quality.readiness(checks).first()[0] == 55
     row = spark.createDataFrame([("partial", "x", "harmonized", None, None, True)], "completeness_flag string, comparability_note string, territorial_mode string, territorial_status string, lineage_note string, has_geometry boolean")
-    assert quality.row_trust(row).first()["trust_score"] == 56
+    assert quality.row_trust(row).first()["trust_score"] == 56  # 100 - 28 partial - 12 note - 4 harmonized
+    more = spark.createDataFrame([("unknown", "no_party_rows_detected", None, "Fuso nel 1990", "x", False), ("turnout_only", None, None, None, None, True), ("turnout_only partial", None, None, None, None, None)], row.schema)
+    assert [r["trust_score"] for r in quality.row_trust(more, compare_missing=True).collect()] == [100 - 22 - 12 - 8 - 12 - 10 - 6 - 18, 70, 32]
+    assert quality.view_trust(more).first()["trust_score"] == 100 - 28 - 22 - 10 - 8
+    assert quality.view_trust(more, geometry_loaded=False, compare_missing=True, harmonized=True).first()["trust_score"] == 100 - 18 - 22 - 10 - 8 - 20 - 4
     assert quality.view_trust(row.limit(0)).first()["trust_score"] == 0
 
 
