@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from importlib.resources import files
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Rule = tuple[str, str, str, str]  # pattern, display, family, bloc
 
-# The ingest rules. ``lega`` and ``azione`` match inside other words, as in the published data.
-INGEST_V1: tuple[Rule, ...] = (
-    (r"^dc$|democrazia cristiana", "DC", "cattolico-popolare", "centro"),
-    (r"^pci$|partito comunista", "PCI", "sinistra storica", "sinistra"),
-    (r"^psi$|socialista", "PSI", "sinistra socialista", "centro-sinistra"),
-    (r"^msi$|movimento sociale", "MSI", "destra nazionale", "destra"),
-    (r"forza italia|^fi$", "Forza Italia", "liberal-conservatore", "centro-destra"),
-    (r"partito democratico|^pd$", "PD", "centro-sinistra", "centro-sinistra"),
-    (r"lega|^ln$", "Lega", "regionalista", "centro-destra"),
-    (r"fratelli d.?italia|^fdi$", "FdI", "destra nazionale", "destra"),
-    (r"movimento 5 stelle|^m5s$", "M5S", "populista", "populista"),
-    (r"verdi|alleanza verdi|sinistra italiana|avs", "AVS / Verdi", "ecologista", "sinistra"),
-    (r"azione|italia viva|calenda", "Azione / IV", "liberale-riformista", "centro"),
-)
+
+def read_rules(path: str | None = None) -> tuple[Rule, ...]:
+    """Rules of a CSV file with a header; lines that begin with # are comments. Without a path, the ingest rules."""
+    text = Path(path).read_text("utf-8") if path else files("panelatlas").joinpath("data/party_rules_ingest.csv").read_text("utf-8")
+    rows = csv.DictReader(line for line in text.splitlines() if not line.startswith("#"))
+    return tuple((r["pattern"], r["display"], r["family"], r["bloc"]) for r in rows)
+
+
+INGEST_V1 = read_rules()
 
 
 def party_meta(label: Column, rules: Sequence[Rule] = INGEST_V1) -> Column:
