@@ -9,7 +9,8 @@ parent; a style is the sequence of child elements, runs of the same one folded.
 * composite importance: ``(1 - g**l) * presentation + g**l * sum(p * style importance)`` over its l styles with shares p,
   bottom up, a style's importance being the mean of its children's.
 
-Nodes below ``threshold`` that at least ``min_pages`` pages hold are noise, and their branches are removed from each page.
+Nodes below ``threshold`` that at least ``min_pages`` pages hold are noise, and their branches are removed from each page,
+inside an article as outside. Elements deeper than 64 levels are folded into their ancestor there for the tree; their text stays.
 
 Entropy cannot tell an article from noise that is new on every page, such as rotating adverts or page-wise menus. So what
 the markup says of itself is taken as given importance: elements that name a menu, header, footer, sidebar, notice,
@@ -39,6 +40,7 @@ from .common import materialise
 # What HTML says of its elements, and names that sites give to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+UNENDED = frozenset("script style textarea title xmp iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture".split())
 DROPPED_TAGS = frozenset("nav footer aside form script style noscript template iframe head title button select textarea input object canvas svg math menu dialog audio video datalist".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar tablist".split())
@@ -58,12 +60,13 @@ NAMED = -2  # noise by its class or id alone
 
 
 class Node:
-    __slots__ = ("tag", "label", "given", "parent", "children", "key", "depth", "holds", "main")
+    __slots__ = ("tag", "label", "given", "parent", "children", "key", "depth", "holds", "main", "inside")
 
     def __init__(self, tag: str, label: str, given: int, parent: "Node | None"):
         self.tag, self.label, self.given, self.parent = tag, label, given, parent
         self.children: list[Node | str] = []
         self.key, self.depth, self.holds, self.main = 0, 0, tag in ("#", "html", "body"), False
+        self.inside = given > 0 or (parent is not None and parent.inside)  # in an article or main, or one itself
 
 
 def attributes(rest: str) -> dict[str, str]:
@@ -108,8 +111,16 @@ def _given(tag: str, attrs: dict[str, str], inside: bool) -> int:
 def parse(page: str) -> Node:
     """A tree of elements and text; never fails, whatever the markup."""
     root = node = Node("#", "#", 0, None)
-    at, inside = 0, 0
-    n = len(page)
+    opened: Counter = Counter()  # elements that are open, by tag: an end without a beginning needs no search
+    at, n = 0, len(page)
+
+    def back_to(up: Node) -> Node:
+        x = node
+        while x is not up:
+            opened[x.tag] -= 1
+            x = x.parent
+        return up
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -125,14 +136,14 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if close:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = back_to(up.parent)
             continue
-        if tag in CLOSES_P or tag in CLOSES:
-            targets = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        targets = CLOSES.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        if any(opened[x] > 0 for x in targets):
             stop, up, last = SCOPES.get(tag, set()), node, None
             while up.parent is not None and up.tag not in stop:
                 if up.tag in targets:
@@ -141,17 +152,14 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if last is not None:
-                node = last.parent
+                node = back_to(last.parent)
         if tag in VOID:
             if tag == "br" or tag == "hr":
                 node.children.append(" " if tag == "br" else Node("hr", "hr", 0, node))
             continue
         attrs = attributes(rest) if rest else {}
-        up, inside = node, False
-        while up is not None and not inside:
-            inside, up = up.given > 0, up.parent
         label = tag + "".join("." + x for x in sorted(attrs.get("class", "").lower().split())) + ("#" + attrs["id"].lower() if attrs.get("id") else "")
-        new = Node(tag, label, _given(tag, attrs, inside), node)
+        new = Node(tag, label, _given(tag, attrs, node.inside), node)
         node.children.append(new)
         up = new if new.given > 0 else None
         while up is not None and not up.holds:
@@ -160,14 +168,18 @@ def parse(page: str) -> Node:
         while up is not None and not up.main:
             up.main, up = True, up.parent
         if tag in RAW:
+            if tag in ("svg", "math") and rest and rest.rstrip().endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif not rest or not rest.rstrip().endswith("/") or tag not in ("svg", "math"):
+            # Text after a script or the like that isn't ended belongs to it; other elements without an end are taken as empty.
+            at = end.end() if end else n if tag in UNENDED else at
+        else:
             node = new
+            opened[tag] += 1
     return root
 
 
-def number(root: Node, hash64: Callable[[str], int], most_depth: int = 24) -> Iterator[tuple[Node, int]]:
+def number(root: Node, hash64: Callable[[str], int], most_depth: int = 64) -> Iterator[tuple[Node, int]]:
     """Give every element its key in the style tree; yields (node, style hash). Deeper elements than ``most_depth`` share
     their ancestor's key."""
     todo = [root]
@@ -187,7 +199,7 @@ def number(root: Node, hash64: Callable[[str], int], most_depth: int = 24) -> It
 def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[tuple[str, int, int]]:
     """(text, node's key, kind) in page order; kind: 1 in an article, 2 in main, 0 elsewhere. Noise is left out.
 
-    ``noise`` are keys of nodes of low importance; they count outside articles and ``main``, and not for what holds one.
+    ``noise`` are keys of nodes of low importance; they don't count for what holds an article or ``main``, or is one.
     """
     out: list[tuple[str, int, int]] = []
     run: list[str] = []
@@ -209,7 +221,7 @@ def blocks(root: Node, noise: frozenset[int] = frozenset()) -> list[tuple[str, i
             if not outside:
                 outside.append(_has(root, 1))
             return outside[0]
-        return x.given < 0 or (not kind and not x.holds and x.key in noise)
+        return x.given < 0 or (x.given == 0 and not x.holds and x.key in noise)
 
     todo: list[tuple] = [(root, 0, False)]
     while todo:

@@ -265,6 +265,12 @@ def test_pipeline_stages(spark, texts, tmp_path):
     ("page", "want"),
     [
         ("<article><p>See <a href='/hidden/valley'>the valley</a> now</p></article>", "See the valley now"),
+        ('<div class="content-with-sidebar"><article><p>the text</p></article></div>', "the text"),
+        ('<div class="layout no-sidebar"><main><p>the text</p></main></div>', "the text"),
+        ('<section class="social-history"><article><p>the text</p></article></section>', "the text"),
+        ("<p>a</p><svg class=i/><p>b</p>", "a\nb"),
+        ("<p>a</p><noscript><p>b</p>", "a\nb"),
+        ("<p>a<p>b<div>" * 3000 + "</span></b>c", "\n".join(["a", "b"] * 3000 + ["c"])),
         ("<article data-hidden='false'><p title='the hidden id'>kept</p><p hidden>gone</p><p class=x hidden=''>gone</p></article>", "kept"),
         ("<article data-class='menu' data-role=banner><p alt=\"it's style=display:none\">kept</p></article>", "kept"),
         ("<div class='page has-sidebar'><article>A</article></div><div class=sidebar>s</div>", "A"),
@@ -300,3 +306,58 @@ def test_heavy_keys(spark, monkeypatch):
         gone = {k for a in range(len(w) - 34) if where[tuple(w[a : a + 35])] > 1 for k in range(a, a + 35)}
         assert (cut[i].n_words, cut[i].n_removed) == (len(w), len(gone))
     assert common.heavy_from(10**9) == 10**5
+
+
+def test_style_tree_importance_and_effect(spark):
+    import math
+    from functools import cache
+
+    say = lambda i: f"<p>{' '.join(f'w{(i * 31 + k * k) % 97}' for k in range(30))}</p>"
+    odd = lambda i: "<ul class=links><li>one<li>two</ul>" if i % 3 else "<div class=box><b>same</b></div>"
+    bare = [f"<body><div class=top>All our pages</div><div class=text>{say(i)}{say(i + 50)}</div>{odd(i)}</body>" for i in range(12)]
+    inside = [f"<article>{say(i)}<div class=box>Written by us</div></article>" for i in range(9)]
+    rows = [(i, "http://a.org/x", x) for i, x in enumerate(bare)] + [(100 + i, "http://b.org/x", x) for i, x in enumerate(inside)] + [(0, "http://a.org/x", bare[0]), (200, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    h, styles, texts, on, up, children = html_extract._hash(), collections.defaultdict(collections.Counter), collections.defaultdict(lambda: collections.defaultdict(collections.Counter)), collections.defaultdict(set), {}, collections.defaultdict(set)
+    for page, (_, url, html) in enumerate(rows):
+        if not html:
+            continue
+        root, style_of = html_extract.parse(html), {}
+        for node, style in html_extract.number(root, h):
+            at = (url, node.key)
+            style_of[node.key] = style
+            styles[at][style] += 1
+            on[at].add(page)
+            if node.parent:
+                children[url, node.parent.key, style_of[node.parent.key]].add(at)
+        for text, key, _ in html_extract.blocks(root):
+            texts[url, key][text][page] += 1
+    entropy = lambda counts: -sum(n / sum(counts) * math.log(n / sum(counts)) for n in counts)
+
+    @cache
+    def importance(at):
+        m, uses = len(on[at]), styles[at]
+        shown = min(1.0, entropy(uses.values()) / math.log(m)) if m > 1 else 1.0
+        said = None
+        if at in texts:
+            said = max(0.0, 1 - sum(entropy(c.values()) for c in texts[at].values()) / len(texts[at]) / math.log(m)) if m > 1 else 1.0
+        under = {s: [importance(c) for c in children[(*at, s)]] for s in uses if children[(*at, s)]}
+        below = sum(uses[s] * sum(x) / len(x) for s, x in under.items()) / sum(uses[s] for s in under) if under else None
+        content = said if below is None else below if said is None else (below + said) / 2
+        return shown if content is None else content if below is None else (1 - 0.9 ** len(uses)) * shown + 0.9 ** len(uses) * content
+
+    got = {(f"http://{r.host}/x", r.node): r for r in html_extract.site_style_tree(pages).collect()}
+    assert set(got) == set(on)
+    for at, r in got.items():
+        assert r.m == len(on[at]) and abs(r.importance - importance(at)) < 1e-9
+    text = collections.defaultdict(list)
+    for r in html_extract.extract(pages).collect():
+        text[r.page_id].append(r.text)
+    off = {r.page_id: r.text for r in html_extract.extract(pages, threshold=-1).collect()}
+    plain = lambda x: x.replace("<p>", "").replace("</p>", "")
+    assert len(text[0]) == 2 and text[200] == [""]
+    for i in range(12):
+        assert text[i][0] == plain(say(i)) + "\n" + plain(say(i + 50)) and off[i].startswith("All our pages\n") and ("one\ntwo" in off[i] or "same" in off[i])
+    for i in range(9):
+        assert text[100 + i] == [plain(say(i))] and off[100 + i] == plain(say(i)) + "\nWritten by us"
+    assert html_extract.extract(pages.limit(0)).collect() == []
