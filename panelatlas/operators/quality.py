@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.text import has_meaningful_note, notes, squeeze
 
 
+#: The rules, and whether a failing one is an error or a warning.
+RULES = {
+    "turnout_out_of_range": "error", "electors_below_voters": "error", "valid_above_voters": "error", "turnout_mismatch": "warning", "missing_province": "warning", "misleading_checked_flag": "error", "missing_turnout_only_flag": "warning",
+    "share_out_of_range": "error", "share_sum_out_of_range": "warning", "votes_differ_from_valid": "warning", "leader_mismatch": "error",
+}
+
+
 def validations(summ: DataFrame, res: DataFrame) -> DataFrame:
-    """One row per rule: check, severity, affected. ``summ`` and ``res`` are summary and party results with votes and vote_share.
-
-    Each table is read once: the rules are conditional counts, unpivoted at the end.
-    """
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    rows = summ.agg(
-        n((F.col("turnout_pct") < -0.01) | (F.col("turnout_pct") > 100.01)).alias("turnout_out_of_range"), n(F.col("electors") < F.col("voters")).alias("electors_below_voters"), n(F.col("valid_votes") > F.col("voters")).alias("valid_above_voters"),
-        n(F.abs(F.col("turnout_pct") - F.try_divide(F.lit(100.0) * F.col("voters"), F.col("electors"))) > 1.5).alias("turnout_mismatch"), n(F.coalesce(F.trim("province"), F.lit("")) == "").alias("missing_province"),
-    )
-    cells = res.groupBy("election_key", "municipality_id").agg(F.sum("votes").alias("votes"), F.sum("vote_share").alias("share"), n((F.col("vote_share") < -0.01) | (F.col("vote_share") > 100.01)).alias("bad"), F.max_by("party_std", F.struct("votes", F.col("party_std"))).alias("lead"), F.max("vote_share").alias("top"))
-    joined = cells.join(summ.select("election_key", "municipality_id", "valid_votes", "first_party_share"), ["election_key", "municipality_id"], "left")
-    per_cell = joined.agg(
-        F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("share_out_of_range"), n((F.col("share") < 90) | (F.col("share") > 110)).alias("share_sum_out_of_range"),
-        n(F.try_divide(F.abs(F.col("votes") - F.col("valid_votes")), F.col("valid_votes")) > 0.08).alias("votes_differ_from_valid"), n(F.abs(F.col("top") - F.col("first_party_share")) > 0.6).alias("leader_mismatch"),
-    )
-    wide = rows.crossJoin(per_cell)  # one row each
-    names = [*rows.columns, *per_cell.columns]
-    severity = F.when(F.col("check").isin("turnout_mismatch", "missing_province", "votes_differ_from_valid", "share_sum_out_of_range"), "warning").otherwise("error")
-    return wide.unpivot([], names, "check", "affected").select("check", severity.alias("severity"), "affected")
+    """One row per rule: check, severity, affected. ``summ`` has counts, leader, completeness_flag and comparability_note of each cell, ``res``
+    its parties with votes and vote_share. The tables meet once; the rules are conditional counts, unpivoted at the end."""
+    keys = ["election_key", "municipality_id"]
+    best = F.min_by(F.struct("party_std", "vote_share"), F.struct(-F.col("votes"), F.col("party_std")))
+    cells = res.groupBy(*keys).agg(F.sum("votes").alias("votes"), F.sum("vote_share").alias("share"), F.sum(F.when((F.col("vote_share") < -0.01) | (F.col("vote_share") > 100.01), 1).otherwise(0)).alias("bad"), best.alias("lead"))
+    both = summ.select(*keys, "province", "electors", "voters", "valid_votes", "turnout_pct", "first_party_std", "first_party_share", "completeness_flag", "comparability_note", F.lit(True).alias("known")).join(cells, keys, "full")
+    flag, none = F.coalesce("completeness_flag", F.lit("")), F.col("known") & (F.trim(F.coalesce("first_party_std", F.lit(""))) == "")
+    off = F.coalesce(F.col("lead.party_std") != F.col("first_party_std"), F.lit(False)) | F.coalesce(F.abs(F.col("lead.vote_share") - F.col("first_party_share")) > 0.6, F.lit(False))
+    when = {
+        "turnout_out_of_range": (F.col("turnout_pct") < -0.01) | (F.col("turnout_pct") > 100.01), "electors_below_voters": F.col("electors") < F.col("voters"), "valid_above_voters": F.col("valid_votes") > F.col("voters"),
+        "turnout_mismatch": F.abs(F.col("turnout_pct") - F.try_divide(F.lit(100.0) * F.col("voters"), F.col("electors"))) > 1.5, "missing_province": F.col("known") & (F.coalesce(F.trim("province"), F.lit("")) == ""),
+        "misleading_checked_flag": none & F.col("comparability_note").contains("party_rows_checked"), "missing_turnout_only_flag": none & ~flag.contains("turnout_only"),
+        "share_sum_out_of_range": (F.col("share") < 90) | (F.col("share") > 110), "votes_differ_from_valid": F.try_divide(F.abs(F.col("votes") - F.col("valid_votes")), F.col("valid_votes")) > 0.08, "leader_mismatch": off,
+    }
+    n = {k: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)) for k, c in when.items()} | {"share_out_of_range": F.coalesce(F.sum("bad"), F.lit(0))}
+    wide = both.agg(*[n[k].cast("long").alias(k) for k in RULES])
+    severity = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
+    return wide.unpivot([], list(RULES), "check", "affected").select("check", severity[F.col("check")].alias("severity"), "affected")
 
 
 def readiness(checks: DataFrame) -> DataFrame:

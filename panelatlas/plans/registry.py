@@ -372,17 +372,32 @@ def _(p):
     return p.std.groupBy("province").pivot("bloc", ["bloc_0", "bloc_1", "bloc_2", "bloc_3"]).agg(F.sum("votes"))
 
 
-@query("v01_validations", """, c AS (SELECT s.election_key, s.municipality_id, sum(votes) AS votes, any_value(t.valid_votes) AS d, max(votes) AS top FROM std s JOIN tot t USING (election_key, municipality_id) GROUP BY ALL)
- SELECT unnest(['turnout_out_of_range', 'electors_below_voters', 'valid_above_voters', 'turnout_mismatch', 'missing_province', 'share_out_of_range', 'share_sum_out_of_range', 'votes_differ_from_valid', 'leader_mismatch']) AS "check", unnest(['error', 'error', 'error', 'warning', 'warning', 'error', 'warning', 'warning', 'error']) AS severity,
- unnest([(SELECT count(*) FROM summ WHERE turnout_pct > 100.01), (SELECT count(*) FROM tot WHERE electors < voters), (SELECT count(*) FROM tot WHERE valid_votes > voters), 0, (SELECT count(*) FROM tot WHERE trim(coalesce(province, '')) = ''), (SELECT count(*) FROM c WHERE top > d), (SELECT count(*) FROM c WHERE votes <> d), (SELECT count(*) FROM c WHERE abs(votes - d) > 0.08 * d), 0]) AS affected""")
+# The panel has no violations of its own; these rows have.
+_BAD = ["election_key", "municipality_id", "CASE WHEN electors % 9 = 0 THEN ' ' ELSE province END AS province", "CASE WHEN electors % 7 = 0 THEN voters - 5 ELSE electors END AS electors", "voters", "CASE WHEN electors % 13 = 0 THEN voters + 1 ELSE valid_votes END AS valid_votes", "CASE WHEN electors % 4 = 0 THEN turnout_pct + 3 ELSE turnout_pct END AS turnout_pct", "CASE WHEN electors % 11 = 0 THEN 'other' ELSE first_party_std END AS first_party_std", "CASE WHEN electors % 5 = 0 THEN first_party_share + 1 ELSE first_party_share END AS first_party_share", "CASE WHEN electors % 2 = 0 THEN 'clean_ingest_turnout_only' WHEN electors % 3 = 0 THEN 'clean_ingest_party_results_checked' END AS completeness_flag", "CASE WHEN electors % 3 = 0 THEN 'x|party_rows_checked' END AS comparability_note"]
+_CHECKS = f""", b AS (SELECT {", ".join(_BAD)} FROM summ), sh AS (SELECT s.election_key, s.municipality_id, s.party_std, s.votes, {_PCT} * s.votes / t.valid_votes + CASE WHEN s.votes % 17 = 0 THEN 60 ELSE 0 END AS vs FROM std s JOIN tot t USING (election_key, municipality_id)),
+ c AS (SELECT election_key, municipality_id, sum(votes) AS votes, sum(vs) AS share, sum(CASE WHEN vs > 100.01 OR vs < -0.01 THEN 1 ELSE 0 END) AS bad, first(party_std ORDER BY votes DESC, party_std) AS lp, first(vs ORDER BY votes DESC, party_std) AS lv FROM sh GROUP BY ALL), j AS (SELECT * FROM b FULL JOIN c USING (election_key, municipality_id)),
+ k AS (SELECT unnest(['turnout_out_of_range', 'electors_below_voters', 'valid_above_voters', 'turnout_mismatch', 'missing_province', 'misleading_checked_flag', 'missing_turnout_only_flag', 'share_out_of_range', 'share_sum_out_of_range', 'votes_differ_from_valid', 'leader_mismatch']) AS "check", unnest(['error', 'error', 'error', 'warning', 'warning', 'error', 'warning', 'error', 'warning', 'warning', 'error']) AS severity,
+ unnest([count(*) FILTER (WHERE turnout_pct > 100.01 OR turnout_pct < -0.01), count(*) FILTER (WHERE electors < voters), count(*) FILTER (WHERE valid_votes > voters), count(*) FILTER (WHERE abs(turnout_pct - {_PCT} * voters / nullif(electors, 0)) > 1.5), count(*) FILTER (WHERE trim(province) = ''), count(*) FILTER (WHERE first_party_std IS NULL AND contains(comparability_note, 'party_rows_checked')), count(*) FILTER (WHERE first_party_std IS NULL AND NOT contains(coalesce(completeness_flag, ''), 'turnout_only')),
+ CAST(sum(bad) AS BIGINT), count(*) FILTER (WHERE share < 90 OR share > 110), count(*) FILTER (WHERE abs(votes - valid_votes) / CAST(nullif(valid_votes, 0) AS DOUBLE) > 0.08), count(*) FILTER (WHERE coalesce(lp <> first_party_std, FALSE) OR coalesce(abs(lv - first_party_share) > 0.6, FALSE))]) AS affected FROM j)"""
+
+
+def _checks(p: Panel, faulty: bool) -> DataFrame:
+    share = p.std.join(p.tot.select("election_key", "municipality_id", "valid_votes"), ["election_key", "municipality_id"]).select("election_key", "municipality_id", "party_std", "votes", (P.pct(F.col("votes"), F.col("valid_votes")) + F.when(F.lit(faulty) & (F.col("votes") % 17 == 0), 60).otherwise(0)).alias("vote_share"))
+    return Q.validations(p.summ.selectExpr(*_BAD) if faulty else p.summ.withColumns({"completeness_flag": F.when(F.col("first_party_std").isNull(), "clean_ingest_turnout_only"), "comparability_note": F.lit(None).cast("string")}), share)
+
+
+@query("v01_validations", _CHECKS + ' SELECT "check", severity, affected FROM k')
 def _(p):
-    share = p.std.join(p.tot.select("election_key", "municipality_id", "valid_votes"), ["election_key", "municipality_id"]).select("election_key", "municipality_id", "party_std", "votes", P.pct(F.col("votes"), F.col("valid_votes")).alias("vote_share"))
-    return Q.validations(p.summ, share)
+    return _checks(p, True)
 
 
-@query("v02_readiness", "SELECT CAST(100 AS BIGINT) AS readiness", prelude=False)
+@query("v02_readiness", _CHECKS + """ SELECT 'faulty' AS panel, CAST(greatest(0, 100 - 25 * count(*) FILTER (WHERE severity = 'error' AND affected > 0) - 10 * count(*) FILTER (WHERE severity = 'warning' AND affected > 0)) AS BIGINT) AS readiness FROM k
+ UNION ALL SELECT 'without_errors', CAST(greatest(0, 100 - 10 * count(*) FILTER (WHERE severity = 'warning' AND affected > 0)) AS BIGINT) FROM k UNION ALL SELECT 'own', CAST(100 AS BIGINT)""")
 def _(p):
-    return Q.readiness(QUERIES["v01_validations"](p.spark, p.sf_dir))
+    faulty = _checks(p, True)
+    parts = {"faulty": faulty, "without_errors": faulty.filter("severity = 'warning'"), "own": _checks(p, False)}
+    one, two, three = (Q.readiness(x).select(F.lit(k).alias("panel"), "readiness") for k, x in parts.items())
+    return one.unionByName(two).unionByName(three)
 
 
 _PARSE = [("1.234,5",), ("1,234.5",), ("12,5",), ("1.234",), ("12.0",), ("1.000",), ("1.5",), ("-5",), ("45,6%",), ("",), ("abc",), (None,)]
@@ -399,20 +414,24 @@ def _(p):
     return p.res.select("party_raw").distinct().withColumn("slug", X.slug(F.col("party_raw")))
 
 
-@query("f09_token", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(source, 1, 40))), '[^a-z0-9]+', ' ', 'g')) AS token FROM documents", prelude=False)
+@query("f09_token", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(source)), '[^a-z0-9]+', ' ', 'g')) AS token FROM documents", prelude=False)
 def _(p):
     return p.spark.read.parquet(f"{p.sf_dir}/documents.parquet").select("doc_id", X.token(F.col("source")).alias("token"))
 
 
-@query("f28_election_labels", "SELECT DISTINCT concat('camera_', CAST(election_year AS VARCHAR)) AS key, CASE WHEN election_year <= 1992 THEN 'proportional' ELSE 'mixed' END AS system FROM tot")
+@query("f28_election_labels", "SELECT DISTINCT concat('camera_', CAST(election_year - 6 AS VARCHAR)) AS key, CASE WHEN election_year - 6 <= 1992 THEN 'proportional' ELSE 'mixed' END AS system FROM tot")
 def _(p):
-    y = F.col("election_year")
+    y = F.col("election_year") - 6  # so that some lie on either side of the change
     return p.tot.select("election_year").distinct().select(X.election_key(F.lit("Camera"), y).alias("key"), X.electoral_system(y).alias("system"))
 
 
-@query("f31_taxonomy", "SELECT DISTINCT party_raw, party_raw AS party_display, 'altro' AS party_family_by_rule FROM res")
+_LABELS = "CASE WHEN votes % 9 = 0 THEN 'DC' WHEN votes % 9 = 1 THEN 'Rifondazione Comunista' WHEN votes % 9 = 2 THEN 'LEGA nord' WHEN votes % 9 = 3 THEN 'l''alleanza verdi' WHEN votes % 9 = 4 THEN ' fi ' WHEN votes % 9 = 5 THEN '' WHEN votes % 9 = 6 THEN 'Il Socialista' WHEN votes % 9 = 7 THEN NULL ELSE party_raw END AS label"
+
+
+@query("f31_taxonomy", f""", l AS (SELECT DISTINCT {_LABELS} FROM res) SELECT label,
+ CASE WHEN label = 'DC' THEN 'centro' WHEN contains(lower(label), 'azione') THEN 'centro' WHEN contains(lower(label), 'lega') THEN 'centro-destra' WHEN contains(lower(label), 'verdi') THEN 'sinistra' WHEN trim(label) = 'fi' THEN 'centro-destra' WHEN contains(lower(label), 'socialista') THEN 'centro-sinistra' ELSE 'altro' END AS party_bloc_by_rule FROM l""")
 def _(p):
-    return classify(p.res.select("party_raw").distinct(), "party_raw").select("party_raw", "party_display", "party_family_by_rule")
+    return classify(p.res.selectExpr(_LABELS).distinct(), "label").select("label", "party_bloc_by_rule")
 
 
 def vectors(p: Panel) -> DataFrame:
