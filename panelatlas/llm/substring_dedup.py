@@ -8,10 +8,10 @@ window (a quarter of it, rounded up) whose hash is its minimum; two equal window
 3. where one of the two is repeated, the windows of full length around the anchor are counted, and those found more than
    once, in the same text or another, are the repeated windows. What is found once at a level goes no further.
 
-Each word that a repeated window covers is removed. Counts are partial first; those of whole windows are written out before
+Each word that a repeated window covers is removed. Counts are partial first; those of anchors and of whole windows are written out before
 they are joined, so that Spark's adaptive execution can split the rows of a passage that a third of all texts share (a join
 with an aggregate of the same stage can't be split). Windows and texts are told apart by hashes of 64 bits: n distinct ones
-make a false match with a chance of about n * n / 2^65, one in 2000 for 10^8; beyond some 10^9 false matches come up.
+make a false match with a chance of about n * n / 2^65, one in 3700 for 10^8; beyond some 10^9 false matches come up.
 
 Null and empty texts have no words. Repeated rows are repeated texts: from ``window`` words on they are removed whole,
 in each. Texts of fewer words keep them all. An empty table gives an empty result.
@@ -199,7 +199,7 @@ def remove_repeats(documents: DataFrame, window: int = 35, id_col: str = "doc_id
     kind = dict(rows.dtypes)["doc_id"]
     rows = rows.withColumn("s", F.xxhash64("text"))
     first = materialise(rows.select("s", "text").mapInArrow(_first(window), "s long, at int, h long, right long, left long"), "windows-1", compression="zstd")
-    again = materialise(first.join(_repeated(first, ["h"]), "h"), "windows-2", compression="zstd")
+    again = materialise(first.join(materialise(_repeated(first, ["h"]), "windows-h"), "h"), "windows-2", compression="zstd")
     places = _extended(again).groupBy("s").agg(F.collect_set("at").alias("places"))  # at most a text's own words
 
     # Rows of a text that many have are dealt into parts, each with a copy of what is known of the text.
