@@ -76,3 +76,30 @@ def last_label(labels: Column, stop: list[str]) -> Column:
     kept = F.filter(labels, lambda x: ~F.lower(x).isin(*stop, ""))
     first, last = F.get(kept, F.lit(0)), F.try_element_at(kept, F.lit(-1))
     return F.when(last.rlike("^[0-9]+$"), F.lit(None)).when((F.size(kept) >= 2) & (last != first), last).otherwise(first)
+
+
+def code_from_url(url: Column) -> Column:
+    """of the parameters lev4, lev3, ne4 and ne3 the first that is neither missing nor 0, up to its first dash; else empty."""
+    values = [F.nullif(F.nullif(F.try_parse_url(url, F.lit("QUERY"), F.lit(k)), F.lit("0")), F.lit("")) for k in ("lev4", "lev3", "ne4", "ne3")]
+    return F.coalesce(F.split_part(F.coalesce(*values), F.lit("-"), F.lit(1)), F.lit(""))
+
+
+def canonical_url(url: Column) -> Column:
+    """without the parameters that name the same page."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"([?&])unipro=uni(?=&|$)", "$1"), r"([?&])levsut0=\d+(?=&|$)", "$1")
+    return F.replace(F.replace(F.regexp_replace(t, "[?&]+$", ""), F.lit("?&"), F.lit("?")), F.lit("&&"), F.lit("&"))
+
+
+def redacted_path(text: Column) -> Column:
+    """a text that holds a local path becomes the last part of it."""
+    parts = F.filter(F.split(text, r"[\\\\/]"), lambda x: x != "")
+    said = F.when(F.lower(text).contains("python") & text.contains(" "), "[redacted-path-string]").otherwise(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("[redacted-path]")))
+    return F.when(text.rlike(r"([A-Za-z]:\\|/mnt/|/Users/|/home/)"), said).otherwise(text)
+
+
+def named_region(text: Column, regions: dict[str, str]) -> Column:
+    """the region of the longest key that the normalised text is, begins with, or holds as words; else empty."""
+    key, out = token(text), F.lit("")
+    for name in sorted(regions, key=lambda x: (len(x), x)):  # the longest is asked first
+        out = F.when(key.startswith(name) | F.concat(F.lit(" "), key, F.lit(" ")).contains(f" {name} "), regions[name]).otherwise(out)
+    return out

@@ -29,7 +29,7 @@ def by_party(res: DataFrame) -> DataFrame:
 
 
 def summary(tot: DataFrame, std: DataFrame) -> DataFrame:
-    """Per cell: turnout, first and second party with shares, margin (null without a second), bloc of the first.
+    """A27, J09, W03. Per cell: turnout, first and second party with shares, margin (null without a second), bloc of the first.
 
     One window over the parties and one conditional aggregation; no join per rank.
     """

@@ -16,7 +16,7 @@ RULES = {
 
 
 def validations(summ: DataFrame, res: DataFrame) -> DataFrame:
-    """One row per rule: check, severity, affected. ``summ`` has counts, leader, completeness_flag and comparability_note of each cell, ``res``
+    """One row per rule: check, severity, affected. ``summ`` has counts, leader, completeness_flag and comparability_note of each cell, ``res``
     its parties with votes and vote_share. The tables meet once; the rules are conditional counts, unpivoted at the end."""
     keys = ["election_key", "municipality_id"]
     best = F.min_by(F.struct("party_std", "vote_share"), F.struct(-F.col("votes"), F.col("party_std")))

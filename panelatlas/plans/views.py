@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..functions import text as X
 from ..operators import cluster as C
+from ..operators import geo as G
 from ..operators import ingest as I
 from ..operators import panel as P
+from ..operators import reports as R
 from ..operators import trajectory as T
 from .ingest import _KEY, RAWS, made
 from .registry import _CELLS, _OWN, _PCT, _VOL, BEFORE, LATEST, PARTY, Panel, _cells, query, r6
@@ -308,3 +311,54 @@ def _(p):
 def _(p):
     docs = p.spark.read.parquet(f"{p.sf_dir}/documents.parquet")
     return docs.select("doc_id", F.md5(X.token(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7FàèéìòùÀÈÉÌÒÙ]", " "))).alias("token"))
+
+
+@query("f23_f24_f29_urls", r"""SELECT * FROM (VALUES (1, '12', 'http://a/x?lev4=12-3&lev3=9', 'plain'), (2, '9', 'http://a/x?lev4=0&lev3=9', 'f.csv'), (3, '7', 'http://a/x?ne3=7', '[redacted-path-string]'), (4, '', '', NULL), (5, '', 'not a url', 'd')) t(id, code, url, path)""", prelude=False)
+def _(p):
+    rows = [(1, "http://a/x?lev4=12-3&unipro=uni&lev3=9&levsut0=3", "plain"), (2, "http://a/x?unipro=uni&lev4=0&lev3=9", "/home/a/f.csv"), (3, "http://a/x?ne3=7&levsut0=1", "/mnt/x python run"), (4, None, None), (5, "not a url", "C:\\b\\d")]
+    t = p.spark.createDataFrame(rows, "id int, u string, s string")
+    return t.select("id", X.code_from_url(F.col("u")).alias("code"), X.canonical_url(F.col("u")).alias("url"), X.redacted_path(F.col("s")).alias("path"))
+
+
+@query("f27_named_region", "SELECT DISTINCT party_raw, CASE WHEN contains(concat(' ', lower(party_raw), ' '), ' economy ') THEN 'E' WHEN contains(concat(' ', lower(party_raw), ' '), ' steel ') THEN 'S' WHEN starts_with(trim(regexp_replace(lower(party_raw), '[^a-z0-9]+', ' ', 'g')), 'brand 1') THEN 'B' ELSE '' END AS region FROM res")
+def _(p):
+    return p.res.select("party_raw").distinct().select("party_raw", X.named_region(F.col("party_raw"), {"steel": "S", "economy": "E", "brand 1": "B"}).alias("region"))
+
+
+@query("f02_f12_percentages", "SELECT election_key, municipality_id, CASE WHEN electors > 100 AND electors <= 10000 THEN CAST(electors AS DOUBLE) / 100 ELSE CAST(electors AS DOUBLE) END AS pct, CASE WHEN electors > 1 THEN CAST(electors AS DOUBLE) / 100 ELSE electors END AS from_basis_points, greatest(0, least(100, electors - 150)) AS clamped FROM tot")
+def _(p):
+    e = F.col("electors").cast("double")
+    return p.tot.select(*_KEY, N.safe_pct(e).alias("pct"), N.safe_pct(e, True).alias("from_basis_points"), N.clamp100(F.col("electors") - 150).alias("clamped"))
+
+
+@query("p09_scope", "SELECT election_key, municipality_id FROM tot WHERE CASE WHEN electors % 3 = 0 THEN lower(province) IN ('nation_1', 'nation_2') ELSE contains(lower(region), 'a') END")
+def _(p):
+    province = F.when(F.col("electors") % 3 == 0, F.lower("province"))  # elsewhere the constituency's text tells
+    return p.tot.filter(F.when(province.isNotNull(), province.isin("nation_1", "nation_2")).otherwise(F.lower("region").contains("a"))).select(*_KEY)
+
+
+@query("g04_g05_g07_hit_test", """, pt AS (SELECT municipality_id AS key, CAST(CAST(municipality_id AS BIGINT) * 37 % 400 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS x, CAST(CAST(municipality_id AS BIGINT) * 91 % 300 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS y FROM (SELECT DISTINCT municipality_id FROM tot)),
+ ed(id, ord, ax, ay, ex, ey) AS (VALUES ('tri', 1, 0, 0, 200, 0), ('tri', 1, 200, 0, 100, 250), ('tri', 1, 100, 250, 0, 0), ('box', 2, 150, 50, 390, 50), ('box', 2, 390, 50, 390, 200), ('box', 2, 390, 200, 150, 200), ('box', 2, 150, 200, 150, 50)),
+ hit AS (SELECT key, x, y, id, ord FROM pt, ed WHERE (ay > y) <> (ey > y) AND x < CAST(ex - ax AS DOUBLE) * (y - ay) / (ey - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)
+ SELECT key, arg_max(id, ord) AS id, any_value(abs(x) > 360 OR abs(y) > 180) AS projected FROM hit GROUP BY 1""")
+def _(p):
+    n = F.col("key").cast("long")
+    points = p.tot.select(F.col("municipality_id").alias("key")).distinct().select("key", ((n * 37 % 400).cast("double") + 0.5).alias("x"), ((n * 91 % 300).cast("double") + 0.25).alias("y"))
+    shapes = p.spark.createDataFrame([("tri", 1, [(0.0, 0.0), (200.0, 0.0), (100.0, 250.0)]), ("box", 2, [(150.0, 50.0), (390.0, 50.0), (390.0, 200.0), (150.0, 200.0)])], "id string, ord int, ring array<struct<x double, y double>>")
+    return G.hit_test(points, shapes, 32.0).join(points, "key").select("key", "id", G.is_projected(F.col("x"), F.col("y")).alias("projected"))
+
+
+@query("r03_vertices", "SELECT * FROM (VALUES (1, 7), (2, 0)) t(id, n)", prelude=False)
+def _(p):
+    t = p.spark.createDataFrame([(1, [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]], [[2.0, 2.0], [3.0, 2.0], [2.0, 2.0]]]), (2, [])], "id int, rings array<array<array<double>>>")
+    return t.select("id", G.vertices(F.col("rings")).alias("n"))
+
+
+@query("a18_archetype_distribution", _ARCH + ", k AS (SELECT label, municipality_id, row_number() OVER (PARTITION BY label ORDER BY municipality_id) AS i FROM ar) SELECT label, count(*) AS n, string_agg(CASE WHEN i <= 6 THEN municipality_id END, '|' ORDER BY municipality_id) AS first_places FROM k GROUP BY 1 ORDER BY n DESC, label LIMIT 6")
+def _(p):
+    return R.label_distribution(archetypes(p), 6, 6)
+
+
+@query("a34_release_counts", "SELECT CASE WHEN kind = 0 THEN 'csv' ELSE 'json' END AS kind, count(*) AS files, CAST(sum(electors) AS BIGINT) AS bytes FROM (SELECT electors % 2 AS kind, electors FROM tot) GROUP BY 1")
+def _(p):
+    return p.tot.groupBy(F.when(F.col("electors") % 2 == 0, "csv").otherwise("json").alias("kind")).agg(F.count(F.lit(1)).alias("files"), F.sum("electors").alias("bytes"))

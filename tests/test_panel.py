@@ -109,3 +109,13 @@ def test_fill_from_context_and_whole_tokens(spark, tmp_path):
         (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
     spark.createDataFrame([(1, "È" + "ab " * 30)], "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert QUERIES["f09_token"](spark, str(tmp_path)).first().token == "e" + ("ab " * 30).strip()
+
+
+def test_view_state():
+    from panelatlas.plans.view_state import ViewState
+
+    v = ViewState("e1", metric="swing_compare", group_mode="bloc", provinces=("A|", "B")[1:] + ("C",), compare_municipalities=tuple("12345"), min_share=2.5, page=3)
+    n = v.normalised()
+    assert (n.group_mode, n.compare_municipalities) == ("party_raw", ("1", "2", "3", "4"))
+    assert ViewState.of(v.query()) == n and ViewState.of(n.params()) == n and "party=" not in n.query()
+    assert ViewState.of({"metric": "dominant_block"}).group_mode == "bloc" and ViewState.of({"metric": "?"}).metric == "turnout"
