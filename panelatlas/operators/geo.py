@@ -31,5 +31,5 @@ def hit_test(points: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     n = F.size("ring")
     edges = F.transform("ring", lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get("ring", (i + 1) % n)["x"].alias("bx"), F.get("ring", (i + 1) % n)["y"].alias("by")))
     y = F.col("y")
-    crossed = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (F.col("x") < (e["bx"] - e["ax"]) * F.try_divide(y - e["ay"], e["by"] - e["ay"]) + e["ax"]))
+    crossed = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (F.col("x") < F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]))
     return near.filter(F.size(crossed) % 2 == 1).groupBy("key").agg(F.max_by("id", "ord").alias("id"))
