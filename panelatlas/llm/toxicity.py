@@ -5,19 +5,24 @@ stretch it spans in either word, up to ``span`` letters, over a norm that depend
 changed still shares most of its subsequences; characters other than letters are taken out first (digits and signs that
 stand for letters are read as such), and words spelled with spaces between their letters are closed up.
 
-Fitting, on labelled texts only:
-
-* letter groups found in many toxic and hardly any clean texts point to the words that make a text toxic (the witnesses);
-* ``landmarks`` witnesses and common words are the Nyström basis: a word's features are its kernel values with them, times
-  the inverse root of the landmarks' kernel matrix; a linear SVM (squared hinge, Newton's method) separates witnesses from
-  the words of clean texts; clean words that come out highest are added, and it is fitted again;
-* a text's value is the highest of its words'; a logistic curve over the training texts turns it into a score.
+A sentence's kernel value with a landmark is that of its best word. The machine is trained on labelled sentences: each sentence
+of a clean text is clean, and of a toxic text at least one sentence is toxic, which of them being found as it learns
+(multiple-instance learning). Fitting, on labelled texts only:
+
+* start: letter groups that more toxic texts have than chance allows for so many groups point to each toxic text's first
+  guess of a toxic sentence and its word; if none is beyond chance, the best few are taken;
+* ``landmarks`` of these words and of clean ones are the Nyström basis: features are kernel values with them, times the
+  inverse root of the landmarks' kernel matrix; a linear SVM (squared hinge, Newton's method) separates the sentences;
+* ``rounds`` times the sentences are judged again: of a toxic text those above 0, or else its highest one, are its toxic
+  sentences from then on, the others don't count; of the clean sentences the ``hardest`` join those already held;
+* a text's value is the highest of its sentences'; a logistic curve over texts the SVM hasn't seen turns it into a score.
 
 As the kernel is linear in the subsequences, landmarks, basis and SVM fold into one weight per subsequence, a table of
 fixed size, and scoring a word is a sum over its subsequences. Words are remembered by each Python worker.
 
 Fitting takes a sample of at most ``per_class`` texts of each label, of at most ``max_bytes`` each, drawn by a hash of the
-identifier; scoring reads every text whole. Null texts count as empty and score like texts without words. Without both
+identifier, and begins with at most ``starts`` toxic words and ``clean_words`` clean ones (the commonest third, and an even
+choice of the rest); scoring reads every text whole. Null texts count as empty and score like texts without words. Without both
 labels in the sample every text scores the share of toxic labels (0.5 without any). Repeated rows score alike.
 """
 
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -38,6 +44,7 @@ from .common import text_bytes
 
 # Signs that stand for letters.
 STANDS_FOR = str.maketrans("013457@$", "oieastas")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 _CHUNK, _STEP = 32, 16
 _CODES = 64
@@ -206,102 +213,134 @@ def _platt(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def _witnesses(toxic: Iterable[set[str]], n1: int, clean_words: Counter, n0: int) -> Counter:
-    """Words of toxic texts with a letter group (3 to 8 letters) that many toxic and hardly any clean texts have, by texts.
-
-    ``clean_words`` counts the ``n0`` clean texts by their words; of the ``n1`` toxic ones only rare words are held.
+class Sentences:
+    """The words of labelled sentences, as numbers: those of sentence i are ``flat[start[i]:start[i + 1]]``."""
+
+    def __init__(self, texts: Iterable[tuple[int, str]]):
+        number: dict[str, int] = {}
+        flat, start, text = array("i"), array("q", [0]), array("i")
+        for i, t in texts:
+            for sentence in _SENTENCE_END.split(t):
+                words = dict.fromkeys(p for token in tokens(sentence) for p in chunks(letters(token)) if len(p) >= 3)
+                if words:
+                    flat.extend(number.setdefault(w, len(number)) for w in words)
+                    start.append(len(flat))
+                    text.append(i)
+        self.words, self.number = list(number), number
+        self.flat, self.start, self.text = (np.array(x) for x in (flat, start, text))
+
+    def texts_with(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, how many clean and how many toxic texts have it."""
+        n = max(1, len(self.words))
+        pairs = np.unique(np.repeat(self.text, np.diff(self.start)).astype(np.int64) * n + self.flat)
+        toxic = label[pairs // n] == 1
+        return np.bincount(pairs[~toxic] % n, minlength=n), np.bincount(pairs[toxic] % n, minlength=n)
+
+    def best(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's highest value of its words, and the first word that has it."""
+        v, sizes = value[self.flat], np.diff(self.start)
+        top = np.maximum.reduceat(v, self.start[:-1])
+        at = np.flatnonzero(v == np.repeat(top, sizes))
+        first = np.unique(np.repeat(np.arange(len(top)), sizes)[at], return_index=True)[1]
+        return top, self.flat[at[first]]
+
+
+def _starts(toxic: list[list[str]], n1: int, clean_words: Counter, n0: int) -> Counter:
+    """Words of toxic texts with a letter group (3 to 8 letters) that more toxic texts have than chance allows, by texts.
+
+    ``toxic`` has the words of each of the ``n1`` toxic texts; ``clean_words`` counts the ``n0`` clean texts by their words.
     """
-    odd = [[w for w in d if len(w) >= 3 and clean_words.get(w, 0) <= 0.0005 * n0] for d in toxic]
     floor = max(2, 0.01 * n1)
     df: dict[str, int] = {}
     alive: set[str] | None = None
     for k in range(3, 9):  # a frequent group begins with a frequent shorter one
         level: Counter = Counter()
-        for d in odd:
+        for d in toxic:
             level.update({w[i : i + k] for w in d for i in range(len(w) - k + 1) if alive is None or w[i : i + k - 1] in alive})
         found_k = {g: n for g, n in level.items() if n >= floor}
         df.update(found_k)
         alive = set(found_k)
-    want = set(df)
     in_clean: Counter = Counter()  # by words: a text with two such words counts twice, on the side of caution
     for w, n in clean_words.items():
-        for g in {w[i : i + k] for k in range(3, 9) for i in range(len(w) - k + 1)} & want:
+        for g in {w[i : i + k] for k in range(3, 9) for i in range(len(w) - k + 1)} & df.keys():
             in_clean[g] += n
-    strength = {}
-    for g in want:
-        a, b = df[g] / n1, in_clean[g] / n0
-        # Chance alone gives a group of clean text a share like b; one standard error of the count is held against it.
-        if df[g] - math.sqrt(df[g]) > 3 * n1 * (in_clean[g] + 1) / n0 and b < 0.05 * a:
-            strength[g] = df[g]
+    # A group's texts are toxic by chance with the share of all; Chernoff's bound on the chance of so many of them.
+    share, beyond = n1 / (n1 + n0), {}
+    for g, a in df.items():
+        b = in_clean[g]
+        if b * n1 < 0.2 * a * n0:
+            beyond[g] = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)
+    strength = {g: v for g, v in beyond.items() if v > math.log(max(2, len(df)))}
+    if not strength and beyond:
+        least = sorted(beyond.values())[-min(len(beyond), 20)]
+        strength = {g: v for g, v in beyond.items() if v >= least}
     found: Counter = Counter()
-    for d in odd:
-        best: dict[str, int] = {}
-        for w in d:
-            s = max((strength[g] for n in range(3, 9) for i in range(len(w) - n + 1) if (g := w[i : i + n]) in strength), default=0)
-            if s:
-                best[w] = s
-        if best:
-            most = max(best.values())
-            found.update(w for w, s in best.items() if s >= 0.3 * most)
+    for d in toxic:
+        best = {w: s for w in d if (s := max((strength[g] for n in range(3, 9) for i in range(len(w) - n + 1) if (g := w[i : i + n]) in strength), default=0))}
+        most = max(best.values(), default=0)
+        found.update(w for w, s in best.items() if s >= 0.3 * most)
     return found
 
 
-def fit(texts: list[str], labels: list[int], landmarks: int = 256, kernel: Kernel | None = None) -> Model:
+def fit(texts: list[str], labels: list[int], landmarks: int = 256, kernel: Kernel | None = None, rounds: int = 5, hardest: int = 6000, starts: int = 4000, clean_words: int = 12_000) -> Model:
     kernel = kernel or Kernel()
     y = np.array(labels, dtype=int)
-    share = (y.sum() + 1) / (len(y) + 2)
+    constant = Model(None, 0.0, 0.0, float((y.sum() + 1) / (len(y) + 2)), kernel)
     if not len(y) or y.min() == y.max():
-        return Model(None, 0.0, 0.0, float(share), kernel)
-    same: dict[str, str] = {}  # one string for each word of the sample
-
-    def words_of(which: int) -> Iterator[set[str]]:
-        """The words of each text to learn from, one text at a time."""
-        for x, k, t in zip(texts, y, turn_of):
-            if k == which and t:
-                yield {same.setdefault(p, p) for w in set(tokens(x)) for p in chunks(letters(w))}
-
-    # Every fifth text is kept for the logistic curve: words the SVM has not seen must not look better than they are.
+        return constant
+    # Every fifth text is kept for the logistic curve: sentences the SVM has not seen must not look better than they are.
     turn_of = np.zeros(len(y), dtype=int)
     for k in (0, 1):
         turn_of[y == k] = np.arange((y == k).sum()) % 5
-    n1, n0 = int(((y == 1) & (turn_of > 0)).sum()), int(((y == 0) & (turn_of > 0)).sum())
-    if not n1 or not n0:
-        return Model(None, 0.0, 0.0, float(share), kernel)
-    clean_words: Counter = Counter()
-    for d in words_of(0):
-        clean_words.update(d)
-    witness = _witnesses(words_of(1), n1, clean_words, n0)
-    if not witness:
-        return Model(None, 0.0, 0.0, float(share), kernel)
-    plain = Counter({w: n for w, n in clean_words.items() if len(w) >= 3})
-    for w in list(witness):
-        if plain[w] * n1 > 0.2 * witness[w] * n0:
-            del witness[w]
-    good = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))[:4000]]
-    common = [w for w, _ in sorted(plain.items(), key=lambda x: (-x[1], x[0]))]
-    spread = common[:4000] + common[4000 :: max(1, (len(common) - 4000) // 8000)]
-    basis = list(dict.fromkeys(good[: landmarks // 2] + common[: landmarks // 4] + common[landmarks // 4 :: max(1, len(common) // (landmarks // 4))][: landmarks // 4]))
+    n0, n1 = (int(((y == k) & (turn_of > 0)).sum()) for k in (0, 1))
+    learn = Sentences((i, t) for i, t in enumerate(texts) if turn_of[i])
+    if not n1 or not n0 or not len(learn.text):
+        return constant
+    words, label = learn.words, y[learn.text]
+    in_clean, in_toxic = learn.texts_with(y)
+    able = in_clean * n1 <= 0.2 * in_toxic * n0  # words that clean texts hardly have, next to toxic ones
+    of_text: dict[int, set[int]] = {}
+    for s in np.flatnonzero(label == 1):
+        at = learn.flat[learn.start[s] : learn.start[s + 1]]
+        of_text.setdefault(int(learn.text[s]), set()).update(at[able[at]].tolist())
+    count = Counter({words[i]: int(in_clean[i]) for i in np.flatnonzero(in_clean)})
+    found = _starts([[words[i] for i in sorted(d)] for d in of_text.values()], n1, count, n0)
+    good = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:starts]]
+    if not good:
+        return constant
+    common = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
+    most = clean_words // 3
+    quarter = landmarks // 4
+    basis = list(dict.fromkeys(good[: landmarks // 2] + common[:quarter] + common[quarter :: max(1, len(common) // quarter)][:quarter]))
     place, dense = kernel.dense(basis)
     values, vectors = np.linalg.eigh(dense.T @ dense)
     ok = values > 1e-8
     root = vectors[:, ok] / np.sqrt(values[ok])
-    negative = spread
-    for turn in range(4):
-        words = good + negative
-        x = np.ones((len(words), root.shape[1] + 1))
-        for at in range(0, len(words), 4096):
-            x[at : at + 4096, :-1] = kernel.basis_values(words[at : at + 4096], place, dense) @ root
-        target = np.array([1.0] * len(good) + [-1.0] * len(negative))
-        weight = np.where(target > 0, 4.0, 1.0)
-        w = _svm(x, target, weight)
+    # Sentences by their best word: the toxic ones, and the clean ones with a weight for how many they are.
+    toxic = [learn.number[w] for w in good]
+    clean = {learn.number[w]: 1.0 for w in common[:most] + common[most :: max(1, (len(common) - most) // (clean_words - most))]}
+    for turn in range(rounds):
+        use = toxic + list(clean)
+        x = np.ones((len(use), root.shape[1] + 1))
+        for at in range(0, len(use), 4096):
+            x[at : at + 4096, :-1] = kernel.basis_values([words[i] for i in use[at : at + 4096]], place, dense) @ root
+        target = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
+        w = _svm(x, target, np.array([4.0] * len(toxic) + [3.0 * v for v in clean.values()]))
         del x
-        weights = dense @ (root @ w[:-1])
-        model = Model(weights[place], float(w[-1]), 1.0, 0.0, kernel)
-        if turn == 3:
+        model = Model((dense @ (root @ w[:-1]))[place], float(w[-1]), 1.0, 0.0, kernel)
+        if turn == rounds - 1:
+            break
+        value = model.words(words)
+        top, word = learn.best(value)
+        hard = Counter(word[label == 0].tolist())
+        for i in sorted(hard, key=lambda i: (-value[i], words[i]))[:hardest]:
+            clean[i] = max(clean.get(i, 0.0), 1.0 + math.log(hard[i]))
+        highest = np.full(len(y), -np.inf)
+        np.maximum.at(highest, learn.text, top)
+        judged = (label == 1) & ((top > 0) | (top >= highest[learn.text])) & able[word]
+        if not judged.any():
             break
-        v = model.words(common)
-        hard = [common[i] for i in np.argsort(-v)[:4000]]
-        negative = list(dict.fromkeys(spread + hard)) if turn == 0 else list(dict.fromkeys(negative + hard))
+        toxic = sorted(set(word[judged].tolist()))
     apart = [i for i in range(len(y)) if not turn_of[i]]
     held = [texts[i] for i in apart]
     model.a, model.b = _platt(np.array([v for at in range(0, len(held), 256) for v in model.values(held[at : at + 256])]), y[apart])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -202,6 +203,81 @@ def test_toxicity_learns_gapped_words():
     assert 0 <= toxicity.fit([], []).score("x") <= 1 and toxicity.fit(["a"], [1]).score("x") > 0.5
 
 
+def _insulted(n: int, seed: int, noise: float = 0.0) -> list[tuple[str, int]]:
+    rnd = random.Random(seed)
+    plain = ["".join(rnd.choice("abdeghilmnorstu") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
+    line = lambda: " ".join(rnd.choice(plain) for _ in range(8)) + "."
+    out = []
+    for i in range(n):
+        toxic = i % 4 == 0
+        lines = [line() for _ in range(5)]
+        if toxic or rnd.random() < noise:
+            lines.insert(rnd.randrange(5), rnd.choice(["such a zwickelkopf", "you quarkface"]) + " " + line())
+        out.append((" ".join(lines), int(toxic)))
+    return out
+
+
+def test_toxicity_kernel_against_direct_counts():
+    words, span, decay = ["idiot", "idixot", "toidi", "abc", "loooser", "über"], 6, 0.7
+    code = lambda w: [int(c) for c in toxicity._code([w])[0]]
+
+    def weights(w):
+        return [(i, j, k) for i, j, k in itertools.combinations(range(len(w)), 3) if k - i < span]
+
+    def direct(a, b):
+        size = lambda w: sum(decay ** (2 * (k - i + 1)) for i, _, k in weights(w)) ** 0.5
+        ca, cb, total = code(a), code(b), 0.0
+        for i, j, k in weights(a):
+            for p, q, r in weights(b):
+                if (ca[i], ca[j], ca[k]) == (cb[p], cb[q], cb[r]):
+                    total += decay ** (k - i + 1 + r - p + 1)
+        return total / size(a) / size(b)
+
+    kernel = toxicity.Kernel(span, decay)
+    place, dense = kernel.dense(words)
+    want = np.array([[direct(a, b) for b in words] for a in words])
+    assert np.allclose(dense.T @ dense, want) and np.allclose(kernel.basis_values(words, place, dense), want)
+    values, vectors = np.linalg.eigh(want)
+    features = want @ (vectors[:, values > 1e-9] / np.sqrt(values[values > 1e-9]))
+    assert np.allclose(features @ features.T, want)  # Nyström with all words as landmarks is the kernel itself
+
+
+def test_toxicity_sentences_and_their_best_words():
+    learn = toxicity.Sentences(enumerate(["Oh no. You idiot! Fine day\nlast one", "", "a b", "fine idiot"]))
+    spans = [[learn.words[w] for w in learn.flat[a:b]] for a, b in zip(learn.start, learn.start[1:])]
+    assert spans == [["you", "idiot"], ["fine", "day"], ["last", "one"], ["fine", "idiot"]] and learn.text.tolist() == [0, 0, 0, 3]
+    value = np.array([float(w == "idiot") - 0.1 * (w == "one") for w in learn.words])
+    top, word = learn.best(value)
+    assert top.tolist() == [1, 0, 0, 1] and [learn.words[w] for w in word] == ["idiot", "fine", "last", "idiot"]
+    clean, toxic = learn.texts_with(np.array([1, 0, 0, 0]))
+    assert clean[learn.number["idiot"]] == toxic[learn.number["idiot"]] == 1 and toxic[learn.number["day"]] == 1 and clean[learn.number["day"]] == 0
+
+
+def test_toxicity_learns_through_wrong_clean_labels():
+    data = _insulted(600, 5, noise=0.02)
+    m = toxicity.fit([t for t, _ in data[:400]], [y for _, y in data[:400]])
+    found = [m.score(t) >= 0.5 for t, y in data[400:] if y]
+    assert sum(found) >= 0.9 * len(found) and m.score("an ordinary line") < 0.5 and m.score("zwixckelkopf") >= 0.5
+
+
+def test_toxicity_through_spark(spark):
+    data = _insulted(240, 6)
+    rows = [(i, t, "x") for i, (t, _) in enumerate(data)] + [(0, data[0][0], "x"), (900, None, "x"), (901, "", None), (None, "you quarkface", "x"), (902, "word " * 30_000 + "zwickelkopf", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.fit(*toxicity.sample(docs, labels))
+    got = [(r.doc_id, r.score) for r in toxicity.score_texts(docs, model).collect()]
+    assert len(got) == len(rows) and all(0 <= s <= 1 for _, s in got)
+    by = dict(got)
+    assert len({s for i, s in got if i == 0}) == 1 and by[900] == by[901] < 0.5 <= by[None] and by[902] >= 0.5
+    left = toxicity.drop_toxic(docs, model)
+    assert left.columns == docs.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(i) for i, s in got if s < 0.5)
+    none = toxicity.fit(*toxicity.sample(docs.limit(0), labels))
+    assert toxicity.score_texts(docs.limit(0), none).count() == 0
+    unknown = toxicity.fit(*toxicity.sample(docs, labels.limit(0)))
+    assert {r.score for r in toxicity.score_texts(docs, unknown).collect()} == {0.5}
+
+
 def test_language_model(spark, texts):
     held = (F.col("doc_id") % 5) == 0
     shards = {"shard_tokens": 400, "chunk_bytes": 3000}  # a frequent word's successors lie in several shards
