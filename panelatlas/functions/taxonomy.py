@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 Rule = tuple[str, str, str, str]  # pattern, display, family, bloc
 
 
-def read_rules(path: str | None = None) -> tuple[Rule, ...]:
-    """Rules of a CSV file with a header; lines that begin with # are comments. Without a path, the ingest rules."""
-    text = Path(path).read_text("utf-8") if path else files("panelatlas").joinpath("data/party_rules_ingest.csv").read_text("utf-8")
+def read_rules(path: str | None = None, shipped: str = "ingest") -> tuple[Rule, ...]:
+    """Rules of a CSV file with a header; lines that begin with # are comments. Without a path, the shipped ones: ``ingest``,
+    or ``view`` (F30)."""
+    text = Path(path).read_text("utf-8") if path else files("panelatlas").joinpath(f"data/party_rules_{shipped}.csv").read_text("utf-8")
     rows = csv.DictReader(line for line in text.splitlines() if not line.startswith("#"))
     return tuple((r["pattern"], r["display"], r["family"], r["bloc"]) for r in rows)
 
 
 INGEST_V1 = read_rules()
+VIEW_V1 = read_rules(shipped="view")
 
 
 def party_meta(label: Column, rules: Sequence[Rule] = INGEST_V1) -> Column:
