@@ -21,7 +21,7 @@ def safe_float(text: Column) -> Column:
 
 
 def safe_number(text: Column) -> Column:
-    """Reader parser: as above, but ``1.234`` stays a decimal, only the first comma turns into a point, and % is not read."""
+    """Reader parser: as above, but ``1.234`` stays a decimal, only the first comma turns into a point, and % is not read."""
     t = _clean(text, r"\s")
     comma, point = t.contains(","), t.contains(".")
     comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
@@ -37,7 +37,7 @@ def safe_pct(value: Column, basis_points: bool = False) -> Column:
 
 
 def safe_count(text: Column, thousands_first: bool = False) -> Column:
-    """A whole number: ``d.0`` is rounded, else all but digits is dropped. ``thousands_first`` reads ``1.000`` as 1000."""
+    """a whole number: ``d.0`` is rounded, else all but digits is dropped. ``thousands_first`` reads ``1.000`` as 1000."""
     t = F.trim(text)
     digits = F.regexp_replace(t, r"\D", "")
     whole = F.when(t.rlike(r"^-?\d+\.0+$"), F.round(t.try_cast("double")).cast("long")).otherwise(F.when(digits != "", digits).try_cast("long"))

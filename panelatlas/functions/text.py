@@ -40,7 +40,7 @@ def base_name(text: Column) -> Column:
 
 
 def notes(text: Column) -> Column:
-    """Distinct tokens of a pipe-separated note, in order."""
+    """distinct tokens of a pipe-separated note, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 

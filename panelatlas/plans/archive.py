@@ -187,6 +187,11 @@ def _(p):
     return p.tot.select(*_KEY, b.alias("b")).select(*_KEY, F.array_join("b.can_say", "|").alias("can_say"), F.array_join("b.caution", "|").alias("caution"))
 
 
+@query("f34_notes", f", t AS ({TURNOUT}), x AS (SELECT election_key, municipality_id, [trim(k) FOR k IN string_split(coalesce(comparability_note, ''), '|')] AS f FROM t) SELECT election_key, municipality_id, array_to_string([k FOR k, i IN f IF k <> '' AND list_position(f, k) = i], '|') AS note_tokens FROM x")
+def _(p):
+    return made(p, TURNOUT).select(*_KEY, F.array_join(X.notes(F.col("comparability_note")), "|").alias("note_tokens"))
+
+
 PARTIES = """CASE votes % 12 WHEN 0 THEN 'DC' WHEN 1 THEN 'Partito Democratico' WHEN 2 THEN 'LEGA NORD' WHEN 3 THEN 'Sviluppo-Legalità' WHEN 4 THEN 'P.C.I.' WHEN 5 THEN 'lista verde' WHEN 6 THEN 'Movimento 5 Stelle' WHEN 7 THEN 'SVP' WHEN 8 THEN NULL WHEN 9 THEN 'L''Ulivo' WHEN 10 THEN 'Azione - Italia Viva' ELSE party_raw END"""
 
 

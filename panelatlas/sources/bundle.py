@@ -1,4 +1,7 @@
-"""Published bundles: a manifest, datasets by key, results sharded by election, hashes."""
+"""Published bundles: a manifest, datasets by key, results sharded by election, hashes.
+
+Reads run in Spark's tasks (S02) and take gzip by a file's ending (S03).
+"""
 
 from __future__ import annotations
 
@@ -28,6 +31,7 @@ class Bundle:
         return posixpath.join(self.root, files[key])
 
     def load(self, key: str, schema: str | None = None) -> DataFrame:
+        """A dataset by its key, read by its file's ending."""
         path = self.path(key)
         kind = path.rsplit(".", 1)[-1] if not path.endswith(".csv.gz") else "csv"
         reader = self.spark.read.schema(schema) if schema else self.spark.read
@@ -43,7 +47,7 @@ class Bundle:
         return [r[0] for r in self.load("elections_master").select("election_key").distinct().orderBy("election_key").collect()]  # a row an election
 
     def results_for_election(self, key: str) -> DataFrame:
-        """One partition of the sharded results; Spark prunes the others."""
+        """One partition of the sharded results; Spark prunes the others."""
         return self.load("municipality_results_long").filter(F.col("election_key") == key)
 
     def summary_for_election(self, key: str) -> DataFrame:
@@ -56,7 +60,7 @@ class Bundle:
         return out
 
     def verify_integrity(self) -> DataFrame:
-        """Per declared file: dataset_key, status (ok, missing_path, missing_file, mismatch)."""
+        """Per declared file: dataset_key, status (ok, missing_path, missing_file, mismatch)."""
         declared = [(k, v.get("path"), v.get("sha256")) for k, v in self.manifest.get("hashes", {}).items()]
         want = self.spark.createDataFrame(declared, "dataset_key string, path string, sha256 string")
         have = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", F.sha2("content", 256).alias("actual"))
@@ -74,5 +78,5 @@ def write_shards(rows: DataFrame, path: str, key: str = "election_key") -> DataF
 
 
 def read_clean_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """All-string CSV scan with a header; gzip by its file ending."""
+    """All-string CSV scan with a header; gzip by its file ending."""
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(path)
