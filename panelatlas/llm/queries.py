@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .conversation_trie import encode, prefix_trie, rebuilt
+from .divergence import audit
 from .embed_dedup import near_vectors
 from .exact_dedup import exact_classes
 from .html_extract import extract
@@ -19,10 +21,14 @@ from .substring_dedup import remove_repeats
 from .token_files import read_token_files, write_token_files
 from .tokens import default_vocabulary
 from .toxicity import fit, sample, score_texts
+from .url_filter import Rule, judge, labelled_urls
+from .url_filter import fit as fit_urls
 
 #: Target shares of the mixture; a source not named has one.
 SHARES = {"src0": 8, "src1": 4, "src2": 2}
 BLOCK_ROWS = 64
+#: Verdicts that go before the learned one.
+URL_RULES = [Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
 
 def id_bucket(doc_id: Column, n: int) -> Column:
@@ -73,6 +79,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), fit_urls(labelled_urls(spark)), URL_RULES)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie(rebuilt(encode(table(spark, sf_dir, "conversations")), head=id_bucket(conv, 9), base=conv - conv % 5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash": op2_simhash,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_url_filters": op11_url_filters,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,4 +137,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT b.doc_id, b.source, k AS source_rank, block, (block // b.a) * w + r AS release_slot, (block // b.a) * w + d AS deadline_slot,
                (block // b.a) * w + slot AS slot, k % {BLOCK_ROWS} AS place_in_block
         FROM b JOIN plan ON plan.source = b.source AND plan.j = block % b.a""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i FROM documents),
+        t AS (SELECT lang, source, i, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{80}-\x{10FFFF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+        n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (n + 2 * v)::HUGEINT AS p
+              FROM g JOIN kept USING (lang) JOIN n USING (lang, source) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (tc + 2)) // (ln + 2 * v)::HUGEINT AS q
+              FROM (SELECT lang, term, sum(c)::HUGEINT AS tc FROM c GROUP BY ALL) JOIN (SELECT lang, sum(n)::HUGEINT AS ln FROM n GROUP BY 1) USING (lang) JOIN v USING (lang)),
+        f AS (SELECT a.lang, a.source, b.source AS item, ((a.p - b.p) * (a.p - b.p)) // (a.p + b.p) AS f FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source),
+        pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce((SELECT sum(f) FROM f WHERE f.lang = a.lang AND f.source = a.source AND f.item = b.source), 0) AS BIGINT) AS value
+                 FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source),
+        term AS (SELECT p.lang, p.source, p.term AS item, CAST(((p.p - q.q) * (p.p - q.q)) // (p.p + q.q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q),
+        r AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+        SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r) WHERE part = 'pair' OR rank <= 10""",
+    "op13_conversation_trie": """
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        i AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM t),
+        h AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] for x in string_split(s, '')])),
+                lambda a, b: xor(xor(a, b) >> 1, 3988292384::BIGINT * (xor(a, b) & 1))), 4294967295::BIGINT) % 9 AS h FROM i),
+        r AS (SELECT c, 0 AS part, pos, role, text FROM h JOIN t ON t.conv_id = base WHERE pos < h UNION ALL SELECT c, 1, pos, role, text FROM h JOIN t ON t.conv_id = c WHERE pos >= h),
+        s AS (SELECT c, coalesce(list(struct_pack(role, text) ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS seq FROM h LEFT JOIN r USING (c) GROUP BY c),
+        p AS (SELECT c, seq, d, seq[1:d] AS path FROM s, unnest(range(len(seq) + 1)) AS u(d)),
+        n AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(seq) = d), '')) AS ends_sha256 FROM p GROUP BY path),
+        k AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.path[1:n.depth] = n.path) AS n_children,
+                     CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].text) END AS own FROM n),
+        b AS (SELECT path[1:a] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM k, unnest(range(depth + 1)) AS u(a) GROUP BY ALL)
+        SELECT k.conv_id, k.depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, k.ends_sha256
+        FROM k JOIN b USING (path) LEFT JOIN n up ON k.depth > 0 AND up.path = k.path[1:k.depth - 1] AND up.depth = k.depth - 1""",
 }
