@@ -15,19 +15,20 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link to another.
 
-    Every round aggregates minima only, so a node with many links is never gathered, and writes its links to the shared
-    folder. Rounds grow with the logarithm of the longest chain. Null ends, loops and repeated links are ignored.
+    Every round aggregates minima only, so a node with many links is never gathered, and writes minima and links to the shared
+    folder. The minima are read again for their join, so that Spark sees two plain shuffles there and can split a node of very
+    many links (adaptive skew join). Rounds grow with the logarithm of the longest chain. Null ends, loops and repeated links are ignored.
     """
     edges = links.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"), (F.col(left) != F.col(right)).alias("apart")).filter("apart").drop("apart")
     edges = materialise(edges.distinct(), "links")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         # Large star: neighbours above a node hang on the smallest of its neighbourhood.
-        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
         # Small star: neighbours below a node, and the node, hang on the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = materialise(small, "links")
         after = _state(edges)
