@@ -2,11 +2,12 @@
 language, with the words that stand out.
 
 1. Partitions count: each task splits whole texts into terms (runs of ASCII letters and of characters beyond ASCII, A-Z
-   lower-cased) and counts them in a radix trie for each language, whose leaves hold the number of documents and one counter
-   a source. A trie of ``TRIE_COUNTERS`` counters is handed on, leaf by leaf in the order of its bytes, and a new one begun.
+   lower-cased) and counts them by source. At ``TRIE_COUNTERS`` counters, and at its end, they go into a radix trie for each
+   language, whose leaves hold the number of documents and one counter a source; it is handed on, leaf by leaf in the order of
+   its bytes, and the counting begins anew.
 2. Tries merge by prefix range: leaves are dealt by ranges of (language, term), so that a term's leaves meet in one task, at
-   most one for each trie handed on; each task merges its range into tries and walks them in the order of UTF-8, keeping terms of at
-   least ``min_docs`` documents. The walk is cut into blocks of some thousand terms, one row each.
+   most one for each trie handed on; each task adds up the documents of its range's leaves, merges those of at least
+   ``min_docs`` into tries and walks them in the order of UTF-8. The walk is cut into blocks of some thousand terms, one row each.
 3. The groups' totals (one row a language) are joined to the blocks, and each block gives exact integer sums for each pair of
    sources and its best terms for each source; as blocks come in the order of UTF-8, ties keep that order.
 
@@ -25,9 +26,11 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ from .common import materialise
 from .radix_trie import RadixTrie
 
 #: Counters that a task holds before it hands its tries on; terms and counters of a block; leaves that a merging task gets.
-TRIE_COUNTERS, BLOCK_TERMS, BLOCK_COUNTERS, RANGE_LEAVES = 400_000, 4096, 200_000, 200_000
+TRIE_COUNTERS, BLOCK_TERMS, BLOCK_COUNTERS, RANGE_LEAVES = 800_000, 4096, 200_000, 200_000
 PIECE = 1 << 20
 _UPPER, _LOWER = range(0x41, 0x5B), range(0x61, 0x7B)
 #: Bytes of terms stay, A-Z lower-cased; all others part terms.
@@ -79,54 +82,65 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         yield piece.split()
 
 
-def _leaves(tries: dict[bytes, RadixTrie]) -> Iterator[tuple]:
-    for lang in sorted(tries):
-        for term, leaf in tries[lang].walk():
-            yield lang, term, leaf.docs, list(leaf.by_source), list(leaf.by_source.values())
+def _flush(counts: dict[bytes, dict[bytes, Counter]], docs: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
+    """The leaves of each language's trie, in order."""
+    for lang in sorted(counts):
+        trie, sources = RadixTrie(), sorted(counts[lang])
+        nodes = {}
+        for term, n in docs[lang].items():
+            node = nodes[term] = trie.leaf(term)
+            node.docs, node.by_source = n, {}
+        for i, s in enumerate(sources):
+            for term, n in counts[lang][s].items():
+                nodes[term].by_source[i] = n
+        del nodes
+        walk, names = trie.walk(), pa.array(sources, pa.binary())
+        while held := list(islice(walk, 20_000)):
+            by = [node.by_source for _, node in held]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in by])]), pa.int32())
+            at, n = pa.array(chain.from_iterable(by), pa.int32()), pa.array(chain.from_iterable(x.values() for x in by), pa.int64())
+            columns = [pa.array([lang] * len(held), pa.binary()), pa.array([t for t, _ in held], pa.binary()), pa.array([node.docs for _, node in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, names.take(at)), pa.ListArray.from_arrays(ends, n)], schema=_schema(LEAVES))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        tries: dict[bytes, RadixTrie] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, counts, docs = batch.slice(at, 500), {}, {}
-                for lang, source, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    n, once = counts.setdefault((lang, source), Counter()), set()
-                    for terms in _pieces(text):
-                        n.update(terms)
-                        once.update(terms)
-                    docs.setdefault(lang, Counter()).update(once)
-                for (lang, source), found in counts.items():
-                    trie, of = tries.setdefault(lang, RadixTrie()), docs[lang]
-                    for term, n in found.items():
-                        trie.add(term, of.pop(term, 0), source, n)  # its documents once, with the first source
-                if sum(t.counters for t in tries.values()) >= TRIE_COUNTERS:
-                    yield from _leaves(tries)
-                    tries = {}
-        yield from _leaves(tries)
-
-    yield from _batches(rows(), LEAVES, 5000)
+    counts: dict[bytes, dict[bytes, Counter]] = {}
+    docs: dict[bytes, Counter] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                n, once = counts.setdefault(lang, {}).setdefault(source, Counter()), set()
+                for terms in _pieces(text):
+                    n.update(terms)
+                    once.update(terms)
+                docs.setdefault(lang, Counter()).update(once)
+            if sum(len(n) for by in counts.values() for n in by.values()) >= TRIE_COUNTERS:
+                yield from _flush(counts, docs)
+                counts, docs = {}, {}
+    yield from _flush(counts, docs)
 
 
 def _merge(min_docs: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A term's leaves are all here. Most terms are rare, so documents are added up first and only what is kept enters the
+        merged trie."""
+        tables = list(batches)
+        if not tables:
+            return
+        rows = pa.Table.from_batches(tables)
+        kept = rows.select(["lang", "term", "docs"]).group_by(["lang", "term"]).aggregate([("docs", "sum")])
+        kept = kept.filter(pc.greater_equal(kept["docs_sum"], min_docs)).select(["lang", "term"])
         tries: dict[bytes, RadixTrie] = {}
-        for batch in batches:
+        for batch in _only(rows, kept):
             for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie = tries.setdefault(lang, RadixTrie())
-                leaf = trie.leaf(term)
-                leaf.docs += docs
-                for s, n in zip(sources, counts, strict=True):
-                    leaf.by_source[s] = leaf.by_source.get(s, 0) + n
+                tries.setdefault(lang, RadixTrie()).add(term, docs, dict(zip(sources, counts, strict=True)))
 
         def blocks():
             for lang in sorted(tries):
                 held, size = [], 0
-                for term, leaf in tries[lang].walk():
-                    if leaf.docs >= min_docs:
-                        held.append((term, leaf.by_source))
-                        size += len(leaf.by_source)
+                for term, node in tries[lang].walk():
+                    held.append((term, node.by_source))
+                    size += len(node.by_source)
                     if len(held) == BLOCK_TERMS or size >= BLOCK_COUNTERS:
                         yield _block(lang, held)
                         held, size = [], 0
@@ -138,6 +152,14 @@ def _merge(min_docs: int):
     return merge
 
 
+def _only(rows: pa.Table, kept: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of the (lang, term) pairs in ``kept``."""
+    for lang in pc.unique(kept["lang"]):
+        terms = kept.filter(pc.equal(kept["lang"], lang))["term"]
+        own = rows.filter(pc.equal(rows["lang"], lang))
+        yield from own.filter(pc.is_in(own["term"], value_set=terms.combine_chunks())).to_batches(max_chunksize=20_000)
+
+
 def _block(lang: bytes, held: list[tuple[bytes, dict]]) -> tuple:
     n = Counter()
     for _, by in held:

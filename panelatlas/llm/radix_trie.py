@@ -5,65 +5,63 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 
-class Leaf:
-    """What is counted of one term: its documents, and its occurrences by source."""
+class Node:
+    """An edge's label and what is below it; where a term ends, its documents and its occurrences by source."""
 
-    __slots__ = ("docs", "by_source")
+    __slots__ = ("label", "below", "docs", "by_source")
 
-    def __init__(self) -> None:
-        self.docs = 0
-        self.by_source: dict = {}
-
-
-class _Node:
-    __slots__ = ("label", "below", "leaf")
+    def __init__(self, label: bytes):
+        self.label, self.below, self.docs, self.by_source = label, None, 0, None
 
-    def __init__(self, label: bytes, leaf: Leaf | None = None):
-        self.label, self.leaf = label, leaf
-        self.below: dict[int, _Node] = {}
+    def add(self, docs: int, by_source: dict) -> None:
+        self.docs += docs
+        if self.by_source is None:
+            self.by_source = dict(by_source)
+        else:
+            for s, n in by_source.items():
+                self.by_source[s] = self.by_source.get(s, 0) + n
 
 
 class RadixTrie:
-    """``counters`` is the number of (term, source) counters held, which tells when to hand the trie on."""
-
     def __init__(self) -> None:
-        self.root, self.counters = _Node(b""), 0
+        self.root = Node(b"")
 
-    def leaf(self, term: bytes) -> Leaf:
-        """The leaf of ``term``, made where there is none."""
-        node, at = self.root, 0
-        while at < len(term):
+    def leaf(self, term: bytes) -> Node:
+        """The node of ``term``, made where there is none."""
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            if node.below is None:
+                node.below = {}
             child = node.below.get(term[at])
             if child is None:
-                child = node.below[term[at]] = _Node(term[at:])
-                node, at = child, len(term)
-            elif term.startswith(child.label, at):
-                node, at = child, at + len(child.label)
-            else:  # the edge is cut where the two part
-                label, k = child.label, 1
-                while at + k < len(term) and label[k] == term[at + k]:
-                    k += 1
-                cut = node.below[term[at]] = _Node(label[:k])
-                child.label = label[k:]
-                cut.below[label[k]] = child
-                node, at = cut, at + k
-        if node.leaf is None:
-            node.leaf = Leaf()
-        return node.leaf
+                child = node.below[term[at]] = Node(term[at:])
+                return child
+            label = child.label
+            if term.startswith(label, at):
+                node, at = child, at + len(label)
+                continue
+            k = 1  # the edge is cut where the two part
+            while at + k < end and label[k] == term[at + k]:
+                k += 1
+            cut = node.below[term[at]] = Node(label[:k])
+            child.label, cut.below = label[k:], {label[k]: child}
+            node, at = cut, at + k
+        return node
+
+    def add(self, term: bytes, docs: int, by_source: dict) -> None:
+        self.leaf(term).add(docs, by_source)
 
-    def add(self, term: bytes, docs: int, source, n: int) -> None:
-        leaf = self.leaf(term)
-        leaf.docs += docs
-        if n:
-            self.counters += source not in leaf.by_source
-            leaf.by_source[source] = leaf.by_source.get(source, 0) + n
+    def merge(self, other: RadixTrie) -> None:
+        for term, node in other.walk():
+            self.add(term, node.docs, node.by_source)
 
-    def walk(self) -> Iterator[tuple[bytes, Leaf]]:
-        """(term, leaf) by the terms' bytes, which is the order of code points too."""
+    def walk(self) -> Iterator[tuple[bytes, Node]]:
+        """(term, node) by the terms' bytes, which is the order of code points too."""
         todo = [(b"", self.root)]
         while todo:
             before, node = todo.pop()
             term = before + node.label
-            if node.leaf is not None:
-                yield term, node.leaf
-            todo += [(term, node.below[k]) for k in sorted(node.below, reverse=True)]
+            if node.by_source is not None:
+                yield term, node
+            if node.below is not None:
+                todo += [(term, node.below[k]) for k in sorted(node.below, reverse=True)] if len(node.below) > 1 else [(term, x) for x in node.below.values()]
