@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TABLES = ["lineitem", "orders", "customer", "nation", "region", "part"]
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     brand = F.substring("p_brand", 7, 10).cast("int")
@@ -17,8 +20,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
         .join(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(t("nation").select("n_nationkey", "n_name", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(t("region").select("r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(t("nation").select("n_nationkey", "n_name", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t("region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(t("part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     )
     year = F.year("o_orderdate")

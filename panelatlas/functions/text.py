@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters they stand on.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def plain_letters(form: str = "NFD") -> tuple[str, str]:
+    """Characters of Unicode that decompose to one ASCII letter or digit and marks, and what they decompose to; then the marks
+    themselves, which have no counterpart and so go."""
+    bare = lambda c: unicodedata.normalize(form, c).translate(dict.fromkeys(map(ord, MARKS)))
+    plain = {c: bare(c) for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c)}
+    plain = {c: d for c, d in plain.items() if len(d) == 1 and d.isascii() and d.isalnum()}
+    return "".join(plain) + MARKS, "".join(plain.values())
+
+
+NFD = plain_letters()
 # Note tokens that say nothing about quality.
 ROUTINE_NOTES = ["turnout_from_clean", "counts_corrected_from_turnout", "party_rows_checked"]
 
 
 def token(text: Column) -> Column:
-    """Without accents, lower case, everything but letters and digits a space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, ACCENTED, PLAIN)), "[^a-z0-9]+", " "))
+    """decomposed (NFD), without marks, lower case, everything but ASCII letters and digits a space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, *NFD)), "[^a-z0-9]+", " "))
 
 
 def squeeze(text: Column) -> Column:
@@ -90,6 +103,40 @@ def canonical_url(url: Column) -> Column:
     return F.replace(F.replace(F.regexp_replace(t, "[?&]+$", ""), F.lit("?&"), F.lit("?")), F.lit("&&"), F.lit("&"))
 
 
+def historical_url(url: Column) -> Column:
+    """a url whose parameters lev1 to ne4 hold tokens ``entity-levNvalue`` gets them as parameters neN and levN (with esN and
+    levsutN where they are missing), tpe=C where lev3 says something, and its query sorted by name; the fragment goes.
+
+    Of parameters of one name the last counts, blank ones stay; the parameters are asked in order, and later ones see what
+    earlier ones set. Null counts as empty; what can't be decoded stays as it is."""
+    url = F.coalesce(url, F.lit(""))
+    head, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    read = lambda t: F.coalesce(F.try_url_decode(t), t)
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    given = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: pair(read(F.split_part(x, F.lit("="), F.lit(1))), read(F.regexp_extract(x, "(?s)^[^=]*=?(.*)$", 1))))
+    last = F.filter(given, lambda x, i: ~F.exists(F.slice(given, i + 2, F.size(given)), lambda y: y["k"] == x["k"]))
+    has = lambda held, k: F.exists(held, lambda x: x["k"] == k)
+    value = lambda held, k: F.coalesce(F.get(F.filter(held, lambda x: x["k"] == k), F.lit(0))["v"], F.lit(""))
+    put = lambda held, k, v: F.concat(F.filter(held, lambda x: x["k"] != k), F.array(pair(k, v)))
+    default = lambda held, k, v: F.when(has(held, k), held).otherwise(F.concat(held, F.array(pair(k, v))))
+
+    def step(held: Column, key: Column) -> Column:
+        token = r"^(.+?)-lev(\d)(\d+)$"
+        said = F.trim(value(held, key))
+        part = lambda i: F.regexp_extract(said, token, i)
+        name = lambda mark: F.concat(F.lit(mark), part(2))
+        out = put(put(held, name("ne"), part(1)), name("lev"), part(3))
+        return F.when(said.rlike(token), default(default(out, name("es"), F.lit("N")), name("levsut"), part(2))).otherwise(held)
+
+    keys = F.array(*[F.lit(f"{mark}{level}") for level in "1234" for mark in ("lev", "ne")])
+    write = lambda t: F.replace(F.replace(F.url_encode(t), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    done = F.aggregate(keys, last, step, lambda held: F.when(value(held, F.lit("lev3")).isin("", "0"), held).otherwise(put(held, F.lit("tpe"), F.lit("C"))))
+    text = F.array_join(F.transform(F.array_sort(done), lambda x: F.concat(write(x["k"]), F.lit("="), write(x["v"]))), "&")
+    scheme = F.regexp_extract(head, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    head = F.concat(F.lower(scheme), F.substring(head, F.length(scheme) + 1, F.length(head)))
+    return F.concat(head, F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+
+
 def redacted_path(text: Column) -> Column:
     """a text that holds a local path becomes the last part of it."""
     parts = F.filter(F.split(text, r"[\\\\/]"), lambda x: x != "")

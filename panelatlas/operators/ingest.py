@@ -144,22 +144,3 @@ def unique_names(rows: DataFrame, name: str, of: Sequence[str]) -> DataFrame:
     """Names that stand for one identity only, and which."""
     who = F.struct(*of)
     return rows.groupBy(name).agg(F.min(who).alias("lo"), F.max(who).alias("hi")).filter("lo = hi").select(name, "lo.*")
-
-
-def prefix_match(names: DataFrame, known: DataFrame) -> DataFrame:
-    """A name that begins a known one, or begins with it, if all such agree on one identifier. Both sides are cut to
-    their first ``block`` letters for an equi-join, so names are never compared with all others."""
-    block = 4
-    key = lambda c: F.substring(c, 1, block)
-    near = names.join(known, key("name") == key("known_name")).filter(F.col("known_name").startswith(F.col("name")) | F.col("name").startswith(F.col("known_name")))
-    return near.groupBy("name").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other").select("name", "id")
-
-
-def cascade(names: DataFrame, strategies: Sequence[tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Per ``row`` its first candidate (by ``candidate``) that any strategy knows, by the first strategy that does.
-    A strategy is a table of id and the columns to match; all are tried at once and the smallest order wins."""
-    tried = None
-    for i, (known, on) in enumerate(strategies):
-        hit = names.join(known, on).select("row", F.struct("candidate", F.lit(i).alias("strategy"), "id").alias("hit"))
-        tried = hit if tried is None else tried.unionByName(hit)
-    return tried.groupBy("row").agg(F.min("hit").alias("hit")).select("row", "hit.candidate", "hit.strategy", "hit.id")

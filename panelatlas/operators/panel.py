@@ -14,34 +14,43 @@ def pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.lit(100.0).cast("double") * part / whole)
 
 
-def totals(lines: DataFrame) -> DataFrame:
-    voted = (F.col("rf") != "R") | (F.col("ls") == "F")
-    q = F.col("q")
-    return lines.groupBy(*CELL).agg(F.sum(q).alias("electors"), F.sum(F.when(voted, q).otherwise(0)).alias("voters"), F.sum(F.when(F.col("rf") != "R", q).otherwise(0)).alias("valid_votes"))
+def cells(lines: DataFrame) -> DataFrame:
+    """A row per cell with counts, turnout, its results by raw party (``raws``) and by party (``parties``, the most
+    votes first, ties by name), first and second party with shares, margin (null without a second) and the first's bloc.
 
+    Lines are added up by raw party first, so a place of very many lines moves as few rows as its parties are.
+    """
+    q, voted, valid = F.col("q"), (F.col("rf") != "R") | (F.col("ls") == "F"), F.col("rf") != "R"
+    add = lambda c, name: F.sum(F.when(c, q).otherwise(0)).alias(name)
+    raw = lines.groupBy(*CELL, "party_raw", "party_std", "party_family", "bloc").agg(F.sum(q).alias("electors"), add(voted, "voters"), add(valid, "votes"), F.max(valid).alias("has"))
+    sums = [F.sum(c).alias(c) for c in ("electors", "voters", "votes")]
+    row = F.struct("party_raw", "party_std", "party_family", "bloc", "votes")
+    std = raw.groupBy(*CELL, "party_std", "party_family", "bloc").agg(*sums, F.max("has").alias("has"), F.collect_list(F.when(F.col("has"), row)).alias("raws"))  # as many as the cell's parties
+    place = F.struct((-F.col("votes")).alias("order"), "party_std", "party_family", "bloc", "votes")
+    cell = std.groupBy(*CELL).agg(*sums, F.flatten(F.collect_list("raws")).alias("raws"), F.sort_array(F.collect_list(F.when(F.col("has"), place))).alias("parties"))
+    first, second, all_votes = F.get("parties", F.lit(0)), F.get("parties", F.lit(1)), F.col("valid_votes")
+    return cell.withColumnRenamed("votes", "valid_votes").select(
+        *CELL, "electors", "voters", "valid_votes", pct(F.col("voters"), F.col("electors")).alias("turnout_pct"), first["party_std"].alias("first_party_std"), pct(first["votes"], all_votes).alias("first_party_share"), second["party_std"].alias("second_party_std"),
+        pct(second["votes"], all_votes).alias("second_party_share"), pct(first["votes"] - second["votes"], all_votes).alias("first_second_margin"), first["bloc"].alias("dominant_block"), F.transform("parties", lambda x: x.dropFields("order")).alias("parties"), "raws",
+    )
 
-def results(lines: DataFrame) -> DataFrame:
-    return lines.filter("rf <> 'R'").groupBy(*CELL, "party_raw", "party_std", "party_family", "bloc").agg(F.sum("q").alias("votes"))
 
+def totals(rows: DataFrame) -> DataFrame:
+    return rows.select(*CELL, "electors", "voters", "valid_votes")
 
-def by_party(res: DataFrame) -> DataFrame:
-    return res.groupBy(*CELL, "party_std", "party_family", "bloc").agg(F.sum("votes").alias("votes"))
 
+def results(rows: DataFrame) -> DataFrame:
+    """A row per cell and raw party."""
+    return rows.select(*CELL, F.inline("raws"))
 
-def summary(tot: DataFrame, std: DataFrame) -> DataFrame:
-    """A27, J09, W03. Per cell: turnout, first and second party with shares, margin (null without a second), bloc of the first.
 
-    One window over the parties and one conditional aggregation; no join per rank.
-    """
-    w = Window.partitionBy("election_key", "municipality_id").orderBy(F.desc("votes"), "party_std")
-    top = std.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-    of = lambda k, c: F.max(F.when(F.col("rn") == k, F.col(c)))
-    lead = top.groupBy("election_key", "municipality_id").agg(of(1, "party_std").alias("first_party_std"), of(1, "votes").alias("v1"), of(2, "party_std").alias("second_party_std"), of(2, "votes").alias("v2"), of(1, "bloc").alias("dominant_block"))
-    valid = F.col("valid_votes")
-    return tot.join(lead, ["election_key", "municipality_id"], "left").select(
-        *CELL, "electors", "voters", "valid_votes", pct(F.col("voters"), F.col("electors")).alias("turnout_pct"), "first_party_std", pct(F.col("v1"), valid).alias("first_party_share"), "second_party_std",
-        pct(F.col("v2"), valid).alias("second_party_share"), pct(F.col("v1") - F.col("v2"), valid).alias("first_second_margin"), "dominant_block",
-    )
+def by_party(rows: DataFrame, *more: str) -> DataFrame:
+    """A row per cell and party, with ``more`` columns of the cell."""
+    return rows.select(*CELL, *more, F.inline("parties"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    return rows.drop("parties", "raws")
 
 
 def rollup(summ: DataFrame) -> DataFrame:
@@ -66,10 +75,15 @@ def group_shares(res: DataFrame, tot: DataFrame, by_province: bool) -> DataFrame
     return long.groupBy(*keys, "mode", "grp").agg(F.sum("votes").alias("votes")).join(den, keys).select(*keys, "mode", "grp", "votes", pct(F.col("votes"), F.col("valid_votes")).alias("share"))
 
 
-def own_share(tot: DataFrame, res: DataFrame, party: str, mode: str = "party_std") -> DataFrame:
-    """Each cell's share of one group; null where the cell has no row of it."""
-    own = res.filter(F.col(MODES[mode]) == party).groupBy("election_key", "municipality_id").agg(F.sum("votes").alias("votes"))
-    return tot.join(own, ["election_key", "municipality_id"], "left").select(*CELL, pct(F.col("votes"), F.col("valid_votes")).alias("share"))
+def own_votes(party: str, mode: str = "party_std") -> Column:
+    """A cell's votes of one group; null where it has no row of it."""
+    own = F.filter("raws" if mode == "party_raw" else "parties", lambda x: x[MODES[mode]] == party)
+    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x["votes"]))
+
+
+def own_share(rows: DataFrame, party: str, mode: str = "party_std", *more: str) -> DataFrame:
+    """Each cell's share of one group; ``more`` columns of the cell stay."""
+    return rows.select(*CELL, *more, pct(own_votes(party, mode), F.col("valid_votes")).alias("share"))
 
 
 def concentration(std: DataFrame, tot: DataFrame) -> DataFrame:

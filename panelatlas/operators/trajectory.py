@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def _by():
@@ -22,6 +24,28 @@ def volatility(shares: DataFrame) -> DataFrame:
     return step.groupBy("municipality_id").agg(F.avg("step").alias("volatility"))
 
 
+def _history(of: Callable[[Column], Column]) -> dict[str, Column]:
+    """volatility, changes and stability_index from the columns ``step`` and ``turn``; ``of`` says over which rows."""
+    vol, changes = of(F.avg("step")), F.coalesce(of(F.sum("turn")), F.lit(0)).cast("long")
+    return {"volatility": vol, "changes": changes, "stability_index": F.when(vol.isNotNull(), F.greatest(F.lit(0.0), 100 - 2.4 * vol - 6 * changes))}
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """The step from the last known share, and 1 where the last known leader was another."""
+    before = lambda c: F.last(c, ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"step": F.abs(F.col("share") - before("share")), "turn": F.when(before("first_party_std") != F.col("first_party_std"), 1)})
+
+
+def history(rows: DataFrame, *more: Column) -> DataFrame:
+    """W04, W05, W06 in one pass: a row per place with volatility, changes and stability_index, and ``more`` aggregates."""
+    return _steps(rows).groupBy("municipality_id").agg(*[c.alias(k) for k, c in _history(lambda c: c).items()], *more)
+
+
+def with_history(rows: DataFrame) -> DataFrame:
+    """``rows`` with their place's volatility, changes and stability_index."""
+    return _steps(rows).withColumns(_history(lambda c: c.over(Window.partitionBy("municipality_id")))).drop("step", "turn")
+
+
 def stability(vol: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(vol, "municipality_id", "left").select("municipality_id", F.when(F.col("volatility").isNotNull(), F.greatest(F.lit(0.0), 100 - 2.4 * F.col("volatility") - 6 * F.col("changes"))).alias("stability_index"))
 

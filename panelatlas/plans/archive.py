@@ -122,13 +122,16 @@ def _(p):
     return A.archive_urls(rows, X.canonical_url(F.col("url")), "n").select("fixed_url", "n", "url")
 
 
-MEMBERS = f"concat('Preferenze.txt|x.pdf|', CASE {_N} % 6 WHEN 0 THEN 'a.TXT|Camera_Italia.csv' WHEN 1 THEN 'b.csv|LivComune.txt|x_livcomune_Italia.csv' WHEN 2 THEN 'camera-9.txt|proporzionale.txt' WHEN 3 THEN '' WHEN 4 THEN 'z.txt|assemblea_costituente.csv' ELSE 'estero.csv|c.csv' END)"
+# Members whose names the rules ask for, in capitals or with other letters around them.
+_R = ["_".join(r.parts) for r in A.MEMBER_RULES]
+MEMBERS = f"concat('Preferenze.txt|x.pdf|', CASE {_N} % 6 WHEN 0 THEN 'a.TXT|{_R[4].title()}.csv' WHEN 1 THEN 'b.csv|{_R[0].upper()}.txt|x_{_R[1].title()}.csv' WHEN 2 THEN '{_R[5]}9.txt|{_R[3]}.txt' WHEN 3 THEN '' WHEN 4 THEN 'z.txt|{_R[6]}.csv' ELSE 'estero.csv|c.csv' END)"
+_RULES = " ".join("WHEN " + " AND ".join([*([f"y = {r.year}"] if r.year else []), *([f"k = '{r.kind}'"] if r.kind else []), *[f"contains(l, '{x}')" for x in r.parts]]) + f" THEN {i}" for i, r in enumerate(A.MEMBER_RULES))
 YEARS, KINDS = "CASE WHEN election_year % 3 = 0 THEN 2018 WHEN election_year % 3 = 1 THEN 2022 ELSE election_year END", "CASE WHEN electors % 4 = 0 THEN ' Assemblea_Costituente' WHEN electors % 4 = 1 THEN NULL ELSE 'camera' END"
 
 
 @query("s10_primary_member", f""", raw AS (SELECT election_key, municipality_id, {YEARS} AS y, lower(trim(coalesce({KINDS}, 'camera'))) AS k, string_split({MEMBERS}, '|') AS ms FROM tot), m AS (SELECT *, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM raw),
  g AS (SELECT *, lower(m) AS l FROM m WHERE regexp_matches(lower(m), '\\.(txt|csv)$') AND NOT regexp_matches(lower(m), 'preferenze|candidati|estero|vaosta')),
- s AS (SELECT *, CASE WHEN y = 2018 AND contains(l, 'livcomune') THEN 0 WHEN y = 2022 AND contains(l, 'livcomune') AND contains(l, 'italia') THEN 1 WHEN k = 'assemblea_costituente' AND contains(l, 'assemblea_costituente') THEN 2 WHEN contains(l, 'proporzionale') THEN 3 WHEN contains(l, 'camera_italia') THEN 4 WHEN contains(l, 'camera-') THEN 5 WHEN contains(l, 'assemblea_costituente') THEN 6 ELSE 7 END AS o FROM g),
+ s AS (SELECT *, CASE {_RULES} ELSE 99 END AS o FROM g),
  b AS (SELECT election_key, municipality_id, arg_min(m, o * 100 + i) AS member FROM s GROUP BY ALL) SELECT election_key, municipality_id, member FROM raw LEFT JOIN b USING (election_key, municipality_id)""")
 def _(p):
     rows = p.tot.selectExpr(*_KEY, f"{YEARS} AS y", f"{KINDS} AS k", f"{MEMBERS} AS ms")
@@ -192,7 +195,7 @@ def _(p):
     return made(p, TURNOUT).select(*_KEY, F.array_join(X.notes(F.col("comparability_note")), "|").alias("note_tokens"))
 
 
-PARTIES = """CASE votes % 12 WHEN 0 THEN 'DC' WHEN 1 THEN 'Partito Democratico' WHEN 2 THEN 'LEGA NORD' WHEN 3 THEN 'Sviluppo-Legalità' WHEN 4 THEN 'P.C.I.' WHEN 5 THEN 'lista verde' WHEN 6 THEN 'Movimento 5 Stelle' WHEN 7 THEN 'SVP' WHEN 8 THEN NULL WHEN 9 THEN 'L''Ulivo' WHEN 10 THEN 'Azione - Italia Viva' ELSE party_raw END"""
+PARTIES = """CASE votes % 12 WHEN 0 THEN 'DC' WHEN 1 THEN 'Partito Democratico' WHEN 2 THEN 'LEGA NORD' WHEN 3 THEN 'Sviluppo-Legalità' WHEN 4 THEN 'P.C.I.' WHEN 5 THEN 'lista verde' WHEN 6 THEN 'Movimento 5 Stelle' WHEN 7 THEN 'SVP' WHEN 8 THEN NULL WHEN 9 THEN 'L''Ulivo' WHEN 10 THEN 'Azione nuova' ELSE party_raw END"""
 
 
 @query("f30_party_view", f", l AS (SELECT DISTINCT {PARTIES} AS label FROM res) SELECT label, CASE " + " ".join("WHEN regexp_matches(trim(label), '(?i){}') THEN '{}'".format(r[0].replace("'", "''"), r[2].replace("'", "''")) for r in VIEW_V1) + " ELSE 'altro' END AS party_family_by_rule FROM l")

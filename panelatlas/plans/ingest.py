@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as X
+from ..functions.names import municipality_name
 from ..operators import ingest as I
 from ..operators import panel as P
 from ..operators import quality as Q
+from ..operators.resolve import alias_rows
 from .registry import _CELLS, _OWN, _PCT, _VOL, LATEST, Panel, _cells, query, r6
 
 TURNOUT = """SELECT election_key, election_year, municipality_id, province, region, CASE WHEN electors % 5 = 0 THEN NULL WHEN electors % 7 = 0 THEN voters - 1 ELSE electors END AS electors,
@@ -129,10 +131,16 @@ def _(p):
     return I.canonical_places(_named(p))
 
 
-@query("a30_parties_and_aliases", "SELECT DISTINCT party_std, party_raw, 'party' AS kind FROM res UNION ALL SELECT DISTINCT municipality_id, lower(province), 'normalized' FROM tot")
+_TWO_NAMES = "CASE WHEN CAST(municipality_id AS BIGINT) % 5 = 0 THEN concat('Comune ', lower(province)) WHEN CAST(municipality_id AS BIGINT) % 5 = 1 THEN ' NaN ' ELSE concat(province, ' ', municipality_id, ' ') END AS name_current", "CASE CAST(municipality_id AS BIGINT) % 4 WHEN 0 THEN concat('x comune  ', lower(province)) WHEN 1 THEN concat(province, ' ', municipality_id) WHEN 2 THEN concat('N', lower(substring(province, 2, 20))) END AS name_historical"
+
+
+@query("a30_parties_and_aliases", f""", nm AS (SELECT DISTINCT municipality_id, {", ".join(_TWO_NAMES)} FROM tot), td AS (SELECT municipality_id, nullif(nullif(trim(name_current), 'NaN'), '') AS c, nullif(trim(name_historical), '') AS h FROM nm),
+ al AS (SELECT municipality_id, c AS alias, 'current_name' AS kind, 0 AS pos FROM td UNION ALL SELECT municipality_id, concat('N', substring(c, 9)), 'normalized_name', 1 FROM td WHERE c LIKE 'Comune %' UNION ALL SELECT municipality_id, h, 'historical_name', 2 FROM td UNION ALL SELECT municipality_id, concat('N', substring(h, 12)), 'normalized_name', 3 FROM td WHERE h LIKE 'x comune %')
+ SELECT DISTINCT party_std, party_raw, 'party' AS kind FROM res UNION ALL SELECT municipality_id, alias, arg_min(kind, pos) FROM al WHERE alias IS NOT NULL GROUP BY municipality_id, alias""")
 def _(p):
     parties = p.res.select("party_std", "party_raw").distinct().withColumn("kind", F.lit("party"))
-    return parties.unionByName(p.tot.select(F.col("municipality_id").alias("party_std"), F.lower("province").alias("party_raw"), F.lit("normalized").alias("kind")).distinct())
+    places = p.tot.selectExpr("municipality_id", *_TWO_NAMES).distinct()
+    return parties.unionByName(alias_rows(places, municipality_name).select(F.col("municipality_id").alias("party_std"), F.col("alias").alias("party_raw"), F.col("alias_type").alias("kind")))
 
 
 @query("a31_coverage_score", f"SELECT CAST(round_even((CAST(0.7 AS DOUBLE) * s / t + CAST(0.3 AS DOUBLE) * r / t) * 100, 0) AS BIGINT) AS coverage FROM (SELECT (SELECT count(DISTINCT election_key) FROM tot WHERE election_year <> 1997) AS s, (SELECT count(DISTINCT election_key) FROM res WHERE election_key <> '{LATEST}' AND election_year <> 1996) AS r, (SELECT count(DISTINCT election_key) FROM tot) AS t)")
@@ -221,7 +229,7 @@ def _(p):
 
 @query("p06_client_filter", f"SELECT municipality_id, electors FROM tot WHERE election_key = '{LATEST}' AND province = 'NATION_3'")
 def _(p):
-    one = p.lines.filter((F.col("election_key") == LATEST) & (F.col("province") == "NATION_3"))
+    one = p.cells.filter((F.col("election_key") == LATEST) & (F.col("province") == "NATION_3"))
     return P.totals(one).select("municipality_id", "electors")
 
 

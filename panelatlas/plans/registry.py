@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import PRELUDE, lines
+from ..fixtures import PRELUDE, TABLES, lines
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.taxonomy import classify
@@ -15,6 +15,7 @@ from ..operators import cluster as C
 from ..operators import panel as P
 from ..operators import quality as Q
 from ..operators import trajectory as T
+from ..sources.panel_store import PanelStore, fingerprint
 from ..streaming.incremental import replace_by_key
 
 PARTY = "Brand#12"
@@ -23,16 +24,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+STORES: dict[tuple, PanelStore] = {}
+
+
 class Panel:
-    """The panel's tables over one data folder, as lazy plans."""
+    """The panel's tables over one data folder, as lazy plans over its stored cells. A session stores a folder's panel when it
+    is first asked for, and anew when the folder's files have changed."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.lines = lines(spark, sf_dir)
-        self.tot, self.res = P.totals(self.lines), P.results(self.lines)
-        self.std = P.by_party(self.res)
-        self.summ = P.summary(self.tot, self.std)
-        self.own = P.own_share(self.tot, self.std, PARTY)
+        key = (spark.sparkContext.applicationId, fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+        if key not in STORES:
+            STORES[key] = PanelStore.write(P.cells(lines(spark, sf_dir)))
+        self.store = STORES[key]
+        self.cells = self.store.cells()
+        self.tot, self.res, self.std, self.summ = P.totals(self.cells), P.results(self.cells), P.by_party(self.cells), P.summary(self.cells)
+        self.own = P.own_share(self.cells, PARTY)
 
 
 def query(name: str, sql: str | None, prelude: bool = True):
@@ -60,13 +67,12 @@ _SHARE = f"SELECT election_key, province, mode, grp, sum(votes) AS votes FROM (S
 
 def over_performance(p: Panel, election: str, top: int | None = None) -> DataFrame:
     """Own share against the province's and the nation's."""
-    one = p.lines.filter(F.col("election_key") == election)
-    tot, std = P.totals(one), P.by_party(P.results(one))
-    own = P.own_share(tot, std, PARTY)
-    party = F.sum(F.when(F.col("party_std") == PARTY, F.col("votes")))
-    province = std.groupBy("province").agg(party.alias("v")).join(tot.groupBy("province").agg(F.sum("valid_votes").alias("d")), "province").select("province", P.pct(F.col("v"), F.col("d")).alias("province_share"))
-    nation = std.agg(party.alias("v")).crossJoin(tot.agg(F.sum("valid_votes").alias("d"))).select(P.pct(F.col("v"), F.col("d")).alias("nation_share"))  # one row each
-    out = own.join(F.broadcast(province), "province", "left").crossJoin(F.broadcast(nation)).select(
+    one = p.cells.filter(F.col("election_key") == election)
+    own = P.own_share(one, PARTY)
+    province = one.groupBy("province").agg(F.sum(P.own_votes(PARTY)).alias("v"), F.sum("valid_votes").alias("d"))
+    nation = province.agg(P.pct(F.sum("v"), F.sum("d")).alias("nation_share"))  # one row
+    province = province.filter("v is not null").select("province", P.pct(F.col("v"), F.col("d")).alias("province_share"))
+    out = own.join(province, "province", "left").crossJoin(F.broadcast(nation)).select(
         "municipality_id", "province", F.round("share", 6).alias("share"), F.round(F.col("share") - F.col("province_share"), 6).alias("over_province"), F.round(F.col("share") - F.col("nation_share"), 6).alias("over_nation"))
     return out if top is None else out.orderBy(F.desc_nulls_last("over_province"), "municipality_id").limit(top)
 
@@ -213,7 +219,7 @@ def _(p):
 
 @query("w06_stability", _VOL + " SELECT municipality_id, round(CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END, 6) AS stability_index FROM chg LEFT JOIN vol USING (municipality_id)")
 def _(p):
-    return T.stability(T.volatility(p.own), T.dominance_changes(p.summ)).select("municipality_id", *r6("stability_index"))
+    return T.history(_cells(p)).select("municipality_id", *r6("stability_index"))
 
 
 @query("w07_share_series", _OWN + " SELECT municipality_id, election_year, round(share, 6) AS share FROM own WHERE share IS NOT NULL")
@@ -245,7 +251,7 @@ _CELLS = _OWN + ", cell AS (SELECT o.*, s.turnout_pct, s.first_party_std, s.domi
 
 
 def _cells(p: Panel) -> DataFrame:
-    return p.own.join(p.summ.select("election_key", "municipality_id", "turnout_pct", "first_party_std", "dominant_block"), ["election_key", "municipality_id"])
+    return P.own_share(p.cells, PARTY, "party_std", "turnout_pct", "first_party_std", "dominant_block", "first_second_margin")
 
 
 @query("w11_breaks", _CELLS + """ SELECT municipality_id, from_year, to_year, round(d_share, 6) AS d_share, round(d_turnout, 6) AS d_turnout, leader_changed FROM (SELECT municipality_id, lag(election_year) OVER w AS from_year, election_year AS to_year, share - lag(share) OVER w AS d_share, turnout_pct - lag(turnout_pct) OVER w AS d_turnout, lag(first_party_std) OVER w IS DISTINCT FROM first_party_std AS leader_changed FROM cell WINDOW w AS (PARTITION BY municipality_id ORDER BY election_year)) WHERE from_year IS NOT NULL AND (leader_changed OR abs(d_share) >= 4 OR abs(d_turnout) >= 4)""")
@@ -277,16 +283,14 @@ def _(p):
 @query("p12_metrics", _VOL + f""" SELECT s.municipality_id, s.first_party_std AS first_party, round(o.share, 6) AS party_share, round(s.turnout_pct, 6) AS turnout, round(s.first_second_margin, 6) AS margin, s.dominant_block, round(o.share - oc.share, 6) AS swing_compare, round(s.turnout_pct - c.turnout_pct, 6) AS delta_turnout, round(v.volatility, 6) AS volatility, g.changes AS dominance_changes,
  round(CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END, 6) AS stability_index FROM summ s JOIN own o USING (election_key, municipality_id) LEFT JOIN summ c ON c.election_key = '{BEFORE}' AND c.municipality_id = s.municipality_id LEFT JOIN own oc ON oc.election_key = '{BEFORE}' AND oc.municipality_id = s.municipality_id LEFT JOIN vol v ON v.municipality_id = s.municipality_id LEFT JOIN chg g ON g.municipality_id = s.municipality_id WHERE s.election_key = '{LATEST}'""")
 def _(p):
-    cells = p.own.select("election_key", "municipality_id", "share").join(p.summ, ["election_key", "municipality_id"])
-    now, was = cells.filter(F.col("election_key") == LATEST), cells.filter(F.col("election_key") == BEFORE).select("municipality_id", F.col("share").alias("s0"), F.col("turnout_pct").alias("t0"))
-    vol, chg = T.volatility(p.own), T.dominance_changes(p.summ)
-    m = now.join(was, "municipality_id", "left").join(vol, "municipality_id", "left").join(chg, "municipality_id", "left").join(T.stability(vol, chg), "municipality_id", "left")
+    was = lambda c: F.max(F.when(F.col("election_key") == BEFORE, F.col(c))).over(Window.partitionBy("municipality_id"))
+    m = T.with_history(_cells(p)).withColumns({"s0": was("share"), "t0": was("turnout_pct")}).filter(F.col("election_key") == LATEST)
     return m.select("municipality_id", F.col("first_party_std").alias("first_party"), F.round("share", 6).alias("party_share"), F.round("turnout_pct", 6).alias("turnout"), F.round("first_second_margin", 6).alias("margin"), "dominant_block", F.round(F.col("share") - F.col("s0"), 6).alias("swing_compare"), F.round(F.col("turnout_pct") - F.col("t0"), 6).alias("delta_turnout"), *r6("volatility"), F.col("changes").alias("dominance_changes"), *r6("stability_index"))
 
 
 @query("p01_filtered_rows", f"SELECT municipality_id, province FROM summ WHERE election_key = '{LATEST}' AND province IN ('NATION_1', 'NATION_7', 'NATION_19') AND first_party_std IS NOT NULL")
 def _(p):
-    one = p.lines.filter((F.col("election_key") == LATEST) & F.col("province").isin("NATION_1", "NATION_7", "NATION_19"))  # before the aggregation: partition and column pruning reach the scan
+    one = p.cells.filter((F.col("election_key") == LATEST) & F.col("province").isin("NATION_1", "NATION_7", "NATION_19"))
     return P.results(one).select("municipality_id", "province").distinct()
 
 
@@ -302,7 +306,7 @@ def _(p):
 
 @query("p16_detail", "SELECT election_year, electors, voters, round(turnout_pct, 6) AS turnout_pct FROM summ WHERE municipality_id = '42'")
 def _(p):
-    one = P.totals(p.lines.filter("municipality_id = '42'"))
+    one = P.totals(p.cells.filter("municipality_id = '42'"))
     return one.select("election_year", "electors", "voters", F.round(P.pct(F.col("voters"), F.col("electors")), 6).alias("turnout_pct"))
 
 
@@ -342,7 +346,7 @@ def _(p):
 
 @query("o02_page", f"SELECT municipality_id, round(turnout_pct, 6) AS turnout_pct, position FROM (SELECT municipality_id, turnout_pct, row_number() OVER (ORDER BY turnout_pct DESC NULLS LAST, municipality_id) AS position FROM summ WHERE election_key = '{LATEST}') WHERE position BETWEEN 26 AND 50")
 def _(p):
-    one = P.totals(p.lines.filter(F.col("election_key") == LATEST)).select("municipality_id", P.pct(F.col("voters"), F.col("electors")).alias("turnout_pct"))
+    one = P.totals(p.cells.filter(F.col("election_key") == LATEST)).select("municipality_id", P.pct(F.col("voters"), F.col("electors")).alias("turnout_pct"))
     page = one.orderBy(F.desc_nulls_last("turnout_pct"), "municipality_id").limit(50)  # top-k first: the window sees two pages
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("turnout_pct"), "municipality_id")
     return page.withColumn("position", F.row_number().over(w).cast("long")).filter("position > 25").select("municipality_id", *r6("turnout_pct"), "position")
@@ -382,7 +386,7 @@ _CHECKS = f""", b AS (SELECT {", ".join(_BAD)} FROM summ), sh AS (SELECT s.elect
 
 
 def _checks(p: Panel, faulty: bool) -> DataFrame:
-    share = p.std.join(p.tot.select("election_key", "municipality_id", "valid_votes"), ["election_key", "municipality_id"]).select("election_key", "municipality_id", "party_std", "votes", (P.pct(F.col("votes"), F.col("valid_votes")) + F.when(F.lit(faulty) & (F.col("votes") % 17 == 0), 60).otherwise(0)).alias("vote_share"))
+    share = P.by_party(p.cells, "valid_votes").select("election_key", "municipality_id", "party_std", "votes", (P.pct(F.col("votes"), F.col("valid_votes")) + F.when(F.lit(faulty) & (F.col("votes") % 17 == 0), 60).otherwise(0)).alias("vote_share"))
     return Q.validations(p.summ.selectExpr(*_BAD) if faulty else p.summ.withColumns({"completeness_flag": F.when(F.col("first_party_std").isNull(), "clean_ingest_turnout_only"), "comparability_note": F.lit(None).cast("string")}), share)
 
 
@@ -400,13 +404,24 @@ def _(p):
     return one.unionByName(two).unionByName(three)
 
 
-_PARSE = [("1.234,5",), ("1,234.5",), ("12,5",), ("1.234",), ("12.0",), ("1.000",), ("1.5",), ("-5",), ("45,6%",), ("",), ("abc",), (None,)]
+# Numbers as texts of twelve kinds, made of a cell's counts, and what each parser makes of them.
+_N, _M, _D = "(electors % 900 + 1)", "(voters % 900 + 100)", "(valid_votes % 9 + 1)"
+_WHOLE = "CAST({} AS DOUBLE)".format
+_POINT = "CAST(concat({}, '.', {}) AS DOUBLE)".format
+_KINDS = [  # text, safe_float, safe_number, safe_count, archive_count
+    (f"concat({_N}, '.', {_M}, ',', {_D})", _POINT(f"{_N} * 1000 + {_M}", _D), None, f"({_N} * 1000 + {_M}) * 10 + {_D}", None), (f"concat({_N}, ',', {_M}, '.', {_D})", _POINT(f"{_N} * 1000 + {_M}", _D), None, f"({_N} * 1000 + {_M}) * 10 + {_D}", None),
+    (f"concat({_N}, ',', {_D})", _POINT(_N, _D), None, f"{_N} * 10 + {_D}", None), (f"concat({_N}, '.', {_M})", _WHOLE(f"{_N} * 1000 + {_M}"), _POINT(_N, _M), f"{_N} * 1000 + {_M}", None), (f"concat({_N}, '.0')", _WHOLE(_N), None, _N, None),
+    (f"concat({_N}, '.000')", _WHOLE(f"{_N} * 1000"), _WHOLE(_N), _N, None), (f"concat({_N}, '.', {_D})", _POINT(_N, _D), None, f"{_N} * 10 + {_D}", f"{_N} * 1000 + {_D} * 100"), (f"concat(' -', {_N})", f"-{_WHOLE(_N)}", None, _N, None),
+    (f"concat({_N}, ',', {_D}, '%')", _POINT(_N, _D), "NULL", f"{_N} * 10 + {_D}", None), ("''", "NULL", None, "NULL", None), ("concat('abc', province)", "NULL", None, "CAST(regexp_replace(province, '[^0-9]', '', 'g') AS BIGINT)", None), ("NULL", "NULL", None, "NULL", None),
+]
+_PARSED = [(text, f, f if n is None else n, c, c if a is None else a) for text, f, n, c, a in _KINDS]
+_kind = lambda i: "CASE electors % 12 " + " ".join(f"WHEN {k} THEN {row[i]}" for k, row in enumerate(_PARSED)) + " END"
 
 
-@query("f01_f05_number_parsing", """SELECT * FROM (VALUES ('1.234,5', 1234.5::DOUBLE, 1234.5::DOUBLE, 12345::BIGINT, 12345::BIGINT), ('1,234.5', 1234.5, 1234.5, 12345, 12345), ('12,5', 12.5, 12.5, 125, 125), ('1.234', 1234, 1.234, 1234, 1234), ('12.0', 12, 12, 12, 12), ('1.000', 1000, 1, 1, 1), ('1.5', 1.5, 1.5, 15, 1500), ('-5', -5, -5, 5, 5), ('45,6%', 45.6, NULL, 456, 456), ('', NULL, NULL, NULL, NULL), ('abc', NULL, NULL, NULL, NULL), (NULL, NULL, NULL, NULL, NULL)) t(raw, safe_float, safe_number, safe_count, archive_count)""", prelude=False)
+@query("f01_f05_number_parsing", f" SELECT election_key, municipality_id, {_kind(0)} AS raw, {_kind(1)} AS safe_float, {_kind(2)} AS safe_number, {_kind(3)} AS safe_count, {_kind(4)} AS archive_count FROM tot")
 def _(p):
-    t, c = p.spark.createDataFrame(_PARSE, "raw string"), F.col("raw")
-    return t.select("raw", N.safe_float(c).alias("safe_float"), N.safe_number(c).alias("safe_number"), N.safe_count(c).alias("safe_count"), N.archive_count(c).alias("archive_count"))
+    t, c = p.tot.selectExpr("election_key", "municipality_id", f"{_kind(0)} AS raw"), F.col("raw")
+    return t.select("election_key", "municipality_id", "raw", N.safe_float(c).alias("safe_float"), N.safe_number(c).alias("safe_number"), N.safe_count(c).alias("safe_count"), N.archive_count(c).alias("archive_count"))
 
 
 @query("f20_slug_party", "SELECT DISTINCT party_raw, trim(regexp_replace(lower(party_raw), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM res")
@@ -436,23 +451,38 @@ def _(p):
 
 def vectors(p: Panel) -> DataFrame:
     """Six features per municipality, nulls as 0, not scaled; ``over`` is the latest election's share less the nation's."""
-    vol, chg = T.volatility(p.own), T.dominance_changes(p.summ)
-    nation = p.std.filter(F.col("party_std") == PARTY).groupBy("election_key").agg(F.sum("votes").alias("v")).join(p.tot.groupBy("election_key").agg(F.sum("valid_votes").alias("d")), "election_key")
-    nation = nation.select("election_key", P.pct(F.col("v"), F.col("d")).alias("nation_share"))  # one row an election
-    cells = _cells(p).join(F.broadcast(nation), "election_key", "left").groupBy("municipality_id").agg(F.avg("share").alias("share"), F.avg("turnout_pct").alias("turnout"), F.max_by(F.struct(F.col("share") - F.col("nation_share")), "election_year").alias("last"))
-    v = cells.join(vol, "municipality_id", "left").join(chg, "municipality_id", "left").join(T.stability(vol, chg), "municipality_id", "left")
+    nation = p.cells.groupBy("election_key").agg(P.pct(F.sum(P.own_votes(PARTY)), F.sum("valid_votes")).alias("nation_share"))  # one row an election
+    last = F.max_by(F.struct(F.col("share") - F.col("nation_share")), "election_year").alias("last")
+    v = T.history(_cells(p).join(nation, "election_key"), F.avg("share").alias("mean_share"), F.avg("turnout_pct").alias("turnout"), last)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
-    return v.select("municipality_id", z("share").alias("share"), z("volatility").alias("volatility"), z("stability_index").alias("stability"), z("turnout").alias("turnout"), z("changes").alias("changes"), z("last.col1").alias("over"))
+    return v.select("municipality_id", z("mean_share").alias("share"), z("volatility").alias("volatility"), z("stability_index").alias("stability"), z("turnout").alias("turnout"), z("changes").alias("changes"), z("last.col1").alias("over"))
+
 
+_VECTORS = _VOL + f""", na AS (SELECT election_key, {_PCT} * v / d AS ns FROM (SELECT election_key, sum(valid_votes) AS d FROM tot GROUP BY 1) LEFT JOIN (SELECT election_key, sum(votes) AS v FROM std WHERE party_std = '{PARTY}' GROUP BY 1) USING (election_key)),
+ ce AS (SELECT o.municipality_id, avg(share) AS share, avg(turnout_pct) AS turnout, arg_max_null(share - ns, o.election_year) AS over FROM own o JOIN summ s USING (election_key, municipality_id) JOIN na USING (election_key) GROUP BY 1),
+ vec AS MATERIALIZED (SELECT ce.municipality_id, [coalesce(share, 0), coalesce(volatility, 0), coalesce(CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END, 0), coalesce(turnout, 0), CAST(changes AS DOUBLE), coalesce(over, 0)] AS f FROM ce JOIN chg USING (municipality_id) LEFT JOIN vol USING (municipality_id))"""
+_NEAR = "list_transform(cs, lambda c: list_sum(list_transform(range(1, 7), lambda i: (f[i] - c[i]) * (f[i] - c[i]))))"
+_LLOYD = """, k0 AS (SELECT CAST(greatest(3, least(5, round_even(sqrt(count(*) / CAST(6 AS DOUBLE)), 0) + 2)) AS BIGINT) AS k FROM vec), c0 AS MATERIALIZED (SELECT list(f ORDER BY municipality_id) AS cs FROM (SELECT *, row_number() OVER (ORDER BY municipality_id) AS i FROM vec) WHERE i <= (SELECT k FROM k0))""" + "".join(
+    f""", a{i} AS MATERIALIZED (SELECT municipality_id, f, list_position(ds, list_min(ds)) AS a FROM (SELECT municipality_id, f, {_NEAR} AS ds FROM vec, c{i})), c{i + 1} AS MATERIALIZED (SELECT list(coalesce(m.f, c{i}.cs[j]) ORDER BY j) AS cs FROM c{i}, (SELECT unnest(range(1, k + 1)) AS j FROM k0) LEFT JOIN (SELECT a, [avg(f[1]), avg(f[2]), avg(f[3]), avg(f[4]), avg(f[5]), avg(f[6])] AS f FROM a{i} GROUP BY a) m ON m.a = j)"""
+    for i in range(12)
+) + f", kl AS MATERIALIZED (SELECT municipality_id, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS cluster FROM (SELECT municipality_id, {_NEAR} AS ds FROM vec, c12))"  # twelve rounds, one after the other
 
-@query("m01_m02_clusters", None)
+
+@query("m01_m02_clusters", _VECTORS + _LLOYD + " SELECT * FROM kl")
 def _(p):
     return C.kmeans(vectors(p))
 
 
-@query("m04_similarity", _CELLS + " SELECT municipality_id, CAST(n AS BIGINT) AS n, round(sqrt(sq / n), 6) AS distance, round(greatest(CAST(0 AS DOUBLE), 100 - 28 * sqrt(sq / n)), 6) AS score FROM (SELECT c.municipality_id, sum(coalesce(power((c.share - t.share) / 10, 2), 0) + coalesce(power((c.turnout_pct - t.turnout_pct) / 12, 2), 0) + CASE WHEN c.first_party_std <> t.first_party_std THEN CAST(0.45 AS DOUBLE) ELSE 0 END + CASE WHEN c.dominant_block <> t.dominant_block THEN CAST(0.35 AS DOUBLE) ELSE 0 END) AS sq, sum(CASE WHEN c.share IS NOT NULL AND t.share IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c.turnout_pct IS NOT NULL AND t.turnout_pct IS NOT NULL THEN 1 ELSE 0 END) AS n FROM cell c JOIN cell t ON t.election_year = c.election_year AND t.municipality_id = '42' WHERE c.municipality_id <> '42' GROUP BY 1) WHERE n > 0 ORDER BY 4 DESC, 1 LIMIT 6")
+TARGETS = ["42", "43", "77"]
+
+
+@query("m04_similarity", _CELLS + (_VECTORS + _LLOYD).removeprefix(_OWN) + f""", pr AS (SELECT t.municipality_id AS target, c.municipality_id, sum(coalesce(power((c.share - t.share) / 10, 2), 0) + coalesce(power((c.turnout_pct - t.turnout_pct) / 12, 2), 0) + CASE WHEN c.first_party_std <> t.first_party_std THEN CAST(0.45 AS DOUBLE) ELSE 0 END + CASE WHEN c.dominant_block <> t.dominant_block THEN CAST(0.35 AS DOUBLE) ELSE 0 END) AS sq,
+  sum(CASE WHEN c.share IS NOT NULL AND t.share IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c.turnout_pct IS NOT NULL AND t.turnout_pct IS NOT NULL THEN 1 ELSE 0 END) AS n FROM cell c JOIN cell t ON t.election_year = c.election_year AND t.municipality_id IN ('42', '43', '77') AND t.municipality_id <> c.municipality_id GROUP BY ALL),
+ sc AS (SELECT target, municipality_id, CAST(n AS BIGINT) AS n, round(sqrt(sq / n), 6) AS distance, round(greatest(CAST(0 AS DOUBLE), 100 - 28 * sqrt(sq / n)), 6) AS score FROM pr WHERE n > 0),
+ li AS (SELECT 'nearest' AS list, * FROM sc UNION ALL SELECT 'same_cluster', sc.* FROM sc JOIN kl x ON x.municipality_id = target JOIN kl y ON y.municipality_id = sc.municipality_id AND y.cluster = x.cluster)
+ SELECT target, list, municipality_id, n, distance, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target, list ORDER BY score DESC, municipality_id) AS INT) AS rank FROM li) WHERE rank <= 6""")
 def _(p):
-    return C.similarity(_cells(p), "42")
+    return C.similarity(_cells(p), TARGETS, C.kmeans(vectors(p)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

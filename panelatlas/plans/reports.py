@@ -16,8 +16,8 @@ PLACES = ["7", "42", "99", "100"]
 
 @query("a09_place_groups", f"SELECT bloc AS grp, CAST(sum(votes) AS BIGINT) AS votes, round({_PCT} * sum(votes) / any_value(d), 6) AS share FROM (SELECT s.bloc, s.votes, (SELECT sum(valid_votes) FROM tot WHERE municipality_id = '{PLACE}' AND election_key = '{LATEST}') AS d FROM std s WHERE municipality_id = '{PLACE}' AND election_key = '{LATEST}') GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 8")
 def _(p: Panel) -> DataFrame:
-    one = p.lines.filter((F.col("municipality_id") == PLACE) & (F.col("election_key") == LATEST))  # before the aggregation
-    return R.place_groups(P.by_party(P.results(one)), P.totals(one), "bloc", 8).select("grp", "votes", *r6("share"))
+    one = p.cells.filter((F.col("municipality_id") == PLACE) & (F.col("election_key") == LATEST))
+    return R.place_groups(P.by_party(one), P.totals(one), "bloc", 8).select("grp", "votes", *r6("share"))
 
 
 @query("a14_province_years", f"SELECT s.province, s.election_year, round({_PCT} * v / d, 6) AS party_share, round(turnout, 6) AS turnout, leader FROM (SELECT province, election_year, avg(turnout_pct) AS turnout, sum(valid_votes) AS d FROM summ GROUP BY ALL) s LEFT JOIN (SELECT province, election_year, sum(votes) AS v FROM std WHERE party_std = 'Brand#12' GROUP BY ALL) o ON o.province = s.province AND o.election_year = s.election_year LEFT JOIN (SELECT province, election_year, first_party_std AS leader, row_number() OVER (PARTITION BY province, election_year ORDER BY count(*) DESC, first_party_std) AS k FROM summ WHERE first_party_std IS NOT NULL GROUP BY province, election_year, first_party_std) m ON m.province = s.province AND m.election_year = s.election_year AND k = 1")
@@ -25,10 +25,13 @@ def _(p: Panel) -> DataFrame:
     return R.province_years(p.summ, p.std, "Brand#12").select("province", "election_year", *r6("party_share", "turnout"), "leader")
 
 
-@query("a16_group_series", _CELLS + " SELECT election_year, round(avg(share), 6) AS share, round(avg(turnout_pct), 6) AS turnout, count(*) AS n FROM cell WHERE municipality_id IN ('7', '42', '99', '100') GROUP BY 1")
+_ST = _VOL + ", st AS (SELECT municipality_id, CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END AS stability FROM chg LEFT JOIN vol USING (municipality_id)), cl AS (SELECT o.*, s.turnout_pct, st.stability FROM own o JOIN summ s USING (election_key, municipality_id) LEFT JOIN st ON st.municipality_id = o.municipality_id)"
+_GROUPS = {"ids": "municipality_id IN ('7', '42', '99', '100')", "provinces": "province IN ('NATION_1', 'NATION_7')", "nation": "true"}
+
+
+@query("a16_group_series", _ST + " " + " UNION ALL ".join(f"SELECT '{k}' AS grp, election_year, round(avg(share), 6) AS share, round(avg(turnout_pct), 6) AS turnout, round(avg(stability), 6) AS stability, count(*) AS n FROM cl WHERE {c} GROUP BY 2" for k, c in _GROUPS.items()))
 def _(p: Panel) -> DataFrame:
-    some = _cells(p).filter(F.col("municipality_id").isin(PLACES))
-    return some.groupBy("election_year").agg(F.avg("share").alias("share"), F.avg("turnout_pct").alias("turnout"), F.count(F.lit(1)).alias("n")).select("election_year", *r6("share", "turnout"), "n")
+    return R.mean_series(T.with_history(_cells(p)), {k: F.expr(c) for k, c in _GROUPS.items()}).select("grp", "election_year", *r6("share", "turnout", "stability"), "n")
 
 
 @query("a18_archetypes", _OWN + """, t AS (SELECT municipality_id, CASE WHEN count(share) < 2 THEN 'trend n/d' WHEN arg_max(share, election_year) - arg_min(share, election_year) >= 5 THEN 'crescita netta' WHEN arg_max(share, election_year) - arg_min(share, election_year) <= -5 THEN 'calo netto' ELSE 'andamento stabile' END AS label FROM own GROUP BY 1),
@@ -43,18 +46,22 @@ def _(p: Panel) -> DataFrame:
     return R.coverage(p.tot, p.res, 1996)
 
 
-@query("a37_context", _OWN + f""", one AS (SELECT o.province, o.share, s.turnout_pct FROM own o JOIN summ s USING (election_key, municipality_id) WHERE o.election_key = '{LATEST}' AND o.municipality_id = '{PLACE}'),
- pr AS (SELECT {_PCT} * (SELECT sum(votes) FROM std WHERE election_key = '{LATEST}' AND party_std = 'Brand#12' AND province = (SELECT province FROM one)) / sum(valid_votes) AS share, {_PCT} * sum(voters) / sum(electors) AS turnout FROM tot WHERE election_key = '{LATEST}' AND province = (SELECT province FROM one)),
- na AS (SELECT {_PCT} * (SELECT sum(votes) FROM std WHERE election_key = '{LATEST}' AND party_std = 'Brand#12') / sum(valid_votes) AS share, {_PCT} * sum(voters) / sum(electors) AS turnout FROM tot WHERE election_key = '{LATEST}')
- SELECT * FROM (SELECT 'municipality' AS level, 'share' AS measure, round(share, 6) AS value FROM one UNION ALL SELECT 'province', 'share', round(share, 6) FROM pr UNION ALL SELECT 'nation', 'share', round(share, 6) FROM na UNION ALL SELECT 'municipality', 'turnout', round(turnout_pct, 6) FROM one UNION ALL SELECT 'province', 'turnout', round(turnout, 6) FROM pr WHERE EXISTS (SELECT 1 FROM one)) WHERE value IS NOT NULL""")
+SELECTED = {"party_raw": "Brand#12 ECONOMY ANODIZED STEEL", "party_std": "Brand#12", "party_family": "fam_4", "bloc": "bloc_0"}
+_IN = lambda k, where: f"{_PCT} * (SELECT sum(votes) FROM res WHERE {k} = '{SELECTED[k]}' AND {where}) / (SELECT sum(valid_votes) FROM tot WHERE {where})"
+_NOW = f"election_key = '{LATEST}'"
+_HERE = {"municipality": f"{_NOW} AND municipality_id = '{PLACE}'", "province": f"{_NOW} AND province = (SELECT province FROM tot WHERE {_NOW} AND municipality_id = '{PLACE}')", "nation": _NOW}
+
+
+@query("a37_context", _ST + " SELECT mode, level, measure, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS mode, '{level}' AS level, 'share' AS measure, {_IN(k, where)} AS value" for k in SELECTED for level, where in _HERE.items()) + f""" UNION ALL SELECT '', 'municipality', 'turnout', {_PCT} * sum(voters) / sum(electors) FROM tot WHERE {_HERE["municipality"]} UNION ALL SELECT '', 'province', 'turnout', {_PCT} * sum(voters) / sum(electors) FROM tot WHERE {_HERE["province"]}
+ UNION ALL SELECT '', 'municipality', 'stability', stability FROM st WHERE municipality_id = '{PLACE}') WHERE value IS NOT NULL AND EXISTS (SELECT 1 FROM tot WHERE {_HERE["municipality"]})""")
 def _(p: Panel) -> DataFrame:
-    one = p.lines.filter(F.col("election_key") == LATEST)
-    return R.context(P.totals(one), P.by_party(P.results(one)), "Brand#12", PLACE).select("level", "measure", *r6("value"))
+    stable = T.history(_cells(p).filter(F.col("municipality_id") == PLACE))
+    return R.context(p.cells.filter(F.col("election_key") == LATEST), SELECTED, PLACE, stable).select("mode", "level", "measure", *r6("value"))
 
 
 @query("o06_results_by_rank", f"SELECT municipality_id, party_std, votes, rn AS rank FROM rk WHERE election_key = '{LATEST}' AND municipality_id = '{PLACE}' ORDER BY rn, party_std LIMIT 12")
 def _(p: Panel) -> DataFrame:
-    one = P.by_party(P.results(p.lines.filter((F.col("municipality_id") == PLACE) & (F.col("election_key") == LATEST))))
+    one = P.by_party(p.cells.filter((F.col("municipality_id") == PLACE) & (F.col("election_key") == LATEST)))
     return R.ranked(one).orderBy("rank", "party_std").limit(12)
 
 
@@ -66,8 +73,8 @@ def _(p: Panel) -> DataFrame:
 
 @query("w21_multi_series", _OWN + " SELECT municipality_id, election_year, round(share, 6) AS share FROM own WHERE municipality_id IN ('7', '42', '99', '100') AND share IS NOT NULL")
 def _(p: Panel) -> DataFrame:
-    some = p.lines.filter(F.col("municipality_id").isin(PLACES))
-    return P.own_share(P.totals(some), P.by_party(P.results(some)), "Brand#12").filter("share is not null").select("municipality_id", "election_year", *r6("share"))
+    some = p.cells.filter(F.col("municipality_id").isin(PLACES))
+    return P.own_share(some, "Brand#12").filter("share is not null").select("municipality_id", "election_year", *r6("share"))
 
 
 @query("w22_leading_row", "SELECT election_key, municipality_id, party_raw AS leader, votes FROM (SELECT *, row_number() OVER (PARTITION BY election_key, municipality_id ORDER BY votes DESC, party_raw) AS k FROM res) WHERE k = 1")
@@ -78,10 +85,8 @@ def _(p: Panel) -> DataFrame:
 
 @query("w23_history", _VOL + f" SELECT s.election_year, round(s.turnout_pct, 6) AS turnout, round(s.first_second_margin, 6) AS margin, round(o.share, 6) AS share, s.first_party_std AS leader FROM summ s LEFT JOIN own o USING (election_key, municipality_id) WHERE municipality_id = '{PLACE}'")
 def _(p: Panel) -> DataFrame:
-    one = p.lines.filter(F.col("municipality_id") == PLACE)
-    tot, std = P.totals(one), P.by_party(P.results(one))
-    own = P.own_share(tot, std, "Brand#12").select("election_key", "share")
-    return P.summary(tot, std).join(own, "election_key", "left").select("election_year", F.round("turnout_pct", 6).alias("turnout"), F.round("first_second_margin", 6).alias("margin"), *r6("share"), F.col("first_party_std").alias("leader"))
+    one = P.own_share(p.cells.filter(F.col("municipality_id") == PLACE), "Brand#12", "party_std", "turnout_pct", "first_second_margin", "first_party_std")
+    return one.select("election_year", F.round("turnout_pct", 6).alias("turnout"), F.round("first_second_margin", 6).alias("margin"), *r6("share"), F.col("first_party_std").alias("leader"))
 
 
 @query("o05_insights", _VOL + f" SELECT 'top_turnout' AS kind, municipality_id, round(turnout_pct, 6) AS value FROM (SELECT * FROM summ WHERE election_key = '{LATEST}' AND turnout_pct IS NOT NULL ORDER BY turnout_pct DESC, municipality_id LIMIT 1) UNION ALL SELECT 'changes', municipality_id, CAST(changes AS DOUBLE) FROM (SELECT * FROM chg WHERE changes >= 2 ORDER BY changes DESC, municipality_id LIMIT 3)")
@@ -91,10 +96,17 @@ def _(p: Panel) -> DataFrame:
     return top.select(F.lit("top_turnout").alias("kind"), "municipality_id", F.round("turnout_pct", 6).alias("value")).unionByName(moved.select(F.lit("changes").alias("kind"), "municipality_id", F.col("changes").cast("double").alias("value")))
 
 
-@query("w20_trajectory", _CELLS + f""", pv AS (SELECT election_year, {_PCT} * sum(CASE WHEN party_std = 'Brand#12' THEN votes END) / any_value(d) AS share FROM std JOIN (SELECT election_year, sum(valid_votes) AS d FROM tot GROUP BY 1) USING (election_year) GROUP BY 1)
- SELECT * FROM (SELECT election_year, 'own' AS series, round(share, 6) AS value FROM cell WHERE municipality_id = '{PLACE}' UNION ALL SELECT election_year, 'turnout', round(turnout_pct, 6) FROM cell WHERE municipality_id = '{PLACE}' UNION ALL SELECT election_year, 'nation', round(share, 6) FROM pv) WHERE value IS NOT NULL""")
+_BY = {"own": f"r.municipality_id = '{PLACE}'", "province": "r.province = h.province", "nation": "true"}
+_DEN = {"own": f"t.municipality_id = '{PLACE}'", "province": "t.province = h.province", "nation": "true"}
+_TOP = "SELECT '{0}' AS mode, {1} AS series, sum(votes) AS total FROM res WHERE municipality_id = '" + PLACE + "' GROUP BY 2 ORDER BY total DESC, 2 LIMIT 5"
+_MODES = {"top_parties": "party_raw", "top_groups party_std": "party_std", "top_groups party_family": "party_family", "top_groups bloc": "bloc"}
+
+
+@query("w20_trajectory", f", h AS (SELECT election_year, province, turnout_pct, valid_votes FROM summ WHERE municipality_id = '{PLACE}') SELECT mode, series, election_year, round(value, 6) AS value FROM (SELECT 'selected_vs_context' AS mode, 'turnout' AS series, election_year, turnout_pct AS value FROM h UNION ALL "
+  + " UNION ALL ".join(f"SELECT 'selected_vs_context', '{level} {k}', h.election_year, {_PCT} * (SELECT sum(votes) FROM res r WHERE r.election_year = h.election_year AND r.{k} = '{v}' AND {_BY[level]}) / (SELECT sum(valid_votes) FROM tot t WHERE t.election_year = h.election_year AND {_DEN[level]}) FROM h" for k, v in SELECTED.items() for level in _BY)
+  + " UNION ALL " + " UNION ALL ".join(f"SELECT '{m}', r.{c}, r.election_year, {_PCT} * sum(votes) / any_value(h.valid_votes) FROM res r JOIN h USING (election_year) JOIN ({_TOP.format(m, c)}) x ON x.series = r.{c} WHERE municipality_id = '{PLACE}' GROUP BY 2, 3" for m, c in _MODES.items()) + ") WHERE value IS NOT NULL")
 def _(p: Panel) -> DataFrame:
-    return R.trajectory(_cells(p).filter(F.col("municipality_id") == PLACE), p.std, p.tot, "Brand#12").select("election_year", "series", *r6("value"))
+    return R.trajectory(p.cells, PLACE, SELECTED).select("mode", "series", "election_year", *r6("value"))
 
 
 @query("p13_enriched", _VOL + f" SELECT o.municipality_id, round(o.share, 6) AS party_share, round(o.share - b.share, 6) AS swing_compare, round(volatility, 6) AS volatility, changes AS dominance_changes, round(o.share, 6) AS metric_value FROM own o LEFT JOIN own b ON b.municipality_id = o.municipality_id AND b.election_key = '{BEFORE}' LEFT JOIN vol v ON v.municipality_id = o.municipality_id LEFT JOIN chg c ON c.municipality_id = o.municipality_id WHERE o.election_key = '{LATEST}'")

@@ -14,9 +14,10 @@ from ..operators import geo as G
 from ..operators import ingest as I
 from ..operators import panel as P
 from ..operators import reports as R
+from ..operators import resolve as V
 from ..operators import trajectory as T
 from .ingest import _KEY, RAWS, made
-from .registry import _CELLS, _OWN, _PCT, _VOL, BEFORE, LATEST, PARTY, Panel, _cells, query, r6
+from .registry import _CELLS, _OWN, _PCT, _VECTORS, _VOL, BEFORE, LATEST, PARTY, Panel, _cells, query, r6, vectors
 
 _R = f", raws AS ({RAWS.replace('AS STRING', 'AS VARCHAR')})"
 _STAB = _VOL + ", met AS (SELECT municipality_id, volatility, changes, CASE WHEN volatility IS NOT NULL THEN greatest(CAST(0 AS DOUBLE), 100 - CAST(2.4 AS DOUBLE) * volatility - 6 * changes) END AS stability FROM chg LEFT JOIN vol USING (municipality_id))"
@@ -24,8 +25,7 @@ _STAB = _VOL + ", met AS (SELECT municipality_id, volatility, changes, CASE WHEN
 
 def metrics(p: Panel) -> DataFrame:
     """(municipality_id, volatility, changes, stability_index) over all elections."""
-    vol, chg = T.volatility(p.own), T.dominance_changes(p.summ)
-    return chg.join(vol, "municipality_id", "left").withColumn("stability", F.when(F.col("volatility").isNotNull(), F.greatest(F.lit(0.0), 100 - 2.4 * F.col("volatility") - 6 * F.col("changes"))))
+    return T.history(_cells(p)).withColumnRenamed("stability_index", "stability")
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -38,7 +38,7 @@ def _(p):
 
 @query("j04_results_by_rank", f" SELECT municipality_id, party_std, CAST(row_number() OVER (PARTITION BY municipality_id ORDER BY coalesce(nullif(CASE WHEN votes % 5 = 0 THEN 0 WHEN votes % 5 = 1 THEN NULL ELSE rn END, 0), 999), party_std) AS INT) AS place FROM rk WHERE election_key = '{LATEST}'")
 def _(p):
-    one = P.by_party(P.results(p.lines.filter(F.col("election_key") == LATEST)))
+    one = P.by_party(p.cells.filter(F.col("election_key") == LATEST))
     ranked = one.withColumn("rn", F.row_number().over(Window.partitionBy("municipality_id").orderBy(F.desc("votes"), "party_std")))
     rank = F.coalesce(F.nullif(F.when(F.col("votes") % 5 == 0, 0).when(F.col("votes") % 5 != 1, F.col("rn")), F.lit(0)), F.lit(999))
     return ranked.select("municipality_id", "party_std", F.row_number().over(Window.partitionBy("municipality_id").orderBy(rank, "party_std")).alias("place"))
@@ -71,21 +71,46 @@ def _(p):
     return p.res.select(*_KEY, "party_raw", "votes").join(den, _KEY, "left")
 
 
-@query("j10_cascade", _MASTER + """, k AS (SELECT municipality_id AS row, 0 AS candidate, province AS name, 'x' AS region FROM ms UNION ALL SELECT municipality_id, 1, 'n' || CAST(CAST(municipality_id AS BIGINT) % 50 AS VARCHAR), 'y' FROM ms),
- h AS (SELECT row, candidate, 0 AS strategy, 'm' || name AS id FROM k WHERE name IN ('NATION_1', 'NATION_2') UNION ALL SELECT row, candidate, 1, 'r' || name FROM k WHERE region = 'y' AND name IN ('n1', 'n2', 'n3') UNION ALL SELECT row, candidate, 2, 'u' || name FROM k WHERE name IN ('n2', 'n3', 'n4', 'NATION_2', 'NATION_4'))
- SELECT row, candidate, strategy, id FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY candidate, strategy) AS i FROM h) WHERE i = 1""")
-def _(p):
-    m = _master(p)
-    names = m.select(F.col("municipality_id").alias("row"), F.lit(0).alias("candidate"), F.col("province").alias("name"), F.lit("x").alias("region")).unionByName(m.select(F.col("municipality_id").alias("row"), F.lit(1).alias("candidate"), F.concat(F.lit("n"), (F.col("municipality_id").cast("long") % 50).cast("string")).alias("name"), F.lit("y").alias("region")))
-    known = lambda mark, of, more="": p.spark.createDataFrame([(x, mark + x, "y") for x in of], "name string, id string, region string")
-    manual, regional, unique = known("m", ["NATION_1", "NATION_2"]).drop("region"), known("r", ["n1", "n2", "n3"]), known("u", ["n2", "n3", "n4", "NATION_2", "NATION_4"]).drop("region")
-    return I.cascade(names, [(manual, ["name"]), (regional, ["name", "region"]), (unique, ["name"])])
-
-
-@query("j11_prefix_match", "SELECT name, min(id) AS id FROM (SELECT DISTINCT province AS name FROM tot) n JOIN (SELECT 'NATION_1' AS known, 'a' AS id UNION ALL SELECT 'NATION_11', 'b' UNION ALL SELECT 'NATION_22x', 'c') k ON starts_with(known, name) OR starts_with(name, known) GROUP BY 1 HAVING count(DISTINCT id) = 1")
-def _(p):
-    known = p.spark.createDataFrame([("NATION_1", "a"), ("NATION_11", "b"), ("NATION_22x", "c")], "known_name string, id string")
-    return I.prefix_match(p.tot.select(F.col("province").alias("name")).distinct(), known)
+# Places under made-up names that have nothing in common: even ones have a shape, every third one a former name, every
+# fiftieth a fixed answer. Rows ask for them in eleven ways; a row's candidate 0 is its own name.
+_PLACES = f"SELECT municipality_id, CAST(municipality_id AS BIGINT) AS no, substring(md5(municipality_id), 1, 12) AS k, min(province) AS province, min(region) AS region FROM tot GROUP BY municipality_id"
+_ASKED = [
+    ("k", "province", "region"), ("k", "'?'", "region"), ("k", "'?'", "'?'"), ("concat(k, 'h')", "province", "region"), ("concat(k, 'h')", "'?'", "region"), ("concat(k, 'h')", "'?'", "'?'"), ("substring(k, 1, 3)", "province", "NULL"),
+    ("concat(k, 'hxy')", "'?'", "'?'"), ("concat(substring(k, 1, 4), 'x', substring(k, 5, 8))", "'?'", "region"), ("'none'", "province", "region"), ("concat(k, 'h')", "'?'", "'?'"),
+]
+_ASK = ", ".join(f"CASE no % 66 // 6 {' '.join(f'WHEN {i} THEN {x[j]}' for i, x in enumerate(_ASKED))} END AS {c}" for j, c in enumerate(("key", "province", "region")))
+_KNOWN_PLACES = {
+    "overrides": "SELECT k AS key, concat('m', municipality_id) AS id FROM pl WHERE no % 50 = 0", "geometry": "SELECT k AS key, province, region, concat('g', municipality_id) AS id FROM pl WHERE no % 2 = 0",
+    "historical": "SELECT concat(k, 'h') AS key, province, region, concat('h', municipality_id) AS id FROM pl WHERE no % 3 = 0 UNION ALL SELECT concat(substring(k, 1, 2), 'q') AS key, province, region, concat('q', municipality_id) AS id FROM pl WHERE no % 30 = 0",
+    "names": f"SELECT municipality_id AS row, 0 AS candidate, {_ASK} FROM pl UNION ALL SELECT municipality_id AS row, 1 AS candidate, k AS key, province, region FROM pl WHERE no % 66 // 6 >= 9",
+}
+_ALONE = "SELECT key, min(id) AS id FROM {} GROUP BY key HAVING min(id) = max(id)"
+_EXACT = [
+    "SELECT row, candidate, 0 AS s, id FROM names JOIN overrides USING (key)",
+    *(f"SELECT row, candidate, {i} AS s, id FROM names JOIN {t if len(on) > 1 else '(' + _ALONE.format(t) + ')'} k USING ({', '.join(on)})" for i, (t, on) in enumerate(((t, on) for t in ("geometry", "historical") for on in (["key", "province"], ["key", "region"], ["key"])), 1)),
+]
+_BEGINS = "(starts_with(n.key, h.key) OR starts_with(h.key, n.key)) AND n.key <> ''"
+
+
+@query("j10_cascade", f", pl AS ({_PLACES}), " + ", ".join(f"{k} AS ({v})" for k, v in _KNOWN_PLACES.items()) + f""", hits AS ({' UNION ALL '.join(_EXACT)}),
+ r0 AS (SELECT row, candidate, s, id FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY candidate, s, id) AS i FROM hits) WHERE i = 1),
+ r1 AS (SELECT row, min(candidate) AS candidate, 7 AS s, min(h.id) AS id FROM names n JOIN historical h ON h.province = n.province AND {_BEGINS} WHERE row NOT IN (SELECT row FROM r0) GROUP BY row HAVING min(h.id) = max(h.id)),
+ r2 AS (SELECT row, min(candidate) AS candidate, 8 AS s, min(h.id) AS id FROM names n JOIN historical h ON {_BEGINS} WHERE row NOT IN (SELECT row FROM r0 UNION ALL SELECT row FROM r1) GROUP BY row HAVING min(h.id) = max(h.id)),
+ r3 AS (SELECT row, 0 AS candidate, 9 AS s, min(g.id) AS id FROM names n JOIN geometry g ON g.region = n.region AND levenshtein(n.key, g.key) <= 1 WHERE candidate = 0 AND row NOT IN (SELECT row FROM r0 UNION ALL SELECT row FROM r1 UNION ALL SELECT row FROM r2) GROUP BY row HAVING min(g.id) = max(g.id))
+ SELECT row, candidate, {list(V.STRATEGIES)}[s + 1] AS strategy, id FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)""")
+def _(p):
+    """In the SQL one letter more stands for the ratio: for these names of 12 letters, 0.91 lets through no more than that."""
+    pl = p.tot.groupBy("municipality_id").agg(F.min("province").alias("province"), F.min("region").alias("region"))
+    pl = pl.selectExpr("municipality_id", "CAST(municipality_id AS BIGINT) AS no", "substring(md5(municipality_id), 1, 12) AS k", "province", "region")
+    t = {k: p.spark.sql(v.replace(" // ", " DIV ").replace("FROM pl", "FROM {pl}"), pl=pl) for k, v in _KNOWN_PLACES.items()}
+    return V.cascade(t["names"], t["overrides"], t["geometry"], t["historical"])
+
+
+@query("j11_prefix_match", "SELECT name, min(id) AS id FROM (SELECT DISTINCT lower(province) AS name FROM tot UNION SELECT substr(CAST(electors AS VARCHAR), 1, CAST(voters % 4 AS BIGINT)) FROM tot) n JOIN (SELECT DISTINCT CAST(valid_votes AS VARCHAR) AS known, province AS id FROM tot WHERE valid_votes % 3 = 0 UNION ALL SELECT 'nation_1', 'a' UNION ALL SELECT 'nation_11', 'b' UNION ALL SELECT 'nation_22x', 'c' UNION ALL SELECT 'n', 'd') k ON starts_with(known, name) OR starts_with(name, known) WHERE name <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1")
+def _(p):
+    known = p.tot.filter("valid_votes % 3 = 0").selectExpr("CAST(valid_votes AS STRING) AS known_name", "province AS id").distinct()
+    known = known.unionByName(p.spark.createDataFrame([("nation_1", "a"), ("nation_11", "b"), ("nation_22x", "c"), ("n", "d")], known.schema))
+    return V.prefix_match(p.tot.selectExpr("lower(province) AS name").unionByName(p.tot.selectExpr("substring(CAST(electors AS STRING), 1, CAST(voters % 4 AS INT)) AS name")), known)
 
 
 @query("j13_lookup_by_name", _MASTER + ", l AS (SELECT municipality_id % 40 AS name, province, geometry_id, CAST(municipality_id AS BIGINT) AS ord FROM (SELECT CAST(municipality_id AS BIGINT) AS municipality_id, province, geometry_id FROM ms)), x AS (SELECT municipality_id, CAST(municipality_id AS BIGINT) % 41 AS name, province FROM ms) SELECT municipality_id, geometry_id FROM (SELECT x.municipality_id, l.geometry_id, row_number() OVER (PARTITION BY x.municipality_id ORDER BY CASE WHEN l.province = x.province THEN 0 ELSE 1 END, l.ord) AS k FROM x LEFT JOIN l ON l.name = x.name) WHERE k = 1")
@@ -146,19 +171,26 @@ def _(p):
 
 @query("a38_shared_domain", f"SELECT round(min(turnout_pct), 6) AS low, round(max(turnout_pct), 6) AS high, round(max(abs(first_second_margin)), 6) AS diverging, count(DISTINCT election_key) AS elections FROM summ WHERE election_key IN ('{LATEST}', '{BEFORE}')")
 def _(p):
-    two = p.lines.filter(F.col("election_key").isin(LATEST, BEFORE))
-    s = P.summary(P.totals(two), P.by_party(P.results(two)))
+    two = p.cells.filter(F.col("election_key").isin(LATEST, BEFORE))
+    s = P.summary(two)
     return s.agg(F.round(F.min("turnout_pct"), 6).alias("low"), F.round(F.max("turnout_pct"), 6).alias("high"), F.round(F.max(F.abs("first_second_margin")), 6).alias("diverging"), F.count_distinct("election_key").alias("elections"))
 
 
-@query("a15_context_averages", f", pr AS (SELECT election_key, province, {_PCT} * sum(voters) / sum(electors) AS turnout, sum(first_second_margin * valid_votes) / sum(valid_votes) AS margin FROM summ GROUP BY ALL), na AS (SELECT election_key, {_PCT} * sum(voters) / sum(electors) AS turnout, sum(first_second_margin * valid_votes) / sum(valid_votes) AS margin FROM summ GROUP BY 1) SELECT s.municipality_id, round(pr.turnout, 6) AS province_turnout, round(na.turnout, 6) AS nation_turnout, round(pr.margin, 6) AS province_margin, round(na.margin, 6) AS nation_margin FROM summ s JOIN pr USING (election_key, province) JOIN na USING (election_key) WHERE s.election_key = '{LATEST}'")
+_LEVELS = f""", ov AS (SELECT s.*, o.votes AS own FROM summ s LEFT JOIN std o ON o.election_key = s.election_key AND o.municipality_id = s.municipality_id AND o.party_std = '{PARTY}'),
+ lv AS (SELECT election_key, CASE WHEN grouping(province) = 1 THEN 'nation' ELSE 'province' END AS level, province, {_PCT} * sum(voters) / sum(electors) AS t, sum(first_second_margin * valid_votes) / sum(valid_votes) AS m, sum(first_party_share * valid_votes) / sum(valid_votes) AS fs, {_PCT} * sum(own) / sum(valid_votes) AS sh FROM ov GROUP BY GROUPING SETS ((election_key, province), (election_key))),
+ cu AS (SELECT municipality_id, province, CAST(electors % 50 AS DOUBLE) AS value FROM tot WHERE election_key = '{LATEST}' AND electors % 3 <> 0), cm AS (SELECT province, avg(value) AS c FROM cu GROUP BY GROUPING SETS ((province), ()))"""
+_CONTEXT_VALUES = {
+    "party_share": "n.sh", "swing_compare": "n.sh - w.sh", "turnout": "n.t", "margin": "n.m", "delta_turnout": "n.t - w.t", "over_performance_province": "CASE WHEN n.level = 'province' THEN 0 ELSE ps.sh - ns.sh END",
+    "over_performance_region": "CASE WHEN n.level = 'nation' THEN 0 ELSE ps.sh - ns.sh END", "stability_index": "met.stability", "custom_indicator": "cm.c", "volatility": "n.fs",
+}
+
+
+@query("a15_context_averages", _STAB + _LEVELS + " SELECT municipality_id, level, metric, value FROM (SELECT p.municipality_id, n.level, unnest([" + ", ".join(f"'{k}'" for k in _CONTEXT_VALUES) + "]) AS metric, unnest([" + ", ".join(f"round(CAST({v} AS DOUBLE), 6)" for v in _CONTEXT_VALUES.values()) + f"""]) AS value FROM (SELECT municipality_id, province FROM tot WHERE election_key = '{LATEST}') p
+ JOIN lv n ON n.election_key = '{LATEST}' AND (n.level = 'nation' OR n.province = p.province) LEFT JOIN lv w ON w.election_key = '{BEFORE}' AND w.level = n.level AND w.province IS NOT DISTINCT FROM n.province LEFT JOIN cm ON cm.province IS NOT DISTINCT FROM n.province JOIN lv ns ON ns.election_key = '{LATEST}' AND ns.level = 'nation' JOIN lv ps ON ps.election_key = '{LATEST}' AND ps.province = p.province LEFT JOIN met ON met.municipality_id = p.municipality_id)""")
 def _(p):
-    one = p.lines.filter(F.col("election_key") == LATEST)
-    s = P.summary(P.totals(one), P.by_party(P.results(one)))
-    r = P.rollup(s)
-    pr = r.filter("level = 'province'").select("province", F.round("turnout", 6).alias("province_turnout"), F.round("margin", 6).alias("province_margin"))
-    na = r.filter("level = 'nation'").select(F.round("turnout", 6).alias("nation_turnout"), F.round("margin", 6).alias("nation_margin"))  # one row
-    return s.select("municipality_id", "province").join(F.broadcast(pr), "province").crossJoin(F.broadcast(na)).drop("province")
+    custom = p.tot.filter((F.col("election_key") == LATEST) & (F.col("electors") % 3 != 0)).select("municipality_id", "province", (F.col("electors") % 50).cast("double").alias("value"))
+    stable = T.history(_cells(p)).select("municipality_id", "stability_index")
+    return R.context_averages(p.cells, PARTY, LATEST, BEFORE, stable, custom).select("municipality_id", "level", "metric", *r6("value"))
 
 
 @query("a17_block_matrix", f"SELECT coalesce(a.dominant_block, '—') AS before, coalesce(b.dominant_block, '—') AS after, count(*) AS n FROM summ a JOIN summ b USING (municipality_id) WHERE a.election_key = '{BEFORE}' AND b.election_key = '{LATEST}' GROUP BY ALL")
@@ -208,10 +240,10 @@ def _(p):
     return rows.select("municipality_id", C.fallback_label(F.coalesce("block", F.lit("altro")), F.col("tier"), F.col("volatility"), F.col("changes")).alias("label"))
 
 
-@query("m03_cluster_labels", "SELECT * FROM (VALUES (0, 'quota alta · volatile · dominanza stabile · alta affluenza'), (1, 'quota media · più stabile · leader mobili · affluenza intermedia'), (2, 'quota bassa · più stabile · equilibrato · affluenza intermedia')) t(cluster, label)", prelude=False)
+@query("m03_cluster_labels", _VECTORS + " SELECT municipality_id, concat_ws(' · ', CASE WHEN f[1] >= 20 THEN 'quota alta' WHEN f[1] >= 10 THEN 'quota media' ELSE 'quota bassa' END, CASE WHEN f[2] >= 8 THEN 'volatile' ELSE 'più stabile' END, CASE WHEN f[3] >= 60 THEN 'dominanza stabile' WHEN f[5] >= 3 THEN 'leader mobili' ELSE 'equilibrato' END, CASE WHEN f[4] >= 75 THEN 'alta affluenza' ELSE 'affluenza intermedia' END) AS label FROM vec")
 def _(p):
-    centroids = p.spark.createDataFrame([(0, 20.0, 8.0, 60.0, 75.0, 0.0, 1.0), (1, 10.0, 7.9, 59.0, 74.9, 3.0, 0.0), (2, 9.9, 0.0, 0.0, 0.0, 2.9, 0.0)], "cluster int, share double, volatility double, stability double, turnout double, changes double, over double")
-    return centroids.select("cluster", C.cluster_label().alias("label"))
+    """What the label says of each place's own vector."""
+    return vectors(p).select("municipality_id", C.cluster_label().alias("label"))
 
 
 # --- order, search, sets --------------------------------------------------------------------------------------------
@@ -252,16 +284,21 @@ def _(p):
     return lists.withColumn("k", F.row_number().over(Window.partitionBy("list").orderBy(F.round("o", 6), "municipality_id"))).filter("k <= m").select("list", "municipality_id", F.round("v", 6).alias("value"))
 
 
-@query("o07_search", _MASTER + ", x AS (SELECT municipality_id, 0 AS source FROM ms WHERE contains(lower(geometry_id), 'g42') UNION ALL SELECT municipality_id, 1 FROM ms WHERE contains(lower(province), 'nation_1')) SELECT municipality_id FROM x ORDER BY source, municipality_id LIMIT 1")
+_NO = "CAST(municipality_id AS BIGINT)"
+_FOUND_IN = [f"SELECT municipality_id AS id, {_NO} AS ord, concat(province, ' ', geometry_id) AS text FROM ms", f"SELECT municipality_id AS id, {_NO} AS ord, concat('Al', {_NO} * 7 % 1000, ' type') AS text FROM ms WHERE {_NO} % 3 = 0", f"SELECT municipality_id AS id, {_NO} AS ord, concat('SUM ', municipality_id) AS text FROM ms"]
+_SEARCHED = f"SELECT DISTINCT CASE {_NO} % 10 WHEN 0 THEN concat(' G', {_NO} % 700) WHEN 1 THEN concat('AL', {_NO} * 7 % 1000) WHEN 2 THEN concat('sum ', municipality_id) WHEN 3 THEN concat('no ', municipality_id) WHEN 4 THEN substring(province, 8, 1) WHEN 5 THEN ' ' WHEN 6 THEN '9' ELSE NULL END AS query FROM ms"
+
+
+@query("o07_search", _MASTER + f", qs AS ({_SEARCHED}), al AS (" + " UNION ALL ".join(f"SELECT {i} AS source, * FROM ({x})" for i, x in enumerate(_FOUND_IN)) + ") SELECT query, source, id FROM (SELECT query, source, id, row_number() OVER (PARTITION BY query ORDER BY source, ord, id) AS k FROM qs JOIN al ON trim(query) <> '' AND contains(lower(text), lower(trim(query)))) WHERE k = 1")
 def _(p):
-    m = _master(p)
-    hits = m.filter(F.lower("geometry_id").contains("g42")).select("municipality_id", F.lit(0).alias("source")).unionByName(m.filter(F.lower("province").contains("nation_1")).select("municipality_id", F.lit(1).alias("source")))
-    return hits.orderBy("source", "municipality_id").limit(1).select("municipality_id")
+    ms = _master(p)
+    on = lambda sql: p.spark.sql(sql.replace("FROM ms", "FROM {ms}"), ms=ms)
+    return V.search(on(_SEARCHED), *[on(x) for x in _FOUND_IN])
 
 
 @query("w13_rank_position", f"SELECT 1 + count(*) AS position FROM summ a, (SELECT turnout_pct AS t FROM summ WHERE election_key = '{LATEST}' AND municipality_id = '1287') o WHERE election_key = '{LATEST}' AND (turnout_pct > t OR (turnout_pct = t AND municipality_id < '1287'))")
 def _(p):
-    one = P.totals(p.lines.filter(F.col("election_key") == LATEST)).select("municipality_id", P.pct(F.col("voters"), F.col("electors")).alias("t"))
+    one = P.totals(p.cells.filter(F.col("election_key") == LATEST)).select("municipality_id", P.pct(F.col("voters"), F.col("electors")).alias("t"))
     own = one.filter("municipality_id = '1287'").select(F.col("t").alias("t0"))  # one row; counting those before it needs no global sort
     before = (F.col("t") > F.col("t0")) | ((F.col("t") == F.col("t0")) & (F.col("municipality_id") < "1287"))
     return one.crossJoin(F.broadcast(own)).agg((F.count(F.when(before, 1)) + 1).alias("position"))
@@ -301,23 +338,44 @@ def _(p):
 # --- text -----------------------------------------------------------------------------------------------------------
 
 
-@query("f15_f21_f26_f33_texts", "SELECT * FROM (VALUES (1, 'milano nord', 'Milano', DATE '1994-03-27', 'Milano  Nord'), (2, 'x', 'x', NULL, 'second'), (3, NULL, NULL, NULL, NULL)) t(id, squeezed, base, day, first_text)", prelude=False)
+_DAY = "electors % 33, '/', voters % 14, '/', election_year"
+_TEXTS = {"a": "concat(' ', province, ' \n ', region, '  ')", "b": "CASE WHEN electors % 3 = 0 THEN concat(province, 'x') ELSE concat(province, ' ', electors % 50) END", "d": f"concat('del ', {_DAY}, ' x')", "e": "CASE electors % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE concat(' ', region) END", "f": "CASE WHEN voters % 2 = 0 THEN province END"}
+
+
+@query("f15_f21_f26_f33_texts", f""" SELECT election_key, municipality_id, concat(lower(province), ' ', lower(region)) AS squeezed, CASE WHEN electors % 3 = 0 THEN concat(province, 'x') ELSE province END AS base, TRY_CAST(concat(election_year, '-', lpad(CAST(voters % 14 AS VARCHAR), 2, '0'), '-', lpad(CAST(electors % 33 AS VARCHAR), 2, '0')) AS DATE) AS day,
+ CASE WHEN electors % 4 > 1 THEN region WHEN voters % 2 = 0 THEN province END AS first_text FROM tot""")
 def _(p):
-    t = p.spark.createDataFrame([(1, " Milano \n Nord ", "Milano 3", "del 27/3/1994", "Milano  Nord ", None), (2, "X", "x", "31/31/1994", " ", "second"), (3, None, None, None, None, "")], "id int, a string, b string, d string, e string, f string")
-    return t.select("id", X.squeeze(F.col("a")).alias("squeezed"), X.base_name(F.col("b")).alias("base"), X.iso_date(F.col("d")).alias("day"), X.first_nonempty(F.col("e"), F.col("f")).alias("first_text"))
+    t = p.tot.selectExpr(*_KEY, *[f"{sql} AS {c}" for c, sql in _TEXTS.items()])
+    return t.select(*_KEY, X.squeeze(F.col("a")).alias("squeezed"), X.base_name(F.col("b")).alias("base"), X.iso_date(F.col("d")).alias("day"), X.first_nonempty(F.col("e"), F.col("f")).alias("first_text"))
 
 
-@query("f09_token_texts", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))) AS token FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7FàèéìòùÀÈÉÌÒÙ]', ' ', 'g') AS t FROM documents)", prelude=False)
+@query("f09_token_texts", "SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g'))) AS token FROM documents", prelude=False)
 def _(p):
     docs = p.spark.read.parquet(f"{p.sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5(X.token(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7FàèéìòùÀÈÉÌÒÙ]", " "))).alias("token"))
+    return docs.select("doc_id", F.md5(X.token(F.coalesce("text", F.lit("")))).alias("token"))
+
+
+# Urls and paths of eight kinds, made of the pages' own, with what is to become of them: code, canonical, rewritten.
+_B = "regexp_extract(url, '^([^?#]*)', 1)"
+_URLS = [
+    (f"concat({_B}, '?lev4=', page_id, '-3&unipro=uni&lev3=9&levsut0=3')", "CAST(page_id AS VARCHAR)", f"concat({_B}, '?lev4=', page_id, '-3&lev3=9')", f"concat({_B}, '?lev3=9&lev4=', page_id, '-3&levsut0=3&tpe=C&unipro=uni')"),
+    (f"concat({_B}, '?unipro=uni&lev4=0&lev3=', page_id + 1)", "CAST(page_id + 1 AS VARCHAR)", f"concat({_B}, '?lev4=0&lev3=', page_id + 1)", f"concat({_B}, '?lev3=', page_id + 1, '&lev4=0&tpe=C&unipro=uni')"),
+    (f"concat({_B}, '?z=1&lev3=roma-lev31', page_id, '&a=%C3%A9+x&a=*~#top')", "'roma'", f"concat({_B}, '?z=1&lev3=roma-lev31', page_id, '&a=%C3%A9+x&a=*~#top')", f"concat({_B}, '?a=%2A~&es3=N&lev3=1', page_id, '&levsut3=3&ne3=roma&tpe=C&z=1')"),
+    (f"concat({_B}, '?lev1=x-lev24', page_id, '&es2=Y&b&&ne3=0')", "''", f"concat({_B}, '?lev1=x-lev24', page_id, '&es2=Y&b&ne3=0')", f"concat({_B}, '?b=&es2=Y&lev1=x-lev24', page_id, '&lev2=4', page_id, '&levsut2=2&ne2=x&ne3=0')"),
+    (f"concat({_B}, '?ne2=a-lev11-lev22&lev3=0')", "''", f"concat({_B}, '?ne2=a-lev11-lev22&lev3=0')", f"concat({_B}, '?es2=N&lev2=2&lev3=0&levsut2=2&ne2=a-lev11')"),
+    (f"concat({_B}, '?levsut0=7')", "''", _B, f"concat({_B}, '?levsut0=7')"), ("NULL", "''", "''", "''"), ("concat('no url ', page_id)", "''", "concat('no url ', page_id)", "concat('no url ', page_id)"),
+]
+_url = lambda i: "CASE page_id % 8 " + " ".join(f"WHEN {k} THEN {row[i]}" for k, row in enumerate(_URLS)) + " END"
+_PATHS = ["concat('plain ', page_id)", "concat('/home/a/f', page_id, '.csv')", "concat('/mnt/x python run ', page_id)", "NULL", "concat('C:', chr(92), 'b', chr(92), 'd', page_id)"]
+_PATHS_AFTER = ["concat('plain ', page_id)", "concat('f', page_id, '.csv')", "'[redacted-path-string]'", "NULL", "concat('d', page_id)"]
+_path = lambda rows: "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(rows)) + " END"
 
 
-@query("f23_f24_f29_urls", r"""SELECT * FROM (VALUES (1, '12', 'http://a/x?lev4=12-3&lev3=9', 'plain'), (2, '9', 'http://a/x?lev4=0&lev3=9', 'f.csv'), (3, '7', 'http://a/x?ne3=7', '[redacted-path-string]'), (4, '', '', NULL), (5, '', 'not a url', 'd')) t(id, code, url, path)""", prelude=False)
+@query("f23_f24_f29_urls", f"SELECT page_id, {_url(1)} AS code, {_url(2)} AS url, {_url(3)} AS rewritten, {_path(_PATHS_AFTER)} AS path FROM pages", prelude=False)
 def _(p):
-    rows = [(1, "http://a/x?lev4=12-3&unipro=uni&lev3=9&levsut0=3", "plain"), (2, "http://a/x?unipro=uni&lev4=0&lev3=9", "/home/a/f.csv"), (3, "http://a/x?ne3=7&levsut0=1", "/mnt/x python run"), (4, None, None), (5, "not a url", "C:\\b\\d")]
-    t = p.spark.createDataFrame(rows, "id int, u string, s string")
-    return t.select("id", X.code_from_url(F.col("u")).alias("code"), X.canonical_url(F.col("u")).alias("url"), X.redacted_path(F.col("s")).alias("path"))
+    t = p.spark.read.parquet(f"{p.sf_dir}/pages.parquet").selectExpr("page_id", f"{_url(0)} AS u", f"{_path(_PATHS)} AS s")
+    u = F.col("u")
+    return t.select("page_id", X.code_from_url(u).alias("code"), X.canonical_url(u).alias("url"), X.historical_url(u).alias("rewritten"), X.redacted_path(F.col("s")).alias("path"))
 
 
 @query("f27_named_region", "SELECT DISTINCT party_raw, CASE WHEN contains(concat(' ', lower(party_raw), ' '), ' economy ') THEN 'E' WHEN contains(concat(' ', lower(party_raw), ' '), ' steel ') THEN 'S' WHEN starts_with(trim(regexp_replace(lower(party_raw), '[^a-z0-9]+', ' ', 'g')), 'brand 1') THEN 'B' ELSE '' END AS region FROM res")
@@ -348,10 +406,12 @@ def _(p):
     return G.hit_test(points, shapes, 32.0).join(points, "key").select("key", "id", G.is_projected(F.col("x"), F.col("y")).alias("projected"))
 
 
-@query("r03_vertices", "SELECT * FROM (VALUES (1, 7), (2, 0)) t(id, n)", prelude=False)
+@query("r03_vertices", " SELECT municipality_id, count(*) + least(2, count(*)) AS n FROM tot GROUP BY 1")
 def _(p):
-    t = p.spark.createDataFrame([(1, [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]], [[2.0, 2.0], [3.0, 2.0], [2.0, 2.0]]]), (2, [])], "id int, rings array<array<array<double>>>")
-    return t.select("id", G.vertices(F.col("rings")).alias("n"))
+    """Two rings a place: a corner an election, and the first two of them again."""
+    corner = F.array(F.col("election_year").cast("double"), F.col("electors").cast("double"))
+    rings = p.tot.groupBy("municipality_id").agg(F.array_sort(F.collect_list(corner)).alias("ring"))
+    return rings.select("municipality_id", G.vertices(F.array("ring", F.slice("ring", 1, 2))).alias("n"))
 
 
 @query("a18_archetype_distribution", _ARCH + ", k AS (SELECT label, municipality_id, row_number() OVER (PARTITION BY label ORDER BY municipality_id) AS i FROM ar) SELECT label, count(*) AS n, string_agg(CASE WHEN i <= 6 THEN municipality_id END, '|' ORDER BY municipality_id) AS first_places FROM k GROUP BY 1 ORDER BY n DESC, label LIMIT 6")

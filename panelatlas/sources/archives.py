@@ -5,17 +5,38 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import operator
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from html.parser import HTMLParser
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# File name parts of members that hold no party results, and those that come first.
+# File name parts of members that hold no party results.
 OTHER_MEMBERS = ["preferenze", "candidati", "estero", "vaosta"]
-FIRST_MEMBERS = ["proporzionale", "camera_italia", "camera-", "assemblea_costituente"]
+
+
+@dataclass(frozen=True)
+class MemberRule:
+    """Fits members whose name holds all ``parts``, in archives of ``year`` and ``kind`` where these are given."""
+
+    year: int | None
+    kind: str
+    parts: tuple[str, ...]
+
+
+def read_member_rules(path: Path = Path(__file__).parents[1] / "data" / "member_rules.csv") -> list[MemberRule]:
+    """The rules of a data file (its values are fixed), the first that fits any member counts."""
+    with path.open(newline="") as f:
+        return [MemberRule(int(r["year"]) if r["year"] else None, r["kind"], tuple(r["parts"].split("|"))) for r in csv.DictReader(f)]
+
+
+MEMBER_RULES = read_member_rules()
 #: Folders (clean, raw) of an election, the first that is there counts. {} is the election's key.
 LAYOUTS = [("{}/validated/clean/", "{}/validated/raw/"), ("{}/existing/clean/", "{}/existing/raw/"), ("{}/raw_option_urls/clean/", "{}/raw_option_urls/raw/"), ("{}_clean/", "{}_raw/")]
 
@@ -66,26 +87,18 @@ def consultations(page: Column) -> Column:
     return F.transform(firsts, lambda r: F.struct(F.lower(r["election_type"]).alias("election_type"), r["year"].cast("int").alias("year"), r["relative_path"].alias("relative_path"), r["filename"].alias("filename"), r["election_date"].alias("election_date")))
 
 
-def primary_member(members: Column, year: Column, kind: Column) -> Column:
-    """The member of an archive that holds the party results; null if none is a table."""
-    has = lambda m, *tokens: [F.contains(F.lower(m), F.lit(t)) for t in tokens]
-
-    def useful(m: Column) -> Column:
-        out = F.lower(m).rlike(r"\.(txt|csv)$")
-        for other in has(m, *OTHER_MEMBERS):
-            out = out & ~other
-        return out
-
-    tables = F.filter(members, useful)
-    first = lambda test: F.get(F.filter(tables, test), F.lit(0))
-    kind = F.lower(F.trim(F.coalesce(kind, F.lit("camera"))))
-    special = [
-        F.when(year == 2018, first(lambda m: has(m, "livcomune")[0])),
-        F.when(year == 2022, first(lambda m: has(m, "livcomune")[0] & has(m, "italia")[0])),
-        F.when(kind == "assemblea_costituente", first(lambda m: has(m, "assemblea_costituente")[0])),
-    ]
-    named = lambda token: first(lambda m: has(m, token)[0])
-    return F.coalesce(*special, *[named(t) for t in FIRST_MEMBERS], F.get(tables, F.lit(0)))
+def primary_member(members: Column, year: Column, kind: Column, rules: Sequence[MemberRule] = MEMBER_RULES) -> Column:
+    """The member of an archive that holds the party results: of the tables the first that the first fitting rule names,
+    else the first; null if none is a table."""
+    has = lambda m, parts: reduce(operator.and_, [F.contains(F.lower(m), F.lit(t)) for t in parts])
+    useful = lambda m: reduce(operator.and_, [~F.contains(F.lower(m), F.lit(t)) for t in OTHER_MEMBERS], F.lower(m).rlike(r"\.(txt|csv)$"))
+    tables, kind = F.filter(members, useful), F.lower(F.trim(F.coalesce(kind, F.lit("camera"))))
+
+    def named(rule: MemberRule) -> Column:
+        asked = ([year == rule.year] if rule.year else []) + ([kind == rule.kind] if rule.kind else [])
+        return F.when(reduce(operator.and_, asked, F.lit(True)), F.get(F.filter(tables, lambda m: has(m, rule.parts)), F.lit(0)))
+
+    return F.coalesce(*[named(r) for r in rules], F.get(tables, F.lit(0)))
 
 
 def _inventory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
