@@ -125,20 +125,16 @@ def _merge(min_docs: int):
         """A term's leaves are all here. Most terms are rare, so documents are added up first and only what is kept enters the
         merged trie."""
         tables = list(batches)
-        if not tables:
-            return
-        rows = pa.Table.from_batches(tables)
+        rows = pa.Table.from_batches(tables, _schema(LEAVES))
         kept = rows.select(["lang", "term", "docs"]).group_by(["lang", "term"]).aggregate([("docs", "sum")])
-        kept = kept.filter(pc.greater_equal(kept["docs_sum"], min_docs)).select(["lang", "term"])
-        tries: dict[bytes, RadixTrie] = {}
-        for batch in _only(rows, kept):
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tries.setdefault(lang, RadixTrie()).add(term, docs, dict(zip(sources, counts, strict=True)))
+        kept = kept.filter(pc.greater_equal(kept["docs_sum"], min_docs))
 
         def blocks():
-            for lang in sorted(tries):
+            for lang in sorted(pc.unique(kept["lang"]).to_pylist()):
+                own, of = rows.filter(pc.equal(rows["lang"], lang)), kept.filter(pc.equal(kept["lang"], lang))
+                walk = _merged(own, of).walk()
                 held, size = [], 0
-                for term, node in tries[lang].walk():
+                for term, node in walk:
                     held.append((term, node.by_source))
                     size += len(node.by_source)
                     if len(held) == BLOCK_TERMS or size >= BLOCK_COUNTERS:
@@ -152,12 +148,21 @@ def _merge(min_docs: int):
     return merge
 
 
-def _only(rows: pa.Table, kept: pa.Table) -> Iterator[pa.RecordBatch]:
-    """The rows of the (lang, term) pairs in ``kept``."""
-    for lang in pc.unique(kept["lang"]):
-        terms = kept.filter(pc.equal(kept["lang"], lang))["term"]
-        own = rows.filter(pc.equal(rows["lang"], lang))
-        yield from own.filter(pc.is_in(own["term"], value_set=terms.combine_chunks())).to_batches(max_chunksize=20_000)
+def _merged(rows: pa.Table, kept: pa.Table) -> RadixTrie:
+    """The trie of the terms in ``kept``; their counters by source are added up in columns."""
+    terms = kept["term"].combine_chunks()
+    rows = rows.append_column("at", pc.index_in(rows["term"], value_set=terms))
+    rows = rows.filter(pc.is_valid(rows["at"])).combine_chunks()
+    sources = pc.list_flatten(rows["sources"]).combine_chunks().dictionary_encode()
+    names = sources.dictionary.to_pylist()
+    at = rows["at"].combine_chunks().take(pc.list_parent_indices(rows["sources"]).combine_chunks())
+    key = at.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + sources.indices.to_numpy(zero_copy_only=False)
+    sums = pa.table({"key": key, "n": pc.list_flatten(rows["counts"])}).group_by("key").aggregate([("n", "sum")]).sort_by("key")
+    which, source = np.divmod(sums["key"].to_numpy(), len(names))
+    trie, n, source, ends = RadixTrie(), sums["n_sum"].to_pylist(), source.tolist(), np.searchsorted(which, np.arange(len(terms) + 1)).tolist()
+    for k, (term, docs) in enumerate(zip(terms.to_pylist(), kept["docs_sum"].to_pylist(), strict=True)):
+        trie.add(term, docs, {names[s]: c for s, c in zip(source[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]], strict=True)})
+    return trie
 
 
 def _block(lang: bytes, held: list[tuple[bytes, dict]]) -> tuple:
