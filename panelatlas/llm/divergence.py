@@ -87,9 +87,9 @@ def _flush(counts: dict[bytes, dict[bytes, Counter]], docs: dict[bytes, Counter]
     for lang in sorted(counts):
         trie, sources = RadixTrie(), sorted(counts[lang])
         nodes = {}
-        for term, n in docs[lang].items():
+        for term in sorted(docs[lang]):  # in order, neighbours share the nodes they pass
             node = nodes[term] = trie.leaf(term)
-            node.docs, node.by_source = n, {}
+            node.docs, node.by_source = docs[lang][term], {}
         for i, s in enumerate(sources):
             for term, n in counts[lang][s].items():
                 nodes[term].by_source[i] = n
