@@ -11,8 +11,9 @@ from ..operators import geo as G
 from ..operators.fuzzy import fuzzy_match
 from ..sources import archives as A
 from ..sources import catalog as K
+from ..sources import documents as D
 from .ingest import _KEY, TURNOUT, made
-from .registry import query
+from .registry import LATEST, query
 
 # Each fixture is a select list that both engines run, over a table of the panel.
 _N = "CAST(municipality_id AS BIGINT)"
@@ -181,6 +182,48 @@ def _(p):
     return K.row_checks(e, summ, p.res.select((F.col("votes") - 5).alias("vote_share")))
 
 
+# A bundle for each place, with documents that break a rule where a remainder of its electors says so.
+_DECLARED = {"geometry": "g.json", "geometryFull": "gf.json", "geometryPack": "p.json", "geometryPackFull": "pf.json", "dataProducts": "d.json", "productCatalog": "c.json", "provenance": "v.json", "releaseManifest": "r.json", "municipalitySummaryByElectionIndex": "i.json", "manifest": "m.json", "siteGuides": "s.json", "qualityReport": "q.json", "datasetContracts": "none.json"}
+_SCOPE = ", ".join(f'"{k}": 1' for k in _DECLARED if k != "releaseManifest")
+_DOCS = {
+    "g.json": "CASE WHEN electors % 2 = 0 THEN '{\"features\": []}' ELSE '{\"features\": [1]}' END", "d.json": "'{\"products\": [1], \"clients\": [{\"entrypoint\": \"c.py\"}, {\"entrypoint\": \"\"}]}'", "v.json": "CASE WHEN electors % 8 >= 5 THEN '{\"entries\": [1, 1, 1, 1, 1]}' ELSE '{\"entries\": [1]}' END",
+    "c.json": "CASE WHEN electors % 7 = 0 THEN '{\"products\": []}' ELSE '{\"products\": [{\"product_key\": \"a\", \"manifest_path\": \"pa.json\"}, {\"product_key\": \"b\", \"manifest_path\": \"pb.json\"}]}' END",
+    "pa.json": "CASE WHEN electors % 11 = 0 THEN '{\"datasets\": []}' ELSE '{\"datasets\": [1], \"inventory\": {\"entries\": [1]}}' END", "pb.json": "CASE WHEN electors % 13 <> 0 THEN '{\"datasets\": [1], \"inventory\": {\"entries\": [1]}}' END",
+    "r.json": "concat('{\"file_entries\": {', CASE WHEN electors % 17 = 0 THEN '' WHEN electors % 3 = 0 THEN '\"x\": 1' ELSE '" + _SCOPE + ", \"productManifest:a\": 1' END, '}, \"integrity\": {\"all_declared_files_present\": ', CASE WHEN electors % 4 = 0 THEN 'false' ELSE 'true' END, '}}')",
+    "i.json": "CASE WHEN electors % 19 = 0 THEN '{\"shards\": {}}' ELSE '{\"shards\": {\"e2\": \"s2.csv\", \"e1\": \"s1.csv\"}}' END", "p.json": "'{\"a\": 1, \"b\": [2]}'", "pf.json": "CASE WHEN electors % 9 = 0 THEN '{\"b\": [2], \"a\": 1}' ELSE '{\"a\": 2}' END",
+    "m.json": "CASE WHEN electors % 10 = 0 THEN '{\"at\": \"/home/u\"}' ELSE '{}' END", "s.json": "CASE WHEN electors % 5 = 1 THEN 'no json' ELSE '{\"layers\": [1], \"faq\": [2]}' END", "q.json": "CASE WHEN electors % 5 = 2 THEN '{\"derived_validations\": {\"has_errors\": true}}' ELSE '{}' END", "gf.json": "'{\"features\": [1]}'",
+}
+_OTHER_FILES = {"c.py": "electors % 5 <> 0", "s1.csv": "electors % 6 <> 0", "s2.csv": "electors % 6 > 1", "CITATION.cff": "electors % 12 <> 0", "x/__pycache__/a.pyc": "electors % 14 = 0", "x/__pycache__/b.pyc": "electors % 14 = 0", "y/__pycache__/b.pyc": "electors % 28 = 0"}
+_FINDINGS = [
+    ("'geometry:placeholder_or_missing'", "electors % 2 = 0"), ("'data_products:missing_client:c.py'", "electors % 5 = 0"), ("'provenance:too_short'", "electors % 8 < 5"), ("'product_catalog:empty_products'", "electors % 7 = 0"), ("'product_manifest:empty_datasets:a'", "electors % 7 <> 0 AND electors % 11 = 0"), ("'product_manifest:empty_inventory:a'", "electors % 7 <> 0 AND electors % 11 = 0"), ("'product_catalog:missing_manifest:b'", "electors % 7 <> 0 AND electors % 13 = 0"),
+    ("'release_manifest:empty'", "electors % 17 = 0"), ("'release_manifest:declared_files_missing'", "electors % 4 = 0"), ("'release_manifest:file_scope_mismatch'", "electors % 17 = 0 OR electors % 3 = 0"), ("CASE WHEN electors % 6 = 0 THEN 'summary_shards:missing_files:e1,e2' ELSE 'summary_shards:missing_files:e2' END", "electors % 19 <> 0 AND electors % 6 < 2"),
+    ("'geometry_pack:web_and_full_identical'", "electors % 9 = 0"), ("'metadata_path_leak:1'", "electors % 10 = 0"), ("'site_guides:empty_layers'", "electors % 5 = 1"), ("'site_guides:empty_faq'", "electors % 5 = 1"), ("'citation:missing_cff'", "electors % 12 = 0"), ("CASE WHEN electors % 28 = 0 THEN 'pycache_shipped:2' ELSE 'pycache_shipped:1' END", "electors % 14 = 0"), ("'geometry_web:not_smaller_than_full'", "electors % 3 > 0"),
+    ("'manifest:missing_file_for_datasetContracts'", "TRUE"), *((f"'manifest:missing_{k}'", "TRUE") for k in D.REQUIRED if k not in _DECLARED),
+]
+
+
+@query("v08_document_checks", " " + " UNION ALL ".join(f"SELECT municipality_id AS bundle, {issue} AS issue, 'error' AS severity FROM tot WHERE election_key = '{LATEST}' AND ({cond})" for issue, cond in _FINDINGS) + "".join(f" UNION ALL SELECT municipality_id, '{issue}', 'warning' FROM tot WHERE election_key = '{LATEST}' AND {cond}" for issue, cond in (("summary_shards:empty", "electors % 19 = 0"), ("derived_validations:has_errors", "electors % 5 = 2"))))
+def _(p):
+    places = p.tot.filter(F.col("election_key") == LATEST).withColumn("bundle", F.col("municipality_id"))
+    docs = places.select("bundle", F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.expr(v).alias("text")) for k, v in _DOCS.items()])).alias("d")).select("bundle", "d.*").filter("text IS NOT NULL")
+    declared = places.select("bundle", F.explode(F.array(*[F.struct(F.lit(k).alias("dataset_key"), F.lit(v).alias("path")) for k, v in _DECLARED.items()])).alias("d")).select("bundle", "d.*")
+    others = places.select("bundle", F.explode(F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(k)) for k, cond in _OTHER_FILES.items()]))).alias("path"))
+    size = F.when(F.col("path") == "g.json", 10 + F.col("electors") % 3).otherwise(11).cast("long").alias("size_bytes")  # against 11 of the full shapes
+    files = docs.select("bundle", "path").unionByName(others).join(places.select("bundle", "electors"), "bundle").select("bundle", "path", size)
+    return D.document_checks(docs, declared, files)
+
+
+STATUS = f"CASE {_N} % 5 WHEN 0 THEN concat('{{\"status\": \"completed\", \"plausible\": true, \"strategy\": \"s', {_N}, '\", \"trial_name\": \"t\"}}') WHEN 1 THEN '{{\"plausible\": false, \"warning\": \"\", \"error\": \"e\"}}' WHEN 2 THEN 'no json' WHEN 3 THEN '{{\"status\": \"partial\", \"warning\": \"w\"}}' ELSE '{{}}' END"
+
+
+@query("s19_statuses", f""", st AS (SELECT concat('camera_', CAST(1000 + {_N} AS VARCHAR)) AS election_key, {_N} AS n FROM (SELECT DISTINCT municipality_id FROM tot) WHERE {_N} % 3 > 0) SELECT election_key, CAST(1000 + n AS INT) AS election_year, CASE n % 5 WHEN 0 THEN 'completed' WHEN 3 THEN 'partial' ELSE 'unknown' END AS status, CASE n % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS is_complete,
+ CASE n % 5 WHEN 1 THEN 'e' WHEN 3 THEN 'w' ELSE '' END AS comparability_notes, CASE n % 5 WHEN 0 THEN concat('strategy=s', n, '; trial=t') ELSE 'strategy=; trial=' END AS source_notes FROM st WHERE n < 9000""")
+def _(p):
+    places = p.tot.select("municipality_id").distinct().filter(f"{_N} < 9000")
+    path = f"concat('camera_', CAST(1000 + {_N} AS STRING), CASE WHEN {_N} % 3 = 0 THEN '_raw' ELSE '' END, '/status.json')"
+    return D.statuses(places.selectExpr(f"{path} AS path", f"{STATUS} AS text"))
+
+
 _SAID = "CASE WHEN electors % 3 = 0 THEN '' WHEN electors % 3 = 1 THEN NULL ELSE province END"
 
 

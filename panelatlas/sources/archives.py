@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import codecs
 import csv
-import io
 import operator
-import zipfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranged import listed, member_rows, members
+
 # File name parts of members that hold no party results.
 OTHER_MEMBERS = ["preferenze", "candidati", "estero", "vaosta"]
 
@@ -101,65 +100,19 @@ def primary_member(members: Column, year: Column, kind: Column, rules: Sequence[
     return F.coalesce(*[named(r) for r in rules], F.get(tables, F.lit(0)))
 
 
-def _inventory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        names = [zipfile.ZipFile(io.BytesIO(x)).namelist() for x in batch["content"]]
-        yield pd.DataFrame({"path": batch["path"], "members": names})
-
-
 def zip_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Per zip file its members, how many there are, and those that end in csv and xlsx."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInPandas(_inventory, "path string, members array<string>")
+    found = members(listed(spark, path))
     ending = lambda e: F.filter("members", lambda m: F.lower(m).endswith(e))
     return found.select("path", F.size("members").alias("entry_count"), "members", ending(".csv").alias("csv_members"), ending(".xlsx").alias("xlsx_members"))
 
 
-def _encoding(archive: zipfile.ZipFile, member: str) -> str:
-    """The first encoding that reads the whole member; it's read in pieces."""
-    for name in ("utf-8-sig", "cp1252"):
-        decoder = codecs.getincrementaldecoder(name)()
-        try:
-            with archive.open(member) as f:
-                while piece := f.read(1 << 20):
-                    decoder.decode(piece)
-            decoder.decode(b"", final=True)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
-
-
-def _zip_rows(columns: Sequence[str], rows_at_once: int = 5000):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, member, content in zip(batch["path"], batch["member"], batch["content"], strict=True):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                with archive.open(member) as f:
-                    lines = csv.reader(io.TextIOWrapper(f, _encoding(archive, member), newline=""), delimiter=";")
-                    head = [x.strip().strip('"') for x in next(lines, [])]
-                    at = {c: head.index(c) for c in columns if c in head}
-                    held: list[list] = []
-                    for number, line in enumerate((x for x in lines if x), 1):
-                        held.append([path, member, number, *[line[at[c]].strip().strip('"') if c in at and at[c] < len(line) else None for c in columns]])
-                        if len(held) == rows_at_once:
-                            yield pd.DataFrame(held, columns=["path", "member", "row", *columns])
-                            held = []
-                    if held:
-                        yield pd.DataFrame(held, columns=["path", "member", "row", *columns])
-
-    return read
-
-
 def zip_rows(spark: SparkSession, path: str, entries: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of each archive's primary member, only ``columns`` kept, as text. ``entries`` has filename, year and
-    election_type. An archive must stay under 2 GB, the most a binary cell holds; rows leave a task in batches. A column the
-    member lacks is null."""
+    election_type. Archives and members may be of any size."""
     known = zip_inventory(spark, path).withColumn("filename", F.element_at(F.split("path", "/"), -1))
     chosen = known.join(entries, "filename").select("path", primary_member(F.col("members"), F.col("year"), F.col("election_type")).alias("member")).filter("member IS NOT NULL")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = ", ".join(["path string", "member string", "row long", *[f"`{c}` string" for c in columns]])
-    return files.join(chosen, "path").mapInPandas(_zip_rows(columns), schema)
+    return member_rows(chosen, columns)
 
 
 class _Tables(HTMLParser):
@@ -184,7 +137,7 @@ class _Tables(HTMLParser):
         elif self.open and tag in ("td", "th"):
             self._close_cell()
             span = dict(attrs).get("colspan") or "1"
-            self.open[-1][1:] = [[], tag == "th", min(int(span), 1000) if span.isdigit() else 1]
+            self.open[-1][1:] = [[], tag == "th", int(span) if span.isdigit() else 1]
 
     def handle_endtag(self, tag):
         if tag == "title":

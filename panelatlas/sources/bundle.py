@@ -11,6 +11,8 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranged import listed, looked_at
+
 
 def _read_json(spark: SparkSession, path: str) -> dict:
     rows = spark.read.text(path, wholetext=True).collect()  # one file
@@ -63,7 +65,7 @@ class Bundle:
         """Per declared file: dataset_key, status (ok, missing_path, missing_file, mismatch)."""
         declared = [(k, v.get("path"), v.get("sha256")) for k, v in self.manifest.get("hashes", {}).items()]
         want = self.spark.createDataFrame(declared, "dataset_key string, path string, sha256 string")
-        have = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.root).select("path", F.sha2("content", 256).alias("actual"))
+        have = looked_at(listed(self.spark, self.root)).select("path", F.col("sha256").alias("actual"))
         # Readers give whole locations; a file's own path is what follows the bundle's folder, as the manifest's location shows it.
         at = self.spark.read.format("binaryFile").load(f"{self.root}/manifest.json").select("path").first()[0].removesuffix("manifest.json")
         have = have.select(F.when(F.col("path").startswith(at), F.substring("path", len(at) + 1, 1 << 30)).alias("path"), "actual")
@@ -73,7 +75,7 @@ class Bundle:
 
 def write_shards(rows: DataFrame, path: str, key: str = "election_key") -> DataFrame:
     """Write one partition folder per key, replacing what is there, and return the row counts per key."""
-    rows.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+    rows.write.mode("overwrite").partitionBy(key).parquet(path)  # each task writes its own part of every key: none gathers one
     return rows.sparkSession.read.parquet(path).groupBy(key).agg(F.count(F.lit(1)).alias("row_count"))
 
 

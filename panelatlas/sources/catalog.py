@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .ranged import listed, looked_at, record_counts
+
 # Arrays whose length says how much a JSON file holds, the first that is there counts.
 COUNTED = {"features": "feature_count", "datasets": "dataset_count", "products": "product_count", "entries": "entry_count"}
 LEAKS = r"C:\\|/Users/|/mnt/|/home/"
@@ -55,17 +57,16 @@ def json_counts(text: Column) -> Column:
 
 def file_summaries(spark: SparkSession, root: str) -> DataFrame:
     """Per csv, json and geojson file below ``root``: path (whole), kind, size_bytes, sha256, row_count (csv), columns
-    (csv) and counts (json). Rows of all csv files are counted in one job."""
-    of = lambda *kinds: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(root)
-    content = F.decode("content", "UTF-8")
-    head = F.split(F.regexp_replace(F.split_part(F.decode(F.substring("content", 1, 1 << 16), "UTF-8"), F.lit("\n"), F.lit(1)), '[\ufeff\r"]', ""), ",")
-    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    files = of("csv", "json", "geojson").select("path", kind.alias("kind"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.when(kind == "csv", head).alias("columns"), F.when(kind != "csv", json_counts(content)).alias("counts"))
-    lines = spark.read.schema("first string").option("header", True).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    counted = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
+    (csv) and counts (json). Digests and headers are read in pieces, rows counted by splits; a JSON document is one value, so it
+    must stay under 2 GB."""
     tidy = lambda c: F.regexp_replace(c, "^[A-Za-z0-9]+:/*", "/")
-    out = files.withColumn("path", tidy("path")).join(counted.withColumn("path", tidy("path")), "path", "left")
-    return out.withColumn("row_count", F.when(F.col("kind") == "csv", F.coalesce("row_count", F.lit(0))))
+    files = listed(spark, root, "csv", "json", "geojson")
+    seen = looked_at(files).join(files, "path").withColumn("path", tidy("path"))
+    documents = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.{json,geojson}").text(root)
+    documents = documents.select(tidy("_metadata.file_path").alias("path"), json_counts(F.col("value")).alias("counts"))
+    kind = F.lower(F.element_at(F.split("path", r"\."), -1))
+    out = seen.join(documents, "path", "left").join(record_counts(spark, root).withColumn("path", tidy("path")), "path", "left").withColumn("kind", kind)
+    return out.select("path", "kind", F.col("length").alias("size_bytes"), "sha256", "columns", "counts", F.when(F.col("kind") == "csv", F.coalesce("row_count", F.lit(0))).alias("row_count"))
 
 
 def inventory(catalog: DataFrame) -> DataFrame:
