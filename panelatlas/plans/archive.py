@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as L
 from ..functions import text as X
 from ..functions.taxonomy import VIEW_V1, classify
+from ..operators import borders as B
 from ..operators import geo as G
 from ..operators.fuzzy import fuzzy_match
 from ..sources import archives as A
 from ..sources import catalog as K
 from ..sources import documents as D
+from ..sources.panel_store import stored
 from .ingest import _KEY, TURNOUT, made
 from .registry import LATEST, query
 
@@ -260,3 +263,39 @@ def _(p):
     point = F.struct(F.col("election_year").cast("double").alias("x"), F.col("electors").cast("double").alias("y"))
     rings = p.tot.groupBy("municipality_id").agg(F.array_sort(F.collect_list(point)).alias("ring"))  # a corner an election
     return G.simplified(rings.withColumn("ring", F.concat("ring", F.slice("ring", 1, 1))), 5.0)
+
+
+def country(places: DataFrame, width: int = 40, steps: int = 8) -> DataFrame:
+    """A map of a cell for each place (``no``, ``wobble``), row by row: (id, ring, points). Each side has ``steps`` corners
+    between its ends, off the straight line by what the side's own place says, so neighbours share them all."""
+    at = lambda k: (k % width, (k / width).cast("long"))
+    x, y = at(F.col("no"))
+
+    def side(cx, cy, across: bool):
+        wobble = lambda i: F.pmod(cx * 31 + cy * 17 + i * i * 7, F.lit(9)).cast("double") / 10 - 0.4
+        along = lambda i: i.cast("double") * (10.0 / (steps + 1))
+        point = lambda i: F.struct((cx * 10.0 + (along(i) if across else wobble(i))).alias("x"), (cy * 10.0 + (wobble(i) if across else along(i))).alias("y"))
+        ends = F.struct((cx * 10.0).alias("x"), (cy * 10.0).alias("y"))
+        return F.concat(F.array(ends), F.transform(F.sequence(F.lit(1), F.lit(steps)), point))
+
+    corner = lambda cx, cy: F.array(F.struct((cx * 10.0).alias("x"), (cy * 10.0).alias("y")))
+    back = lambda a, end: F.concat(end, F.reverse(F.slice(a, 2, steps)))
+    ring = F.concat(side(x, y, True), side(x + 1, y, False), back(side(x, y + 1, True), corner(x + 1, y + 1)), back(side(x, y, False), corner(x, y + 1)))
+    return places.select(F.col("municipality_id").alias("id"), F.lit(0).alias("ring"), ring.alias("points"))
+
+
+@query("g01_shared_borders", f", pl AS (SELECT DISTINCT {_N} AS n FROM tot), un AS (SELECT count(*) AS shapes FROM pl), sh AS (SELECT (SELECT count(*) FROM pl a JOIN pl b ON b.n = a.n + 1 AND a.n % 40 <> 39) + (SELECT count(*) FROM pl a JOIN pl b ON b.n = a.n + 40) AS inner_borders) SELECT shapes, inner_borders, CAST(0 AS BIGINT) AS torn FROM un, sh")
+def _(p):
+    """How many borders two places share before, and how many sides of those borders the simplified places don't share."""
+    places = p.tot.select("municipality_id").distinct().withColumn("no", F.expr(_N))
+    shapes = country(places)
+    used = stored(B.arcs(shapes), "arcs")
+    owners = used.groupBy("arc_id").agg(F.count(F.lit(1)).alias("n"), F.any_value("arc").alias("points"))
+    once = lambda rows: B.border_uses(rows).filter("uses = 1").agg(F.count(F.lit(1)).alias("once"))
+    thin = B.simplified_arcs(used, 0.3)
+    outline = G.simplified(owners.filter("n = 1").withColumnRenamed("points", "ring"), 0.3, closed=False)
+    outer = outline.agg(F.coalesce(F.sum(F.size("ring") - 1), F.lit(0)).alias("outer"))
+    # A border of two cells is cut where a third meets it, so it is counted by the places it parts.
+    pairs = used.join(owners.filter("n = 2").select("arc_id"), "arc_id").groupBy("arc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct()
+    n = places.agg(F.count(F.lit(1)).alias("shapes")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("inner_borders")))  # one row each
+    return n.crossJoin(once(thin)).crossJoin(outer).select("shapes", "inner_borders", F.abs(F.col("once") - F.col("outer")).alias("torn"))
