@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranged import listed, member_rows, members
+from .ranged import listed, member_rows, members, relative
 
 # File name parts of members that hold no party results.
 OTHER_MEMBERS = ["preferenze", "candidati", "estero", "vaosta"]
@@ -42,9 +42,8 @@ LAYOUTS = [("{}/validated/clean/", "{}/validated/raw/"), ("{}/existing/clean/",
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size_bytes) of every file below ``root``, paths relative to it; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    name = "/" + root.rstrip("/").split("://")[-1].lstrip("/")
-    return files.select(F.regexp_replace("path", "^[A-Za-z0-9]+:/*", "/").alias("p"), F.col("length").alias("size_bytes")).select(F.when(F.startswith("p", F.lit(name + "/")), F.substring("p", len(name) + 2, 1 << 20)).otherwise(F.col("p")).alias("path"), "size_bytes")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(relative(F.col("path"), root).alias("path"), F.col("length").alias("size_bytes"))
 
 
 def resolve(files: DataFrame, wanted: DataFrame) -> DataFrame:

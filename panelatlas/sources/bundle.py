@@ -11,7 +11,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranged import listed, looked_at
+from .ranged import listed, looked_at, relative
 
 
 def _read_json(spark: SparkSession, path: str) -> dict:
@@ -65,10 +65,7 @@ class Bundle:
         """Per declared file: dataset_key, status (ok, missing_path, missing_file, mismatch)."""
         declared = [(k, v.get("path"), v.get("sha256")) for k, v in self.manifest.get("hashes", {}).items()]
         want = self.spark.createDataFrame(declared, "dataset_key string, path string, sha256 string")
-        have = looked_at(listed(self.spark, self.root)).select("path", F.col("sha256").alias("actual"))
-        # Readers give whole locations; a file's own path is what follows the bundle's folder, as the manifest's location shows it.
-        at = self.spark.read.format("binaryFile").load(f"{self.root}/manifest.json").select("path").first()[0].removesuffix("manifest.json")
-        have = have.select(F.when(F.col("path").startswith(at), F.substring("path", len(at) + 1, 1 << 30)).alias("path"), "actual")
+        have = looked_at(listed(self.spark, self.root)).select(relative(F.col("path"), self.root).alias("path"), F.col("sha256").alias("actual"))
         status = F.when(F.col("path").isNull(), "missing_path").when(F.col("actual").isNull(), "missing_file").when(F.col("actual") != F.col("sha256"), "mismatch").otherwise("ok")
         return want.join(have, "path", "left").select("dataset_key", status.alias("status"))
 

@@ -11,14 +11,17 @@ import csv
 import hashlib
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .panel_store import stored
+
 PIECE = 1 << 22
 csv.field_size_limit(2**31 - 1)  # cells of any length
 
@@ -42,6 +45,32 @@ def opened(uri: str):
     return store.open_input_file(path)
 
 
+def relative(path: Column, root: str) -> Column:
+    """A reader's whole location as what follows ``root``."""
+    name = "/" + root.rstrip("/").split("://")[-1].removeprefix("file:").lstrip("/")
+    whole = F.regexp_replace(path, "^[A-Za-z0-9]+:/*", "/")
+    return F.when(F.startswith(whole, F.lit(name + "/")), F.substring(whole, len(name) + 2, 1 << 20)).otherwise(whole)
+
+
+def put(files: DataFrame, root: str) -> DataFrame:
+    """Write each row's ``content`` (binary) as the file ``path`` below ``root``, and return (path, size_bytes). A file is
+    written under another name first, so a task that runs twice leaves one whole file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                store, path = _at(f"{root.rstrip('/')}/{name}")
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                own = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(own) as out:
+                    out.write(content)
+                store.move(own, path)
+            yield pd.DataFrame({"path": batch["path"], "size_bytes": batch["content"].map(len)})
+
+    written = files.select("path", "content").mapInPandas(run, "path string, size_bytes long")
+    return stored(written, "put")
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         names = []
