@@ -203,3 +203,31 @@ def _(p):
     catalog = p.tot.select(F.concat_ws("-", "election_key", "municipality_id").alias("product_key"), F.col("province").alias("primary_dataset_key"), F.col("region").alias("companion_dataset_key"), F.array(F.lit("")).alias("extra_dataset_keys"))
     files = p.tot.groupBy(F.col("province").alias("dataset_key")).agg(F.max("electors").alias("row_count")).select("dataset_key", "dataset_key", F.lit("csv").alias("kind"), F.lit(1).alias("size_bytes"), "row_count", F.lit("").alias("sha256")).toDF("dataset_key", "path", "kind", "size_bytes", "row_count", "sha256")
     return K.product_entries(catalog, files).select("product_key", "role", "dataset_key", "row_count")
+
+
+@query("v11_contract_checks", " SELECT 'results' AS dataset, 'vote_share' AS missing, count(*) AS rows, count(*) - count(DISTINCT (election_key, municipality_id, party_std)) AS repeated FROM res UNION ALL SELECT 'summary', '', count(*), count(*) - count(DISTINCT (election_key, municipality_id)) FROM summ UNION ALL SELECT 'places', 'geometry_id', count(*), NULL FROM tot")
+def _(p):
+    """Results repeat a party where it has several raw names; places lack their key's column."""
+    contracts = {"results": (["election_key", "party_std", "vote_share"], ["election_key", "municipality_id", "party_std"]), "summary": (["election_key", "turnout_pct"], ["election_key", "municipality_id"]), "places": (["municipality_id", "geometry_id"], ["geometry_id"])}
+    return K.contract_checks({"results": p.res, "summary": p.summ, "places": p.tot}, contracts)
+
+
+@query("v11_provenance", " SELECT DISTINCT municipality_id AS dataset_key, concat('d/', province, '.csv') AS path, 'build' AS produced_by, 'derived_bundle' AS source_class, CASE WHEN municipality_id IN ('7', '42') THEN 'shapes' ELSE 'read|written' END AS steps, 'part' AS limits FROM tot")
+def _(p):
+    declared = p.tot.select(F.col("municipality_id").alias("dataset_key"), F.concat(F.lit("d/"), "province", F.lit(".csv")).alias("path")).distinct()
+    return K.provenance(declared, ["7", "42"], "build", ["read", "written"], ["shapes"], ["part"]).withColumns({c: F.array_join(c, "|") for c in ("steps", "limits")})
+
+
+@query("v17_integrity_status", " SELECT election_key, municipality_id, CASE WHEN electors % 3 = 0 AND electors % 2 = 0 THEN 'verified' WHEN electors % 3 = 0 THEN 'files_present' ELSE 'unverified' END AS status FROM tot")
+def _(p):
+    said = lambda name, k: F.concat(F.lit(f'"{name}": '), F.when(F.col("electors") % k == 0, "true").otherwise("false"))
+    whole = F.concat(F.lit('{"integrity": {'), said("all_declared_files_present", 3), F.lit(", "), said("all_declared_file_hashes_verified", 2), F.lit("}}"))
+    return p.tot.select("election_key", "municipality_id", K.integrity_status(F.when(F.col("electors") % 3 == 2, "no json").otherwise(whole)).alias("status"))
+
+
+@query("v14_audit_payload", """, y AS (SELECT election_year AS year, count(*) AS n FROM tot GROUP BY 1), f AS (SELECT count(*) FILTER (WHERE electors % 4 = 0) AS a, count(*) FILTER (WHERE electors < 0) AS b, count(*) FILTER (WHERE voters % 7 = 0) AS c, count(*) % 100 AS t FROM tot)
+ SELECT concat('{"view":"{\\"metric\\": \\"turnout\\"}","trust_score":', t, ',"issues":[{"issue":"a","affected":', a, '},{"issue":"c","affected":', c, '}],"geometry_pack":{"years":[', (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM y), '],"main_features":', (SELECT arg_max(n, year) FROM y), '}}') AS payload FROM f""")
+def _(p):
+    n = lambda name, cond: p.tot.filter(cond).agg(F.count(F.lit(1)).alias("affected")).select(F.lit(name).alias("issue"), "affected")
+    issues = n("c", "voters % 7 = 0").unionByName(n("b", "electors < 0")).unionByName(n("a", "electors % 4 = 0"))
+    return K.audit_payload({"metric": "turnout"}, p.tot.agg((F.count(F.lit(1)) % 100).alias("trust_score")), issues, p.tot.select(F.col("election_year").alias("year")))

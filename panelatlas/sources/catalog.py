@@ -116,10 +116,43 @@ def file_checks(spark: SparkSession, manifest: dict, files: DataFrame, required:
     return seen.select("dataset_key", issue.alias("issue")).filter("issue IS NOT NULL")
 
 
-def audit_payload(view: dict, trust: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row: a view's state, its trust and the failing checks (``issue``, ``affected``) as JSON. Checks are few by their rules."""
+def contract_checks(tables: dict[str, DataFrame], contracts: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """(dataset, missing, rows, repeated): of each contract (columns, key columns) the columns its table lacks, and how many
+    of its rows repeat the key of another (null where the key's columns aren't there)."""
+    out = None
+    for name, (columns, key) in contracts.items():
+        rows, missing = tables[name], [c for c in columns if c not in tables[name].columns]
+        counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) if set(key) <= set(rows.columns) else rows.select(F.lit(None).cast("long").alias("n")).limit(0)
+        repeated = counted.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated")) if set(key) <= set(rows.columns) else counted.agg(F.max("n").alias("repeated"))
+        one = rows.agg(F.count(F.lit(1)).alias("rows")).crossJoin(repeated).select(F.lit(name).alias("dataset"), F.lit("|".join(missing)).alias("missing"), "rows", F.col("repeated").cast("long").alias("repeated"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def provenance(declared: DataFrame, shapes: list[str], produced_by: str, steps: list[str], shape_steps: list[str], limits: list[str]) -> DataFrame:
+    """(dataset_key, path, produced_by, source_class, steps, limits) of every file that a manifest declares; the ``shapes``
+    among them have steps of their own."""
+    texts = lambda rows: F.array(*[F.lit(x) for x in rows])
+    return declared.select("dataset_key", "path", F.lit(produced_by).alias("produced_by"), F.lit("derived_bundle").alias("source_class"), F.when(F.col("dataset_key").isin(shapes), texts(shape_steps)).otherwise(texts(steps)).alias("steps"), texts(limits).alias("limits"))
+
+
+def integrity_status(release: Column) -> Column:
+    """Of a release list's text: verified, files_present or unverified."""
+    said = lambda name: F.coalesce(F.get_json_object(release, f"$.integrity.{name}") == "true", F.lit(False))
+    there = said("all_declared_files_present")
+    return F.when(there & said("all_declared_file_hashes_verified"), "verified").when(there, "files_present").otherwise("unverified")
+
+
+def audit_payload(view: dict, trust: DataFrame, issues: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """One row: a view's state, its trust, the failing checks (``issue``, ``affected``) and, of ``shapes`` (year), the years
+    there are and how many shapes the last has, as JSON. Checks and years are few by their rules."""
     found = issues.filter("affected > 0").agg(F.array_sort(F.collect_list(F.struct("issue", "affected"))).alias("issues"))
-    return trust.crossJoin(found).select(F.to_json(F.struct(F.lit(json.dumps(view, sort_keys=True)).alias("view"), *trust.columns, "issues")).alias("payload"))
+    out, names = trust.crossJoin(found), []
+    if shapes is not None:
+        years = shapes.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+        out = out.crossJoin(years.agg(F.struct(F.array_sort(F.collect_list("year")).alias("years"), F.max_by("n", "year").alias("main_features")).alias("geometry_pack")))
+        names = ["geometry_pack"]
+    return out.select(F.to_json(F.struct(F.lit(json.dumps(view, sort_keys=True)).alias("view"), *trust.columns, "issues", *names)).alias("payload"))
 
 
 def briefing(facts: Column, cautions: Column, limits: Column, most: int = 5) -> Column:
