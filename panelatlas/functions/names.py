@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import token
+from .text import NFKD, token
 
 # UTF-8 read as Latin text, and the letters meant.
 MOJIBAKE = {"Ã¹": "ù", "Ã²": "ò", "Ã ": "à", "Ã¨": "è", "Ã©": "é", "Ã¬": "ì", "Â": ""}
@@ -32,9 +32,10 @@ def repaired(text: Column) -> Column:
 
 
 def lookup_key(text: Column) -> Column:
-    """F16: the key that spellings of one name share. Accents go by the table of ``token``; other letters beyond ASCII become spaces."""
+    """F16: the key that spellings of one name share. Compatible forms are decomposed (NFKD), marks go, and other letters
+    beyond ASCII become spaces."""
     plain = F.regexp_replace(F.trim(repaired(text)), r"(?i)^parte d(?:el|i) comune(?: di)?\s+", "")
-    return token(F.translate(F.replace(plain, F.lit("&"), F.lit(" e ")), "'’`", "   "))
+    return token(F.translate(F.replace(plain, F.lit("&"), F.lit(" e ")), "'’`", "   "), NFKD)
 
 
 def lookup_keys(text: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -9,25 +9,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARKS = "".join(map(chr, range(0x300, 0x370)))
+COMBINING = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.combining(c))
 
 
-def plain_letters(form: str = "NFD") -> tuple[str, str]:
-    """Characters of Unicode that decompose to one ASCII letter or digit and marks, and what they decompose to; then the marks
-    themselves, which have no counterpart and so go."""
-    bare = lambda c: unicodedata.normalize(form, c).translate(dict.fromkeys(map(ord, MARKS)))
-    plain = {c: bare(c) for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c)}
-    plain = {c: d for c, d in plain.items() if len(d) == 1 and d.isascii() and d.isalnum()}
-    return "".join(plain) + MARKS, "".join(plain.values())
+def plain_letters(form: str = "NFD", marks: str = MARKS) -> tuple[str, str, dict[str, str]]:
+    """Characters of Unicode that decompose to one ASCII letter or digit and marks, and what they decompose to; the marks
+    themselves follow the first, as they have no counterpart and so go. Then the characters that decompose to more, such as
+    ligatures and fractions, with their letters and digits."""
+    gone = dict.fromkeys(map(ord, marks))
+    bare = {c: unicodedata.normalize(form, c).translate(gone) for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c)}
+    said = lambda d: any(x.isascii() and x.isalnum() for x in d)
+    plain = {c: d for c, d in bare.items() if len(d) == 1 and said(d)}
+    return "".join(plain) + marks, "".join(plain.values()), {c: d for c, d in bare.items() if len(d) > 1 and said(d)}
+
+
+NFD, NFKD = plain_letters(), plain_letters("NFKD", COMBINING)
+
+
+def _expanded(text: Column, more: dict[str, str]) -> Column:
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d")) for c, d in more.items()])
+    return F.when(text.rlike("[" + "".join(more) + "]"), F.aggregate(pairs, text, lambda t, x: F.replace(t, x["c"], x["d"]))).otherwise(text) if more else text
 
 
-NFD = plain_letters()
 # Note tokens that say nothing about quality.
 ROUTINE_NOTES = ["turnout_from_clean", "counts_corrected_from_turnout", "party_rows_checked"]
 
 
-def token(text: Column) -> Column:
-    """decomposed (NFD), without marks, lower case, everything but ASCII letters and digits a space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, *NFD)), "[^a-z0-9]+", " "))
+def token(text: Column, table: tuple[str, str, dict[str, str]] = NFD) -> Column:
+    """decomposed, without marks, lower case, everything but ASCII letters and digits a space, trimmed. ``table`` says how
+    far: NFD, or NFKD for compatible forms as well."""
+    letters, plain, more = table
+    return F.trim(F.regexp_replace(F.lower(F.translate(_expanded(text, more), letters, plain)), "[^a-z0-9]+", " "))
 
 
 def squeeze(text: Column) -> Column:

@@ -160,3 +160,13 @@ def test_search_and_aliases(spark):
     places = spark.createDataFrame([("1", "Comune di Alba", "Alba Pompeia"), ("2", "X", "X"), ("3", " nan", None), ("4", "Y", "Comune y")], "municipality_id string, name_current string, name_historical string")
     got = {tuple(r) for r in V.alias_rows(places, lambda c: F.regexp_extract(c, "Comune (.*)", 1)).collect()}
     assert got == {("1", "Comune di Alba", "current_name"), ("1", "di Alba", "normalized_name"), ("1", "Alba Pompeia", "historical_name"), ("2", "X", "current_name"), ("4", "Y", "current_name"), ("4", "Comune y", "historical_name"), ("4", "y", "normalized_name")}
+
+
+def test_lookup_keys_of_compatible_forms(spark):
+    from panelatlas.functions.names import lookup_key
+
+    odd = ["Ａｌｂａ ﬁno ½ ²", "Forlì-Cesena №5", "ŉ ǆ ㎏ ⑫", "Sankt Pöltenͤ", "Ṩ֑ x", None, "Parte del comune di Ǖ"]
+    for r in spark.createDataFrame([(x,) for x in odd], "x string").select("x", lookup_key(F.col("x")).alias("k")).collect():
+        plain = unicodedata.normalize("NFKD", (r.x or "").removeprefix("Parte del comune di "))
+        low = "".join(c for c in plain if not unicodedata.combining(c))
+        assert r.k == " ".join("".join(c.lower() if c.isascii() and c.isalnum() else " " for c in low).split()), r.x
