@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import NFKD, token
 
-# UTF-8 read as Latin text, and the letters meant.
-MOJIBAKE = {"Ã¹": "ù", "Ã²": "ò", "Ã ": "à", "Ã¨": "è", "Ã©": "é", "Ã¬": "ì", "Â": ""}
-# Words written small inside a name.
-PARTICLES = ["Di", "Del", "Della", "Delle", "Dei", "Degli", "E", "In", "Sul", "Sulla", "Al", "Alla", "Da", "De"]
-# Turnout figures in running text.
-TURNOUT_TEXT = {
-    "electors": r"Elettori\s+(\d[\d\.\,]*)",
-    "voters": r"Votanti\s+(\d[\d\.\,]*)",
-    "turnout_pct": r"Votanti\s+\d[\d\.\,]*\s+([\d\.,]+)\s*%",
-    "blank": r"Schede bianche\s+(\d[\d\.\,]*)",
-    "null_ballots": r"Schede nulle\s+(\d[\d\.\,]*)",
-    "contested": r"Schede contestate e non assegnate\s+(\d[\d\.\,]*)",
-}
-TOTALS = ["totali", "totale", "liste"]
+#: Fixed values of the sources' texts, from a data file.
+FIXED = json.loads((Path(__file__).parents[1] / "data" / "names.json").read_text(encoding="utf-8"))
+MOJIBAKE, TURNOUT_TEXT = FIXED["mojibake"], FIXED["turnout_text"]
+#: Small words between spaces, and those that an apostrophe ends.
+PARTICLES, ELIDED = [x for x in FIXED["particles"] if not x.endswith("'")], [x for x in FIXED["particles"] if x.endswith("'")]
 
 
 def repaired(text: Column) -> Column:
@@ -31,11 +25,12 @@ def repaired(text: Column) -> Column:
     return out
 
 
-def lookup_key(text: Column) -> Column:
+def lookup_key(text: Column, fixed: dict = FIXED) -> Column:
     """F16: the key that spellings of one name share. Compatible forms are decomposed (NFKD), marks go, and other letters
     beyond ASCII become spaces."""
-    plain = F.regexp_replace(F.trim(repaired(text)), r"(?i)^parte d(?:el|i) comune(?: di)?\s+", "")
-    return token(F.translate(F.replace(plain, F.lit("&"), F.lit(" e ")), "'’`", "   "), NFKD)
+    plain = F.regexp_replace(F.trim(repaired(text)), fixed["section_of_place"], "")
+    sign, word = fixed["and_sign"]
+    return token(F.translate(F.replace(plain, F.lit(sign), F.lit(word)), fixed["apostrophes"], " " * len(fixed["apostrophes"])), NFKD)
 
 
 def lookup_keys(text: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -67,28 +62,28 @@ def smart_title(text: Column) -> Column:
     out = _titled(t)
     for word in PARTICLES:
         out = F.replace(out, F.lit(f" {word} "), F.lit(f" {word.lower()} "))
-    for letter in "DL":
-        out = F.replace(out, F.lit(f" {letter}'"), F.lit(f" {letter.lower()}'"))
+    for word in ELIDED:
+        out = F.replace(out, F.lit(f" {word}"), F.lit(f" {word.lower()}"))
     rest = F.substring(out, 3, 1 << 20)
-    out = F.when(out.rlike("^[LD]'"), F.concat(F.left(out, F.lit(2)), F.upper(F.left(rest, F.lit(1))), F.lower(F.substring(rest, 2, 1 << 20)))).otherwise(out)
+    out = F.when(out.rlike(FIXED["elided"]), F.concat(F.left(out, F.lit(2)), F.upper(F.left(rest, F.lit(1))), F.lower(F.substring(rest, 2, 1 << 20)))).otherwise(out)
     return F.trim(F.regexp_replace(F.when(t.rlike(r"\p{Ll}"), t).otherwise(out), r"\s+", " "))
 
 
-def municipality_name(text: Column) -> Column:
+def municipality_name(text: Column, fixed: dict = FIXED) -> Column:
     """what follows the word Comune, in title case; else empty."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return _titled(F.trim(F.regexp_extract(flat, r"(?i)Comune\s+(.+)$", 1)))
+    return _titled(F.trim(F.regexp_extract(flat, fixed["place_after"], 1)))
 
 
-def province_named(text: Column, municipality: Column, hints: dict[str, str] | None = None, known: dict[str, str] | None = None) -> Column:
+def province_named(text: Column, municipality: Column, hints: dict[str, str] | None = None, known: dict[str, str] | None = None, fixed: dict = FIXED) -> Column:
     """the province after the word Provincia, else in brackets before Comune, else of the first pattern of ``hints``
     that is met, else of the municipality's key in ``known``; else empty."""
-    t, name = F.coalesce(text, F.lit("")), r"[A-ZÀ-Ü'\- ]+"
+    t = F.coalesce(text, F.lit(""))
     out = F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), token(municipality)) if known else F.lit(None).cast("string")
     for pattern, province in reversed(list((hints or {}).items())):
         out = F.when(t.rlike("(?i)" + pattern), F.lit(province)).otherwise(out)
     tidy = lambda x: _titled(F.trim(F.regexp_replace(x, r"\s+", " ")))
-    for pattern in (rf"\(({name})\)\s*Comune", rf"Provincia\s+({name})"):
+    for pattern in fixed["province_patterns"]:  # the last is asked first
         out = F.when(t.rlike(pattern), tidy(F.regexp_extract(t, pattern, 1))).otherwise(out)
     return F.coalesce(out, F.lit(""))
 
@@ -99,13 +94,14 @@ def turnout_figures(text: Column) -> list[Column]:
     return [F.regexp_extract(flat, "(?i)" + pattern, 1).alias(name) for name, pattern in TURNOUT_TEXT.items()]
 
 
-def row_kind(primary: Column, secondary: Column, tertiary: Column, votes: Column, stop: list[str]) -> Column:
+def row_kind(primary: Column, secondary: Column, tertiary: Column, votes: Column, stop: list[str], fixed: dict = FIXED) -> Column:
     """struct(kind, label) of a table's row: ``list_total``, ``party`` with its label, or ``skip``."""
     full = [F.coalesce(c, F.lit("")) for c in (primary, secondary, tertiary)]
     a, b = token(full[0]), token(full[1])
     label = F.coalesce(*[F.nullif(full[i], F.lit("")) for i in (1, 2, 0)])
-    total = (a.isin(TOTALS) & b.isin("", "liste")) & votes.isNotNull()
-    never = b.isin("totale coalizione", "coalizione totale") | ((a == "totale") & b.isin("candidati", "candidate")) | ((a != "") & (a == b))
-    no_party = label.isNull() | votes.isNull() | (votes <= 0) | token(label).isin(*stop, *TOTALS, "candidati", "candidate")
+    totals, people = fixed["total_labels"], fixed["candidate_labels"]
+    total = (a.isin(totals) & b.isin(fixed["list_labels"])) & votes.isNotNull()
+    never = b.isin(fixed["coalition_totals"]) | ((a == fixed["total_label"]) & b.isin(people)) | ((a != "") & (a == b))
+    no_party = label.isNull() | votes.isNull() | (votes <= 0) | token(label).isin(*stop, *totals, *people)
     said = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("label"))
     return F.when(total, said("list_total", F.lit(None))).when(never | no_party, said("skip", F.lit(None))).otherwise(said("party", F.trim(label)))

@@ -76,8 +76,9 @@ def _(p):
 def _small(t: str) -> str:
     for word in L.PARTICLES:
         t = f"replace({t}, ' {word} ', ' {word.lower()} ')"
-    for letter in "DL":
-        t = f"replace({t}, ' {letter}''', ' {letter.lower()}''')"
+    for word in L.ELIDED:
+        old, new = (f" {x}".replace("'", "''") for x in (word, word.lower()))
+        t = f"replace({t}, '{old}', '{new}')"
     return t
 
 
