@@ -1,67 +1,89 @@
-"""A radix trie over bytes with counters at its leaves, walked in the order of the bytes."""
+"""A radix trie over bytes whose leaves hold something, walked in the order of the bytes.
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-
-class Node:
-    """An edge's label and what is below it; where a term ends, its documents and its occurrences by source."""
+A node is [label of its edge, nodes below by their first byte or None, what is held or None].
+"""
 
-    __slots__ = ("label", "below", "docs", "by_source")
-
-    def __init__(self, label: bytes):
-        self.label, self.below, self.docs, self.by_source = label, None, 0, None
+from __future__ import annotations
 
-    def add(self, docs: int, by_source: dict) -> None:
-        self.docs += docs
-        if self.by_source is None:
-            self.by_source = dict(by_source)
-        else:
-            for s, n in by_source.items():
-                self.by_source[s] = self.by_source.get(s, 0) + n
+from collections.abc import Iterator, Sequence
 
 
 class RadixTrie:
     def __init__(self) -> None:
-        self.root = Node(b"")
+        self.root: list = [b"", None, None]
 
-    def leaf(self, term: bytes) -> Node:
+    def leaf(self, term: bytes) -> list:
         """The node of ``term``, made where there is none."""
         node, at, end = self.root, 0, len(term)
         while at < end:
-            if node.below is None:
-                node.below = {}
-            child = node.below.get(term[at])
+            if node[1] is None:
+                node[1] = {}
+            child = node[1].get(term[at])
             if child is None:
-                child = node.below[term[at]] = Node(term[at:])
+                child = node[1][term[at]] = [term[at:], None, None]
                 return child
-            label = child.label
+            label = child[0]
             if term.startswith(label, at):
                 node, at = child, at + len(label)
                 continue
             k = 1  # the edge is cut where the two part
             while at + k < end and label[k] == term[at + k]:
                 k += 1
-            cut = node.below[term[at]] = Node(label[:k])
-            child.label, cut.below = label[k:], {label[k]: child}
+            cut = node[1][term[at]] = [label[:k], {label[k]: child}, None]
+            child[0] = label[k:]
             node, at = cut, at + k
         return node
 
     def add(self, term: bytes, docs: int, by_source: dict) -> None:
-        self.leaf(term).add(docs, by_source)
+        """Count a leaf with [documents, occurrences by source]."""
+        node = self.leaf(term)
+        if node[2] is None:
+            node[2] = [docs, dict(by_source)]
+            return
+        node[2][0] += docs
+        held = node[2][1]
+        for s, n in by_source.items():
+            held[s] = held.get(s, 0) + n
 
     def merge(self, other: RadixTrie) -> None:
-        for term, node in other.walk():
-            self.add(term, node.docs, node.by_source)
+        for term, (docs, by_source) in other.walk():
+            self.add(term, docs, by_source)
+
+    @classmethod
+    def of_sorted(cls, terms: Sequence[bytes]) -> RadixTrie:
+        """The trie of distinct terms in order, each holding its number: a term parts from the path of the one before."""
+        trie, before = cls(), b""
+        path, child = [(trie.root, 0)], None
+        for number, term in enumerate(terms):
+            k, end = 0, min(len(before), len(term))
+            while k < end and before[k] == term[k]:
+                k += 1
+            while path[-1][1] > k:
+                child = path.pop()[0]
+            node, at = path[-1]
+            if at < k:  # the edge below is cut
+                label = child[0]
+                cut = node[1][label[0]] = [label[: k - at], {label[k - at]: child}, None]
+                child[0] = label[k - at :]
+                path.append((cut, k))
+                node = cut
+            if k == len(term):  # the empty term
+                node[2] = number
+            else:
+                if node[1] is None:
+                    node[1] = {}
+                new = node[1][term[k]] = [term[k:], None, number]
+                path.append((new, len(term)))
+            before = term
+        return trie
 
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """(term, node) by the terms' bytes, which is the order of code points too."""
+    def walk(self) -> Iterator[tuple]:
+        """(term, what is held) by the terms' bytes, which is the order of code points too."""
         todo = [(b"", self.root)]
         while todo:
-            before, node = todo.pop()
-            term = before + node.label
-            if node.by_source is not None:
-                yield term, node
-            if node.below is not None:
-                todo += [(term, node.below[k]) for k in sorted(node.below, reverse=True)] if len(node.below) > 1 else [(term, x) for x in node.below.values()]
+            before, (label, below, held) = todo.pop()
+            term = before + label
+            if held is not None:
+                yield term, held
+            if below is not None:
+                todo += [(term, below[k]) for k in sorted(below, reverse=True)] if len(below) > 1 else [(term, x) for x in below.values()]

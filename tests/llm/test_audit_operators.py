@@ -24,8 +24,15 @@ def test_radix_trie_walks_in_order_of_bytes():
         held[term] += 1
         (trie if k % 3 else other).add(term, 1, {k % 2: 1})
     trie.merge(other)
-    got = [(t, node.docs, sum(node.by_source.values())) for t, node in trie.walk()]
+    got = [(t, docs, sum(by_source.values())) for t, (docs, by_source) in trie.walk()]
     assert got == [(t, held[t], held[t]) for t in sorted(held)]
+    for terms in (sorted(held), [b""], [b"", b"a", b"ab", b"abc", b"b"], []):
+        whole = RadixTrie.of_sorted(terms)
+        assert list(whole.walk()) == [(t, i) for i, t in enumerate(terms)]
+        again = RadixTrie()
+        for i, t in enumerate(terms):
+            again.leaf(t)[2] = i
+        assert again.root == whole.root
 
 
 def _audit(rows, min_docs, top):
