@@ -40,6 +40,10 @@ def fuzzy_match(names: DataFrame, places: DataFrame) -> DataFrame:
     a, b = F.length("name"), F.length("place")
     near = (F.abs(a - b) <= 8) & (2 * F.least(a, b) >= LEAST * (a + b) - 1e-9)
     pairs = left.join(right.drop("n"), ["region", "piece"]).filter(near).select("name_id", "place_id", "name", "place").distinct()
+    # Matching blocks can't hold more than the letters both have, however they stand; what is left after that is scored.
+    times = lambda c, letter: F.length(c) - F.length(F.replace(F.col(c), letter, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split("name", "")), F.lit(0), lambda n, x: n + F.least(times("name", x), times("place", x)))
+    pairs = pairs.filter(2 * shared >= LEAST * (F.length("name") + F.length("place")) - 1e-9)
     hits = pairs.withColumn("score", _ratio("name", "place")).filter(F.col("score") >= LEAST)
     one = hits.groupBy("name_id").agg(F.min("place_id").alias("place_id"), F.max("place_id").alias("last"), F.max("score").alias("score"))
     return one.filter("place_id = last").drop("last")

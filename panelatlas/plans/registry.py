@@ -144,7 +144,7 @@ def _(p):
 @query("a10_party_options", "SELECT party_std, CAST(sum(votes) AS BIGINT) AS votes, row_number() OVER (ORDER BY sum(votes) DESC, party_std) AS position FROM std GROUP BY 1")
 def _(p):
     g = p.std.groupBy("party_std").agg(F.sum("votes").alias("votes"))
-    return g.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("votes"), "party_std")).cast("long"))
+    return g.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("votes"), "party_std")).cast("long"))  # a row a party
 
 
 @query("a11_quick_stats", "SELECT election_key, round(avg(turnout_pct), 6) AS mean, round(min(turnout_pct), 6) AS low, round(max(turnout_pct), 6) AS high, count(turnout_pct) AS n FROM summ GROUP BY 1")
