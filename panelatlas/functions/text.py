@@ -27,12 +27,9 @@ NFD, NFKD = plain_letters(), plain_letters("NFKD", COMBINING)
 
 
 def _expanded(text: Column, more: dict[str, str]) -> Column:
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d")) for c, d in more.items()])
-    return F.when(text.rlike("[" + "".join(more) + "]"), F.aggregate(pairs, text, lambda t, x: F.replace(t, x["c"], x["d"]))).otherwise(text) if more else text
-
-
-# Note tokens that say nothing about quality.
-ROUTINE_NOTES = ["turnout_from_clean", "counts_corrected_from_turnout", "party_rows_checked"]
+    """Each character of ``more`` replaced; the table is one literal, as the expression may stand in many places."""
+    pairs = F.split(F.lit("\x01".join(c + d for c, d in more.items())), "\x01")
+    return F.when(text.rlike("[" + "".join(more) + "]"), F.aggregate(pairs, text, lambda t, x: F.replace(t, F.left(x, F.lit(1)), F.substring(x, 2, 1 << 20)))).otherwise(text) if more else text
 
 
 def token(text: Column, table: tuple[str, str, dict[str, str]] = NFD) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.panel_store import stored
 from .fuzzy import fuzzy_match
 from .ingest import unique_names
 
@@ -45,7 +46,7 @@ def _one(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.min("id").alias("id"))
 
 
-def cascade(names: DataFrame, overrides: DataFrame, geometry: DataFrame, historical: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def cascade(names: DataFrame, overrides: DataFrame, geometry: DataFrame, historical: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: stored(df, "resolved")) -> DataFrame:
     """(row, candidate, strategy, id) of the rows that any of the ten strategies resolves.
 
     ``names``: row, candidate (its order), key, province, region; the candidate 0 is the row's own name. ``overrides``: key, id.
@@ -55,9 +56,10 @@ def cascade(names: DataFrame, overrides: DataFrame, geometry: DataFrame, histori
     of an early candidate goes before a strong one of a late candidate. By name alone only names of one identifier count; of
     several in a province or region the smallest does. What is left is tried by prefix within the province, over all candidates
     of a row together, then by prefix anywhere, then by near spelling of the row's own name within its region; each must meet
-    one identifier only. Each round gets only what is unresolved; ``keep`` may write a round's outcome.
+    one identifier only. Each round gets only what is unresolved; ``keep`` writes the names and each round's outcome, so that
+    no round is worked out again by the next.
     """
-    alone = lambda t: unique_names(t, "key", ["id"])
+    names, alone = keep(names), lambda t: unique_names(t, "key", ["id"])
     tables = [(overrides, ["key"]), *((_one(t, on) if len(on) > 1 else alone(t), on) for t in (geometry, historical) for on in (["key", "province"], ["key", "region"], ["key"]))]
     hits = [names.filter("key <> ''").join(t, on).select("row", F.struct("candidate", F.lit(i).alias("strategy"), "id").alias("hit")) for i, (t, on) in enumerate(tables)]
     done = keep(reduce(DataFrame.unionByName, hits).groupBy("row").agg(F.min("hit").alias("hit")).select("row", "hit.candidate", "hit.strategy", "hit.id"))
