@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import PRELUDE, TABLES, lines
+from ..fixtures import PRELUDE, TABLES
+from ..fixtures import cells as fixture_cells
 from ..functions import numeric as N
 from ..functions import text as X
 from ..functions.taxonomy import classify
@@ -35,7 +36,8 @@ class Panel:
         self.spark, self.sf_dir = spark, sf_dir
         key = (spark.sparkContext.applicationId, fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
         if key not in STORES:
-            STORES[key] = PanelStore.write(P.cells(lines(spark, sf_dir)))
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            STORES[key] = PanelStore.write(fixture_cells(spark, sf_dir, n), buckets=n, dealt=True)
         self.store = STORES[key]
         self.cells = self.store.cells()
         self.tot, self.res, self.std, self.summ = P.totals(self.cells), P.results(self.cells), P.by_party(self.cells), P.summary(self.cells)

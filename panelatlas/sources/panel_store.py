@@ -53,12 +53,14 @@ class PanelStore:
         self.spark, self.name = spark, name
 
     @classmethod
-    def write(cls, cells: DataFrame, name: str | None = None, path: str | None = None, buckets: int | None = None) -> PanelStore:
-        """Store ``cells``. A bucket of all elections is one task's, so no task writes a whole election."""
+    def write(cls, cells: DataFrame, name: str | None = None, path: str | None = None, buckets: int | None = None, dealt: bool = False) -> PanelStore:
+        """Store ``cells``. A bucket of all elections is one task's, so no task writes a whole election. Cells that come
+        ``dealt`` by place into as many partitions aren't moved again."""
         spark = cells.sparkSession
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = name or f"panel_{uuid.uuid4().hex}"
-        rows = cells.select(*[c for c in cells.columns if c != KEY], KEY).repartition(n, PLACE)
+        rows = cells.select(*[c for c in cells.columns if c != KEY], KEY)
+        rows = rows if dealt else rows.repartition(n, PLACE)
         rows.write.partitionBy(KEY).bucketBy(n, PLACE).sortBy(PLACE).option("path", path or shared_folder(spark, "panel")).saveAsTable(name)
         return cls(spark, name)
 

@@ -170,3 +170,13 @@ def test_lookup_keys_of_compatible_forms(spark):
         plain = unicodedata.normalize("NFKD", (r.x or "").removeprefix("Parte del comune di "))
         low = "".join(c for c in plain if not unicodedata.combining(c))
         assert r.k == " ".join("".join(c.lower() if c.isascii() and c.isalnum() else " " for c in low).split()), r.x
+
+
+def test_names_of_lines_are_put_to_what_is_left_of_them(spark):
+    from panelatlas import fixtures
+
+    got = fixtures.cells(spark, SF, 4)
+    assert _plan(got).count("REPARTITION_BY_NUM") == 1 and "party_raw" not in "".join(x for x in _plan(got).splitlines() if "Exchange" in x)
+    flat = lambda df: {(r.election_key, r.election_year, r.municipality_id, r.province, r.region, r.electors, r.voters, r.valid_votes, r.turnout_pct, r.first_party_std, r.second_party_std, r.first_second_margin, r.dominant_block, tuple(r.parties), frozenset(r.raws)) for r in df.collect()}
+    want = P.cells(fixtures.lines(spark, SF))
+    assert flat(got) == flat(want) and got.columns == want.columns and got.count() == want.count()
