@@ -211,9 +211,9 @@ def _(p):
     places = p.tot.filter(F.col("election_key") == LATEST).withColumn("bundle", F.col("municipality_id"))
     docs = places.select("bundle", F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.expr(v).alias("text")) for k, v in _DOCS.items()])).alias("d")).select("bundle", "d.*").filter("text IS NOT NULL")
     declared = places.select("bundle", F.explode(F.array(*[F.struct(F.lit(k).alias("dataset_key"), F.lit(v).alias("path")) for k, v in _DECLARED.items()])).alias("d")).select("bundle", "d.*")
-    others = places.select("bundle", F.explode(F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(k)) for k, cond in _OTHER_FILES.items()]))).alias("path"))
+    there = [*[F.when(F.expr(v).isNotNull(), F.lit(k)) for k, v in _DOCS.items()], *[F.when(F.expr(cond), F.lit(k)) for k, cond in _OTHER_FILES.items()]]
     size = F.when(F.col("path") == "g.json", 10 + F.col("electors") % 3).otherwise(11).cast("long").alias("size_bytes")  # against 11 of the full shapes
-    files = docs.select("bundle", "path").unionByName(others).join(places.select("bundle", "electors"), "bundle").select("bundle", "path", size)
+    files = places.select("bundle", "electors", F.explode(F.array_compact(F.array(*there))).alias("path")).select("bundle", "path", size)
     return D.document_checks(docs, declared, files)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import LEAKS
+from .panel_store import stored
 
 # Dataset, the array that must hold entries, how many at least, and what it is called when it doesn't.
 ARRAYS = [
@@ -37,6 +38,12 @@ def _size(path: str, of: Column | str = "text") -> Column:
     return F.coalesce(F.json_array_length(F.get_json_object(of, path)), F.lit(0))
 
 
+def _many(table: DataFrame) -> DataFrame:
+    """A table to be joined by its rows in order: its columns are few and alike, so its size is guessed far too low to tell if
+    it may be broadcast."""
+    return table.hint("merge")
+
+
 def _found(rows: DataFrame, issue: Column | str, severity: str = "error") -> DataFrame:
     return rows.select("bundle", (F.lit(issue) if isinstance(issue, str) else issue).alias("issue"), F.lit(severity).alias("severity"))
 
@@ -52,9 +59,9 @@ def product_checks(known: DataFrame, docs: DataFrame, files: DataFrame) -> DataF
     """Clients' entry points, and every product's manifest with its datasets and inventory."""
     there = files.select("bundle", "path", F.lit(True).alias("there"))
     entries = known.filter("dataset_key = 'dataProducts'").select("bundle", F.explode(F.from_json(_get("$.clients"), "array<struct<entrypoint:string>>")).alias("c")).select("bundle", F.col("c.entrypoint").alias("path")).filter("path <> ''")
-    out = _found(entries.join(there, ["bundle", "path"], "left_anti"), F.concat(F.lit("data_products:missing_client:"), "path"))
+    out = _found(entries.join(_many(there), ["bundle", "path"], "left_anti"), F.concat(F.lit("data_products:missing_client:"), "path"))
     products = known.filter("dataset_key = 'productCatalog'").select("bundle", F.explode(F.from_json(_get("$.products"), "array<struct<product_key:string,manifest_path:string>>")).alias("p")).select("bundle", "p.product_key", F.col("p.manifest_path").alias("path"))
-    seen = products.join(there, ["bundle", "path"], "left").join(docs, ["bundle", "path"], "left")
+    seen = products.join(_many(there), ["bundle", "path"], "left").join(_many(docs), ["bundle", "path"], "left")
     say = lambda name: F.concat(F.lit(f"{name}:"), F.coalesce("product_key", F.lit("None")))
     out = out.unionByName(_found(seen.filter("there is null"), say("product_catalog:missing_manifest")))
     out = out.unionByName(_found(seen.filter(F.col("there") & (_size("$.datasets") == 0)), say("product_manifest:empty_datasets")))
@@ -66,7 +73,7 @@ def shard_checks(known: DataFrame, files: DataFrame, most: int = 10) -> DataFram
     kind = F.create_map(*[F.lit(x) for pair in SHARDS.items() for x in pair])[F.col("dataset_key")]
     rows = known.filter(F.col("dataset_key").isin(*SHARDS)).select("bundle", kind.alias("kind"), F.from_json(_get("$.shards"), "map<string,string>").alias("shards"))
     empty = _found(rows.filter(F.coalesce(F.size("shards"), F.lit(0)) <= 0), F.concat("kind", F.lit(":empty")), "warning")
-    missing = rows.select("bundle", "kind", F.explode("shards").alias("key", "path")).join(files.select("bundle", "path"), ["bundle", "path"], "left_anti")
+    missing = rows.select("bundle", "kind", F.explode("shards").alias("key", "path")).join(_many(files.select("bundle", "path")), ["bundle", "path"], "left_anti")
     first = missing.groupBy("bundle", "kind").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # keys of one index
     return empty.unionByName(_found(first, F.concat("kind", F.lit(":missing_files:"), F.array_join(F.slice("keys", 1, most), ","))))
 
@@ -77,7 +84,7 @@ def release_checks(known: DataFrame, declared: DataFrame) -> DataFrame:
     entries = F.coalesce(F.json_object_keys(_get("$.file_entries")), F.array().cast("array<string>"))
     rows = known.filter(F.col("dataset_key") == RELEASE).select("bundle", entries.alias("has"), (_get("$.integrity.all_declared_files_present") == "true").alias("all"))
     want = declared.groupBy("bundle").agg(F.collect_set("dataset_key").alias("want"))  # keys of one manifest
-    rows = rows.join(want, "bundle")
+    rows = rows.join(_many(want), "bundle")
     less, same = F.array_except("want", F.array(F.lit(RELEASE))), lambda a, b: (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
     extra = F.filter("has", lambda k: k.startswith(EXTRA))
     fits = same(F.col("has"), F.col("want")) | same(F.col("has"), less) | same(F.col("has"), F.array_union(less, extra))
@@ -85,30 +92,31 @@ def release_checks(known: DataFrame, declared: DataFrame) -> DataFrame:
     return rows.select("bundle", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in hit]))).alias("issue"), F.lit("error").alias("severity"))
 
 
-def file_rules(declared: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
+def file_rules(declared: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
     """Keys and files a manifest lacks, shapes that aren't smaller than the full ones, packs that are the same, local paths in
     metadata, no citation, folders of compiled code."""
     bundles = declared.select("bundle").distinct()
-    wanted = bundles.select("bundle", F.explode(F.array(*[F.lit(k) for k in REQUIRED])).alias("dataset_key")).join(declared, ["bundle", "dataset_key"], "left")
+    wanted = bundles.select("bundle", F.explode(F.array(*[F.lit(k) for k in REQUIRED])).alias("dataset_key")).join(_many(declared), ["bundle", "dataset_key"], "left")
     blank = F.coalesce("path", F.lit("")) == ""
     out = _found(wanted.filter(blank), F.concat(F.lit("manifest:missing_"), "dataset_key"))
-    out = out.unionByName(_found(wanted.filter(~blank).join(files, ["bundle", "path"], "left_anti"), F.concat(F.lit("manifest:missing_file_for_"), "dataset_key")))
-    of = lambda key, table, *cols: declared.filter(F.col("dataset_key") == key).join(table, ["bundle", "path"]).select("bundle", *cols)
-    sizes = of("geometry", files, F.col("size_bytes").alias("web")).join(of("geometryFull", files, F.col("size_bytes").alias("full")), "bundle")
+    out = out.unionByName(_found(wanted.filter(~blank).join(_many(files.select("bundle", "path")), ["bundle", "path"], "left_anti"), F.concat(F.lit("manifest:missing_file_for_"), "dataset_key")))
+    of = lambda key, table, *cols: declared.filter(F.col("dataset_key") == key).join(_many(table), ["bundle", "path"]).select("bundle", *cols)
+    sizes = of("geometry", files, F.col("size_bytes").alias("web")).join(_many(of("geometryFull", files, F.col("size_bytes").alias("full"))), "bundle")
     out = out.unionByName(_found(sizes.filter("web >= full"), "geometry_web:not_smaller_than_full"))
-    packs = of("geometryPack", docs, F.try_parse_json("text").cast("string").alias("web")).join(of("geometryPackFull", docs, F.try_parse_json("text").cast("string").alias("full")), "bundle")
+    pack = lambda key, name: known.filter(F.col("dataset_key") == key).select("bundle", F.try_parse_json("text").cast("string").alias(name))
+    packs = pack("geometryPack", "web").join(_many(pack("geometryPackFull", "full")), "bundle")
     out = out.unionByName(_found(packs.filter("web = full"), "geometry_pack:web_and_full_identical"))
-    leaks = declared.filter(F.col("dataset_key").isin(*METADATA)).join(docs, ["bundle", "path"]).filter(F.col("text").rlike(LEAKS)).groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
+    leaks = known.filter(F.col("dataset_key").isin(*METADATA)).filter(F.col("text").rlike(LEAKS)).groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
     out = out.unionByName(_found(leaks, F.concat(F.lit("metadata_path_leak:"), F.col("n").cast("string"))))
-    out = out.unionByName(_found(bundles.join(files.filter(F.col("path") == CITATION), "bundle", "left_anti"), "citation:missing_cff"))
+    out = out.unionByName(_found(bundles.join(_many(files.filter(F.col("path") == CITATION)), "bundle", "left_anti"), "citation:missing_cff"))
     folders = files.select("bundle", F.regexp_extract("path", r"^(.*?__pycache__)/", 1).alias("at")).filter("at <> ''").distinct().groupBy("bundle").agg(F.count(F.lit(1)).alias("n"))
     return out.unionByName(_found(folders, F.concat(F.lit("pycache_shipped:"), F.col("n").cast("string"))))
 
 
 def document_checks(docs: DataFrame, declared: DataFrame, files: DataFrame) -> DataFrame:
-    """All findings of all bundles."""
-    known = declared.join(docs, ["bundle", "path"])
-    return reduce(DataFrame.unionByName, [array_checks(known), product_checks(known, docs, files), shard_checks(known, files), release_checks(known, declared), file_rules(declared, docs, files)])
+    """All findings of all bundles. Documents meet their keys once, as every check reads some of them."""
+    known = stored(declared.join(_many(docs), ["bundle", "path"]), "known-documents")
+    return reduce(DataFrame.unionByName, [array_checks(known), product_checks(known, docs, files), shard_checks(known, files), release_checks(known, declared), file_rules(declared, known, files)])
 
 
 def statuses(docs: DataFrame) -> DataFrame:

@@ -113,3 +113,11 @@ def test_shapes(spark):
     assert [tuple(p) for p in topo.points] == ring((1, 0), (3, 0), (3, 2), (1, 0))
     sides = spark.createDataFrame([(1, "a", "p", "r"), (2, "a", "p", "r"), (2, "b", "q", "r"), (3, "a", None, "r"), (3, "b", None, "s"), (4, "a", None, None), (4, "b", None, None)], "arc int, id string, province string, region string")
     assert {tuple(r) for r in G.border_kinds(sides).collect()} == {(1, "outline"), (2, "province"), (3, "region"), (4, "municipality")}
+
+
+def test_document_checks_broadcast_no_table(spark):
+    from panelatlas.plans import archive  # noqa: F401
+    from panelatlas.plans.registry import QUERIES
+
+    plan = QUERIES["v08_document_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
