@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.panel_store import stored
@@ -17,11 +17,16 @@ _ARCS = f"id string, ring int, k int, turned boolean, loop boolean, arc {_RING}"
 
 def _tidy(shapes: DataFrame) -> DataFrame:
     """Rings with their closing point and without points that repeat the one before; rings of fewer than three are left out."""
-    ring = F.filter(F.col("points").cast(_RING), lambda p: p.isNotNull())
-    ring = F.concat(ring, F.slice(ring, 1, 1))
-    ring = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
-    rows = shapes.select(F.col("id").cast("string").alias("id"), F.col("ring").cast("int").alias("ring"), ring.alias("points"))
-    return rows.filter(F.size("points") > 3)
+    rows = shapes.select(F.col("id").cast("string").alias("id"), F.col("ring").cast("int").alias("ring"), F.filter(F.col("points").cast(_RING), lambda p: p.isNotNull()).alias("points"))
+    rows = rows.withColumn("points", F.concat("points", F.slice("points", 1, 1)))
+    rows = rows.withColumn("points", F.filter("points", lambda p, i: (i == 0) | (p != F.get("points", i - 1))))
+    return stored(rows, "rings").filter(F.size("points") > 3)  # written, so that no ring is made again for each use of its points
+
+
+def _sides() -> Column:
+    """The sides (a, b) of closed ``points`` in order."""
+    n = F.size("points") - 1
+    return F.zip_with(F.slice("points", 1, n), F.slice("points", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,8 +51,7 @@ def arcs(shapes: DataFrame) -> DataFrame:
     at points that have other than two neighbours on any border; an arc runs from its smaller end, ``turned`` where the ring
     runs the other way. Arcs of several rings are equal point by point and share ``arc_id``."""
     rings = _tidy(shapes)
-    sides = rings.select("id", "ring", F.posexplode(F.slice("points", 1, F.size("points") - 1)).alias("i", "a"), F.col("points").alias("all"))
-    sides = sides.select("id", "ring", "i", "a", F.get("all", F.col("i") + 1).alias("b"))
+    sides = rings.select("id", "ring", F.posexplode(_sides()).alias("i", "s")).select("id", "ring", "i", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b"))
     near = sides.select("a", "b").unionByName(sides.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     joints = near.groupBy("a").agg((F.count(F.lit(1)) != 2).alias("joint"))
     marked = sides.select("id", "ring", "i", "a").join(joints, "a")
@@ -84,5 +88,5 @@ def simplified_arcs(used: DataFrame, tolerance: float) -> DataFrame:
 
 def border_uses(shapes: DataFrame) -> DataFrame:
     """(a, b, uses): every side of the rings, whichever way it runs, and how many rings have it."""
-    rows = shapes.select(F.posexplode(F.slice("points", 1, F.size("points") - 1)).alias("i", "a"), F.col("points").alias("all")).select("a", F.get("all", F.col("i") + 1).alias("b"))
+    rows = shapes.select(F.explode(_sides()).alias("s")).select("s.a", "s.b")
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses"))

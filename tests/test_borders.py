@@ -68,3 +68,14 @@ def test_small_and_odd_rings(spark):
     rows = {r.id: [(p.x, p.y) for p in r.points] for r in B.simplified_shapes(spark.createDataFrame(shapes, SCHEMA), 3.0).collect()}
     assert rows.keys() == {"a", "b", "f"} and len(set(rows["a"])) >= 3 and {(0.1, 0.0), (0.1, 0.1)} <= set(rows["b"]) & set(rows["a"])
     assert B.simplified_shapes(spark.createDataFrame([], SCHEMA), 1.0).count() == 0
+
+
+def test_rings_are_written_before_their_sides(spark):
+    """Rings are made once, not for each use of a point."""
+    from panelatlas.operators import borders
+
+    shapes = spark.createDataFrame([("a", 0, [(0.0, 0.0), (0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])], "id string, ring int, points array<struct<x:double,y:double>>")
+    rings = borders._tidy(shapes)
+    plan = rings._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "lambda" not in plan
+    assert [[tuple(p) for p in r.points] for r in rings.collect()] == [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]]
