@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.panel_store import stored
+
 LEAST = 0.91
+SPARE = (1 - LEAST) * (1 + (2 - LEAST) / LEAST)
 
 
 @F.pandas_udf(DoubleType())
@@ -17,29 +21,70 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+MOST = {0: 1 << 31, 1: 1000, 2: 45, 3: 19}  # of so many letters a name may have to be shortened by 0 to 3 of them
+
+
+def _levels(names: DataFrame, places: DataFrame) -> DataFrame:
+    """(m, n, whole, few): the lengths that may meet, the least letters their match holds, and whether few letters are over."""
+    m, n = F.col("m"), F.col("n")
+    pairs = names.select(F.length("name").alias("m")).distinct().crossJoin(F.broadcast(places.select(F.length("place").alias("n")).distinct()))  # a row a length
+    pairs = pairs.filter((F.abs(m - n) <= 8) & (2 * F.least(m, n) >= LEAST * (m + n) - 1e-9))
+    pairs = pairs.withColumn("whole", F.ceil(LEAST * (m + n) / 2 - 1e-9).cast("int"))
+    few = lambda c: reduce(lambda a, b: a | b, [(c - F.col("whole") == k) & (c <= most) for k, most in MOST.items()])
+    return pairs.withColumn("few", few(m) & few(n))
+
+
+def _shortened(c: str, by: Column) -> Column:
+    """All texts that ``by`` letters fewer (up to 3) leave of a text."""
+    less = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    more = lambda ts: F.array_distinct(F.flatten(F.transform(ts, less)))
+    one = F.array_distinct(less(F.col(c)))
+    return F.when(by == 0, F.array(c)).when(by == 1, one).when(by == 2, more(one)).otherwise(more(more(one)))
+
+
+def _by_letters(left: DataFrame, right: DataFrame, levels: DataFrame) -> DataFrame:
+    """Pairs with a common rest after the letters that may be over are left out. Rests meet by their hash, as pairs are scored."""
+    few = levels.filter("few")
+    rest = lambda rows, c, size: rows.withColumn(size, F.length(c)).join(F.broadcast(few.select(size, "whole").distinct()), size).withColumn("rest", F.explode(_shortened(c, F.col(size) - F.col("whole"))))
+    hashed = lambda rows, *cols: rows.select(F.xxhash64("region", "rest").alias("h"), *cols)
+    return hashed(rest(left, "name", "m"), "name_id", "name", "region").join(hashed(rest(right, "place", "n"), "place_id", "place", F.col("region").alias("r")), "h").filter("region = r").select("name_id", "place_id", "name", "place")
+
+
+def _by_pieces(left: DataFrame, right: DataFrame, levels: DataFrame) -> DataFrame:
+    """Pairs with a common piece, of the lengths that leave many letters over."""
+    many = levels.filter("not few")
+    left = left.withColumn("m", F.length("name")).join(F.broadcast(many.select("m").distinct()), "m", "left_semi")
+    right = right.withColumn("n", F.length("place")).join(F.broadcast(many.select("n").distinct()), "n", "left_semi")
+    step = F.greatest(F.lit(1), F.floor(F.col("m") / (F.floor(F.col("m") * SPARE + 1e-9) + 1))).cast("int")  # all pieces but the last are this long
+    cut = lambda c, at, n: F.substring(c, at, n)
+    left = left.withColumn("step", step)
+    starts = F.sequence(F.lit(1), F.col("m") - F.col("step") + 1, F.col("step"))
+    left = left.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: cut(F.col("name"), i, F.col("step"))))))
+    right = right.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(int(1 / SPARE) + 1)))))
+    right = right.withColumn("piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: cut(F.col("place"), i, F.col("k"))))))
+    pairs = left.join(right, ["region", "piece"]).join(F.broadcast(many.select("m", "n")), ["m", "n"])
+    return pairs.select("name_id", "place_id", "name", "place")
+
+
 def fuzzy_match(names: DataFrame, places: DataFrame) -> DataFrame:
     """Of ``names`` (name_id, name, region) those that meet exactly one place of ``places`` (place_id, name, region): name_id,
     place_id, score. Met: same region, lengths at most 8 apart, and a matching-blocks ratio of 0.91 or more.
 
-    A ratio r of lengths m and n leaves (1 - r) * (m + n) letters out of the match, and n <= m * r' with r' = (2 - r) / r. So
-    of a name cut into one piece more than that, one piece stands whole in the other name: pieces are joined with the
-    other's substrings of the same length, and no two names of a region are compared unless they share one. Null names and
-    regions meet nothing.
+    Two lengths say how many letters the match of such a ratio holds at least, and it holds them in the same order in both names.
+    So names of some 20 letters (45 where two are over) are left without each choice of the letters that may be over, and meet by
+    what is left: pieces that all names share don't bring them together.
+
+    Of longer names, or lengths far apart, the bound is by pieces. A ratio r of lengths m and n leaves (1 - r) * (m + n) letters
+    out of the match, and n <= m * r' with r' = (2 - r) / r. So of a name cut into one piece more than that, one piece stands
+    whole in the other name: pieces are joined with the other's substrings of the same length. Null names and regions meet nothing.
     """
-    spare = (1 - LEAST) * (1 + (2 - LEAST) / LEAST)
-    size = F.length("name")
-    step = F.greatest(F.lit(1), F.floor(size / (F.floor(size * spare + 1e-9) + 1))).cast("int")  # all pieces but the last are this long
-    cut = lambda c, at, n: F.substring(c, at, n)
-    left = names.filter("name <> '' AND region IS NOT NULL").select("name_id", "name", "region", step.alias("step"))
-    starts = F.sequence(F.lit(1), F.length("name") - F.col("step") + 1, F.col("step"))
-    left = left.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: cut(F.col("name"), i, F.col("step"))))))
+    left = names.filter("name <> '' AND region IS NOT NULL").select("name_id", "name", "region")
     right = places.filter("name <> '' AND region IS NOT NULL").select("place_id", F.col("name").alias("place"), "region")
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("place"), F.lit(int(1 / spare) + 1))))
-    right = right.withColumn("n", sizes)
-    right = right.withColumn("piece", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("place") - F.col("n") + 1), lambda i: cut(F.col("place"), i, F.col("n"))))))
-    a, b = F.length("name"), F.length("place")
-    near = (F.abs(a - b) <= 8) & (2 * F.least(a, b) >= LEAST * (a + b) - 1e-9)
-    pairs = left.join(right.drop("n"), ["region", "piece"]).filter(near).select("name_id", "place_id", "name", "place").distinct()
+    levels = stored(_levels(left, right), "lengths")
+    pairs = _by_letters(left, right, levels)
+    if not levels.filter("not few").isEmpty():
+        pairs = pairs.unionByName(_by_pieces(left, right, levels))
+    pairs = pairs.distinct()
     # Matching blocks can't hold more than the letters both have, however they stand; what is left after that is scored.
     times = lambda c, letter: F.length(c) - F.length(F.replace(F.col(c), letter, F.lit("")))
     shared = F.aggregate(F.array_distinct(F.split("name", "")), F.lit(0), lambda n, x: n + F.least(times("name", x), times("place", x)))

@@ -121,3 +121,16 @@ def test_document_checks_broadcast_no_table(spark):
 
     plan = QUERIES["v08_document_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_fuzzy_names_of_common_pieces_make_few_pairs(spark):
+    from panelatlas.operators import fuzzy
+
+    places = spark.range(3000).selectExpr("CAST(id AS STRING) AS place_id", "concat('nation_12 ', 100000 + id * 17) AS name", "'r' AS region")
+    names = places.selectExpr("place_id AS name_id", "concat(substring(name, 1, 3), 'x', substring(name, 4)) AS name", "region")
+    left, right = names, places.withColumnRenamed("name", "place")
+    assert fuzzy._by_letters(left, right, fuzzy._levels(left, right)).distinct().count() < 40_000  # of 9,000,000
+    got = {(r.name_id, r.place_id) for r in fuzzy_match(names.limit(200), places.limit(200)).collect()}
+    n, p = names.limit(200).collect(), places.limit(200).collect()
+    met = {a.name_id: [b.place_id for b in p if SequenceMatcher(None, a.name, b.name).ratio() >= 0.91] for a in n}
+    assert got == {(a, b[0]) for a, b in met.items() if len(b) == 1}
