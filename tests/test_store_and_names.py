@@ -180,3 +180,13 @@ def test_names_of_lines_are_put_to_what_is_left_of_them(spark):
     flat = lambda df: {(r.election_key, r.election_year, r.municipality_id, r.province, r.region, r.electors, r.voters, r.valid_votes, r.turnout_pct, r.first_party_std, r.second_party_std, r.first_second_margin, r.dominant_block, tuple(r.parties), frozenset(r.raws)) for r in df.collect()}
     want = P.cells(fixtures.lines(spark, SF))
     assert flat(got) == flat(want) and got.columns == want.columns and got.count() == want.count()
+
+
+def test_lookup_keys_make_no_key_again_for_each_use(spark):
+    from pyspark.sql import functions as F
+
+    from panelatlas.functions.names import lookup_keys
+
+    rows = spark.createDataFrame([("Bolzano / Bozen",), ("Roma",), (None,), ("x",)], "n string").select("n", lookup_keys(F.col("n"), {"roma": "Urbe / Eterna"}).alias("k"))
+    assert lookup_keys(F.col("n"), {"roma": "Urbe"})._jc.toString().lower().count("translate(") <= 16
+    assert {r.n: r.k for r in rows.collect()} == {"Bolzano / Bozen": ["bolzano bozen", "bolzanobozen", "bolzano", "bozen"], "Roma": ["roma", "urbe eterna", "urbeeterna"], None: [], "x": ["x"]}
