@@ -6,7 +6,7 @@ two stages the rows are written as Parquet and read again.
 1. toxicity: documents that score 0.5 or more go; the model learns from the labelled documents among the stage's input.
 2. exact dedup: of texts equal but for the case of A-Z, the row with the largest doc_id stays.
 3. SimHash near-dedup: sets of shingles of five words with a Jaccard similarity of 0.8 or more are linked. Bands of several
-   independent fingerprints give the candidates, and each is checked exactly. Of each group the smallest doc_id stays.
+   independent fingerprints give the shards, each shard's BK-tree the candidates, and each is checked exactly. Of each group the smallest doc_id stays.
 4. mixing: the rows are put in the order of the mixture; each file holds a stretch of the schedule.
 5. packing: rows are packed slot by slot of the mixture into sequences of at most 4096 ids, so that sequence_id follows the
    schedule. As readers pack files in any order, the stage works out the slots again, from the same rows.

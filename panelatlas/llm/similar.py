@@ -7,7 +7,8 @@ Candidates: a text gets several independent SimHash fingerprints, from one hash
 each fingerprint. Two texts of similarity J agree in each bit with a chance of at least ``1 - acos(2J / (1 + J)) / pi``
 (0.848 for 0.8). The bits are cut into bands, as many as leave a pair of the least similarity without an equal band with a
 chance of ``missed`` (0.001); texts with an equal band meet in a task. The width of a band grows with the number of texts
-from ``14`` on, where it passes 16 texts a band. Pairs there that differ in over 72 of the first 256 bits are dropped.
+from ``14`` on, where it passes 16 texts a band. There they are searched in a BK-tree (``simhash.Tree``) over the first 256 bits
+for those that differ in at most 72; only signatures that have such another go into the tree.
 (Texts of fewer than some 20 shingles agree a little less: at 4 of 5 shingles a pair is missed with a chance of 0.025, and
 differs in over 72 of 256 bits, each with a chance of 3 in 16, with one of 0.0001 more; larger texts far more rarely.)
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, text_bytes
 from .graph import Forest, components
-from .simhash import SEED
+from .simhash import SEED, shard_links
 
 CHECKED, APART = 4, 72  # longs of the signature that a band's row carries, and the bits of them that may differ
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -147,24 +148,39 @@ def _stars(forest: Forest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
 
+def _searched(forest: Forest, sig: np.ndarray, reps: list[int]) -> None:
+    """Links of a shard's signatures, searched in its BK-tree; equal ones are one node of it."""
+    first: dict[int, int] = {}
+    for raw, rep in zip(sig, reps):
+        held = first.setdefault(int.from_bytes(raw.tobytes(), "little"), rep)
+        forest.join(held, rep)
+    for a, b in shard_links(list(first), list(first.values()), APART):
+        forest.join(a, b)
+
+
 def _candidates(small: int = 32) -> Callable:
+    """Each shard's BK-tree takes the signatures that have any other within reach, as most have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for rows, edges in _by_shard(batches, 3):
-            reps, sig = rows[:, 3].tolist(), rows[:, 4:].view(np.uint64)
+            reps, sig = rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
             sizes = np.diff(edges)
-            after = np.repeat(edges[1:], sizes)  # where a row's shard ends
+            after, near = np.repeat(edges[1:], sizes), np.zeros(len(rows), dtype=bool)  # where a row's shard ends
             at = np.flatnonzero(np.repeat(sizes, sizes) <= small)
             for step in range(1, small):  # all pairs of the small shards, by their distance in the table
                 at = at[at + step < after[at]]
                 if not len(at):
                     break
-                for a in at[_apart(sig[at], sig[at + step]) <= APART].tolist():
-                    forest.join(reps[a], reps[a + step])
+                hit = at[_apart(sig[at], sig[at + step]) <= APART]
+                near[hit] = near[hit + step] = True
             for k in np.flatnonzero(sizes > small).tolist():
                 own = sig[edges[k] : edges[k + 1]]
-                for a, b in _spanning(len(own), lambda x, left: _apart(own[x], own[left]) <= APART):
-                    forest.join(reps[edges[k] + a], reps[edges[k] + b])
+                near[edges[k] : edges[k + 1]] = [int((_apart(x, own) <= APART).sum()) > 1 for x in own]
+            some = np.flatnonzero(near)
+            shard = np.repeat(np.arange(len(sizes)), sizes)[some]
+            for part in np.split(some, np.flatnonzero(shard[1:] != shard[:-1]) + 1) if len(some) else ():
+                _searched(forest, sig[part], reps[part].tolist())
         yield from _stars(forest)
 
     return run

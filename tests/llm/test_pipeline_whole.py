@@ -87,3 +87,29 @@ def test_packing_keeps_the_mixture(spark, tmp_path):
     assert max(groups.values()) <= 65_536
     tasks = collections.Counter(g >> 33 for g in groups)
     assert sum(n < 65_536 for n in groups.values()) <= 5 * len(tasks)
+
+
+def test_near_dedup_searches_bk_trees(monkeypatch):
+    """Candidates of a shard come from its BK-tree, and are those of all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from panelatlas.llm import simhash
+
+    rng, added = np.random.default_rng(5), []
+    add = simhash.Tree.add
+    monkeypatch.setattr(simhash.Tree, "add", lambda self, fp: (added.append(fp), add(self, fp))[1])
+    base = rng.integers(0, 1 << 63, (60, 4), dtype=np.int64)
+    sig = np.concatenate([base, base[:20] ^ rng.integers(0, 1 << 12, (20, 4), dtype=np.int64), base[:3]])
+    shard = np.sort(np.arange(len(sig)) % 3 * (np.arange(len(sig)) < 80))  # one large shard, two small ones
+    order = rng.permutation(len(sig))
+    columns = [np.zeros(len(sig), dtype=np.int64), shard, np.zeros(len(sig), dtype=np.int64), order.astype(np.int64), *sig[order].T]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["t", "k", "c", "rep", "s0", "s1", "s2", "s3"])
+    got = {frozenset(x) for b in similar._candidates(small=30)(iter([rows])) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    forest = simhash.Forest()
+    for i in range(len(sig)):
+        for j in range(i):
+            if shard[i] == shard[j] and int(np.bitwise_count(sig[order[i]] ^ sig[order[j]]).sum()) <= similar.APART:
+                forest.join(int(order[i]), int(order[j]))
+    want = {frozenset((forest.find(x), x)) for x in forest.up if forest.find(x) != x}
+    assert added and got == want and len(want) > 5
