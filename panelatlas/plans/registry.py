@@ -16,7 +16,7 @@ from ..operators import cluster as C
 from ..operators import panel as P
 from ..operators import quality as Q
 from ..operators import trajectory as T
-from ..sources.panel_store import PanelStore, fingerprint
+from ..sources.panel_store import PanelStore, exchanging, fingerprint, parts_of
 from ..streaming.incremental import replace_by_key
 
 PARTY = "Brand#12"
@@ -34,10 +34,12 @@ class Panel:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        key = (spark.sparkContext.applicationId, fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+        files = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
+        key = (spark.sparkContext.applicationId, files)
         if key not in STORES:
-            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            STORES[key] = PanelStore.write(fixture_cells(spark, sf_dir, n), buckets=n, dealt=True)
+            n = parts_of(spark, files)
+            with exchanging(spark, n):
+                STORES[key] = PanelStore.write(fixture_cells(spark, sf_dir, n), buckets=n, dealt=True)
         self.store = STORES[key]
         self.cells = self.store.cells()
         self.tot, self.res, self.std, self.summ = P.totals(self.cells), P.results(self.cells), P.by_party(self.cells), P.summary(self.cells)
@@ -455,7 +457,7 @@ def vectors(p: Panel) -> DataFrame:
     """Six features per municipality, nulls as 0, not scaled; ``over`` is the latest election's share less the nation's."""
     nation = p.cells.groupBy("election_key").agg(P.pct(F.sum(P.own_votes(PARTY)), F.sum("valid_votes")).alias("nation_share"))  # one row an election
     last = F.max_by(F.struct(F.col("share") - F.col("nation_share")), "election_year").alias("last")
-    v = T.history(_cells(p).join(nation, "election_key"), F.avg("share").alias("mean_share"), F.avg("turnout_pct").alias("turnout"), last)
+    v = T.history(_cells(p).join(F.broadcast(nation), "election_key"), F.avg("share").alias("mean_share"), F.avg("turnout_pct").alias("turnout"), last)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
     return v.select("municipality_id", z("mean_share").alias("share"), z("volatility").alias("volatility"), z("stability_index").alias("stability"), z("turnout").alias("turnout"), z("changes").alias("changes"), z("last.col1").alias("over"))
 

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY, PLACE = "election_key", "municipality_id"
+PART_BYTES = 4 << 20  # of the tables' files that a partition of a store is made from, so that its sorts stay in memory
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
@@ -46,6 +49,26 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(out)
 
 
+def parts_of(spark: SparkSession, files: tuple) -> int:
+    """Partitions for a store made from ``files`` (of ``fingerprint``): they follow the files' size, so a task's share does
+    not grow with it; the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(size for _, size, _ in files) // PART_BYTES))
+
+
+@contextmanager
+def exchanging(spark: SparkSession, n: int) -> Iterator[None]:
+    """What runs inside exchanges ``n`` partitions, and adaptive execution puts none together beyond 1 MB."""
+    for_now = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in for_now}
+    try:
+        for k, v in for_now.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class PanelStore:
     """A stored panel by its table's name."""
 

@@ -12,6 +12,7 @@ from panelatlas.functions import text as X
 from panelatlas.operators import panel as P
 from panelatlas.operators import resolve as V
 from panelatlas.plans import registry
+from panelatlas.sources import panel_store
 from panelatlas.sources.panel_store import PanelStore
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +44,33 @@ def test_queries_scan_the_cells_alone(spark, name):
     assert "lineitem" not in plan and (name not in ("p12_metrics", "w06_stability", "a27_summary") or "Exchange" not in plan)
 
 
+def test_store_has_more_parts_for_larger_files(spark, monkeypatch):
+    monkeypatch.setattr(panel_store, "PART_BYTES", 16 << 10)
+    monkeypatch.setattr(registry, "STORES", {})
+    whole = registry.Panel(spark, SF)
+    size = sum(x for t in registry.TABLES for _, x, _ in panel_store.fingerprint(spark, [f"{SF}/{t}.parquet"]))
+    buckets = spark.sql(f"DESCRIBE FORMATTED {whole.store.name}").filter("col_name = 'Num Buckets'").first()["data_type"]
+    assert int(buckets) == -(-size // (16 << 10)) > 4 and spark.conf.get("spark.sql.shuffle.partitions") == "4"  # the session's number is back
+    monkeypatch.setattr(panel_store, "PART_BYTES", 1 << 30)
+    monkeypatch.setattr(registry, "STORES", {})
+    few = registry.Panel(spark, SF)
+    assert sorted(map(str, P.by_party(few.cells).collect())) == sorted(map(str, P.by_party(whole.cells).collect()))
+    assert registry.QUERIES["m04_similarity"](spark, SF).count() > 0
+    with pytest.raises(ZeroDivisionError), panel_store.exchanging(spark, 9):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9" and 1 / 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_vectors_do_not_move_cells_by_election(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with cells that are large
+    try:
+        plan = _plan(registry.vectors(registry.Panel(spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # the nation's sums
+
+
 def test_cells_of_odd_lines(spark):
     schema = "election_key string, election_year int, municipality_id string, province string, region string, party_raw string, party_std string, party_family string, bloc string, q long, rf string, ls string"
     row = lambda m, raw, std, q, rf, ls="O": ("e1", 2001, m, "p", "r", raw, std, "f" + std, "b" + std, q, rf, ls)
