@@ -4,8 +4,9 @@ A value below ``universe`` is split into ``low`` bits, stored packed, and a high
 ``high(i) + i``. That takes about ``2 + log2(universe / n)`` bits a value. ``select`` samples hold the position of
 every 256th set bit, so one value is found by looking at a few bytes behind its sample.
 
-``get`` and ``find`` answer many questions at once in the packed form: a directory of set bits by 64-bit word, counted when
-first asked for, gives select on ones and zeros, and only the low parts between two zeros are compared.
+``get`` and ``find`` answer many questions at once in the packed form: a directory of the set and unset bits before each
+64-bit word, stored behind the samples and mapped with them, gives select on ones and zeros, and only the low parts between
+two zeros are compared. So what a reader holds besides the mapped bytes goes by its questions, not by the sequence.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import struct
 import numpy as np
 
 _HEAD = struct.Struct("<4sBxxxQQQ")
-_MAGIC = b"EFS2"
+_MAGIC = b"EFS3"
 _STEP = 256
 _MOST_LOW = 57  # so that a low part lies within eight bytes from its first
 
@@ -62,7 +63,16 @@ def encode(values: np.ndarray) -> bytes:
     samples = at[::_STEP].astype("<u8")
     lower = _pack_low(v, low)
     lower += bytes(-len(lower) % 8 + 8)  # eight bytes can be read from any low part on
-    return _HEAD.pack(_MAGIC, low, n, len(upper), len(lower)) + upper.tobytes() + lower + samples.tobytes()
+    before = np.zeros(len(upper) // 8 + 1, dtype=np.int64)
+    np.cumsum(np.bitwise_count(upper.view("<u8")), out=before[1:])
+    width = _width(len(upper))
+    directory = before.astype(width).tobytes() + (64 * np.arange(len(before)) - before).astype(width).tobytes()
+    return _HEAD.pack(_MAGIC, low, n, len(upper), len(lower)) + upper.tobytes() + lower + samples.tobytes() + directory
+
+
+def _width(n_upper: int) -> str:
+    """Type of the directory's numbers; an array of 4 and one of 8 bytes' numbers are never mixed."""
+    return "<u4" if 8 * n_upper < 1 << 32 else "<u8"
 
 
 def _nth_bit(words: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -91,8 +101,11 @@ class EliasFano:
         at += n_upper + n_lower
         n_samples = -(-self.n // _STEP)
         self.samples = raw[at : at + 8 * n_samples]
-        self.end = at + 8 * n_samples
-        self._words = None
+        at += 8 * n_samples
+        self.words = self.upper.view("<u8")
+        width, n = np.dtype(_width(n_upper)), n_upper // 8 + 1
+        self.ones, self.zeros = raw[at : at + 2 * n * width.itemsize].view(width).reshape(2, n)  # set and unset bits before each word
+        self.end = at + 2 * n * width.itemsize
 
     def __len__(self) -> int:
         return self.n
@@ -121,15 +134,6 @@ class EliasFano:
             left -= len(bits)
             byte, skip = byte + 64, 0
 
-    def _directory(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The upper part's 64-bit words, and the ones and zeros before each."""
-        if self._words is None:
-            words = np.frombuffer(self.upper, dtype="<u8")
-            ones = np.zeros(len(words) + 1, dtype=np.int64)
-            np.cumsum(np.bitwise_count(words), out=ones[1:])
-            self._words = words, ones, 64 * np.arange(len(ones), dtype=np.int64) - ones
-        return self._words
-
     def _lows(self, i: np.ndarray) -> np.ndarray:
         """Low parts of values by number."""
         if not self.low:
@@ -140,21 +144,20 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values by number, without decoding the sequence."""
-        words, ones, _ = self._directory()
         i = np.asarray(i, dtype=np.int64)
-        at = np.searchsorted(ones, i, side="right") - 1
-        bit = 64 * at + _nth_bit(words[at], i - ones[at])
+        at = np.searchsorted(self.ones, i.astype(self.ones.dtype), side="right") - 1
+        bit = 64 * at + _nth_bit(self.words[at], i - self.ones[at].astype(np.int64))
         return ((bit - i).astype(np.uint64) << np.uint64(self.low)) | self._lows(i)
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many values have a high part below ``high``."""
-        words, _, zeros = self._directory()
         out = np.zeros(len(high), dtype=np.int64)
-        out[high > zeros[-1]] = self.n
-        ask = np.flatnonzero((high > 0) & (high <= zeros[-1]))
+        last = int(self.zeros[-1])
+        out[high > last] = self.n
+        ask = np.flatnonzero((high > 0) & (high <= last))
         z = high[ask] - 1
-        at = np.searchsorted(zeros, z, side="right") - 1
-        out[ask] = 64 * at + _nth_bit(~words[at], z - zeros[at]) - z
+        at = np.searchsorted(self.zeros, z.astype(self.zeros.dtype), side="right") - 1
+        out[ask] = 64 * at + _nth_bit(~self.words[at], z - self.zeros[at].astype(np.int64)) - z
         return np.minimum(out, self.n)
 
     def find(self, keys: np.ndarray) -> np.ndarray:

@@ -110,11 +110,11 @@ class Chunk:
         return at, self.tokens[at - 1] * len(self.hashes) + self.tokens[at]
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk]]:
     for batch in batches:
         names = batch.schema.names
         for i in range(batch.num_rows):
-            yield Chunk({c: batch.column(k)[i].values if c == "ids" else batch.column(k)[i].as_py() for k, c in enumerate(names)})
+            yield (Chunk({c: batch.column(k)[i].values if c == "ids" else batch.column(k)[i].as_py() for k, c in enumerate(names)}),)
 
 
 # --- packed stretches of counted keys -------------------------------------------------------------------------------
@@ -159,20 +159,27 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _merged(batches: Iterator[pa.RecordBatch], buffer: int = 3_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, keys, counts) of rows that come sorted by shard, merged whenever ``buffer`` keys wait: a task holds a shard's
-    distinct keys and the buffer."""
+    distinct keys and the buffer, and nothing of a shard that it has handed on."""
     now, held, waiting = None, [], 0
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return _summed(keys, counts)
+
     for batch in batches:
         for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
             if shard != now:
                 if held:
-                    yield now, *_summed(*(np.concatenate(x) for x in zip(*held)))
-                now, held, waiting = shard, [], 0
+                    yield now, *together()
+                now, waiting = shard, 0
             held.append((np.cumsum(_spread(keys), dtype=np.uint64), _spread(counts).astype(np.int64)))
             waiting += len(held[-1][0])
             if waiting > buffer:
-                held, waiting = [_summed(*(np.concatenate(x) for x in zip(*held)))], 0
+                held.append(together())
+                waiting = 0
     if held:
-        yield now, *_summed(*(np.concatenate(x) for x in zip(*held)))
+        yield now, *together()
 
 
 # --- files ----------------------------------------------------------------------------------------------------------
@@ -363,33 +370,44 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 # --- training -------------------------------------------------------------------------------------------------------
 
 
-def _word_parts(shards: int) -> Callable:
+def _one_by_one(work: Callable, items: Callable) -> Callable:
+    """A task that does ``work`` for each of ``items``: what one item took is let go before the next is made."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _each(batches):
-            n = np.bincount(c.tokens[c.trains], minlength=len(c.hashes))
-            own = n > 0
-            yield from _packed(shard_of(c.hashes[own], shards), c.hashes[own], n[own])
+        todo = items(batches)
+        while item := next(todo, None):
+            made = work(*item)
+            del item
+            yield from made
 
     return run
 
 
+def _word_parts(shards: int) -> Callable:
+    def work(c: Chunk) -> Iterator[pa.RecordBatch]:
+        n = np.bincount(c.tokens[c.trains], minlength=len(c.hashes))
+        own = n > 0
+        yield from _packed(shard_of(c.hashes[own], shards), c.hashes[own], n[own])
+
+    return _one_by_one(work, _each)
+
+
 _WORDS = "shard long, n long, tokens long, v long, part long, parts long"
 
 
 def _write_words(folder: str, shard_tokens: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, h, n in _merged(batches):
-            put(f"{folder}/level1-{s:06d}.eft", _file([encode(h), _counts(n)]))
-            # Pair shards begin where another ``shard_tokens`` tokens are reached; a word with more has its own, one or several.
-            parts = -(-n // shard_tokens)
-            filled = np.cumsum(np.where(parts > 1, 0, n)) // shard_tokens
-            hot = parts > 1
-            begin = np.concatenate([[True], (filled[1:] != filled[:-1]) | hot[1:] | hot[:-1]])
-            rows = [(v, k, int(parts[v]) if hot[v] else 1) for v in np.flatnonzero(begin).tolist() for k in range(int(parts[v]) if hot[v] else 1)]
-            columns = zip(*[(s, len(h), int(n.sum()), v, k, of) for v, k, of in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "n", "tokens", "v", "part", "parts"])
+    def work(s: int, h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        put(f"{folder}/level1-{s:06d}.eft", _file([encode(h), _counts(n)]))
+        # Pair shards begin where another ``shard_tokens`` tokens are reached; a word with more has its own, one or several.
+        parts = -(-n // shard_tokens)
+        filled = np.cumsum(np.where(parts > 1, 0, n)) // shard_tokens
+        hot = parts > 1
+        begin = np.concatenate([[True], (filled[1:] != filled[:-1]) | hot[1:] | hot[:-1]])
+        rows = [(v, k, int(parts[v]) if hot[v] else 1) for v in np.flatnonzero(begin).tolist() for k in range(int(parts[v]) if hot[v] else 1)]
+        columns = zip(*[(s, len(h), int(n.sum()), v, k, of) for v, k, of in rows])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "n", "tokens", "v", "part", "parts"])
 
-    return run
+    return _one_by_one(work, _merged)
 
 
 def _ids_of(c: Chunk, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,39 +418,37 @@ def _ids_of(c: Chunk, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.
 def _pair_parts(trie: Trie) -> Callable:
     """Keys are (v less the shard's first word) * V + w."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _each(batches):
-            at, key = c.pairs()
-            key, n = _counted(key[c.trains[at]])
-            if len(key):
-                v, w = _ids_of(c, key, trie.words(c.hashes)[0])
-                owner = trie.owner(v, w)
-                yield from _packed(owner, (v - trie.begin_v[owner]) * trie.vocabulary + w, n)
+    def work(c: Chunk) -> Iterator[pa.RecordBatch]:
+        at, key = c.pairs()
+        key, n = _counted(key[c.trains[at]])
+        if len(key):
+            v, w = _ids_of(c, key, trie.words(c.hashes)[0])
+            owner = trie.owner(v, w)
+            yield from _packed(owner, (v - trie.begin_v[owner]) * trie.vocabulary + w, n)
 
-    return run
+    return _one_by_one(work, _each)
 
 
 _PAIRS = "shard long, n long, n_first long, n_last long, p_first double, p_last double"
 
 
 def _write_pairs(folder: str, trie: Trie) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, key, n in _merged(batches):
-            v, w = (x.astype(np.int64) for x in np.divmod(key, np.uint64(trie.vocabulary)))
-            words = int(v[-1]) + 1
-            c = trie.counts(int(trie.begin_v[s]), words)
-            p = (n - DISCOUNT) / c[v]
-            ptr = np.concatenate([[0], np.cumsum(np.bincount(v, minlength=words))])
-            mass = np.bincount(v, p, words)
-            rest = np.maximum(1 - mass, 1e-12)  # of the words cut over shards the driver has the sum
-            top = int(w.max()) + 1
-            seq = v.astype(np.uint64) * np.uint64(top) + w.astype(np.uint64)
-            put(f"{folder}/level2-{s:06d}.eft", _file([encode(ptr), struct.pack("<Q", top), encode(seq), quantise(p), quantise(rest)]))
-            put(f"{folder}/counts2-{s:06d}.u", [_counts(n)])  # for training only
-            row = (s, len(key), int(ptr[1]), int(ptr[-1] - ptr[-2]), float(mass[0]), float(mass[-1]))
-            yield pa.RecordBatch.from_pydict({x.split()[0]: [y] for x, y in zip(_PAIRS.split(", "), row)})
-
-    return run
+    def work(s: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        v, w = (x.astype(np.int64) for x in np.divmod(key, np.uint64(trie.vocabulary)))
+        words = int(v[-1]) + 1
+        c = trie.counts(int(trie.begin_v[s]), words)
+        p = (n - DISCOUNT) / c[v]
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(v, minlength=words))])
+        mass = np.bincount(v, p, words)
+        rest = np.maximum(1 - mass, 1e-12)  # of the words cut over shards the driver has the sum
+        top = int(w.max()) + 1
+        seq = v.astype(np.uint64) * np.uint64(top) + w.astype(np.uint64)
+        put(f"{folder}/level2-{s:06d}.eft", _file([encode(ptr), struct.pack("<Q", top), encode(seq), quantise(p), quantise(rest)]))
+        put(f"{folder}/counts2-{s:06d}.u", [_counts(n)])  # for training only
+        row = (s, len(key), int(ptr[1]), int(ptr[-1] - ptr[-2]), float(mass[0]), float(mass[-1]))
+        yield pa.RecordBatch.from_pydict({x.split()[0]: [y] for x, y in zip(_PAIRS.split(", "), row)})
+
+    return _one_by_one(work, _merged)
 
 
 def _followed(trie: Trie, c: Chunk, ids: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -451,41 +467,39 @@ def _followed(trie: Trie, c: Chunk, ids: np.ndarray, at: np.ndarray, key: np.nda
 def _triple_parts(trie: Trie) -> Callable:
     """Keys are (pair less the shard's first pair) * V + rank."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _each(batches):
-            at, key = c.pairs()
-            own = c.trains[at]
-            at, key = at[own], key[own]
-            if not len(at):
-                continue
-            pairs, which, j, rank, _, _ = _followed(trie, c, trie.words(c.hashes)[0], at, key)
-            third = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
-            triple, n = _counted(which[third - 1] * len(pairs) + which[third])
-            one, two = np.divmod(triple, len(pairs))
-            owner = np.searchsorted(trie.first_pair, j[one], side="right") - 1
-            yield from _packed(owner, (j[one] - trie.first_pair[owner]) * trie.vocabulary + rank[two], n)
+    def work(c: Chunk) -> Iterator[pa.RecordBatch]:
+        at, key = c.pairs()
+        own = c.trains[at]
+        at, key = at[own], key[own]
+        if not len(at):
+            return
+        pairs, which, j, rank, _, _ = _followed(trie, c, trie.words(c.hashes)[0], at, key)
+        third = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+        triple, n = _counted(which[third - 1] * len(pairs) + which[third])
+        one, two = np.divmod(triple, len(pairs))
+        owner = np.searchsorted(trie.first_pair, j[one], side="right") - 1
+        yield from _packed(owner, (j[one] - trie.first_pair[owner]) * trie.vocabulary + rank[two], n)
 
-    return run
+    return _one_by_one(work, _each)
 
 
 def _write_triples(folder: str, trie: Trie) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, key, n in _merged(batches):
-            real = n > 0  # a row with n = 0 makes sure that a shard without triples is written too
-            pair, rank = (x[real].astype(np.int64) for x in np.divmod(key, np.uint64(max(1, trie.vocabulary))))
-            n = n[real]
-            n_pairs = int(trie.first_pair[s + 1] - trie.first_pair[s])
-            if not n_pairs:
-                continue
-            counts = _counts_view(mapping(f"{folder}/counts2-{s:06d}.u"))
-            p = (n - DISCOUNT) / counts[pair]
-            rest = 1 - np.bincount(pair, p, n_pairs)
-            top = int(rank.max()) + 1 if len(rank) else 1
-            seq = pair.astype(np.uint64) * np.uint64(top) + rank.astype(np.uint64)
-            put(f"{folder}/level3-{s:06d}.eft", _file([struct.pack("<Q", top), encode(seq), quantise(p), quantise(np.maximum(rest, 1e-12))]))
-            yield pa.RecordBatch.from_pydict({"shard": [s], "n": [len(n)]})
-
-    return run
+    def work(s: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        real = n > 0  # a row with n = 0 makes sure that a shard without triples is written too
+        pair, rank = (x[real].astype(np.int64) for x in np.divmod(key, np.uint64(max(1, trie.vocabulary))))
+        n = n[real]
+        n_pairs = int(trie.first_pair[s + 1] - trie.first_pair[s])
+        if not n_pairs:
+            return
+        counts = _counts_view(mapping(f"{folder}/counts2-{s:06d}.u"))
+        p = (n - DISCOUNT) / counts[pair]
+        rest = 1 - np.bincount(pair, p, n_pairs)
+        top = int(rank.max()) + 1 if len(rank) else 1
+        seq = pair.astype(np.uint64) * np.uint64(top) + rank.astype(np.uint64)
+        put(f"{folder}/level3-{s:06d}.eft", _file([struct.pack("<Q", top), encode(seq), quantise(p), quantise(np.maximum(rest, 1e-12))]))
+        yield pa.RecordBatch.from_pydict({"shard": [s], "n": [len(n)]})
+
+    return _one_by_one(work, _merged)
 
 
 _PARTS = "shard long, keys binary, counts binary"
@@ -517,27 +531,30 @@ def train(chunks: DataFrame, shard_tokens: int = 4_000_000) -> Trie:
 
 
 def _score(trie: Trie) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _each(batches):
-            ids, counts = trie.words(c.hashes)
-            base = (counts + 1) / (trie.total + trie.vocabulary + 1)
-            log_base = np.log10(base)
-            logs = log_base[c.tokens]
-            at, key = c.pairs()
-            if trie.total and len(at):
-                pairs, which, j, rank, p, rest = _followed(trie, c, ids, at, key)
-                p += rest * base[pairs % len(c.hashes)]
-                logs[at] = np.log10(p)[which]
-                third = np.flatnonzero((at[1:] == at[:-1] + 1) & (j[which[:-1]] >= 0)) + 1
-                triple, same = np.unique(which[third - 1] * len(pairs) + which[third], return_inverse=True)
-                one, two = np.divmod(triple, len(pairs))
-                own, left = trie.triples(j[one], np.where(j[two] >= 0, rank[two], -1))
-                logs[at[third]] = np.log10(own + left * p[two])[same]
-            sums = [np.add.reduceat(x, c.starts) for x in ((counts > 0)[c.tokens].astype(np.int64), log_base[c.tokens], logs)]
-            held = ~c.trains[c.starts]
-            yield pa.RecordBatch.from_arrays([c.ids, pa.array(held), pa.array(c.sizes, pa.int64()), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    def work(c: Chunk) -> Iterator[pa.RecordBatch]:
+        ids, counts = trie.words(c.hashes)
+        base = (counts + 1) / (trie.total + trie.vocabulary + 1)
+        log_base = np.log10(base)
+        logs = log_base[c.tokens]
+        at, key = c.pairs()
+        if trie.total and len(at):
+            pairs, which, j, rank, p, rest = _followed(trie, c, ids, at, key)
+            del key
+            p += rest * base[pairs % len(c.hashes)]
+            logs[at] = np.log10(p)[which]
+            third = np.flatnonzero((at[1:] == at[:-1] + 1) & (j[which[:-1]] >= 0)) + 1
+            triple, place = which[third - 1] * len(pairs) + which[third], at[third]
+            del at, which, third
+            triple, same = np.unique(triple, return_inverse=True)
+            one, two = np.divmod(triple, len(pairs))
+            own, left = trie.triples(j[one], np.where(j[two] >= 0, rank[two], -1))
+            logs[place] = np.log10(own + left * p[two])[same]
+            del place, same, triple, one, two, own, left
+        sums = [np.add.reduceat(x, c.starts) for x in ((counts > 0)[c.tokens].astype(np.int64), log_base[c.tokens], logs)]
+        held = ~c.trains[c.starts]
+        yield pa.RecordBatch.from_arrays([c.ids, pa.array(held), pa.array(c.sizes, pa.int64()), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return _one_by_one(work, _each)
 
 
 def score_texts(docs: DataFrame, held_out: Column, shard_tokens: int = 4_000_000, chunk_bytes: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -547,7 +564,8 @@ def score_texts(docs: DataFrame, held_out: Column, shard_tokens: int = 4_000_000
     kind = dict(rows.dtypes)["doc_id"]
     rows = rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     made = rows.mapInArrow(_chunks(chunk_bytes), f"ids array<{kind}>, held array<boolean>, sizes binary, hashes binary, tokens binary, n long")
-    chunks = materialise(made, "lm-chunks", compression="zstd")
+    # A row group a chunk: neither the writer nor a reader holds a file's chunks at once, however large the input's splits are.
+    chunks = materialise(made, "lm-chunks", compression="zstd", **{"parquet.block.row.count.limit": "1"})
     trie = train(chunks, shard_tokens)
     out = chunks.select("ids", *_CHUNK).mapInArrow(_score(trie), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(trie.total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,9 +4,12 @@ import collections
 import hashlib
 import itertools
 import random
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,6 +51,49 @@ def test_elias_fano_of_few_large_values():
     assert e.get(np.arange(4)).tolist() == v and e.find(np.array([*v, 6], dtype=np.uint64)).tolist() == [0, 1, 2, 3, -1]
 
 
+def test_elias_fano_readers_hold_nothing_that_grows():
+    def most(n: int) -> int:
+        e = elias_fano.EliasFano(np.frombuffer(elias_fano.encode(np.arange(n, dtype=np.uint64) * np.uint64(3)), np.uint8))
+        tracemalloc.start()
+        assert e.get(np.array([5, n - 1])).tolist() == [15, 3 * n - 3] and e.find(np.array([15, 16, 3 * n - 3], dtype=np.uint64)).tolist() == [5, -1, n - 1]
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return held
+
+    assert most(2_000_000) < most(20_000) + 20_000
+
+
+def test_language_model_lets_go_of_each_piece():
+    gone = []
+
+    def items(_):
+        for k in range(3):
+            assert not any(x() is not None for x in gone)
+            piece = np.full(10, k)
+            gone.append(weakref.ref(piece))
+            yield (piece,)
+            del piece
+
+    def work(piece):
+        yield int(piece[0])
+
+    assert list(ngram_lm._one_by_one(work, items)(iter(()))) == [0, 1, 2]
+    part = lambda s: next(ngram_lm._packed(np.full(100_000, s), np.arange(100_000), np.ones(100_000, dtype=np.int64)))
+    assert [(s, len(k), int(n[0])) for s, k, n in ngram_lm._merged(part(s) for s in (0, 0, 0, 1))] == [(0, 100_000, 3), (1, 100_000, 1)]
+    tracemalloc.start()  # after what is imported when first needed
+    for _, keys, counts in ngram_lm._merged(part(s) for s in (0, 0, 0, 1)):
+        del keys, counts
+        assert tracemalloc.get_traced_memory()[0] < 2_000_000  # the merged shard's pieces took 4.8 MB
+    tracemalloc.stop()
+
+
+def test_language_model_chunks_are_row_groups(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "materialise", lambda df, what, **options: (df.coalesce(1).write.options(**options).parquet(str(tmp_path / what)), spark.read.parquet(str(tmp_path / what)))[1])
+    ngram_lm.score_texts(_docs(spark, texts), F.lit(False), chunk_bytes=3000)
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "lm-chunks").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) > 3 and all(f.row_group(i).num_rows == 1 for f in files for i in range(f.num_row_groups))
+
+
 def test_language_model_counts_beyond_32_bits():
     n = np.array([1, 2**32 + 7, 3])
     assert ngram_lm._counts_view(np.frombuffer(ngram_lm._counts(n), np.uint8)).tolist() == n.tolist()
