@@ -134,3 +134,24 @@ def test_fuzzy_names_of_common_pieces_make_few_pairs(spark):
     n, p = names.limit(200).collect(), places.limit(200).collect()
     met = {a.name_id: [b.place_id for b in p if SequenceMatcher(None, a.name, b.name).ratio() >= 0.91] for a in n}
     assert got == {(a, b[0]) for a, b in met.items() if len(b) == 1}
+
+
+def test_fuzzy_names_that_met_two_places_make_no_more_pairs(spark, monkeypatch):
+    from panelatlas.operators import fuzzy
+
+    ids = spark.range(70).selectExpr("explode(array(id + 1000, id + 100000)) AS id")
+    places = ids.selectExpr("CAST(id AS STRING) AS place_id", "concat('united kingdom ', id) AS name", "'r' AS region")
+    insert = lambda rows, x: rows.selectExpr("place_id AS name_id", f"concat(substring(name, 1, 3), '{x}', substring(name, 4)) AS name", "region")
+    more = spark.createDataFrame([("s", "le clocher \U0001f40e vert 77", "r"), ("t", "le clocher \U0001f40e vert 7", "r")], places.schema)
+    alien, known = insert(places, "x"), insert(places, "e").unionByName(more.selectExpr("place_id AS name_id", "concat(name, '7\U0001f40d') AS name", "region"))
+    rows = lambda p: p.withColumnRenamed("name", "place")
+    assert fuzzy._levels(alien, rows(places)).filter("not few").isEmpty()  # what no place has is over, so few letters are left to choose
+    assert not fuzzy._levels(known, rows(places)).filter("not few").isEmpty()
+    came, by_pieces = [], fuzzy._by_pieces
+    monkeypatch.setattr(fuzzy, "_by_pieces", lambda left, right, levels: (came.extend(r.name_id for r in left.collect()), by_pieces(left, right, levels))[1])
+    everywhere = places.unionByName(more)
+    p = everywhere.collect()
+    for names in (alien, known):
+        met = {a.name_id: [b.place_id for b in p if abs(len(a.name) - len(b.name)) <= 8 and SequenceMatcher(None, a.name, b.name).ratio() >= 0.91] for a in names.collect()}
+        assert {(r.name_id, r.place_id) for r in fuzzy_match(names, everywhere).collect()} == {(a, b[0]) for a, b in met.items() if len(b) == 1}
+    assert len(came) < 40  # of 142 names whose pieces are everyone's
